@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitstats.llm import byte_bpe, license_scan, token_counts, token_files, toxicity, url_filter
+from pitstats.llm import byte_bpe, license_scan, ngram_join, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from pitstats.llm.common import table, vocabulary
 
 #: The rules of the URL query: fixed values, of which the longest that fits decides.
@@ -39,6 +39,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"), span=50)
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"), n=5, threshold=ngram_join.THRESHOLD)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -73,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
+        "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
     }
