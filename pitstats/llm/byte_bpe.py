@@ -14,10 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -169,11 +171,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
 
 def round_trip(
-    documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """Encodes each text, decodes its ids, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 
-    Both directions run in one pass so that neither ids nor bytes leave the task.
+    Both directions run in one pass so that the decoded bytes never leave the task; `with_ids` also returns `ids`.
     """
 
     def make():
@@ -181,21 +184,27 @@ def round_trip(
         decimal = {i: str(i) for i in bpe.bytes_of_id}
 
         def step(batch):
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, all_ids = [], [], [], []
             for text in texts_of(batch):
                 ids = bpe.encode(text)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    all_ids.append(array("i", ids))
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                offsets = pa.array([0, *accumulate(counts)], pa.int32())
+                flat = pa.array(np.frombuffer(b"".join(a.tobytes() for a in all_ids), np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, flat))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return step
 
     return in_batches(
         doc_columns(documents, id_col, text_col),
         make,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),
     )

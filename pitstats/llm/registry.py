@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitstats.llm import byte_bpe, license_scan, ngram_join, suffix_dedup, token_counts, token_files, toxicity, url_filter
+from pitstats.llm import bm25, byte_bpe, decontaminate, license_scan, ngram_join, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from pitstats.llm.common import table, vocabulary
 
 #: The rules of the URL query: fixed values, of which the longest that fits decides.
@@ -27,10 +27,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 as a query, against all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return bm25.search(documents, documents.where("doc_id % 50 = 0"), k=bm25.TOP)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,7 +88,9 @@ from p left join hit using (page_id, host, path)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_decontaminate": op2_decontaminate,
         "op3_token_counts": op3_token_counts,
+        "op4_bm25_search": op4_bm25_search,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
         "op7_suffix_dedup": op7_suffix_dedup,

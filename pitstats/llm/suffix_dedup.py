@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import bytes_of, doc_columns, in_batches, written
+from pitstats.llm.common import bytes_of, in_batches, written
 
 #: Bytes of an anchor, and bytes of a string that must not repeat.
 K, SPAN = 16, 50
@@ -387,24 +387,38 @@ def _compare_windows(cells: DataFrame, partitions: int, span: int) -> DataFrame:
     return again.select("doc_id", "row_hash", "start", (F.col("start") + span).cast("int").alias("stop"))
 
 
-def repeated_ranges(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text"):
-    """(documents as id, row hash and compressed bytes; their repeated ranges in lists)."""
-    spark = documents.sparkSession
-    docs = doc_columns(documents, id_col, text_col).withColumn("row_hash", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _keyed(documents: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row_hash = F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), row_hash.alias("row_hash"), text.alias("text"), *more)
+
+
+def _packed(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """The texts as compressed bytes, to be joined by document."""
 
     def make():
         press = zstandard.ZstdCompressor(level=3)
 
         def step(batch):
             data = [press.compress(b) for b in bytes_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(data, pa.binary())], ["doc_id", "row_hash", "data"])
+            names = ["doc_id", "row_hash", *(["rest"] if rest else [])]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(data, pa.binary())], [*names, "data"])
 
         return step
 
-    packed = in_batches(docs, make, f"{_KEY}, data binary")
+    more = f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else ""
+    return in_batches(docs, make, f"{_KEY}{more}, data binary")
+
+
+def repeated_ranges(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_hash and `ranges`, the repeated byte ranges of each row that has any."""
+    spark = documents.sparkSession
+    docs = _keyed(documents, id_col, text_col)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-total // BUCKET_BYTES))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    packed = _packed(docs)
     settled = (
         _list_cells(docs, buckets, span).groupBy("bucket")
         .applyInPandas(_settle(hot, span), f"{_KEY}, start int, stop int, lead int, hot int")
@@ -415,8 +429,7 @@ def repeated_ranges(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_c
     ranges = found.where("lead < 0").select("doc_id", "row_hash", "start", "stop").unionByName(by_tokens)
     if found.where("hot = 1").limit(1).count():
         ranges = ranges.unionByName(_compare_windows(_cell_bytes(found.where("lead >= 0 and hot = 1"), packed), partitions, span))
-    lists = ranges.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return packed, lists
+    return ranges.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
 def kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -435,11 +448,6 @@ def kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int,
     return b"".join(out), gone, runs
 
 
-def _applied(documents: DataFrame, span: int, hot: int, id_col: str, text_col: str, make, schema: str) -> DataFrame:
-    packed, lists = repeated_ranges(documents, span, hot, id_col, text_col)
-    return in_batches(packed.join(lists, ["doc_id", "row_hash"], "left"), make, schema)
-
-
 def dedup_report(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row."""
 
@@ -460,11 +468,18 @@ def dedup_report(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col:
 
         return step
 
-    return _applied(documents, span, hot, id_col, text_col, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    lists = repeated_ranges(documents, span, hot, id_col, text_col)
+    joined = _packed(_keyed(documents, id_col, text_col)).join(lists, ["doc_id", "row_hash"], "left")
+    return in_batches(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash and the text that is left; of a character cut by a removed range the rest goes too."""
+    """The documents with what is left of their texts; of a character cut by a removed range the rest goes too.
+
+    All columns stay; a null text becomes empty.
+    """
+    rest = F.struct(*(F.col(c) for c in documents.columns if c != text_col)).alias("rest")
+    docs = _keyed(documents, id_col, text_col, rest)
 
     def make():
         plain = zstandard.ZstdDecompressor()
@@ -474,8 +489,11 @@ def dedup_texts(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col:
             for data, ranges in zip(batch.column("data").to_pylist(), batch.column("ranges").to_pylist()):
                 kept, _, _ = kept_parts(plain.decompress(data), [(r["start"], r["stop"]) for r in ranges or ()])
                 out.append(kept.decode("utf-8", "ignore"))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(out)], ["doc_id", "row_hash", "text"])
+            return pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out)], ["rest", "kept"])
 
         return step
 
-    return _applied(documents, span, hot, id_col, text_col, make, f"{_KEY}, text string")
+    lists = repeated_ranges(documents, span, hot, id_col, text_col)
+    joined = _packed(docs, rest=True).join(lists, ["doc_id", "row_hash"], "left")
+    done = in_batches(joined, make, f"rest {docs.schema['rest'].dataType.simpleString()}, kept string")
+    return done.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns))
