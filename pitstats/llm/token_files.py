@@ -13,11 +13,15 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +31,89 @@ from pyspark.sql import functions as F
 
 from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir, texts_of
 
-#: Words kept in a task's memory before the store starts anew.
-CACHE = 400_000
+#: Words, and parts of words, kept by a worker before the store starts anew.
+CACHE, PARTS = 300_000, 1_200_000
 _DOC = np.dtype([("known", "<i8"), ("id", "<i8")])
 
 
 class WordEncoder:
     """Ids of a text whose tokenizer drops white space, so that words between blanks are independent.
 
-    Each distinct word goes through the library once; a text's ids are its words' ids in order.
+    Each distinct word goes through the library once; a text's ids are its words' ids in order. Words of plain letters,
+    digits and signs are lower-cased and cut first as the tokenizer's own pattern cuts them, as their parts repeat more.
     """
 
+    #: Printable ASCII and the accented letters of Latin-1: lower case and composition are the same everywhere.
+    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.known: dict[str, bytes] = {}
-        probe = ["ab, it's x1!", "one", "two"]
+        self.parts: dict[str, bytes] = {}
+        probe = ["Ab, it's x1!", "one", "two"]
         apart = [i for w in probe for i in self._ids([w])[0]]
         self.splits = self._ids(["\n".join(probe)])[0] == apart == self._ids(["  ".join(probe) + " "])[0]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cut = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        lower = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        by_pattern = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and "Lowercase" in lower
+        self.cut = regex.compile(cut["pattern"]["Regex"]).findall if by_pattern and self.splits else None
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers of `dtype`."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, ids).tobytes() for ids in self._ids(texts)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Fills `known` for words that are not in it."""
+        cut, whole = {}, []
+        for word in words:
+            if self.cut and "<|" not in word and self.PLAIN(word):
+                cut[word] = self.cut(word.lower())
+            else:
+                whole.append(word)
+        fresh = list({p for own in cut.values() for p in own if p not in self.parts})
+        if len(self.parts) + len(fresh) > PARTS:
+            self.parts.clear()
+            fresh = list({p for own in cut.values() for p in own})
+        self.parts.update(zip(fresh, self._encoded(fresh)))
+        part = self.parts.__getitem__
+        self.known.update((word, b"".join(map(part, own))) for word, own in cut.items())
+        self.known.update(zip(whole, self._encoded(whole)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian integers of `dtype`; the texts' new words are learned together."""
         if not self.splits:
-            return np.array(self._ids([text])[0], self.dtype).tobytes()
-        words = text.replace("\n", " ").split(" ")
+            return self._encoded(texts)
+        if len(self.known) > CACHE:
+            self.known.clear()
         known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        missing = list(set(chain.from_iterable(split)).difference(known))
         if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for word, ids in zip(missing, self._ids(missing)):
-                known[word] = np.array(ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, words))
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """`encode` over many texts, a few megabytes at a time."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > 2 << 20:
+                yield from self.encode(some)
+                some, size = [], 0
+        yield from self.encode(some)
 
 
 @lru_cache(maxsize=2)
@@ -111,8 +158,8 @@ def write_token_files(
                 rows = np.zeros(len(ids), _DOC)
                 rows["known"], rows["id"] = valid, pc.fill_null(ids, 0).to_numpy()
                 docs.append(rows)
-                for text in texts_of(batch):
-                    data = encoder.encode(text) + end
+                for data in encoder.encode_all(texts_of(batch)):
+                    data += end
                     out.write(data)
                     lengths.append(len(data) // encoder.dtype.itemsize)
         if not lengths:
