@@ -15,24 +15,25 @@ Hash sizes: an n-gram and a set are known by 64 bits each.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own class; a text of fewer
 than n words is one n-gram; equal sets are linked; rows of one id share its class only if their sets are linked; rows
-without an id have no class of their own; an empty table gives no rows; other columns are ignored.
+without an id are linked with nothing and have no class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitstats.llm.common import bytes_of, doc_columns, in_batches, written
 from pitstats.llm.components import components
+from pitstats.llm.suffix_dedup import pack, unpack
 
 N, THRESHOLD = 5, Fraction(80, 100)
 #: Cells of the count sketch (a fixed 4 MB) and the blocks in which it is summed.
@@ -41,45 +42,113 @@ CELLS, BLOCKS = 1 << 20, 64
 LEADERS = 5
 #: Bits of the fixed-size filter on documents that are to be verified (2 MB).
 FILTER_BITS = 1 << 24
-#: Words kept in a task's memory.
-CACHE = 400_000
+#: N-grams for which one bucket of prefixes is made, and prefix n-grams that a task holds before it deals them out.
+POSTINGS, FLUSH = 4_000_000, 1_500_000
+#: A cell is crowded at so many times the mean count (and 1,000 more).
+CROWDED = 20
 _U = np.uint64
 
 
-class _Words(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
 
 
 class Shingler:
-    """Texts to sorted distinct n-gram hashes."""
+    """Texts to sorted distinct n-gram hashes; the words of many texts are hashed together."""
+
+    #: Bytes hashed at a time.
+    PIECE = 1 << 20
 
     def __init__(self, n: int):
-        self.n, self.words = n, _Words()
+        self.n = n
         rng = np.random.default_rng(5)
-        self.steps = rng.integers(0, 1 << 63, n + 1, dtype=np.uint64) * _U(2) + _U(1)
-
-    def _mix(self, h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-        return h ^ (h >> _U(31))
-
-    def shingles(self, data: bytes) -> np.ndarray:
+        self.steps = rng.integers(0, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1)
+        self.of_byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+        self.base = int(rng.integers(0, 1 << 62)) * 8 + 5
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(9, 14)]] = True
+        self._grow(self.PIECE + 1)
+
+    def _grow(self, size: int) -> None:
+        self.up, self.down = (np.full(size, b & (1 << 64) - 1, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        self.up[0] = self.down[0] = 1
+        np.multiply.accumulate(self.up, out=self.up)
+        np.multiply.accumulate(self.down, out=self.down)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of each word of a piece."""
+        if len(data) >= len(self.up):
+            self._grow(len(data) + 1)
+        array = np.frombuffer(data, np.uint8)
+        edge = np.diff(np.concatenate(([True], self.space[array], [True])).astype(np.int8))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(array) + 1, np.uint64)
+        np.cumsum(self.of_byte[array] * self.up[: len(array)], out=sums[1:])
+        return _mix((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64)), begin
+
+    def _long(self, data: bytes) -> np.ndarray:
+        """Words of a text of any length, cut into pieces at white space."""
+        out, at = [], 0
+        cut = re.compile(rb"[\x20\x09-\x0d]")
+        while at < len(data):
+            found = cut.search(data, at + self.PIECE)
+            stop = found.end() if found else len(data)
+            out.append(self._words(data[at:stop])[0])
+            at = stop
+        return np.concatenate(out)
+
+    def _sets(self, words: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+        """The set of each text, from all words in order and the number of words of each text."""
+        n, stop = self.n, np.cumsum(of)
+        grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for i in range(n):
+            grams = grams * self.steps[i] + words[i : len(words) - n + 1 + i] if len(grams) else grams
+        grams = _mix(grams)
+        out = []
+        for size, end in zip(of.tolist(), stop.tolist()):
+            if size >= n:
+                own = np.sort(grams[end - size : end - n + 1])
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            elif size:  # the whole sequence is one
+                h = np.full(1, size, np.uint64)
+                for i in range(size):
+                    h = h * self.steps[i] + words[end - size + i]
+                own = _mix(h)
+            else:
+                own = words[:0]
+            out.append(own)
+        return out
+
+    def shingles(self, texts: list[bytes]) -> list[np.ndarray]:
         """Of UTF-8 bytes: A-Z are lower-cased, words are runs without ASCII white space."""
-        words = data.lower().split()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        width = min(self.n, len(h))
-        if not width:
-            return h
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for i in range(width):
-            out = out * self.steps[i] + h[i : len(h) - width + 1 + i]
-        return np.unique(self._mix(out))
+        out: list[np.ndarray] = []
+        some: list[bytes] = []
+        size = 0
+
+        def flush():
+            if some:
+                bounds = np.cumsum([len(t) + 1 for t in some])
+                words, begin = self._words(b"\n".join(some).lower())
+                of = np.diff(np.searchsorted(begin, bounds), prepend=0)
+                out.extend(self._sets(words, of))
+                some.clear()
+
+        for text in texts:
+            if len(text) > self.PIECE:
+                flush()
+                words = self._long(text.lower())
+                out.extend(self._sets(words, np.array([len(words)])))
+                size = 0
+                continue
+            if size + len(text) + 1 > self.PIECE:
+                flush()
+                size = 0
+            some.append(text)
+            size += len(text) + 1
+        flush()
+        return out
 
 
 def prefix_size(n: int, threshold: Fraction) -> int:
@@ -92,37 +161,41 @@ def similar(common, a, b, threshold: Fraction):
     return threshold.denominator * common >= threshold.numerator * (a + b - common)
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(h).view(np.int64))
-
-
 def _hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents have an n-gram in each cell; a fixed number of cells whatever the corpus."""
+def _first_pass(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and set of each document; and, as rows with a block, each task's part of the count sketch."""
     width = CELLS // BLOCKS
 
     def run(batches):
-        shingler, counts = Shingler(n), np.zeros(CELLS, np.int64)
+        shingler, counts = Shingler(n), np.zeros(CELLS, np.int32)
         for batch in batches:
-            for data in bytes_of(batch):
-                np.add.at(counts, (shingler.shingles(data) >> _U(44)).astype(np.int64), 1)
-        blocks = [counts[i : i + width].astype("<i8").tobytes() for i in range(0, CELLS, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
+            sizes, keys = [], []
+            for found in shingler.shingles(bytes_of(batch)):
+                np.add.at(counts, (found >> _U(44)).astype(np.int64), 1)
+                sizes.append(len(found))
+                keys.append(_hash64(found.tobytes()) if len(found) else None)
+            k = len(sizes)
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set", "block", "counts"])
+        blocks = [pack([counts[i : i + width]]) for i in range(0, CELLS, width)]
+        columns = [pa.nulls(BLOCKS, pa.int64()) for _ in range(3)] + [pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set", "block", "counts"])
+
+    return docs.mapInArrow(run, "doc_id long, size long, set long, block int, counts binary")
+
+
+def _sketch(parts: DataFrame) -> np.ndarray:
+    """How many documents have an n-gram in each cell; a fixed number of cells whatever the corpus."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(np.add, (np.frombuffer(c, "<i8") for c in rows["counts"]))
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+        total = reduce(np.add, (unpack(c)[0].astype(np.int64) for c in rows["counts"]))
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [pack([total])]})
 
-    rows = (
-        docs.select("text").mapInArrow(run, "block int, counts binary")
-        .groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    )
-    out = np.zeros(CELLS, np.int64)
-    for r in rows:
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
+    rows = parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    out = np.concatenate([unpack(r["counts"])[0] for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS, np.int64)
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
@@ -136,86 +209,96 @@ def _ordered(found: np.ndarray, counts: np.ndarray, threshold: Fraction) -> np.n
     return found[np.lexsort((found, key))][:size]
 
 
-def _profiles(docs: DataFrame, counts, n: int, threshold: Fraction) -> DataFrame:
-    """doc_id, size, set and group of each document; an empty set has size 0."""
-
-    def make():
-        shingler, rank = Shingler(n), counts.value
-
-        def step(batch):
-            rows = []
-            for data in bytes_of(batch):
-                found = shingler.shingles(data)
-                if len(found):
-                    prefix = _ordered(found, rank, threshold)
-                    rows.append((len(found), _hash64(found.tobytes()), _hash64(prefix.tobytes() + len(found).to_bytes(8, "little"))))
-                else:
-                    rows.append((0, None, None))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "size", "set", "grp"])
-
-        return step
-
-    return in_batches(docs, make, "doc_id long, size long, set long, grp long")
-
-
-def _group_prefixes(docs: DataFrame, counts, n: int, threshold: Fraction) -> DataFrame:
-    """One row per group and n-gram of its prefix: token, grp, size."""
-
-    def make():
-        shingler, rank = Shingler(n), counts.value
+def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets: int) -> DataFrame:
+    """Groups under their prefix n-grams, packed by bucket of the n-gram.
 
-        def step(batch):
-            groups: dict[int, tuple[int, bytes]] = {}  # copies within a batch are sent once
-            for data in bytes_of(batch):
-                found = shingler.shingles(data)
-                if len(found):
-                    prefix = _ordered(found, rank, threshold).tobytes()
-                    groups[_hash64(prefix + len(found).to_bytes(8, "little"))] = (len(found), prefix)
-            if not groups:
-                return None
-            sizes, prefixes = zip(*groups.values())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(groups), pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())],
-                ["grp", "size", "prefix"],
-            )
-
-        return step
+    N-grams of crowded cells surely meet others; they are marked as such and dealt by member, so that no bucket gets a
+    long list.
+    """
 
-    def make_tokens():
-        def step(batch):
-            prefixes = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
-            times = [len(p) for p in prefixes]
-            repeated = [np.repeat(batch.column(c).to_numpy(), times) for c in ("grp", "size")]
+    def run(batches):
+        shingler = Shingler(n)
+        counts, crowded = shared.value
+        groups: dict[int, np.ndarray] = {}
+        members: dict[int, tuple[int, int, int]] = {}  # set -> group, size, a document
+        held = 0
+
+        def deal():
+            names = np.array(list(groups), np.int64)
+            token = np.concatenate(list(groups.values()))
+            grp = np.repeat(np.arange(len(names)), [len(g) for g in groups.values()])
+            place = {g: i for i, g in enumerate(groups)}
+            sets = np.array(list(members), np.int64)
+            of, size, doc = (np.array(c, np.int64) for c in zip(*((place[g], k, d) for g, k, d in members.values())))
+            order = np.argsort(of, kind="stable")
+            sets, of, size, doc = sets[order], of[order], size[order], doc[order]
+            many = crowded[(token >> _U(44)).astype(np.int64)]
+            bucket = np.where(many, (token + names[grp].astype(np.uint64)) % _U(buckets), (token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            order = np.lexsort((token, many, bucket))
+            token, grp, many, bucket = token[order], grp[order], many[order], bucket[order]
+            kinds, numbers, blobs = [], [], []
+            cuts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (many[1:] != many[:-1]), [True])))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own, local = np.unique(grp[i:j], return_inverse=True)
+                there = np.isin(of, own)
+                numbers.append(int(bucket[i]))
+                kinds.append(bool(many[i]))
+                blobs.append(pack([
+                    token[i:j], local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32),
+                    np.searchsorted(own, of[there]).astype(np.uint32), sets[there], size[there].astype(np.uint32), doc[there],
+                ]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(prefixes)), *map(pa.array, repeated)], ["token", "grp", "size"]
+                [pa.array(numbers, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "crowded", "data"]
             )
 
-        return step
-
-    rows = in_batches(docs.select("text"), make, "grp long, size long, prefix binary")
-    once = rows.groupBy("grp", "size").agg(F.first("prefix").alias("prefix"))
-    return in_batches(once, make_tokens, "token long, grp long, size long")
-
-
-def _meeting(prefixes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The postings of n-grams under which several groups are filed.
-
-    Most n-grams have one group; a window over the n-gram counts the groups where they are few, and n-grams whose
-    cell is crowded are counted by aggregation and joined, which splits their postings.
-    """
-    from pyspark.sql import Window
-
-    cell = F.shiftrightunsigned("token", 44)  # the top 20 bits
-    busy = F.lit(False)
-    if len(frequent):
-        busy = cell.isin([int(c) for c in frequent])
-    few = prefixes.where(~busy).withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
-    if not len(frequent):
-        return few
-    many = prefixes.where(busy)
-    tokens = many.groupBy("token").count().where("count > 1").select("token")
-    return few.unionByName(many.join(tokens, "token", "left_semi"))
+        for batch in batches:
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingler.shingles(bytes_of(batch))):
+                if not len(found):
+                    continue
+                key = _hash64(found.tobytes())
+                if key in members:
+                    continue
+                prefix = _ordered(found, counts, threshold)
+                grp = _hash64(prefix.tobytes() + len(found).to_bytes(8, "little"))
+                members[key] = (grp, len(found), doc_id)
+                if grp not in groups:
+                    groups[grp] = prefix
+                    held += len(prefix)
+            if held > FLUSH:
+                yield deal()
+                groups, members, held = {}, {}, 0
+        if groups:
+            yield deal()
+
+    return docs.where("doc_id is not null").mapInArrow(run, "bucket int, crowded boolean, data binary")
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: n-grams under which several sets are filed, each with its members."""
+    out = []
+    for crowded in (False, True):
+        parts = [unpack(d) for d in rows["data"][rows["crowded"] == crowded]]
+        if not parts:
+            continue
+        # each group's members stand together in its blob
+        token = np.concatenate([p[0] for p in parts])
+        base = np.cumsum([0, *(int(p[2].max()) + 1 for p in parts)])
+        grp = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base)])
+        of = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(parts, base)])
+        sets, size, doc = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        first = np.searchsorted(of, np.arange(base[-1] + 1))
+        order = np.argsort(token, kind="stable")
+        token, grp = token[order], grp[order]
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        times = first[grp + 1] - first[grp]
+        run = np.cumsum(new) - 1
+        keep = (np.bincount(run, times)[run] > 1) | crowded
+        token, grp, times = token[keep], grp[keep], times[keep]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[grp], times)
+        table = pd.DataFrame({"token": np.repeat(token.view(np.int64), times), "set": sets[at], "size": size[at].astype(np.int64), "doc_id": doc[at]})
+        table = table.drop_duplicates(["token", "set"])
+        out.append(table if crowded else table[table.duplicated("token", keep=False)])
+    return pd.concat(out)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -259,11 +342,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         shingler = Shingler(n)
 
         def step(batch):
-            found = [shingler.shingles(d) for d in bytes_of(batch)]
+            found = shingler.shingles(bytes_of(batch))
             keys = [_hash64(f.tobytes()) for f in found]
             keep = [i for i, (k, w) in enumerate(zip(keys, batch.column("set").to_pylist())) if k == w]
             return pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in keep], pa.int64()), pa.array([found[i].tobytes() for i in keep], pa.binary())],
+                [pa.array([keys[i] for i in keep], pa.int64()), pa.array([_short(found[i]) for i in keep], pa.binary())],
                 ["set", "grams"],
             )
 
@@ -273,6 +356,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return in_batches(near.join(wanted, "doc_id"), make_sets, "set long, grams binary").dropDuplicates(["set"])
 
 
+def _short(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: enough within one pair, and a quarter less to move."""
+    return (grams >> _U(16)).astype("<u4").tobytes() + (grams >> _U(48)).astype("<u2").tobytes()
+
+
+def _grams(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << _U(32)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs `a`, `b` of sets that are similar enough, compared on whole sets."""
 
@@ -280,9 +373,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
         def step(batch):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bool(similar(common, len(x), len(y), threshold)))
+                both = np.concatenate((_grams(x), _grams(y)))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                x, y = len(x) // 6, len(y) // 6
+                keep.append(bool(similar(common, x, y, threshold)))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
@@ -335,25 +430,23 @@ def _rest_pairs(postings: DataFrame, roots: DataFrame, tested: DataFrame, thresh
 def linked_sets(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of all documents, roots of the sets that are linked with another set)."""
     spark = docs.sparkSession
-    counts = count_sketch(docs, n)
-    mean = counts.mean()
-    # cells far above the mean hold frequent n-grams: at most a thousandth of all
-    top = np.argsort(counts)[-CELLS // 1024 :]
-    frequent = top[counts[top] > 20 * mean + 1_000]
-    shared = spark.sparkContext.broadcast(counts)
-    profiles = written(_profiles(docs, shared, n, threshold), "profiles")
-    members = profiles.where("size > 0").groupBy("grp", "set", "size").agg(F.min("doc_id").alias("doc_id"))
-    groups = _meeting(_group_prefixes(docs, shared, n, threshold), frequent)
-    # a group of several sets meets itself
-    own = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp")
-    lists = groups.select("token", "grp").unionByName(own)
-    postings = written(lists.join(members, "grp").select("token", "set", "size", "doc_id"), "postings")
+    first = written(_first_pass(docs, n), "profiles")
+    profiles = first.where("block is null").select("doc_id", "size", "set")
+    counts = _sketch(first.where("block is not null").select("block", "counts"))
+    crowded = counts > CROWDED * max(1.0, counts.mean()) + 1_000
+    total = profiles.agg(F.sum("size")).first()[0] or 0
+    buckets = max(8, total // POSTINGS)
+    shared = spark.sparkContext.broadcast((counts, crowded))
+    dealt = _deal_postings(docs, shared, n, threshold, buckets)
+    met = dealt.groupBy("bucket").applyInPandas(_meet, "token long, set long, size long, doc_id long")
+    # members of crowded n-grams come from several buckets
+    postings = written(met.groupBy("token", "set", "size").agg(F.min("doc_id").alias("doc_id")), "postings")
     wanted = postings.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     sets = written(_sets_of(docs, wanted, n), "sets")
-    first = written(_leader_pairs(postings, threshold), "pairs")
-    links = written(_verified(first, sets, threshold), "links")
+    tested = written(_leader_pairs(postings, threshold), "pairs")
+    links = written(_verified(tested, sets, threshold), "links")
     roots = components(links)
-    rest = written(_rest_pairs(postings, roots, first, threshold), "pairs")
+    rest = written(_rest_pairs(postings, roots, tested, threshold), "pairs")
     more = _verified(rest, sets, threshold)
     return profiles, components(links.unionByName(more))
 
@@ -365,9 +458,9 @@ def join_classes(
     docs = doc_columns(documents, id_col, text_col)
     profiles, roots = linked_sets(docs, n, threshold)
     rooted = profiles.join(roots, profiles["set"] == roots["vertex"], "left").select(
-        "doc_id", "size", F.coalesce("root", "set").alias("root")
+        "doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "set")).alias("root")
     )
-    least = rooted.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -23,7 +23,7 @@ def brute(rows, n=5):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
                 parent[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -52,8 +52,9 @@ def corpus(seed):
     return [*((i * 7 % 1009, t) for i, t in enumerate(rows)), (14, rows[5]), (None, rows[6]), (None, "alone " * 9)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "crowded"), [(1, 20), (2, 20), (3, -1000)])
+def test_against_all_pairs(spark, monkeypatch, seed, crowded):
+    monkeypatch.setattr(nj, "CROWDED", crowded)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, size long, token string")
     got = sorted((tuple(r) for r in nj.join_classes(df.repartition(5)).collect()), key=str)
@@ -76,3 +77,13 @@ def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(3, text, "a"), (1, text + " x", "b"), (2, "other", "c"), (9, "", "d"), (8, None, "e")], "doc_id long, text string, lang string")
     assert sorted((r.doc_id, r.lang) for r in nj.keep_one(df).collect()) == [(1, "b"), (2, "c"), (8, "e"), (9, "d")]
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(nj.Shingler, "PIECE", 64)
+    text = b"one two three four five six seven eight nine " * 20 + b"x" * 200 + b" end"
+    small = nj.Shingler(5).shingles([text, b"", b"a b", text])
+    monkeypatch.setattr(nj.Shingler, "PIECE", 1 << 16)
+    whole = nj.Shingler(5).shingles([text, b"", b"a b", text])
+    assert [s.tolist() for s in small] == [s.tolist() for s in whole]
+    assert [len(s) for s in whole[1:3]] == [0, 1]
