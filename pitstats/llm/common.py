@@ -47,6 +47,13 @@ def doc_columns(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that texts are copied a few megabytes at a time; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:
@@ -54,8 +61,8 @@ def in_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in slices(batches):
+            if (out := step(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

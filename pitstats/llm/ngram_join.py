@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import bytes_of, doc_columns, in_batches, written
+from pitstats.llm.common import bytes_of, doc_columns, in_batches, slices, written
 from pitstats.llm.components import components
 from pitstats.llm.suffix_dedup import pack, unpack
 
@@ -171,7 +171,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         shingler, counts = Shingler(n), np.zeros(CELLS, np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys = [], []
             for found in shingler.shingles(bytes_of(batch)):
                 np.add.at(counts, (found >> _U(44)).astype(np.int64), 1)
@@ -251,7 +251,7 @@ def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets
                 [pa.array(numbers, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "crowded", "data"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingler.shingles(bytes_of(batch))):
                 if not len(found):
                     continue

@@ -35,14 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import bytes_of, in_batches, written
+from pitstats.llm.common import bytes_of, in_batches, slices, written
 
 #: Bytes of an anchor, and bytes of a string that must not repeat.
 K, SPAN = 16, 50
 #: Bytes of text per bucket of cells.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Cells of one task before they are dealt out.
-FLUSH = 800_000
+FLUSH = 400_000
 #: Different surroundings of one anchor beyond which its windows are dealt singly.
 HOT = 10_000
 _BLOCK = 60_000
@@ -172,7 +172,7 @@ def _list_cells(docs: DataFrame, buckets: int, span: int) -> DataFrame:
                 [pa.array(number, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "settled", "data"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, row_hash, data in zip(batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist(), bytes_of(batch)):
                 found = None if doc_id is None else cells_of(hasher, data, span)
                 if found is None:
@@ -314,7 +314,7 @@ def _runs(doc: np.ndarray, row_hash: np.ndarray, place: np.ndarray, span: int) -
     )
 
 
-def _compare_suffixes(cells: DataFrame, partitions: int, span: int, most: int = 60_000) -> DataFrame:
+def _compare_suffixes(cells: DataFrame, partitions: int, span: int, most: int = 20_000) -> DataFrame:
     """Ranges of windows that also start in a smaller document, of cells range-partitioned by leading tokens."""
 
     def compare(table: pa.Table) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir, texts_of
+from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir, slices, texts_of
 
 #: Words, and parts of words, kept by a worker before the store starts anew.
 CACHE, PARTS = 300_000, 1_200_000
@@ -152,7 +152,7 @@ def write_token_files(
         name = os.path.join(root, f"part-{part:05d}")
         tmp = f"{name}.bin.{uuid.uuid4().hex}"
         with open(tmp, "wb") as out:  # batch by batch: a partition's ids are never all in memory
-            for batch in batches:
+            for batch in slices(batches):
                 ids = batch.column("doc_id")
                 valid = ids.is_valid().to_numpy(zero_copy_only=False)
                 rows = np.zeros(len(ids), _DOC)
