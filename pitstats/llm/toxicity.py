@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; other texts, whatever their label, are unlabelled. With the class prior p,
 the risk of the negative class is the unlabelled risk less p times the positives' share of it, and where a step would
 push that difference below zero it is turned back (Kiryo et al.). Several logistic classifiers in numpy, each with its
-own draw of unlabelled texts, are averaged. Features are the words of a text and their beginnings, present or not.
+own draw of unlabelled texts, are averaged, and the scale of the result is set on the draw's labelled documents. Features are the words of a text and their beginnings, present or not.
 
 The classifiers are fitted on a bounded sample (MAX_POSITIVE and MAX_UNLABELLED documents, taken by a hash of the id);
 scoring covers every whole text.
@@ -79,37 +79,55 @@ def pick_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[
     return [f for _, f in sorted(scored)[:MAX_FEATURES]]
 
 
-def _rows(sets: list[set[str]], index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(sets), len(index)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [index[f] for f in s if f in index]] = 1.0
-    return x
+class Rows:
+    """Binary rows as the places of their features: all places one after another, and where each row begins."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, sets: list[set[str]], index: dict[str, int]) -> Rows:
+        return cls([np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets])
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and for each the row's number among those taken."""
+        size = self.size[rows]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.at[np.repeat(self.begin[rows], size) + inner], np.repeat(np.arange(len(rows)), size)
 
 
 def fit_pu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 30, rate: float = 0.05,
+    positive: Rows, unlabelled: Rows, features: int, prior: float, seed: int, epochs: int = 30, rate: float = 0.05,
     decay: float = 1e-4, batch: int = 256,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic classifier under the non-negative risk, by Adam on minibatches."""
     rng = np.random.default_rng(seed)
-    w, m, v = (np.zeros(positive.shape[1] + 1, np.float64) for _ in range(3))
+    w, m, v = (np.zeros(features + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
-        for at in range(0, len(order), batch):
-            xu = unlabelled[order[at : at + batch]]
-            xp = positive[rng.integers(0, len(positive), min(batch, len(positive)))]
-            zu, zp = xu @ w[:-1] + w[-1], xp @ w[:-1] + w[-1]
+        for start in range(0, len(order), batch):
+            chosen = order[start : start + batch]
+            drawn = rng.integers(0, len(positive), min(batch, len(positive)))
+            (at_u, row_u), (at_p, row_p) = unlabelled.take(chosen), positive.take(drawn)
+            zu = np.bincount(row_u, w[at_u], len(chosen)) + w[-1]
+            zp = np.bincount(row_p, w[at_p], len(drawn)) + w[-1]
             # logistic losses: log(1 + exp(-z)) as positive, log(1 + exp(z)) as negative
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gpn, gu = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-
-            def grad(cp, cu):
-                return np.concatenate([xp.T @ cp + xu.T @ cu, [cp.sum() + cu.sum()]])
-
-            g = grad(prior * (gp - gpn), gu) if negative >= 0 else grad(prior * gpn, -gu)
+            as_positive, as_negative, free = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+            if negative >= 0:
+                on_p, on_u = prior * (as_positive - as_negative), free
+            else:  # turned back: up the negative part only
+                on_p, on_u = prior * as_negative, -free
+            g = np.bincount(at_p, on_p[row_p], features + 1) + np.bincount(at_u, on_u[row_u], features + 1)
+            g[-1] = on_p.sum() + on_u.sum()
             g[:-1] += decay * w[:-1]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -117,6 +135,18 @@ def fit_pu(
     return w[:-1], float(w[-1])
 
 
+def scale(logit: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and shift that fit the logits to labels, by Newton's method; none with fewer than five of a class."""
+    if min(label.sum(), (1 - label).sum()) < 5:
+        return 1.0, 0.0
+    x, t = np.stack([logit, np.ones_like(logit)], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(2)
+        t = t - np.clip(np.linalg.solve(h, x.T @ (p - label) / len(x) + ridge * (t - [1.0, 0.0])), -1, 1)
+    return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
+
+
 def _sample(ids: DataFrame, most: int) -> DataFrame:
     """At most `most` ids, the same ones whatever the partitioning."""
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -143,7 +173,8 @@ def train(
         prior = min(0.9, max(0.001, share))
     positive = _sample(known.where("y = 1").select("doc_id"), MAX_POSITIVE).withColumn("y", F.lit(1))
     rest = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    unlabelled = _sample(rest, MAX_UNLABELLED).withColumn("y", F.lit(0))
+    unlabelled = _sample(rest, MAX_UNLABELLED).withColumn("y", F.lit(0)).join(known.withColumnRenamed("y", "label"), "doc_id", "left")
+    positive = positive.withColumn("label", F.lit(1))
     # at most MAX_POSITIVE + MAX_UNLABELLED ids, so the broadcast is bounded
     picked = docs.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id")
 
@@ -151,12 +182,12 @@ def train(
         def step(batch):
             found = [sorted(features_of(t)) for t in texts_of(batch)]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "f"]
+                [*(batch.column(c) for c in ("doc_id", "y", "label")), pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "label", "f"]
             )
 
         return step
 
-    featured = in_batches(picked, make, "doc_id long, y int, f array<string>")
+    featured = in_batches(picked, make, "doc_id long, y int, label int, f array<string>")
     sizes = featured.groupBy("y").agg(F.count("*").alias("n"))
     # only features that may pass pick_features' least count come back, each document once
     common = (
@@ -164,8 +195,8 @@ def train(
         .where("count >= 3").orderBy(F.desc("count"), "g").limit(4 * MAX_FEATURES)
     )
     rows = (
-        featured.select("doc_id", "y", F.explode("f").alias("g")).join(F.broadcast(common.select("g")), "g")
-        .groupBy("doc_id", "y").agg(F.collect_set("g").alias("f"))
+        featured.select("doc_id", "y", "label", F.explode("f").alias("g")).join(F.broadcast(common.select("g")), "g")
+        .groupBy("doc_id", "y", "label").agg(F.collect_set("g").alias("f"))
         .collect()
     )
     n = {r["y"]: r["n"] for r in sizes.collect()}
@@ -177,12 +208,18 @@ def train(
         sets[y] += [set()] * (n.get(y, 0) - len(sets[y]))
     names = pick_features(sets[1], sets[0])
     index = {f: i for i, f in enumerate(names)}
-    xp, xu = _rows(sets[1], index), _rows(sets[0], index)
+    xp = Rows.of(sets[1], index)
     fits = []
     for seed in range(MODELS):
-        draw = np.random.default_rng(100 + seed).permutation(len(xu))[: max(1, len(xu) * 4 // 5)]
-        fits.append(fit_pu(xp, xu[draw], prior, seed))
+        draw = np.random.default_rng(100 + seed).permutation(len(sets[0]))[: max(1, len(sets[0]) * 4 // 5)]
+        fits.append(fit_pu(xp, Rows.of([sets[0][i] for i in draw], index), len(index), prior, seed))
     w, b = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
+    # labelled documents of the unlabelled draw set the scale: they weren't fitted as positives for being labelled
+    seen = [(set(r["f"]), r["label"]) for r in rows if r["y"] == 0 and r["label"] is not None]
+    drawn = Rows.of([f for f, _ in seen], index)
+    at, row = drawn.take(np.arange(len(drawn)))
+    slope, shift = scale(np.bincount(row, w[at], len(drawn)) + b, np.array([y for _, y in seen]))
+    w, b = w * slope, b * slope + shift
     return Model({f: float(x) for f, x in zip(names, w)}, b)
 
 
