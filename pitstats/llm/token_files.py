@@ -13,9 +13,7 @@ ignored.
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -31,24 +29,23 @@ from pyspark.sql import functions as F
 
 from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir, slices, texts_of
 
-#: Words, and parts of words, kept by a worker before the store starts anew.
-CACHE, PARTS = 300_000, 1_200_000
+#: Words kept by a worker before the store starts anew.
+CACHE = 1_200_000
 _DOC = np.dtype([("known", "<i8"), ("id", "<i8")])
 
 
 class WordEncoder:
     """Ids of a text whose tokenizer drops white space, so that words between blanks are independent.
 
-    Each distinct word goes through the library once; a text's ids are its words' ids in order. Words of plain letters,
-    digits and signs are lower-cased and cut first as the tokenizer's own pattern cuts them, as their parts repeat more.
+    Each distinct word goes through the library once; a text's ids are its words' ids in order. New words are given to
+    the library some thousands at a time, in one text with a special token between them.
     """
 
-    #: Printable ASCII and the accented letters of Latin-1: lower case and composition are the same everywhere.
-    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+    #: Words in one call.
+    TOGETHER = 4_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,16 +53,11 @@ class WordEncoder:
         self.kind = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not t[1].single_word]
+        self.mark_id, self.mark = (special[-1][0], special[-1][1].content) if special else (None, None)
         probe = ["Ab, it's x1!", "one", "two"]
         apart = [i for w in probe for i in self._ids([w])[0]]
         self.splits = self._ids(["\n".join(probe)])[0] == apart == self._ids(["  ".join(probe) + " "])[0]
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        cut = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        lower = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
-        by_pattern = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and "Lowercase" in lower
-        self.cut = regex.compile(cut["pattern"]["Regex"]).findall if by_pattern and self.splits else None
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,20 +67,19 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Fills `known` for words that are not in it."""
-        cut, whole = {}, []
-        for word in words:
-            if self.cut and "<|" not in word and self.PLAIN(word):
-                cut[word] = self.cut(word.lower())
-            else:
-                whole.append(word)
-        fresh = list({p for own in cut.values() for p in own if p not in self.parts})
-        if len(self.parts) + len(fresh) > PARTS:
-            self.parts.clear()
-            fresh = list({p for own in cut.values() for p in own})
-        self.parts.update(zip(fresh, self._encoded(fresh)))
-        part = self.parts.__getitem__
-        self.known.update((word, b"".join(map(part, own))) for word, own in cut.items())
-        self.known.update(zip(whole, self._encoded(whole)))
+        if self.mark is None:
+            self.known.update(zip(words, self._encoded(words)))
+            return
+        apart = [w for w in words if self.mark[0] in w]  # may hold the mark
+        self.known.update(zip(apart, self._encoded(apart)))
+        rest = [w for w in words if self.mark[0] not in w]
+        for at in range(0, len(rest), self.TOGETHER):
+            some = rest[at : at + self.TOGETHER]
+            ids = np.array(self._ids([f" {self.mark} ".join(some)])[0], self.dtype)
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            data, width = ids.tobytes(), self.dtype.itemsize
+            begin = [0, *((e + 1) * width for e in ends)]
+            self.known.update((w, data[b : e * width]) for w, b, e in zip(some, begin, ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of `dtype`; the texts' new words are learned together."""
