@@ -59,29 +59,54 @@ def _codes(data: np.ndarray) -> np.ndarray:
     return code
 
 
-def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits between the item and a passage whose alignment stays on diagonals low to high, and its end."""
-    m, width = len(item), high - low + 1
-    steps = np.arange(width)
-    pad = np.full(m + width, 256, np.int16)  # matches nothing
-    at = np.arange(low, low + m + width)
-    inside = (at >= 0) & (at < len(text))
-    pad[inside] = text[at[inside]]
-    place = low + steps  # of the text before the first byte of the item, on each diagonal
-    far = 1 << 20
-    cost = np.where((place >= 0) & (place <= len(text)), 0, far).astype(np.int64)
-    for i in range(m):
-        across = cost + (pad[i : i + width] != item[i]) + np.where((low + i + steps < 0) | (low + i + steps >= len(text)), far, 0)
-        across[:-1] = np.minimum(across[:-1], cost[1:] + 1)
-        # text before its start: only what was deleted of the item
-        cost = np.minimum.accumulate(across - steps) + steps
-        ends = low + i + 1 + steps
-        cost[(ends < 0) | (ends > len(text))] = far
-        if low + i + 1 <= 0 <= low + i + 1 + width - 1:
-            cost[-(low + i + 1)] = min(cost[-(low + i + 1)], i + 1)
-            cost = np.minimum.accumulate(cost - steps) + steps
-    best = int(np.argmin(cost))
-    return int(cost[best]), low + m + best
+def banded_edits(items: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item and text: least edits between the item and a passage on diagonals low to high, and its end.
+
+    All alignments advance together, a row of each table at a time; longer items stay when shorter ones are done.
+    """
+    size = np.array([len(x) for x in items], np.int64)
+    order = np.argsort(-size, kind="stable")
+    size, low, width = size[order], low[order], (high - low + 1)[order]
+    length = np.array([len(texts[n]) for n in order], np.int64)
+    most, wide, far = int(size[0]), int(width.max()), 1 << 20
+    item = np.full((len(order), most), -1, np.int16)
+    text = np.full((len(order), most + wide), 256, np.int16)  # 256: outside the text
+    for row, n in enumerate(order):
+        item[row, : size[row]] = items[n]
+        a, b = max(0, low[row]), min(length[row], low[row] + most + wide)
+        if b > a:
+            text[row, a - low[row] : b - low[row]] = texts[n][a:b]
+    steps = np.arange(wide, dtype=np.int64)
+    place = low[:, None] + steps  # of the next byte of the text, on each diagonal
+    unused = steps >= width[:, None]
+    previous = np.where((place >= 0) & (place <= length[:, None]) & ~unused, 0, far).astype(np.int32)
+    shift = steps.astype(np.int32)
+    edits, ends = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    live = len(order)
+    for i in range(most):
+        own = text[:live, i : i + wide]
+        previous = previous[:live]
+        cost = previous + np.where(own == 256, far, own != item[:live, i, None]).astype(np.int32)
+        cost[:, :-1] = np.minimum(cost[:, :-1], previous[:, 1:] + 1)
+        # before the text begins nothing is aligned: all bytes of the item so far are edits
+        at = -(low[:live] + i + 1)
+        rows = np.flatnonzero((at >= 0) & (at < width[:live]))
+        cost[rows, at[rows]] = np.minimum(cost[rows, at[rows]], i + 1)
+        now = place[:live] + (i + 1)
+        cost[(now < 0) | unused[:live]] = far
+        cost = np.minimum.accumulate(cost - shift, axis=1) + shift
+        cost[(now > length[:live, None]) | unused[:live]] = far
+        done = live - int(np.searchsorted(-size[:live], -(i + 1), side="left"))
+        if done:
+            for row in range(live - done, live):
+                best = int(np.argmin(cost[row]))
+                edits[row], ends[row] = cost[row, best], low[row] + size[row] + best
+            live -= done
+            if not live:
+                break
+        previous = cost
+    back = np.argsort(order)
+    return edits[back], ends[back]
 
 
 class Searcher:
@@ -149,21 +174,26 @@ class Searcher:
         begin = np.flatnonzero(new)
         count = np.diff(np.append(begin, len(item)))
         best: dict[tuple[int, int], Hit] = {}
+        left: list[tuple[int, int, int, int]] = []
         for b in begin[count >= self.least[item[begin]]]:
             d, i = int(doc[b]), int(item[b])
-            known = best.get((d, i))
-            if known is not None and known.edits == 0:
+            if (d, i) in best:
                 continue
             low = int(band[b] * self.band[i])
             high = low + int(self.band[i] + self.edits[i]) - 1
-            text = texts[d]
-            exact = text.find(self.raw[i], max(0, low), high + len(self.raw[i]) + 1)
+            exact = texts[d].find(self.raw[i], max(0, low), high + len(self.raw[i]) + 1)
             if exact >= 0:
                 best[d, i] = Hit(i, 0, exact, exact + len(self.raw[i]))
-                continue
-            edits, end = banded_edits(self.items[i], np.frombuffer(text, np.uint8), low, high)
-            if edits <= self.edits[i] and (known is None or edits < known.edits):
-                best[d, i] = Hit(i, edits, max(0, low), end)
+            else:
+                left.append((d, i, low, high))
+        left = [x for x in left if x[:2] not in best]
+        for at_ in range(0, len(left), 256):
+            some = left[at_ : at_ + 256]
+            low, high = (np.array([x[j] for x in some], np.int64) for j in (2, 3))
+            edits, ends = banded_edits([self.items[x[1]] for x in some], [np.frombuffer(texts[x[0]], np.uint8) for x in some], low, high)
+            for (d, i, lo, _), e, end in zip(some, edits.tolist(), ends.tolist()):
+                if e <= self.edits[i] and ((d, i) not in best or e < best[d, i].edits):
+                    best[d, i] = Hit(i, e, max(0, lo), end)
         for (d, _), hit in best.items():
             out[d].append(hit)
         return out

@@ -76,9 +76,9 @@ def test_empty(spark):
 
 def test_banded_edits():
     r = random.Random(5)
-    for _ in range(200):
-        item = "".join(r.choice("ab") for _ in range(r.randint(8, 20))).encode()
-        text = "".join(r.choice("ab") for _ in range(r.randint(0, 30))).encode()
-        low, high = -len(item), len(text)
-        got, _ = dc.banded_edits(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), low, high)
-        assert got == least_edits(item, text)
+    text = lambda low, high: "".join(r.choice("ab") for _ in range(r.randint(low, high))).encode()
+    items, texts = [text(8, 20) for _ in range(200)], [text(0, 30) for _ in range(200)]
+    low, high = np.array([-len(i) for i in items]), np.array([len(t) for t in texts])
+    arrays = lambda rows: [np.frombuffer(x, np.uint8) for x in rows]
+    got, _ = dc.banded_edits(arrays(items), arrays(texts), low, high)
+    assert got.tolist() == [least_edits(i, t) for i, t in zip(items, texts)]
