@@ -353,7 +353,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return step
 
     near = in_batches(docs.withColumn("h", F.xxhash64("doc_id")), make_filter, "doc_id long, text string")
-    return in_batches(near.join(wanted, "doc_id"), make_sets, "set long, grams binary").dropDuplicates(["set"])
+    return in_batches(near.join(wanted, "doc_id"), make_sets, "set long, grams binary")
 
 
 def _short(grams: np.ndarray) -> bytes:
@@ -392,6 +392,33 @@ def _size_filter(x, y, threshold: Fraction):
     return F.least(x, y) * threshold.denominator >= F.greatest(x, y) * threshold.numerator
 
 
+def _promising(pairs: DataFrame, postings: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs that share enough n-grams of their prefixes, with a document of each (`da`, `db`).
+
+    N-grams in common beyond the shorter-reaching prefix are at most what is left of that set, so the prefixes must
+    share the rest of the overlap that the threshold asks for. N-grams with one set only can't be shared and needn't
+    be looked at.
+    """
+    own = postings.groupBy("set").agg(
+        F.collect_set("token").alias("tokens"), F.first("size").alias("size"), F.min("doc_id").alias("doc")
+    )
+    side = lambda n: own.select(F.col("set").alias(n), F.col("tokens").alias(f"t{n}"), F.col("size").alias(f"n{n}"), F.col("doc").alias(f"d{n}"))
+    up, down = threshold.numerator, threshold.denominator
+    overlap = F.ceil((F.col("na") + F.col("nb")) * up / F.lit(float(up + down)) - 1e-9)
+    # a prefix of p of n leaves n - p = ceil(n * threshold) - 1
+    left = F.ceil(F.greatest("na", "nb") * up / F.lit(float(down)) - 1e-9) - 1
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.where(F.size(F.array_intersect("ta", "tb")) >= overlap - left).select("a", "b", "da", "db")
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, postings: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Those of the pairs that are similar, by whole sets of the promising ones."""
+    near = written(_promising(pairs, postings, threshold), "promising")
+    wanted = near.select(F.col("a").alias("set"), F.col("da").alias("doc_id")).union(near.select("b", "db")).distinct()
+    sets = written(_sets_of(docs, wanted, n), "sets")
+    return _verified(near.select("a", "b"), sets, threshold)
+
+
 def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
     """Members against a few leaders of their n-gram: the one whose prefix is most shared, and some by hash."""
     weight = postings.groupBy("set").agg((-F.count("*") / F.first("size")).alias("w"))
@@ -441,14 +468,11 @@ def linked_sets(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame
     met = dealt.groupBy("bucket").applyInPandas(_meet, "token long, set long, size long, doc_id long")
     # members of crowded n-grams come from several buckets
     postings = written(met.groupBy("token", "set", "size").agg(F.min("doc_id").alias("doc_id")), "postings")
-    wanted = postings.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(_sets_of(docs, wanted, n), "sets")
     tested = written(_leader_pairs(postings, threshold), "pairs")
-    links = written(_verified(tested, sets, threshold), "links")
+    links = written(_compared(docs, tested, postings, n, threshold), "links")
     roots = components(links)
     rest = written(_rest_pairs(postings, roots, tested, threshold), "pairs")
-    more = _verified(rest, sets, threshold)
-    return profiles, components(links.unionByName(more))
+    return profiles, components(links.unionByName(_compared(docs, rest, postings, n, threshold)))
 
 
 def join_classes(
