@@ -1 +1,396 @@
-"""Queries to come."""
+"""Queries of distributional forecasts, leakage audits, horizons and value."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pitstats.functions.scalars import portable_uniform, quantile_interp
+from pitstats.operators import dist, features, fit, joins, leakage, value, windows
+from pitstats.plans.registry import query
+from pitstats.sources.fixtures import rounded, view
+
+N = 64
+
+
+def r4(column, places=4):
+    return rounded(F.col(column) if isinstance(column, str) else column, places)
+
+
+def quantiles(spark, sf_dir):
+    """Sorted embeddings as quantile forecasts, with an outcome near their middle."""
+    df = view(spark, sf_dir, "embeddings")
+    q = F.array_sort(F.transform("embedding", lambda v: v.cast("double")))
+    middle = F.aggregate(q, F.lit(0.0), lambda a, v: a + v) / F.size(q)
+    return df.select("vec_id", F.col("label").cast("long").alias("class"), q.alias("q"), (middle + F.col("label") / 100.0).alias("y"))
+
+
+QUANT = """
+    qa as (select vec_id, label::bigint as class, list_sort(list_transform(embedding, lambda v: v::double)) as q from embeddings),
+    qu as (select vec_id, class, q, list_sum(q) / len(q) + class / 100.0::double as y from qa)"""
+
+
+@query("quantile_contract", f"with {QUANT} select class, count(*) as n, count(*) filter (where q <> list_sort(q)) as n_bad from qu group by class")
+def quantile_contract(spark, sf_dir):
+    rising = F.forall(F.sequence(F.lit(2), F.size("q")), lambda i: F.element_at("q", i) >= F.element_at("q", i - 1))
+    return quantiles(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.count_if(~rising).alias("n_bad"))
+
+
+@query("crps", f"""
+    with {QUANT}, l as (select vec_id, class, i, case when y >= q[i] then (i / 65.0::double) * (y - q[i]) else (1 - i / 65.0::double) * (q[i] - y) end as l from qu, range(1, 65) t(i)),
+    c as (select vec_id, class, 2 * (sum(l) + (max(case when i = 1 then l end) + max(case when i = 64 then l end)) / 2) / 65 as crps from l group by vec_id, class)
+    select vec_id, round(crps, 6) as crps from c""")
+def crps(spark, sf_dir):
+    return quantiles(spark, sf_dir).select("vec_id", r4(dist.crps(F.col("q"), F.col("y"), N), 6).alias("crps"))
+
+
+@query("cdf_interp", f"""
+    with {QUANT}, b as (select *, len(list_filter(q, lambda v: v <= y)) as b from qu)
+    select vec_id, round(case when b = 0 then 0.0::double when b = 64 then 1.0::double else (b + (y - q[b]) / (q[b + 1] - q[b])) / 65.0::double end, 6) as pit from b""")
+def cdf_interp(spark, sf_dir):
+    return quantiles(spark, sf_dir).select("vec_id", r4(dist.cdf(F.col("q"), F.col("y"), N), 6).alias("pit"))
+
+
+@query("pit", f"""
+    with {QUANT}, b as (select *, len(list_filter(q, lambda v: v <= y)) as b from qu),
+    p as (select class, case when b = 0 then 0.0::double when b = 64 then 1.0::double else (b + (y - q[b]) / (q[b + 1] - q[b])) / 65.0::double end as pit from b)
+    select least(floor(pit * 10), 9)::bigint as bin, count(*) as n from p group by 1""")
+def pit(spark, sf_dir):
+    p = quantiles(spark, sf_dir).select(dist.cdf(F.col("q"), F.col("y"), N).alias("pit"))
+    return p.groupBy(F.least(F.floor(F.col("pit") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("quantile_interp", f"""
+    with {QUANT}, u as (select vec_id, q, ('0x' || substr(md5('3|' || vec_id), 1, 12))::bigint / 281474976710656.0::double as u from qu),
+    a as (select vec_id, q, greatest(1.0, least(64.0, u * 65)) as a from u)
+    select vec_id, round(q[floor(a)::int] + (a - floor(a)) * (q[least(floor(a)::int + 1, 64)] - q[floor(a)::int]), 6) as draw from a""")
+def quantile_interp_(spark, sf_dir):
+    u = portable_uniform(F.lit(3), F.col("vec_id"))
+    return quantiles(spark, sf_dir).select("vec_id", r4(quantile_interp(F.col("q"), u), 6).alias("draw"))
+
+
+@query("coverage", f"""
+    with {QUANT} select class, count(*) as n, round(avg(case when y >= q[7] and y <= q[58] then 1.0::double else 0.0::double end), 6) as covered,
+        round(avg((q[58] - q[7]) + 10.0::double * (greatest(q[7] - y, 0) + greatest(y - q[58], 0))), 5) as score from qu group by class""")
+def coverage(spark, sf_dir):
+    low, high, y = F.element_at("q", 7), F.element_at("q", 58), F.col("y")
+    return quantiles(spark, sf_dir).groupBy("class").agg(
+        F.count("*").alias("n"), r4(F.avg(dist.covered(low, high, y).cast("double")), 6).alias("covered"), r4(F.avg(dist.interval_score(low, high, y, 0.2)), 5).alias("score")
+    )
+
+
+@query("pod_moments", f"""
+    with {QUANT}, m as (select vec_id, 0.25::double + 0.05::double * class as p, list_sum(q) / 64 as a, list_sum(list_transform(q, lambda v: v * v)) / 64 as b from qu)
+    select vec_id, round(p * a, 6) as mean, round(p * b - p * a * p * a, 6) as variance from m""")
+def pod_moments(spark, sf_dir):
+    mean, variance = dist.moments(F.col("q"), 0.25 + 0.05 * F.col("class"), N)
+    return quantiles(spark, sf_dir).select("vec_id", r4(mean, 6).alias("mean"), r4(variance, 6).alias("variance"))
+
+
+@query("evor", f"with {QUANT} select vec_id, round(0.9::double * list_sum(list_transform(q, lambda v: greatest(v - 0.05::double, 0.0::double))) / 64, 6) as evor from qu")
+def evor(spark, sf_dir):
+    return quantiles(spark, sf_dir).select("vec_id", r4(0.9 * dist.excess(F.col("q"), F.lit(0.05), N), 6).alias("evor"))
+
+
+@query("brier_log_loss", """
+    select class, count(*) as n, round(avg((p - o) * (p - o)), 6) as brier, round(avg(-(o * ln(least(0.999999, greatest(0.000001, p))) + (1 - o) * ln(1 - least(0.999999, greatest(0.000001, p))))), 6) as log_loss from fx_prob group by class""")
+def brier_log_loss(spark, sf_dir):
+    p, o = F.col("p"), F.col("o")
+    return view(spark, sf_dir, "fx_prob").groupBy("class").agg(F.count("*").alias("n"), r4(F.avg(dist.brier(p, o)), 6).alias("brier"), r4(F.avg(dist.log_loss(p, o)), 6).alias("log_loss"))
+
+
+@query("reliability", """
+    with b as (select greatest(ceil(p * 10), 1)::bigint as bin, count(*) as n, avg(p) as mean_p, avg(o) as s from fx_prob group by 1)
+    select bin, n, round(mean_p, 6) as mean_p, round(s, 6) as observed,
+        round((s + 3.8414588206941227 / (2 * n)) / (1 + 3.8414588206941227 / n) - 1.959963984540054 / (1 + 3.8414588206941227 / n) * sqrt(s * (1 - s) / n + 3.8414588206941227 / (4.0 * n * n)), 5) as low from b""")
+def reliability(spark, sf_dir):
+    out = dist.reliability(view(spark, sf_dir, "fx_prob"), "p", "o", 10, [])
+    return out.select("bin", "n", r4("mean_p", 6).alias("mean_p"), r4("observed", 6).alias("observed"), r4("low", 5).alias("low"))
+
+
+@query("corp")
+def corp(spark, sf_dir):
+    """Brier = miscalibration - discrimination + uncertainty, by isotonic recalibration."""
+    df = view(spark, sf_dir, "fx_prob").select("p", F.col("o").cast("double").alias("o"))
+    fitted = fit.isotonic(df, "p", "o").transform(df)
+    base = df.agg(F.avg("o").alias("m"))
+    rows = fitted.crossJoin(base)
+    score = lambda p: F.avg(dist.brier(p, F.col("o")))
+    return rows.agg(
+        r4(score(F.col("p")) - score(F.col("fitted")), 6).alias("mcb"), r4(score(F.col("m")) - score(F.col("fitted")), 6).alias("dsc"), r4(score(F.col("m")), 6).alias("unc")
+    )
+
+
+BASED = """
+    based as (select k, gi, season, position, proj, actual, actual - proj as e, ntile(3) over (partition by position order by proj, actual - proj) as band from fx_proj where proj is not null and season < 2000)"""
+
+
+@query("quantile_table", f"""
+    with {BASED} select position, band::bigint as band, count(*) as n, round(quantile_cont(e, 0.1), 3) as q1, round(quantile_cont(e, 0.5), 3) as q5, round(quantile_cont(e, 0.9), 3) as q9 from based group by position, band""")
+def quantile_table(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null and season < 2000").withColumn("e", F.col("actual") - F.col("proj"))
+    t = dist.residual_bands(rows, ["position"], "e", "proj", 3, 9, 200)
+    return t.select("position", F.col("band").cast("long").alias("band"), "n", *(r4(F.col("q")[i], 3).alias(f"q{i + 1}") for i in (0, 4, 8)))
+
+
+@query("quantile_apply", f"""
+    with {BASED}, t as (select position, band, min(proj) as low, quantile_cont(e, 0.5) as q5, quantile_cont(e, 0.9) as q9 from based group by position, band),
+    fl as (select position, min(actual) as floor from based group by position),
+    r as (select p.k, p.gi, p.position, p.proj, coalesce(max(case when t.low <= p.proj then t.low end), min(t.low)) as low from fx_proj p join t on t.position = p.position where p.season >= 2000 and p.proj is not null group by p.k, p.gi, p.position, p.proj)
+    select r.k, r.gi, round(greatest(r.proj + t.q5, fl.floor), 3) as q50, round(greatest(r.proj + t.q9, fl.floor), 3) as q90 from r join t on t.position = r.position and t.low = r.low join fl on fl.position = r.position""")
+def quantile_apply(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
+    t = dist.residual_bands(rows.where("season < 2000"), ["position"], "e", "proj", 3, 9, 200)
+    out = dist.apply_bands(rows.where("season >= 2000"), t, ["position"], "proj")
+    return out.select("k", "gi", r4(F.col("q")[4], 3).alias("q50"), r4(F.col("q")[8], 3).alias("q90"))
+
+
+@query("dev_scoring")
+def dev_scoring(spark, sf_dir):
+    """CRPS and 80% coverage of the banded residual quantiles, each season from all earlier ones."""
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
+    out = None
+    for season in (1998, 1999, 2000):
+        t = dist.residual_bands(rows.where(F.col("season") < season), ["position"], "e", "proj", 3, 19, 200)
+        scored = dist.apply_bands(rows.where(F.col("season") == season), t, ["position"], "proj")
+        part = scored.groupBy("season", "position").agg(
+            F.count("*").alias("n"), r4(F.avg(dist.crps(F.col("q"), F.col("actual"), 19))).alias("crps"),
+            r4(F.avg(dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double"))).alias("coverage"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("revision_study", """
+    with f as (select k, day, max_by(v, (ts, event_id)) as final from fx_captures group by k, day),
+    r as (select c.k, c.day, c.v, f.final, (18 - hour(c.ts)) as lead_h from fx_captures c join f on f.k = c.k and f.day = c.day)
+    select case when lead_h <= 0 then 'after' when lead_h <= 6 then '0-6' when lead_h <= 12 then '6-12' else '12+' end as bin, count(*) as n, round(avg(final - v), 4) as drift, round(var_samp(final - v), 3) as variance, count(*) filter (where final < v / 2) as n_halved from r group by 1""")
+def revision_study(spark, sf_dir):
+    caps = view(spark, sf_dir, "fx_captures")
+    final = caps.groupBy("k", "day").agg(F.max_by("v", F.struct("ts", "event_id")).alias("final"))
+    lead = 18 - F.hour("ts")
+    bin_ = F.when(lead <= 0, "after").when(lead <= 6, "0-6").when(lead <= 12, "6-12").otherwise("12+")
+    d = F.col("final") - F.col("v")
+    return caps.join(final, ["k", "day"]).groupBy(bin_.alias("bin")).agg(
+        F.count("*").alias("n"), r4(F.avg(d)).alias("drift"), r4(F.var_samp(d), 3).alias("variance"), F.count_if(F.col("final") < F.col("v") / 2).alias("n_halved")
+    )
+
+
+@query("persistence", """
+    with e as (select k, season, week, actual - proj as e, lead(actual - proj) over (partition by k, season order by week) as e2 from fx_proj where proj is not null)
+    select season, count(*) as n, round(corr(e, e2), 5) as r, round(regr_slope(e2, e), 5) as slope from e where e2 is not null group by season""")
+def persistence(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null").select("k", "season", "week", (F.col("actual") - F.col("proj")).alias("e"))
+    pairs = joins.pair_with_next(rows, ["k", "season"], "week", ["e"])
+    return pairs.groupBy("season").agg(F.count("*").alias("n"), r4(F.corr("e", "next_e"), 5).alias("r"), r4(F.regr_slope("next_e", "e"), 5).alias("slope"))
+
+
+DRAWS = """
+    dr as (select g.team, g.k, sim, g.pts * (0.5::double + ('0x' || substr(md5('11|' || g.k || '|' || sim), 1, 12))::bigint / 281474976710656.0::double) as x, g.pts from fx_games g, range(1, 51) s(sim) where g.gi = 199705),
+    tot as (select team, sim, sum(x) as t from dr group by team, sim), act as (select team, sum(pts) as a from fx_games where gi = 199705 group by team)"""
+
+
+@query("scenario_draws", f"with {DRAWS} select k, count(*) as n, round(avg(x), 4) as mean from dr group by k")
+def scenario_draws(spark, sf_dir):
+    return _draws(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"), r4(F.avg("x")).alias("mean"))
+
+
+def _draws(spark, sf_dir):
+    """Draws keyed by entity and simulation: adding an entity never changes another's."""
+    games = view(spark, sf_dir, "fx_games").where("gi = 199705").select("team", "k", "pts")
+    sims = games.select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("sim"))
+    return sims.withColumn("x", F.col("pts") * (0.5 + portable_uniform(F.lit(11), F.col("k"), F.col("sim"))))
+
+
+@query("sum_distribution", f"""
+    with {DRAWS} select t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit from tot t join act a on a.team = t.team group by t.team""")
+def sum_distribution(spark, sf_dir):
+    totals = _draws(spark, sf_dir).groupBy("team", "sim").agg(F.sum("x").alias("t"))
+    actual = view(spark, sf_dir, "fx_games").where("gi = 199705").groupBy("team").agg(F.sum("pts").alias("a"))
+    return totals.join(actual, "team").groupBy("team").agg(
+        r4(F.avg("t"), 3).alias("mean"), r4(F.percentile("t", 0.1), 3).alias("q10"), r4(F.percentile("t", 0.9), 3).alias("q90"), F.avg((F.col("t") <= F.col("a")).cast("double")).alias("pit")
+    )
+
+
+@query("sd_match", f"""
+    with {DRAWS}, s as (select scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select team, sim, t, avg(t) over (partition by team) as m from tot) t, range(5, 16) g(scale) group by scale)
+    select scale, round(sd, 4) as sd from s""")
+def sd_match(spark, sf_dir):
+    totals = _draws(spark, sf_dir).groupBy("team", "sim").agg(F.sum("x").alias("t"))
+    scaled = totals.withColumn("m", F.avg("t").over(Window.partitionBy("team"))).select("*", F.explode(F.sequence(F.lit(5), F.lit(15))).alias("g"))
+    return scaled.groupBy((F.col("g") / 10.0).alias("scale")).agg(r4(F.stddev_samp(F.col("m") + (F.col("t") - F.col("m")) * F.col("g") / 10.0)).alias("sd"))
+
+
+# --- leakage -------------------------------------------------------------------------------------------------------
+
+
+@query("corrupt_from", "select k, gi, case when gi >= 199801 then targets * 7 + 50 else targets end as targets, case when gi >= 199801 then 'x_' || position else position end as position from fx_games")
+def corrupt_from(spark, sf_dir):
+    return leakage.corrupt_from(view(spark, sf_dir, "fx_games").select("k", "gi", "targets", "position"), "gi", 199801, ["k"])
+
+
+def _honest(rows, history):
+    states = history.select("k", "gi", windows.trailing_mean("pts", ["k"], ["gi"], 3).alias("roll3"))
+    return joins.asof_strict(rows, states, ["k"], "gi", ["roll3"])
+
+
+def _planted(rows, history):
+    return _honest(rows, history).join(history.select("k", "gi", F.col("pts").alias("same_month")), ["k", "gi"], "left")
+
+
+@query("leak_check", """
+    select 200006 as cutoff, c.col as "column", count(*) as n, count(*) filter (where c.col = 'same_month' and g.k is not null) as n_changed from fx_targets t left join fx_games g on g.k = t.k and g.gi = t.gi, (values ('roll3'), ('same_month')) c(col) where t.gi = 200006 group by c.col
+    union all select 200102, c.col, count(*), count(*) filter (where c.col = 'same_month' and g.k is not null) from fx_targets t left join fx_games g on g.k = t.k and g.gi = t.gi, (values ('roll3'), ('same_month')) c(col) where t.gi = 200102 group by c.col""")
+def leak_check(spark, sf_dir):
+    """The honest feature doesn't move, the planted one does."""
+    games = view(spark, sf_dir, "fx_games").select("k", "gi", "pts")
+    targets = view(spark, sf_dir, "fx_targets").select("k", "gi")
+    leakage.leak_gate(leakage.leak_check(targets, games, _honest, ["k", "gi"], "gi", [200006], ["k"]))
+    return leakage.leak_check(targets, games, _planted, ["k", "gi"], "gi", [200006, 200102], ["k"])
+
+
+# --- horizons and value --------------------------------------------------------------------------------------------
+
+
+@query("levels", """
+    with a as (select k, season, week, gi, proj, avg(actual) over (partition by k order by gi rows between 4 preceding and 1 preceding) as l4 from fx_proj)
+    select k, gi, proj as cur, round(l4, 4) as avg4, round(coalesce((proj + l4) / 2, proj, l4), 4) as blend from a""")
+def levels(spark, sf_dir):
+    w = Window.partitionBy("k").orderBy("gi").rowsBetween(-4, -1)
+    df = view(spark, sf_dir, "fx_proj").withColumn("l4", F.avg("actual").over(w))
+    return df.select("k", "gi", F.col("proj").alias("cur"), r4("l4").alias("avg4"), r4(F.coalesce((F.col("proj") + F.col("l4")) / 2, "proj", "l4")).alias("blend"))
+
+
+ALLOWED = "al as (select (team + gi) % 25 as opp, season as season, gi as gi, sum(pts) as points, count(*) as games from fx_games group by (team + gi) % 25, season, gi)"
+
+
+@query("opponent_factor", f"""
+    with {ALLOWED}, lg as (select season, gi, sum(points) as lp, sum(games) as ln from al group by season, gi),
+    lm as (select season, gi, sum(lp) over w / sum(ln) over w as mean from lg window w as (partition by season order by gi range between unbounded preceding and 1 preceding)),
+    o as (select opp, season, gi, sum(points) over w as p, sum(games) over w as g from al window w as (partition by opp, season order by gi range between unbounded preceding and 1 preceding))
+    select opp, gi, round(coalesce((p / mean + 20) / (g + 20), 1.0::double), 5) as factor from o join lm using (season, gi)""")
+def opponent_factor(spark, sf_dir):
+    allowed = view(spark, sf_dir, "fx_games").groupBy(((F.col("team") + F.col("gi")) % 25).alias("opp"), "season", "gi").agg(F.sum("pts").alias("points"), F.count("*").alias("games"))
+    return value.opponent_factor(allowed, ["opp"], "season", "gi", 20.0).select("opp", "gi", r4("factor", 5).alias("factor"))
+
+
+HORIZON = """
+    hz as (select a.k, a.position, a.season, a.week, b.week as target, case when b.week - a.week <= 2 then '1-2' when b.week - a.week <= 5 then '3-5' else '6+' end as bucket, a.proj as level, b.actual as y
+      from fx_proj a join fx_proj b on b.k = a.k and b.season = a.season and b.week > a.week where a.proj is not null)"""
+
+
+def _horizon(spark, sf_dir):
+    base = view(spark, sf_dir, "fx_proj")
+    rows = base.where("proj is not null").select("k", "position", "season", "week", F.col("proj").alias("level"))
+    later = joins.horizon_expand(rows, base.select("k", "season", "week"), ["k", "season"], "week")
+    outcome = base.select("k", "season", F.col("week").alias("target"), F.col("actual").alias("y"))
+    d = F.col("target") - F.col("week")
+    return later.join(outcome, ["k", "season", "target"]).withColumn("bucket", F.when(d <= 2, "1-2").when(d <= 5, "3-5").otherwise("6+"))
+
+
+@query("ros_fit", f"with {HORIZON} select position, bucket, count(*) as n, round(regr_intercept(y, level), 3) as a, round(regr_slope(y, level), 5) as b from hz where season < 2000 group by position, bucket")
+def ros_fit(spark, sf_dir):
+    return _horizon(spark, sf_dir).where("season < 2000").groupBy("position", "bucket").agg(F.count("*").alias("n"), r4(F.regr_intercept("y", "level"), 3).alias("a"), r4(F.regr_slope("y", "level"), 5).alias("b"))
+
+
+@query("ros_forecast", f"""
+    with {HORIZON}, f as (select position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from hz where season < 2000 group by position, bucket)
+    select k, season, week, count(*) as n, round(sum(f.a + f.b * level), 3) as forecast, round(sum(y), 3) as actual from hz join f using (position, bucket) where season >= 2000 group by k, season, week""")
+def ros_forecast(spark, sf_dir):
+    rows = _horizon(spark, sf_dir)
+    coef = rows.where("season < 2000").groupBy("position", "bucket").agg(F.regr_intercept("y", "level").alias("a"), F.regr_slope("y", "level").alias("b"))
+    scored = rows.where("season >= 2000").join(F.broadcast(coef), ["position", "bucket"])
+    return scored.groupBy("k", "season", "week").agg(F.count("*").alias("n"), r4(F.sum(F.col("a") + F.col("b") * F.col("level")), 3).alias("forecast"), r4(F.sum("y"), 3).alias("actual"))
+
+
+@query("waiver_calib", f"with {HORIZON}, w as (select position, k, season, week, level, avg(y) as y from hz where target - week <= 4 group by position, k, season, week, level) select position, count(*) as n, round(regr_slope(y, level), 5) as b from w group by position")
+def waiver_calib(spark, sf_dir):
+    near = _horizon(spark, sf_dir).where(F.col("target") - F.col("week") <= 4)
+    means = near.groupBy("position", "k", "season", "week", "level").agg(F.avg("y").alias("y"))
+    return means.groupBy("position").agg(F.count("*").alias("n"), r4(F.regr_slope("y", "level"), 5).alias("b"))
+
+
+@query("components_fit", f"with {HORIZON} select position, bucket, count(*) as n, round(case when count(*) >= 20 then avg(y) else 0 end, 3) as mean_active, round(avg(case when y > level / 2 then 1.0::double else 0.0::double end), 5) as kept from hz group by position, bucket")
+def components_fit(spark, sf_dir):
+    n = F.count("*")
+    kept = F.avg((F.col("y") > F.col("level") / 2).cast("double"))
+    return _horizon(spark, sf_dir).groupBy("position", "bucket").agg(n.alias("n"), r4(F.when(n >= 20, F.avg("y")).otherwise(0.0), 3).alias("mean_active"), r4(kept, 5).alias("kept"))
+
+
+SLOTS = {"BUILDING": 10, "MACHINERY": 8, "AUTOMOBILE": 8}
+FLEX = ["BUILDING", "MACHINERY", "FURNITURE", "HOUSEHOLD"]
+STARTED = """
+    r1 as (select k, gi, position, coalesce(proj, 0) as v, row_number() over (partition by gi, position order by coalesce(proj, 0) desc, k) <= case position when 'BUILDING' then 10 when 'MACHINERY' then 8 when 'AUTOMOBILE' then 8 else 0 end as own from fx_proj where season = 1999),
+    r2 as (select *, not own and position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') as may from r1),
+    st as (select *, case when own then position when may and row_number() over (partition by gi, may order by v desc, k) <= 12 then 'flex' end as slot from r2),
+    bs as (select gi, case when position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else position end as g, max(case when slot is null then v end) as repl from st group by 1, 2)"""
+
+
+def _started(spark, sf_dir):
+    weekly = view(spark, sf_dir, "fx_proj").where("season = 1999").select("k", "gi", "position", F.coalesce("proj", F.lit(0.0)).alias("v"))
+    return value.starters(weekly, "gi", "position", "v", "k", SLOTS, 12, FLEX)
+
+
+@query("starter_allocation", f"with {STARTED} select k, gi, slot from st where slot is not null")
+def starter_allocation(spark, sf_dir):
+    return _started(spark, sf_dir).where("starter").select("k", "gi", "slot")
+
+
+@query("baselines", f"with {STARTED} select distinct st.gi, st.position, round(coalesce(bs.repl, 0), 4) as replacement from st join bs on bs.gi = st.gi and bs.g = case when st.position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else st.position end")
+def baselines(spark, sf_dir):
+    return value.baselines(_started(spark, sf_dir), "gi", "position", "v", FLEX).select("gi", "position", r4("replacement").alias("replacement"))
+
+
+VOR = f"""{STARTED}, vr as (select st.k, st.position, sum(v - coalesce(repl, 0)) as vor, sum(greatest(v - coalesce(repl, 0), 0)) as vp, sum(case when slot is not null then v - coalesce(repl, 0) else 0 end) as vas, count(*) as periods
+      from st join bs on bs.gi = st.gi and bs.g = case when st.position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else st.position end group by st.k, st.position)"""
+
+
+def _vor(spark, sf_dir):
+    started = _started(spark, sf_dir)
+    return value.over_replacement(started, value.baselines(started, "gi", "position", "v", FLEX), "gi", "position", "v", "k")
+
+
+@query("vor", f"with {VOR} select k, position, round(vor, 3) as vor, round(vp, 3) as vor_plus, round(vas, 3) as vas, periods from vr")
+def vor(spark, sf_dir):
+    return _vor(spark, sf_dir).select("k", "position", *(r4(c, 3).alias(c) for c in ("vor", "vor_plus", "vas")), "periods")
+
+
+@query("scarcity", f"with {VOR} select position, count(*) as n, round(max(vor), 3) as elite, count(*) filter (where vor > 0) as n_above, round(quantile_cont(vor, 0.5), 3) as median from vr group by position")
+def scarcity(spark, sf_dir):
+    return _vor(spark, sf_dir).groupBy("position").agg(
+        F.count("*").alias("n"), r4(F.max("vor"), 3).alias("elite"), F.count_if(F.col("vor") > 0).alias("n_above"), r4(F.percentile("vor", 0.5), 3).alias("median")
+    )
+
+
+@query("proportional_pool", f"""
+    with {STARTED}, s as (select position, count(slot) / cast(sum(count(slot)) over () as double) as share from st group by position),
+    t as (select k, position, sum(v) as v, row_number() over (partition by position order by sum(v) desc, k) as r from st group by k, position)
+    select t.k, t.position, t.r as rank from t join s using (position) where t.r <= round(s.share * 150)""")
+def proportional_pool(spark, sf_dir):
+    started = _started(spark, sf_dir)
+    counts = started.groupBy("position").agg(F.count("slot").alias("c"))
+    size = counts.crossJoin(counts.agg(F.sum("c").alias("all"))).select("position", F.round(F.col("c") / F.col("all") * 150).alias("size"))
+    totals = started.groupBy("k", "position").agg(F.sum("v").alias("v"))
+    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("v"), "k")).cast("long"))
+    return ranked.join(F.broadcast(size), "position").where("rank <= size").select("k", "position", "rank")
+
+
+@query("vor_backtest", f"""
+    with {VOR}, ac as (select k, sum(actual) as a from fx_proj where season = 1999 group by k),
+    r as (select vr.position, vr.vor, ac.a, rank() over (partition by vr.position order by vr.vor) as p, rank() over (partition by vr.position order by ac.a) as q from vr join ac on ac.k = vr.k)
+    select position, count(*) as n, round(regr_slope(a, vor), 5) as slope, round(corr(p, q), 5) as spearman from r group by position""")
+def vor_backtest(spark, sf_dir):
+    actual = view(spark, sf_dir, "fx_proj").where("season = 1999").groupBy("k").agg(F.sum("actual").alias("a"))
+    rank = lambda c: F.rank().over(Window.partitionBy("position").orderBy(c))
+    rows = _vor(spark, sf_dir).join(actual, "k").select("position", "vor", "a", rank("vor").alias("p"), rank("a").alias("q"))
+    return rows.groupBy("position").agg(F.count("*").alias("n"), r4(F.regr_slope("a", "vor"), 5).alias("slope"), r4(F.corr("p", "q"), 5).alias("spearman"))
+
+
+@query("buy_sell", """
+    with s as (select k, sum(actual) / nullif(sum(proj), 0) as ratio, count(*) as n from fx_proj where season = 1999 and proj is not null group by k having count(*) >= 2)
+    select k, round(ratio, 4) as ratio, case when ratio >= 1.02 then 'buy' when ratio <= 0.9 then 'sell' else 'hold' end as signal from s""")
+def buy_sell(spark, sf_dir):
+    sums = view(spark, sf_dir, "fx_proj").where("season = 1999 and proj is not null").groupBy("k").agg(
+        (F.sum("actual") / F.nullif(F.sum("proj"), F.lit(0.0))).alias("ratio"), F.count("*").alias("n")
+    ).where("n >= 2")
+    return sums.select("k", r4("ratio").alias("ratio"), F.when(F.col("ratio") >= 1.02, "buy").when(F.col("ratio") <= 0.9, "sell").otherwise("hold").alias("signal"))
