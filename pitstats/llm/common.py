@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Environment-free place of the public vocabulary files; every operator takes the path as a parameter.
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer file."""
     import public_tokenizers
@@ -19,7 +18,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of an Arrow batch. Texts are long: batches of Spark's default size hold many megabytes on both sides of each
+#: task, and these buffers, not the operators, would decide how much memory an executor needs.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the session's Arrow batches are made fit for texts (a smaller setting stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

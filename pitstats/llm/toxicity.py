@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,19 +63,16 @@ class Model:
         return found | (self.weights.keys() & {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n})
 
 
-def pick_features(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
-    """Features whose share among positives is well above their share among unlabelled texts."""
-    p, u = Counter(f for s in positive for f in s), Counter(f for s in unlabelled for f in s)
-    np_, nu = max(1, len(positive)), max(1, len(unlabelled))
-    scored = []
-    for f, n in p.items():
-        if n < 3:
-            continue
-        a, b = n / np_, u.get(f, 0) / nu
-        z = (a - b) / ((a * (1 - a) / np_ + b * (1 - b) / nu) ** 0.5 + 1e-9)
-        if z > 2.5 and a > 2 * b:
-            scored.append((-z, f))
-    return [f for _, f in sorted(scored)[:MAX_FEATURES]]
+def pick_features(featured: DataFrame, sizes: dict[int, int]) -> list[str]:
+    """Features whose share among positives is well above their share among unlabelled texts; at most MAX_FEATURES."""
+    n_p, n_u = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
+    counts = featured.select("y", F.explode("f").alias("g")).groupBy("g").agg(
+        (F.count_if(F.col("y") == 1) / n_p).alias("a"), (F.count_if(F.col("y") == 0) / n_u).alias("b")
+    )
+    a, b = F.col("a"), F.col("b")
+    z = (a - b) / (F.sqrt(a * (1 - a) / n_p + b * (1 - b) / n_u) + 1e-9)
+    good = counts.where(a * n_p >= 2.5).withColumn("z", z).where((F.col("z") > 2.5) & (a > 2 * b))
+    return [r["g"] for r in good.orderBy(F.desc("z"), "g").select("g").limit(MAX_FEATURES).collect()]
 
 
 class Rows:
@@ -87,10 +83,6 @@ class Rows:
         self.begin = np.cumsum(self.size) - self.size
         self.at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
 
-    @classmethod
-    def of(cls, sets: list[set[str]], index: dict[str, int]) -> Rows:
-        return cls([np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets])
-
     def __len__(self) -> int:
         return len(self.size)
 
@@ -188,35 +180,34 @@ def train(
         return step
 
     featured = in_batches(picked, make, "doc_id long, y int, label int, f array<string>")
-    sizes = featured.groupBy("y").agg(F.count("*").alias("n"))
-    # only features that may pass pick_features' least count come back, each document once
-    common = (
-        featured.where("y = 1").select(F.explode("f").alias("g")).groupBy("g").count()
-        .where("count >= 3").orderBy(F.desc("count"), "g").limit(4 * MAX_FEATURES)
-    )
-    rows = (
-        featured.select("doc_id", "y", "label", F.explode("f").alias("g")).join(F.broadcast(common.select("g")), "g")
-        .groupBy("doc_id", "y", "label").agg(F.collect_set("g").alias("f"))
-        .collect()
-    )
-    n = {r["y"]: r["n"] for r in sizes.collect()}
-    rows.sort(key=lambda r: (r["y"], r["doc_id"]))
-    sets = {y: [set(r["f"]) for r in rows if r["y"] == y] for y in (0, 1)}
-    if not sets[1]:
+    sizes = {r["y"]: r["count"] for r in picked.groupBy("y").count().collect()}
+    if not sizes.get(1):
         return None
-    for y in (0, 1):
-        sets[y] += [set()] * (n.get(y, 0) - len(sets[y]))
-    names = pick_features(sets[1], sets[0])
+    names = pick_features(featured, sizes)
     index = {f: i for i, f in enumerate(names)}
-    xp = Rows.of(sets[1], index)
+
+    def make_places():
+        def step(batch):
+            found = [sorted(index[f] for f in features_of(t) if f in index) for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "y", "label")), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "label", "at"]
+            )
+
+        return step
+
+    # one short row of numbers for each document of the bounded sample
+    rows = in_batches(picked, make_places, "doc_id long, y int, label int, at array<int>").collect()
+    rows.sort(key=lambda r: (r["y"], r["doc_id"], r["at"]))
+    places = {y: [np.array(r["at"], np.int64) for r in rows if r["y"] == y] for y in (0, 1)}
+    xp = Rows(places[1])
     fits = []
     for seed in range(MODELS):
-        draw = np.random.default_rng(100 + seed).permutation(len(sets[0]))[: max(1, len(sets[0]) * 4 // 5)]
-        fits.append(fit_pu(xp, Rows.of([sets[0][i] for i in draw], index), len(index), prior, seed))
+        draw = np.random.default_rng(100 + seed).permutation(len(places[0]))[: max(1, len(places[0]) * 4 // 5)]
+        fits.append(fit_pu(xp, Rows([places[0][i] for i in draw]), len(index), prior, seed))
     w, b = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     # labelled documents of the unlabelled draw set the scale: they weren't fitted as positives for being labelled
-    seen = [(set(r["f"]), r["label"]) for r in rows if r["y"] == 0 and r["label"] is not None]
-    drawn = Rows.of([f for f, _ in seen], index)
+    seen = [(np.array(r["at"], np.int64), r["label"]) for r in rows if r["y"] == 0 and r["label"] is not None]
+    drawn = Rows([f for f, _ in seen])
     at, row = drawn.take(np.arange(len(drawn)))
     slope, shift = scale(np.bincount(row, w[at], len(drawn)) + b, np.array([y for _, y in seen]))
     w, b = w * slope, b * slope + shift
