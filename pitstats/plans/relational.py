@@ -189,7 +189,7 @@ def semi_anti(spark, sf_dir):
     )
 
 
-@query("cross_grid", "select n.n_name, w.w as week, t.t as slot from nation n, range(1, 18) w(w), range(0, 3) t(t)")
+@query("cross_grid", "select n.n_name, w.w as week, t.t as slot from nation n, range(1, 18) w(w), range(3) t(t)")
 def cross_grid(spark, sf_dir):
     return view(spark, sf_dir, "nation").select("n_name", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(17).cast("long"))).alias("week")).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("slot")
