@@ -12,7 +12,7 @@ from pitstats.sources.fixtures import with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_PLANS = ("relational", "temporal", "evaluation", "forecasts", "records", "streams")
+_PLANS = ("relational", "temporal", "evaluation", "forecasts", "studies", "records", "streams")
 
 
 def query(name: str, sql: str | None = None):
