@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from pitstats.llm.common import bytes_of, in_batches, slices, written
 
-#: Bytes of an anchor, and bytes of a string that must not repeat.
-K, SPAN = 16, 50
+#: Bytes of an anchor (16 to 32), and bytes of a string that must not repeat. Shorter anchors meet by chance: pairs of
+#: unrelated texts that share one grow with the square of the corpus.
+K, SPAN = 20, 50
 #: Bytes of text per bucket of cells.
 BUCKET_BYTES = 8 << 20
 #: Cells of one task before they are dealt out.
-FLUSH = 400_000
+FLUSH = 300_000
 #: Different surroundings of one anchor beyond which its windows are dealt singly.
 HOT = 10_000
 _BLOCK = 60_000
@@ -73,6 +74,8 @@ class Hasher:
         grams = values
         for step, width in zip(self.steps, (1, 2, 4, 8)):
             grams = grams[:-width] * step + grams[width:]
+        if K > 16:
+            grams = grams[: 16 - K] * self.steps[0] + grams[K - 16 :]
         grams = grams ^ (grams >> _U(31))
         grams *= _U(0x9FB21C651E98DF25)
         grams ^= grams >> _U(28)
@@ -314,7 +317,7 @@ def _runs(doc: np.ndarray, row_hash: np.ndarray, place: np.ndarray, span: int) -
     )
 
 
-def _compare_suffixes(cells: DataFrame, partitions: int, span: int, most: int = 20_000) -> DataFrame:
+def _compare_suffixes(cells: DataFrame, partitions: int, span: int, most: int = 10_000) -> DataFrame:
     """Ranges of windows that also start in a smaller document, of cells range-partitioned by leading tokens."""
 
     def compare(table: pa.Table) -> pa.RecordBatch:
