@@ -8,7 +8,7 @@ into their members, the distinct sets, and these are verified on whole sets.
 
 What is asked for is the classes of linked documents, so pairs are not listed where they tell nothing new. Under each
 n-gram the members are first verified against a few leaders. Members that then are in one class need no further
-look; of the rest all pairs between classes are verified. No link between different texts is lost, and a large group
+look; of the rest all pairs between classes are verified that pass the prefix filter of their two sizes. No link between different texts is lost, and a large group
 of near copies costs a few comparisons per member.
 
 Hash sizes: an n-gram and a set are known by 64 bits each.
@@ -227,6 +227,7 @@ def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets
             names = np.array(list(groups), np.int64)
             token = np.concatenate(list(groups.values()))
             grp = np.repeat(np.arange(len(names)), [len(g) for g in groups.values()])
+            pos = np.concatenate([np.arange(len(g), dtype=np.uint32) for g in groups.values()])
             place = {g: i for i, g in enumerate(groups)}
             sets = np.array(list(members), np.int64)
             of, size, doc = (np.array(c, np.int64) for c in zip(*((place[g], k, d) for g, k, d in members.values())))
@@ -235,7 +236,7 @@ def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets
             many = crowded[(token >> _U(44)).astype(np.int64)]
             bucket = np.where(many, (token + names[grp].astype(np.uint64)) % _U(buckets), (token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             order = np.lexsort((token, many, bucket))
-            token, grp, many, bucket = token[order], grp[order], many[order], bucket[order]
+            token, grp, pos, many, bucket = token[order], grp[order], pos[order], many[order], bucket[order]
             kinds, numbers, blobs = [], [], []
             cuts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (many[1:] != many[:-1]), [True])))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -245,7 +246,7 @@ def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets
                 kinds.append(bool(many[i]))
                 blobs.append(pack([
                     token[i:j], local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32),
-                    np.searchsorted(own, of[there]).astype(np.uint32), sets[there], size[there].astype(np.uint32), doc[there],
+                    np.searchsorted(own, of[there]).astype(np.uint32), sets[there], size[there].astype(np.uint32), doc[there], pos[i:j],
                 ]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(numbers, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "crowded", "data"]
@@ -286,16 +287,17 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
         grp = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base)])
         of = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(parts, base)])
         sets, size, doc = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        pos = np.concatenate([p[6] for p in parts])
         first = np.searchsorted(of, np.arange(base[-1] + 1))
         order = np.argsort(token, kind="stable")
-        token, grp = token[order], grp[order]
+        token, grp, pos = token[order], grp[order], pos[order]
         new = np.concatenate(([True], token[1:] != token[:-1]))
         times = first[grp + 1] - first[grp]
         run = np.cumsum(new) - 1
         keep = (np.bincount(run, times)[run] > 1) | crowded
-        token, grp, times = token[keep], grp[keep], times[keep]
+        token, grp, pos, times = token[keep], grp[keep], pos[keep], times[keep]
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[grp], times)
-        table = pd.DataFrame({"token": np.repeat(token.view(np.int64), times), "set": sets[at], "size": size[at].astype(np.int64), "doc_id": doc[at]})
+        table = pd.DataFrame({"token": np.repeat(token.view(np.int64), times), "set": sets[at], "size": size[at].astype(np.int64), "doc_id": doc[at], "pos": np.repeat(pos, times).astype(np.int64)})
         table = table.drop_duplicates(["token", "set"])
         out.append(table if crowded else table[table.duplicated("token", keep=False)])
     return pd.concat(out)
@@ -392,6 +394,21 @@ def _size_filter(x, y, threshold: Fraction):
     return F.least(x, y) * threshold.denominator >= F.greatest(x, y) * threshold.numerator
 
 
+def _overlap(x, y, threshold: Fraction):
+    """The n-grams that sets of these sizes must share."""
+    up, down = threshold.numerator, threshold.denominator
+    return F.ceil((x + y) * up / F.lit(float(up + down)) - 1e-9)
+
+
+def _first_meeting(size, pos, size2, pos2, threshold: Fraction):
+    """Whether similar sets of these sizes can meet first at these places of their prefixes.
+
+    Before the first n-gram in common lies nothing shared, so after it there must be room for the overlap.
+    """
+    need = _overlap(size, size2, threshold)
+    return _size_filter(size, size2, threshold) & (pos <= size - need) & (pos2 <= size2 - need)
+
+
 def _promising(pairs: DataFrame, postings: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs that share enough n-grams of their prefixes, with a document of each (`da`, `db`).
 
@@ -404,7 +421,7 @@ def _promising(pairs: DataFrame, postings: DataFrame, threshold: Fraction) -> Da
     )
     side = lambda n: own.select(F.col("set").alias(n), F.col("tokens").alias(f"t{n}"), F.col("size").alias(f"n{n}"), F.col("doc").alias(f"d{n}"))
     up, down = threshold.numerator, threshold.denominator
-    overlap = F.ceil((F.col("na") + F.col("nb")) * up / F.lit(float(up + down)) - 1e-9)
+    overlap = _overlap(F.col("na"), F.col("nb"), threshold)
     # a prefix of p of n leaves n - p = ceil(n * threshold) - 1
     left = F.ceil(F.greatest("na", "nb") * up / F.lit(float(down)) - 1e-9) - 1
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -423,7 +440,7 @@ def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
     """Members against a few leaders of their n-gram: the one whose prefix is most shared, and some by hash."""
     weight = postings.groupBy("set").agg((-F.count("*") / F.first("size")).alias("w"))
     ranked = postings.join(weight, "set")
-    entry = F.struct("set", "size")
+    entry = F.struct("set", "size", "pos")
     ranks = [F.struct("w", "set"), *(F.xxhash64("set", F.lit(i)) for i in range(1, LEADERS))]
     leaders = (
         ranked.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), entry.alias("e"))).alias(f"l{i}") for i, r in enumerate(ranks)))
@@ -431,7 +448,7 @@ def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
     )
     both = postings.join(leaders, "token")
     fits = F.filter(
-        "leaders", lambda e: (e["set"] != F.col("set")) & _size_filter(e["size"], F.col("size"), threshold)
+        "leaders", lambda e: (e["set"] != F.col("set")) & _first_meeting(e["size"], e["pos"], F.col("size"), F.col("pos"), threshold)
     )
     met = both.select("set", F.transform(fits, lambda e: e["set"]).alias("others")).groupBy("set").agg(
         F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")
@@ -442,13 +459,14 @@ def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
 def _rest_pairs(postings: DataFrame, roots: DataFrame, tested: DataFrame, threshold: Fraction) -> DataFrame:
     """All pairs that meet under an n-gram, are in different classes and have not been compared."""
     classed = postings.join(roots, postings["set"] == roots["vertex"], "left").select(
-        "token", "set", "size", F.coalesce("root", "set").alias("root")
+        "token", "set", "size", "pos", F.coalesce("root", "set").alias("root")
     )
     mixed = classed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     left = classed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("set", "size", "root")))
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("set", "size", "pos", "root")))
     pairs = (
-        left.join(right, "token").where("set < set2 and root <> root2").where(_size_filter(F.col("size"), F.col("size2"), threshold))
+        left.join(right, "token").where("set < set2 and root <> root2")
+        .where(_first_meeting(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), threshold))
         .select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
     )
     return pairs.join(tested, ["a", "b"], "left_anti")
@@ -465,9 +483,9 @@ def linked_sets(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame
     buckets = max(8, total // POSTINGS)
     shared = spark.sparkContext.broadcast((counts, crowded))
     dealt = _deal_postings(docs, shared, n, threshold, buckets)
-    met = dealt.groupBy("bucket").applyInPandas(_meet, "token long, set long, size long, doc_id long")
+    met = dealt.groupBy("bucket").applyInPandas(_meet, "token long, set long, size long, doc_id long, pos long")
     # members of crowded n-grams come from several buckets
-    postings = written(met.groupBy("token", "set", "size").agg(F.min("doc_id").alias("doc_id")), "postings")
+    postings = written(met.groupBy("token", "set", "size", "pos").agg(F.min("doc_id").alias("doc_id")), "postings")
     tested = written(_leader_pairs(postings, threshold), "pairs")
     links = written(_compared(docs, tested, postings, n, threshold), "links")
     roots = components(links)
