@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitstats.functions.scalars import portable_uniform
+from pitstats.sources.documents import scratch, write_once
 
 
 def align(preds: DataFrame, keys: list[str], n_models: int) -> DataFrame:
@@ -38,16 +42,80 @@ def rank_correlation(df: DataFrame, within: list[str], by: list[str], actual: st
     return inner.groupBy(*by).agg(F.avg("r").alias("rank_cor"), F.count("r").alias("n_groups"))
 
 
-def pairwise_accuracy(df: DataFrame, within: list[str], key: str, actual: str, pred: str, by: list[str]) -> DataFrame:
+def pairwise_accuracy(
+    df: DataFrame, within: list[str], key: str, actual: str, pred: str, by: list[str], large: int = 20_000, blocks: int = 128
+) -> DataFrame:
     """Share of pairs inside a group that the predictions order right; ties of predictions count one half.
 
-    Groups are periods and bounded by the number of entities in one.
+    All pairs with different actuals count, and `key` is unique in a group; a missing prediction makes a tie. No pair
+    is formed: ties come from counts of equal values and pairs in the same order from `concordant`. Groups of more than
+    `large` distinct points are cut into blocks by actual and by prediction. A pair in the same order lies in one block
+    by actual, or else in one block by prediction, or else in two cells of the grid of both, and is counted there.
     """
-    right = df.select(*within, *by, *(F.col(c).alias(f"_{c}") for c in (key, actual, pred)))
-    pairs = df.join(right, [*within, *by]).where((F.col(key) < F.col(f"_{key}")) & (F.col(actual) != F.col(f"_{actual}")))
-    agree = F.signum(F.col(actual) - F.col(f"_{actual}")) * F.signum(F.col(pred) - F.col(f"_{pred}"))
-    hit = F.when(agree > 0, 1.0).when(agree < 0, 0.0).otherwise(0.5)
-    return pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg(hit).alias("accuracy"))
+    group = [*by, *within]
+    known = [F.col(c).isNotNull() for c in [*group, key, actual]]
+    points = df.where(reduce(Column.__and__, known)).groupBy(*group, F.col(actual).cast("double").alias("_a"), F.col(pred).cast("double").alias("_p"))
+    path = scratch(df.sparkSession, "pairs")
+    write_once(points.agg(F.count("*").alias("_c")), path)  # read several times
+    points = df.sparkSession.read.parquet(path)
+    ordered = points.where("_p is not null")
+
+    def pairs(rows: DataFrame, same: list[str]) -> DataFrame:
+        """Pairs of a `by` that agree in `same`."""
+        n = rows.groupBy(*group, *same).agg(F.sum("_c").alias("_n"))
+        return n.groupBy(*by).agg(F.sum(F.expr("_n * (_n - 1) div 2")).alias("_pairs"))
+
+    def signed(rows: DataFrame, same: list[str], all_: int, half: int) -> DataFrame:
+        return pairs(rows, same).select(*by, (F.col("_pairs") * all_).alias("_all"), (F.col("_pairs") * half).alias("_half"), F.lit(0).cast("long").alias("_right"))
+
+    # pairs with different actuals; and, as halves, those with a missing prediction or equal ones
+    parts = [signed(points, [], 1, 1), signed(points, ["_a"], -1, -1), signed(ordered, [], 0, -1), signed(ordered, ["_a"], 0, 1)]
+    parts += [signed(ordered, ["_p"], 0, 1), signed(ordered, ["_a", "_p"], 0, -1)]
+    steps = [(i + 1) / blocks for i in range(blocks - 1)]
+    cuts = ordered.groupBy(*group).agg(
+        F.count("*").alias("_n"), *(F.array_distinct(F.percentile_approx(c, steps)).alias(f"{c}_cuts") for c in ("_a", "_p"))
+    )
+    cut = ordered.join(F.broadcast(cuts.where(F.col("_n") > large)), group, "left")
+
+    def block(c: str) -> Column:
+        """Values that are a cut have odd blocks of their own, in which no two values differ."""
+        below = F.size(F.filter(f"{c}_cuts", lambda v: v < F.col(c))) * 2 + F.array_contains(f"{c}_cuts", F.col(c)).cast("int")
+        return F.when(F.col("_n").isNull(), 0).otherwise(below)
+
+    cut = cut.select(*group, "_a", "_p", "_c", block("_a").alias("_i"), block("_p").alias("_j"), F.col("_n").isNotNull().alias("_large"))
+    point = lambda kind, b, x, y: F.struct(F.lit(kind).alias("kind"), b.alias("b"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    i, j = F.col("_i"), F.col("_j")
+    places = F.array(
+        F.when(i % 2 == 0, point("a", i, F.col("_a"), F.col("_p"))),
+        F.when(F.col("_large") & (j % 2 == 0), point("p", j, i, F.col("_p"))),
+        F.when(F.col("_large"), point("grid", F.lit(0), i, j)),
+    )
+    placed = cut.select(*group, F.explode(F.array_compact(places)).alias("_at"), "_c").groupBy(*group, "_at.kind", "_at.b", "_at.x", "_at.y").agg(F.sum("_c").alias("c"))
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), "_right long"])
+
+    def count(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        right = concordant(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["c"].to_numpy())
+        return pd.DataFrame([[*names[: len(by)], right]], columns=[*by, "_right"])
+
+    right = placed.groupBy(*group, "kind", "b").applyInPandas(count, schema)
+    zero = F.lit(0).cast("long")
+    parts.append(right.select(*by, zero.alias("_all"), zero.alias("_half"), "_right"))
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("_all", "_half", "_right")))
+    return sums.where("_all > 0").select(*by, F.col("_all").alias("n_pairs"), ((F.col("_right") + F.col("_half") * 0.5) / F.col("_all")).alias("accuracy"))
+
+
+def concordant(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
+    """Pairs of points, c times each, of which one has both the smaller x and the smaller y; merged in log2(n) steps."""
+    o = np.lexsort((-y, x))  # of equal x the larger y comes first, so that no pair of them counts
+    y, c, n = y[o], c[o], len(o)
+    rising, total = np.lexsort((-np.arange(n), y)), 0
+    for bit in range((n - 1).bit_length()):
+        q = rising[np.argsort(rising >> (bit + 1), kind="stable")]
+        part, late = q >> (bit + 1), (q >> bit) & 1
+        early = np.concatenate(([0], np.cumsum(np.where(late, 0, c[q]))))
+        before = early[:-1] - early[np.searchsorted(part, part)]
+        total += int((before * c[q] * late).sum())
+    return total
 
 
 def paired_differences(preds: DataFrame, model: str, baseline: str, keys: list[str]) -> DataFrame:

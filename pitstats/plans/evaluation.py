@@ -211,7 +211,7 @@ def weekly_rank_cor(spark, sf_dir):
     select a.model, count(*) as n_pairs, round(avg(case when sign(a.actual - b.actual) * sign(a.pred - b.pred) > 0 then 1.0::double when sign(a.actual - b.actual) * sign(a.pred - b.pred) < 0 then 0.0::double else 0.5::double end), 6) as accuracy
     from s a join s b on a.gi = b.gi and a.model = b.model and a.k < b.k and a.actual <> b.actual group by a.model""")
 def pairwise_accuracy(spark, sf_dir):
-    rows = aligned(spark, sf_dir).where("k % 3 = 0 and model <> 'zero'").select("model", "gi", "k", "actual", "pred")
+    rows = aligned(spark, sf_dir).where("model <> 'zero'").select("model", "gi", "k", "actual", "pred")
     acc = evaluate.pairwise_accuracy(rows, ["gi"], "k", "actual", "pred", ["model"])
     return acc.select("model", "n_pairs", r4("accuracy", 6).alias("accuracy"))
 
