@@ -41,3 +41,11 @@ def test_pairwise_accuracy_of_all_entities(spark, con):  # noqa: F811
         with {evaluation.PREDS}, s as (select * from aligned where model <> 'zero')
         select a.model, count(*) as n_pairs, round(avg(case when sign(a.actual - b.actual) * sign(a.pred - b.pred) > 0 then 1.0::double when sign(a.actual - b.actual) * sign(a.pred - b.pred) < 0 then 0.0::double else 0.5::double end), 6) as accuracy
         from s a join s b on a.gi = b.gi and a.model = b.model and a.k < b.k and a.actual <> b.actual group by a.model""")
+
+
+def test_scan_captures_reads_all(spark, con):  # noqa: F811
+    assert_equals(spark, con, "scan_captures", "select strftime(day, '%Y-%m-%d') as capture_day, count(*) as n, round(sum(v), 2) as total from fx_captures group by day")
+
+
+def test_manifest_append_covers_all_captures(spark, con):  # noqa: F811
+    assert_equals(spark, con, "manifest_append", "select event_type as dataset, event_id as id from fx_captures")
