@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,7 +49,23 @@ def fingerprint(preds: DataFrame, model: str, key: list[str], pred: str) -> Data
 
 
 def next_after(rows: DataFrame, records: DataFrame, by: list[str], at: str, cutoff: str, payload: list[str]) -> DataFrame:
-    """For each row the first record of its key at or after its cutoff."""
-    joined = rows.join(records.select(*by, F.col(at).alias("_t"), F.struct(at, *payload).alias("_rec")), by, "left")
-    ok = F.when(F.col("_t") >= F.col(cutoff), F.col("_rec"))
-    return joined.groupBy(*rows.columns).agg(F.min(ok).alias("_first")).select(*rows.columns, *(F.col(f"_first.{p}").alias(p) for p in payload))
+    """For each row the first record of its key at or after its cutoff; of records of one instant the smallest payload.
+
+    Rows and records are put in one order, latest first, in which a row sees the records that came before it. A task
+    holds a day of a key: where no record follows on the same day, the first of the key's next day with records counts.
+    Rows whose cutoff or key is missing get none.
+    """
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, at]])
+    record = F.struct(F.col(at).alias("_at"), *payload)
+    events = records.where(known).select(*by, F.col(at).alias("_t"), record.alias("_rec")).withColumn("_row", F.lit(None).cast(rows.schema))
+    asked = rows.select(*by, F.col(cutoff).alias("_t"), F.struct(*rows.columns).alias("_row"))
+    both = asked.unionByName(events, allowMissingColumns=True).withColumn("_day", F.date_trunc("day", "_t"))
+
+    latest_first = Window.partitionBy(*by, "_day").orderBy(F.desc("_t"), F.col("_row").isNotNull(), F.desc("_rec"))
+    seen = F.last("_rec", ignorenulls=True)
+    same_day = both.withColumn("_first", seen.over(latest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_row is not null")
+    days = both.groupBy(*by, "_day").agg(F.min("_rec").alias("_rec"))
+    later = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.where("_day is not null").select(*by, "_day", seen.over(later).alias("_next"))
+    found = same_day.join(days, [*by, "_day"], "left").withColumn("_first", F.coalesce("_first", "_next"))
+    return found.select("_row.*", *(F.col(f"_first.{p}").alias(p) for p in payload))

@@ -149,7 +149,7 @@ def fingerprint(spark, sf_dir):
     select r.k, r.day, (select min_by(e.event_id, (e.ts, e.event_id)) from events e where e.user_id = r.k and e.ts >= r.cutoff) as event_id from rows r""")
 def ledger_join(spark, sf_dir):
     """The outcome of record: the first retrieval at or after each decision's cutoff."""
-    e = view(spark, sf_dir, "events").where("user_id < 40").select(F.col("user_id").alias("k"), "ts", "event_id")
+    e = view(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "ts", "event_id")
     rows = e.select("k", F.to_date("ts").alias("day")).distinct().withColumn("cutoff", F.col("day").cast("timestamp_ntz") + F.expr("interval 18 hours"))
     return archive.next_after(rows, e, ["k"], "ts", "cutoff", ["event_id"]).select("k", "day", "event_id")
 

@@ -1,11 +1,14 @@
 """Queries against SQL or plain Python over all rows, where the registered SQL states only a part of the tables."""
 
+import bisect
 import random
+from datetime import datetime, time
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, con, rows  # noqa: F401
 
-from pitstats.operators import evaluate
+from pitstats.operators import archive, evaluate
 from pitstats.plans import evaluation, registry
 from pitstats.sources.fixtures import with_views
 
@@ -49,3 +52,28 @@ def test_scan_captures_reads_all(spark, con):  # noqa: F811
 
 def test_manifest_append_covers_all_captures(spark, con):  # noqa: F811
     assert_equals(spark, con, "manifest_append", "select event_type as dataset, event_id as id from fx_captures")
+
+
+def test_next_after_by_hand(spark):
+    records = spark.createDataFrame(
+        [(1, "2024-01-01 05:00:00", 9), (1, "2024-01-01 18:00:00", 8), (1, "2024-01-01 18:00:00", 7), (1, "2024-01-04 01:00:00", 6), (1, "2024-01-04 02:00:00", 5), (None, "2024-01-09 00:00:00", 4)],
+        "k int, ts string, id int",
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    cuts = ["2024-01-01 04:00:00", "2024-01-01 18:00:00", "2024-01-01 18:00:01", "2024-01-02 00:00:00", "2024-01-04 01:30:00", "2024-01-04 03:00:00", None]
+    asked = spark.createDataFrame([(k, c) for k in (1, 2, None) for c in cuts], "k int, cut string").withColumn("cut", F.col("cut").cast("timestamp_ntz"))
+    got = archive.next_after(asked, records, ["k"], "ts", "cut", ["id"]).collect()
+    assert len(got) == 21 and all(r["id"] is None for r in got if r["k"] != 1)
+    assert [r["id"] for r in sorted((r for r in got if r["k"] == 1 and r["cut"]), key=lambda r: r["cut"])] == [9, 7, 6, 6, 5, None]
+
+
+def test_ledger_join_of_all_users(spark):
+    """Each decision of sf0.01, whose ids pass 40, against the first event by plain search."""
+    sf = SF.replace("0.001", "0.01")
+    events = sorted((r["user_id"], r["ts"], r["event_id"]) for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id").collect())
+    want = {}
+    for k, day in {(k, ts.date()) for k, ts, _ in events}:
+        at = bisect.bisect_left(events, (k, datetime.combine(day, time(18)), -1))
+        want[k, day] = events[at][2] if at < len(events) and events[at][0] == k else None
+    got = registry.queries()["ledger_join"](spark, sf).collect()
+    assert len({k for k, _ in want}) > 40 and len(got) == len(want)
+    assert {(r["k"], r["day"]): r["event_id"] for r in got} == want
