@@ -147,18 +147,19 @@ def quantile_apply(spark, sf_dir):
 
 @query("dev_scoring")
 def dev_scoring(spark, sf_dir):
-    """CRPS and 80% coverage of the banded residual quantiles, each season from all earlier ones."""
+    """CRPS and 80% coverage of the banded residual quantiles, each season from all earlier ones.
+
+    A row counts in the bands of each later season; the first season has nothing before it and is not scored.
+    """
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
-    out = None
-    for season in (1998, 1999, 2000):
-        t = dist.residual_bands(rows.where(F.col("season") < season), ["position"], "e", "proj", 3, 19, 200)
-        scored = dist.apply_bands(rows.where(F.col("season") == season), t, ["position"], "proj")
-        part = scored.groupBy("season", "position").agg(
-            F.count("*").alias("n"), r4(F.avg(dist.crps(F.col("q"), F.col("actual"), 19))).alias("crps"),
-            r4(F.avg(dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double"))).alias("coverage"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    seasons = F.broadcast(rows.select(F.col("season").alias("later")).distinct())
+    earlier = rows.join(seasons, F.col("season") < F.col("later")).drop("season").withColumnRenamed("later", "season")
+    t = dist.residual_bands(earlier, ["season", "position"], "e", "proj", 3, 19, 200)
+    scored = dist.apply_bands(rows, t, ["season", "position"], "proj")
+    return scored.groupBy("season", "position").agg(
+        F.count("*").alias("n"), r4(F.avg(dist.crps(F.col("q"), F.col("actual"), 19))).alias("crps"),
+        r4(F.avg(dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double"))).alias("coverage"),
+    )
 
 
 @query("revision_study", """
@@ -192,22 +193,22 @@ DRAWS = """
 
 @query("scenario_draws", f"with {DRAWS} select k, count(*) as n, round(avg(x), 4) as mean from dr group by k")
 def scenario_draws(spark, sf_dir):
-    return _draws(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"), r4(F.avg("x")).alias("mean"))
+    return _draws(spark, sf_dir).groupBy("gi", "k").agg(F.count("*").alias("n"), r4(F.avg("x")).alias("mean"))
 
 
 def _draws(spark, sf_dir):
-    """Draws keyed by entity and simulation: adding an entity never changes another's."""
-    games = view(spark, sf_dir, "fx_games").where("gi = 199705").select("team", "k", "pts")
+    """Draws keyed by entity, month and simulation: adding an entity or a month never changes another's."""
+    games = view(spark, sf_dir, "fx_games").select("team", "k", "gi", "pts")
     sims = games.select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("sim"))
-    return sims.withColumn("x", F.col("pts") * (0.5 + portable_uniform(F.lit(11), F.col("k"), F.col("sim"))))
+    return sims.withColumn("x", F.col("pts") * (0.5 + portable_uniform(F.lit(11), F.col("k"), F.col("gi"), F.col("sim"))))
 
 
 @query("sum_distribution", f"""
     with {DRAWS} select t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit from tot t join act a on a.team = t.team group by t.team""")
 def sum_distribution(spark, sf_dir):
-    totals = _draws(spark, sf_dir).groupBy("team", "sim").agg(F.sum("x").alias("t"))
-    actual = view(spark, sf_dir, "fx_games").where("gi = 199705").groupBy("team").agg(F.sum("pts").alias("a"))
-    return totals.join(actual, "team").groupBy("team").agg(
+    totals = _draws(spark, sf_dir).groupBy("gi", "team", "sim").agg(F.sum("x").alias("t"))
+    actual = view(spark, sf_dir, "fx_games").groupBy("gi", "team").agg(F.sum("pts").alias("a"))
+    return totals.join(actual, ["gi", "team"]).groupBy("gi", "team").agg(
         r4(F.avg("t"), 3).alias("mean"), r4(F.percentile("t", 0.1), 3).alias("q10"), r4(F.percentile("t", 0.9), 3).alias("q90"), F.avg((F.col("t") <= F.col("a")).cast("double")).alias("pit")
     )
 
@@ -216,9 +217,9 @@ def sum_distribution(spark, sf_dir):
     with {DRAWS}, s as (select scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select team, sim, t, avg(t) over (partition by team) as m from tot) t, range(5, 16) g(scale) group by scale)
     select scale, round(sd, 4) as sd from s""")
 def sd_match(spark, sf_dir):
-    totals = _draws(spark, sf_dir).groupBy("team", "sim").agg(F.sum("x").alias("t"))
-    scaled = totals.withColumn("m", F.avg("t").over(Window.partitionBy("team"))).select("*", F.explode(F.sequence(F.lit(5), F.lit(15))).alias("g"))
-    return scaled.groupBy((F.col("g") / 10.0).alias("scale")).agg(r4(F.stddev_samp(F.col("m") + (F.col("t") - F.col("m")) * F.col("g") / 10.0)).alias("sd"))
+    totals = _draws(spark, sf_dir).groupBy("gi", "team", "sim").agg(F.sum("x").alias("t"))
+    scaled = totals.withColumn("m", F.avg("t").over(Window.partitionBy("gi", "team"))).select("*", F.explode(F.sequence(F.lit(5), F.lit(15))).alias("g"))
+    return scaled.groupBy("gi", (F.col("g") / 10.0).alias("scale")).agg(r4(F.stddev_samp(F.col("m") + (F.col("t") - F.col("m")) * F.col("g") / 10.0)).alias("sd"))
 
 
 # --- leakage -------------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ def r4(column, places=4):
 
 def _player_documents(spark, sf_dir):
     """Vendor documents in their nested form, one per month, as JSON text made from the projections."""
-    rows = view(spark, sf_dir, "fx_proj").where("season = 1997 and proj is not null")
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null")
 
     def entry(source, total):
         return F.struct(
@@ -41,13 +41,13 @@ def scan_json(spark, sf_dir):
     union all select k, week, 'targets', cast(c1 as double) from fx_proj where season = 1997 and proj is not null""")
 def scan_json_long(spark, sf_dir):
     entries = docs.parse_players(_player_documents(spark, sf_dir), "text", source=0)
-    return docs.long_stats(entries, {"53": "receptions", "58": "targets"}).select("id", F.col("period").cast("long").alias("period"), "stat", "value")
+    return docs.long_stats(entries, {"53": "receptions", "58": "targets"}).select("id", F.col("season").cast("long").alias("season"), F.col("period").cast("long").alias("period"), "stat", "value")
 
 
 @query("json_state", "select period, home, away, winner, (period // 100 - 1970)::bigint as years from fx_matchups where period < 199507")
 def json_state(spark, sf_dir):
     """League documents: a schedule array parsed back into a table, with an instant in milliseconds."""
-    games = view(spark, sf_dir, "fx_matchups").where("period < 199507")
+    games = view(spark, sf_dir, "fx_matchups")
     ms = F.floor(F.col("period") / 100 - 1970) * 365 * 86_400_000 + F.floor((F.floor(F.col("period") / 100) - 1969) / 4) * 86_400_000
     text = games.groupBy("period").agg(F.to_json(F.struct(F.collect_list(F.struct("home", "away", "winner", ms.cast("long").alias("at"))).alias("schedule"))).alias("text"))
     parsed = text.select("period", F.from_json("text", "schedule array<struct<home bigint, away bigint, winner string, at bigint>>").alias("d"))

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, con, rows  # noqa: F401
 
-from pitstats.operators import archive, evaluate
+from pitstats.operators import archive, dist, evaluate
 from pitstats.plans import evaluation, registry
-from pitstats.sources.fixtures import with_views
+from pitstats.sources.fixtures import view, with_views
 
 
 def assert_equals(spark, con, name, sql):  # noqa: F811
@@ -77,3 +77,44 @@ def test_ledger_join_of_all_users(spark):
     got = registry.queries()["ledger_join"](spark, sf).collect()
     assert len({k for k, _ in want}) > 40 and len(got) == len(want)
     assert {(r["k"], r["day"]): r["event_id"] for r in got} == want
+
+
+DRAWS = """
+    dr as (select g.team, g.gi, g.k, sim, g.pts * (0.5::double + ('0x' || substr(md5('11|' || g.k || '|' || g.gi || '|' || sim), 1, 12))::bigint / 281474976710656.0::double) as x from fx_games g, range(1, 51) s(sim)),
+    tot as (select gi, team, sim, sum(x) as t from dr group by gi, team, sim), act as (select gi, team, sum(pts) as a from fx_games group by gi, team)"""
+
+ALL_PERIODS = {
+    "json_state": "select period, home, away, winner, (period // 100 - 1970)::bigint as years from fx_matchups",
+    "scan_json": "select k as id, season, week as period, round(proj, 4) as total from fx_proj where proj is not null",
+    "scan_json_long": """
+        select k as id, season, week as period, 'receptions' as stat, cast(c2 as double) as value from fx_proj where proj is not null
+        union all select k, season, week, 'targets', cast(c1 as double) from fx_proj where proj is not null""",
+    "scenario_draws": f"with {DRAWS} select gi, k, count(*) as n, round(avg(x), 4) as mean from dr group by gi, k",
+    "sum_distribution": f"""
+        with {DRAWS} select t.gi, t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit
+        from tot t join act a on a.gi = t.gi and a.team = t.team group by t.gi, t.team""",
+    "sd_match": f"""
+        with {DRAWS}, s as (select gi, scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select gi, team, sim, t, avg(t) over (partition by gi, team) as m from tot) t, range(5, 16) g(scale) group by gi, scale)
+        select gi, scale, round(sd, 4) as sd from s""",
+}
+
+
+@pytest.mark.parametrize("name", ALL_PERIODS)
+def test_all_periods(spark, con, name):  # noqa: F811
+    assert_equals(spark, con, name, ALL_PERIODS[name])
+
+
+def test_dev_scoring_scores_each_season_but_the_first(spark):
+    """The same bands, made season by season."""
+    games = view(spark, SF, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj")).cache()
+    seasons = sorted(r["season"] for r in games.select("season").distinct().collect())
+    want = {}
+    for season in seasons[1:]:
+        t = dist.residual_bands(games.where(F.col("season") < season), ["position"], "e", "proj", 3, 19, 200)
+        scored = dist.apply_bands(games.where(F.col("season") == season), t, ["position"], "proj")
+        hit = dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double")
+        for r in scored.groupBy("position").agg(F.count("*").alias("n"), F.avg(dist.crps(F.col("q"), F.col("actual"), 19)).alias("crps"), F.avg(hit).alias("hit")).collect():
+            want[season, r["position"]] = (r["n"], pytest.approx(r["crps"], abs=1e-4), pytest.approx(r["hit"], abs=1e-4))
+    got = registry.queries()["dev_scoring"](spark, SF).collect()
+    assert {r["season"] for r in got} == set(seasons[1:]) and len(seasons) > 4
+    assert {(r["season"], r["position"]): (r["n"], r["crps"], r["coverage"]) for r in got} == want
