@@ -1,10 +1,10 @@
-"""Exact n-gram Jaccard self-join of documents by a grouped prefix join.
+"""Exact n-gram Jaccard self-join of documents by a prefix join.
 
 A document is its set of word n-grams. Two sets whose Jaccard similarity reaches the threshold share an n-gram among
 the first few of each, in any order that is the same for all; the order here is by how often an n-gram's cell of a
-fixed-size count sketch occurs in the corpus, rare first. Documents with equal prefix and size form one group, and only
-groups are filed under their prefix n-grams. Groups that meet under an n-gram and pass the size filter are expanded
-into their members, the distinct sets, and these are verified on whole sets.
+fixed-size count sketch occurs in the corpus, rare first. Documents of one task with equal prefix and size are
+packed as one group on their way to the n-grams' tasks. There groups are expanded into their members, the distinct
+sets; all filters and pairs work on members, and these are verified on whole sets.
 
 What is asked for is the classes of linked documents, so pairs are not listed where they tell nothing new. Under each
 n-gram the members are first verified against a few leaders. Members that then are in one class need no further
