@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,11 @@ BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the session's Arrow batches are made fit for texts (a smaller setting stays)."""
+    """A given table, for the registered queries.
+
+    They run in sessions that others make. Where such a session leaves the Arrow batch size at its default it is made
+    fit for texts, for as long as the session lives, as plans run after this call; a smaller setting stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -32,12 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none."""
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
+
+    Without that setting a local session gets a folder of its own; a cluster has to name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), f"spark-{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,6 +85,8 @@ def in_batches(
         for batch in slices(batches):
             if (out := step(batch)) is not None:
                 yield out
+        del step
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -85,6 +100,49 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker lives on after its task, and what it keeps adds to the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Columns split into byte planes and compressed."""
+    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(d).itemsize, n).T).view(d).ravel() for d, n, b in planes]
+
+
+#: Parts that one task merges.
+FAN = 64
+
+
+def merged_pieces(parts: DataFrame, tasks: int, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """`part`, `piece`, `data` (a packed array): the pieces of all tasks merged by `add`, as a tree of fan-in FAN.
+
+    A task merges FAN arrays one after another, whatever the number of tasks; one array for each piece is returned.
+    """
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        total = unpack(rows["data"].iloc[0])[0]
+        for data in rows["data"].iloc[1:]:
+            total = add(total, unpack(data)[0])
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "piece": [int(rows["piece"].iloc[0])], "data": [pack([total])]})
+
+    while True:
+        tasks = -(-tasks // FAN)
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("piece", "part").applyInPandas(merge, "part long, piece long, data binary")
+        if tasks <= 1:
+            return [unpack(r["data"])[0] for r in sorted(parts.collect(), key=lambda r: r["piece"])]
+
+
 def local_path(uri: str) -> str:
     """A POSIX path for `file:` URIs and plain paths (a mounted shared folder)."""
     if uri.startswith("file:"):
