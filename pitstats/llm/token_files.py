@@ -13,7 +13,9 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -29,8 +31,13 @@ from pyspark.sql import functions as F
 
 from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir, slices, texts_of
 
-#: Words kept by a worker before the store starts anew.
-CACHE = 1_200_000
+#: Words, stems, and characters of stems kept by a worker before its stores start anew.
+CACHE, STEMS, STEM_CHARS = 900_000, 800_000, 16_000_000
+#: Marks that are split off a word's end.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+#: Pre-tokenisation patterns that leave white space out, so that what stands between blanks is independent, and that
+#: end a run of letters at any mark: fixed values, compared with the tokenizer file's own.
+APART = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
 _DOC = np.dtype([("known", "<i8"), ("id", "<i8")])
 
 
@@ -38,7 +45,8 @@ class WordEncoder:
     """Ids of a text whose tokenizer drops white space, so that words between blanks are independent.
 
     Each distinct word goes through the library once; a text's ids are its words' ids in order. New words are given to
-    the library some thousands at a time, in one text with a special token between them.
+    the library some thousands at a time, in one text with a special token between them. Where the file lower-cases,
+    a word is put together from its lower-case stem and the marks at its end. Whether all this holds     from the tokenizer file; texts of other tokenizers go through the library whole.
     """
 
     #: Words in one call.
@@ -53,11 +61,18 @@ class WordEncoder:
         self.kind = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.chars = 0
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not t[1].single_word]
         self.mark_id, self.mark = (special[-1][0], special[-1][1].content) if special else (None, None)
-        probe = ["Ab, it's x1!", "one", "two"]
-        apart = [i for w in probe for i in self._ids([w])[0]]
-        self.splits = self._ids(["\n".join(probe)])[0] == apart == self._ids(["  ".join(probe) + " "])[0]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        patterns = {x["pattern"].get("Regex") for x in splits if x["behavior"] == "Removed" and x["invert"]}
+        whole = not any(t[1].single_word or t[1].lstrip or t[1].rstrip for t in self.tokenizer.get_added_tokens_decoder().items())
+        self.splits = len(splits) == 1 and patterns <= APART and bool(patterns) and whole and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        self.folds = self.splits and "Lowercase" in steps
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,13 +80,33 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, ids).tobytes() for ids in self._ids(texts)]
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A stem and marks whose ids, one after the other, are the word's."""
+        stem = word.rstrip(MARKS)
+        if not self.folds or not stem.isalpha() or "\u03a3" in stem or not unicodedata.is_normalized("NFC", stem):
+            return word, ""
+        low = stem.lower()
+        return (low, word[len(stem) :]) if len(low) == len(stem) else (word, "")
+
     def _learn(self, words: list[str]) -> None:
         """Fills `known` for words that are not in it."""
+        made = [self._parts(w) for w in words]
+        stems = self.stems
+        if fresh := set(chain.from_iterable(made)).difference(stems):
+            if len(stems) + len(fresh) > STEMS or self.chars > STEM_CHARS:
+                stems = self.stems = {"": b""}
+                self.chars, fresh = 0, set(chain.from_iterable(made)) - {""}
+            self._ask(list(fresh))
+        self.known.update((w, stems[x] + stems[y] if y else stems[x]) for w, (x, y) in zip(words, made))
+
+    def _ask(self, words: list[str]) -> None:
+        """Fills `stems` by the library."""
+        self.chars += sum(map(len, words))
         if self.mark is None:
-            self.known.update(zip(words, self._encoded(words)))
+            self.stems.update(zip(words, self._encoded(words)))
             return
         apart = [w for w in words if self.mark[0] in w]  # may hold the mark
-        self.known.update(zip(apart, self._encoded(apart)))
+        self.stems.update(zip(apart, self._encoded(apart)))
         rest = [w for w in words if self.mark[0] not in w]
         for at in range(0, len(rest), self.TOGETHER):
             some = rest[at : at + self.TOGETHER]
@@ -79,7 +114,7 @@ class WordEncoder:
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             data, width = ids.tobytes(), self.dtype.itemsize
             begin = [0, *((e + 1) * width for e in ends)]
-            self.known.update((w, data[b : e * width]) for w, b, e in zip(some, begin, ends))
+            self.stems.update((w, data[b : e * width]) for w, b, e in zip(some, begin, ends))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of `dtype`; the texts' new words are learned together."""
