@@ -1,21 +1,25 @@
-"""Exact n-gram Jaccard self-join of documents by a prefix join.
+"""Exact n-gram Jaccard self-join of documents by a grouped prefix join.
 
 A document is its set of word n-grams. Two sets whose Jaccard similarity reaches the threshold share an n-gram among
 the first few of each, in any order that is the same for all; the order here is by how often an n-gram's cell of a
-fixed-size count sketch occurs in the corpus, rare first. Documents of one task with equal prefix and size are
-packed as one group on their way to the n-grams' tasks. There groups are expanded into their members, the distinct
-sets; all filters and pairs work on members, and these are verified on whole sets.
+fixed-size count sketch occurs in the corpus, rare first. Sets with identical prefixes and sizes are one group; only
+groups are filed under n-grams. Pairs of groups that meet there are filtered by size, by their places in the prefixes
+and by how many prefix n-grams they share; what is left is expanded into pairs of members, which are verified on whole
+sets.
 
 What is asked for is the classes of linked documents, so pairs are not listed where they tell nothing new. Under each
-n-gram the members are first verified against a few leaders. Members that then are in one class need no further
-look; of the rest all pairs between classes are verified that pass the prefix filter of their two sizes. No link between different texts is lost, and a large group
-of near copies costs a few comparisons per member.
+n-gram the groups first meet a few leaders, and each member one member of the other group; likewise within a group.
+Groups whose members then are all in one class need no further look at each other; of the rest all pairs are filtered,
+expanded, and verified between classes. No link between different texts is lost, and a large number of near copies
+costs a few comparisons each.
 
-Hash sizes: an n-gram and a set are known by 64 bits each.
+Hash sizes: an n-gram is known by 64 bits, so two different n-grams of one pair of sets are taken for one with a chance
+of size * size / 2^64; groups and sets are known by 128 bits each.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own class; a text of fewer
-than n words is one n-gram; equal sets are linked; rows of one id share its class only if their sets are linked; rows
-without an id are linked with nothing and have no class; an empty table gives no rows; other columns are ignored.
+than n words is one n-gram; texts may be of any length (one text's n-grams are held at a time); equal sets are linked;
+rows of one id share its class only if their sets are linked; rows without an id are linked with nothing and have no
+class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,27 +27,24 @@ from __future__ import annotations
 import hashlib
 import re
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import bytes_of, doc_columns, in_batches, slices, written
+from pitstats.llm.common import bytes_of, doc_columns, in_batches, merged_pieces, pack, slices, trim, unpack, written
 from pitstats.llm.components import components
-from pitstats.llm.suffix_dedup import pack, unpack
 
 N, THRESHOLD = 5, Fraction(80, 100)
 #: Cells of the count sketch (a fixed 4 MB) and the blocks in which it is summed.
 CELLS, BLOCKS = 1 << 20, 64
 #: Leaders under each n-gram.
 LEADERS = 5
-#: Bits of the fixed-size filter on documents that are to be verified (2 MB).
-FILTER_BITS = 1 << 24
+#: Bits of the filter on documents that are to be verified, per document and at most (64 MB).
+FILTER_RATE, FILTER_BITS = 16, 1 << 29
 #: N-grams for which one bucket of prefixes is made, and prefix n-grams that a task holds before it deals them out.
-POSTINGS, FLUSH = 4_000_000, 1_500_000
+POSTINGS, FLUSH = 4_000_000, 600_000
 #: A cell is crowded at so many times the mean count (and 1,000 more).
 CROWDED = 20
 _U = np.uint64
@@ -161,42 +162,50 @@ def similar(common, a, b, threshold: Fraction):
     return threshold.denominator * common >= threshold.numerator * (a + b - common)
 
 
-def _hash64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _hash128(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+_PROFILE = "doc_id long, h long, size long, set binary, part long, piece long, data binary"
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size and set of each document; and, as rows with a block, each task's part of the count sketch."""
-    width = CELLS // BLOCKS
+    """doc_id, text hash, size and set of each document; and, as rows with a piece, each task's part of the sketch."""
+    names = [f.split()[0] for f in _PROFILE.split(", ")]
 
     def run(batches):
-        shingler, counts = Shingler(n), np.zeros(CELLS, np.int32)
+        from pyspark import TaskContext
+
+        shingler, counts = Shingler(n), np.zeros(CELLS, np.uint32)
         for batch in slices(batches):
             sizes, keys = [], []
             for found in shingler.shingles(bytes_of(batch)):
                 np.add.at(counts, (found >> _U(44)).astype(np.int64), 1)
                 sizes.append(len(found))
-                keys.append(_hash64(found.tobytes()) if len(found) else None)
+                keys.append(_hash128(found.tobytes()) if len(found) else None)
             k = len(sizes)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set", "block", "counts"])
-        blocks = [pack([counts[i : i + width]]) for i in range(0, CELLS, width)]
-        columns = [pa.nulls(BLOCKS, pa.int64()) for _ in range(3)] + [pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "set", "block", "counts"])
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+        width = CELLS // BLOCKS
+        pieces = [pack([counts[i : i + width]]) for i in range(0, CELLS, width)]
+        part = TaskContext.get().partitionId()
+        columns = [pa.nulls(BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        columns += [pa.array([part] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int64()), pa.array(pieces, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+        del shingler, counts
+        trim()
 
-    return docs.mapInArrow(run, "doc_id long, size long, set long, block int, counts binary")
+    return docs.mapInArrow(run, _PROFILE)
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """How many documents have an n-gram in each cell; a fixed number of cells whatever the corpus."""
+def _saturated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.int64) + y, np.iinfo(np.uint32).max).astype(np.uint32)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(np.add, (unpack(c)[0].astype(np.int64) for c in rows["counts"]))
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [pack([total])]})
 
-    rows = parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    out = np.concatenate([unpack(r["counts"])[0] for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(CELLS, np.int64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+def _sketch(parts: DataFrame, tasks: int) -> np.ndarray:
+    """How many documents have an n-gram in each cell; a fixed number of cells whatever the corpus."""
+    found = merged_pieces(parts, tasks, _saturated)
+    return np.concatenate(found) if found else np.zeros(CELLS, np.uint32)
 
 
 def _ordered(found: np.ndarray, counts: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -209,134 +218,175 @@ def _ordered(found: np.ndarray, counts: np.ndarray, threshold: Fraction) -> np.n
     return found[np.lexsort((found, key))][:size]
 
 
+_DEALT = "bucket int, crowded boolean, data binary, gid binary, set binary, size long, doc_id long"
+
+
 def _deal_postings(docs: DataFrame, shared, n: int, threshold: Fraction, buckets: int) -> DataFrame:
-    """Groups under their prefix n-grams, packed by bucket of the n-gram.
+    """Groups under their prefix n-grams, packed by bucket of the n-gram; and, as rows with a gid, their members.
 
-    N-grams of crowded cells surely meet others; they are marked as such and dealt by member, so that no bucket gets a
-    long list.
+    N-grams of crowded cells surely meet others; they are marked as such and dealt by group too, so that no bucket gets
+    a long list.
     """
+    names = [f.split()[0] for f in _DEALT.split(", ")]
+    kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches):
         shingler = Shingler(n)
         counts, crowded = shared.value
-        groups: dict[int, np.ndarray] = {}
-        members: dict[int, tuple[int, int, int]] = {}  # set -> group, size, a document
+        groups: dict[bytes, tuple[int, np.ndarray]] = {}  # group -> size, prefix
+        members: dict[bytes, tuple[bytes, int, int]] = {}  # set -> group, size, a document
         held = 0
 
         def deal():
-            names = np.array(list(groups), np.int64)
-            token = np.concatenate(list(groups.values()))
-            grp = np.repeat(np.arange(len(names)), [len(g) for g in groups.values()])
-            pos = np.concatenate([np.arange(len(g), dtype=np.uint32) for g in groups.values()])
-            place = {g: i for i, g in enumerate(groups)}
-            sets = np.array(list(members), np.int64)
-            of, size, doc = (np.array(c, np.int64) for c in zip(*((place[g], k, d) for g, k, d in members.values())))
-            order = np.argsort(of, kind="stable")
-            sets, of, size, doc = sets[order], of[order], size[order], doc[order]
+            ids = np.frombuffer(b"".join(groups), "<u8").reshape(-1, 2)
+            size = np.array([k for k, _ in groups.values()], np.uint32)
+            token = np.concatenate([p for _, p in groups.values()])
+            times = [len(p) for _, p in groups.values()]
+            grp = np.repeat(np.arange(len(size)), times)
+            pos = np.concatenate([np.arange(k, dtype=np.uint32) for k in times])
             many = crowded[(token >> _U(44)).astype(np.int64)]
-            bucket = np.where(many, (token + names[grp].astype(np.uint64)) % _U(buckets), (token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            bucket = np.where(many, (token + ids[grp, 0]) % _U(buckets), (token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
             order = np.lexsort((token, many, bucket))
             token, grp, pos, many, bucket = token[order], grp[order], pos[order], many[order], bucket[order]
-            kinds, numbers, blobs = [], [], []
+            out = [], [], []
             cuts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (many[1:] != many[:-1]), [True])))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, local = np.unique(grp[i:j], return_inverse=True)
-                there = np.isin(of, own)
-                numbers.append(int(bucket[i]))
-                kinds.append(bool(many[i]))
-                blobs.append(pack([
-                    token[i:j], local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32),
-                    np.searchsorted(own, of[there]).astype(np.uint32), sets[there], size[there].astype(np.uint32), doc[there], pos[i:j],
-                ]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "crowded", "data"]
-            )
+                kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+                out[0].append(int(bucket[i]))
+                out[1].append(bool(many[i]))
+                out[2].append(pack([token[i:j], local.astype(kind), pos[i:j], ids[own, 0], ids[own, 1], size[own]]))
+            k = len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds)), *(pa.nulls(k, t) for t in kinds[3:])], names)
+            k = len(members)
+            gid, size, doc = zip(*members.values())
+            columns = [pa.array(c, t) for c, t in zip((gid, list(members), size, doc), kinds[3:])]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:3]), *columns], names)
 
         for batch in slices(batches):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingler.shingles(bytes_of(batch))):
                 if not len(found):
                     continue
-                key = _hash64(found.tobytes())
+                key = _hash128(found.tobytes())
                 if key in members:
+                    gid, size, doc = members[key]
+                    members[key] = gid, size, min(doc, doc_id)
                     continue
                 prefix = _ordered(found, counts, threshold)
-                grp = _hash64(prefix.tobytes() + len(found).to_bytes(8, "little"))
-                members[key] = (grp, len(found), doc_id)
-                if grp not in groups:
-                    groups[grp] = prefix
+                gid = _hash128(prefix.tobytes() + len(found).to_bytes(8, "little"))
+                members[key] = gid, len(found), doc_id
+                if gid not in groups:
+                    groups[gid] = len(found), prefix
                     held += len(prefix)
             if held > FLUSH:
-                yield deal()
+                yield from deal()
                 groups, members, held = {}, {}, 0
         if groups:
-            yield deal()
-
-    return docs.where("doc_id is not null").mapInArrow(run, "bucket int, crowded boolean, data binary")
-
-
-def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: n-grams under which several sets are filed, each with its members."""
-    out = []
-    for crowded in (False, True):
-        parts = [unpack(d) for d in rows["data"][rows["crowded"] == crowded]]
-        if not parts:
-            continue
-        # each group's members stand together in its blob
-        token = np.concatenate([p[0] for p in parts])
-        base = np.cumsum([0, *(int(p[2].max()) + 1 for p in parts)])
-        grp = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base)])
-        of = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(parts, base)])
-        sets, size, doc = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-        pos = np.concatenate([p[6] for p in parts])
-        first = np.searchsorted(of, np.arange(base[-1] + 1))
-        order = np.argsort(token, kind="stable")
-        token, grp, pos = token[order], grp[order], pos[order]
-        new = np.concatenate(([True], token[1:] != token[:-1]))
-        times = first[grp + 1] - first[grp]
-        run = np.cumsum(new) - 1
-        keep = (np.bincount(run, times)[run] > 1) | crowded
-        token, grp, pos, times = token[keep], grp[keep], pos[keep], times[keep]
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[grp], times)
-        table = pd.DataFrame({"token": np.repeat(token.view(np.int64), times), "set": sets[at], "size": size[at].astype(np.int64), "doc_id": doc[at], "pos": np.repeat(pos, times).astype(np.int64)})
-        table = table.drop_duplicates(["token", "set"])
-        out.append(table if crowded else table[table.duplicated("token", keep=False)])
-    return pd.concat(out)
+            yield from deal()
+        del shingler, groups, members
+        trim()
+
+    return docs.where("doc_id is not null").mapInArrow(run, _DEALT)
+
+
+def _sixteen(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(np.stack((one, two), axis=1))
+    return pa.Array.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _meetings(dealt: DataFrame, buckets: int) -> DataFrame:
+    """N-grams under which several groups are filed, with each of these; one partition is one bucket."""
+    names = ["token", "gid", "size", "pos", "crowded"]
+
+    def run(batches):
+        parts: dict[bool, list] = {False: [], True: []}
+        for batch in batches:
+            for crowded, data in zip(batch.column("crowded").to_pylist(), batch.column("data").to_pylist()):
+                parts[crowded].append(unpack(data))
+        for crowded, own in parts.items():
+            if not own:
+                continue
+            token = np.concatenate([p[0] for p in own])
+            base = np.cumsum([0, *(len(p[3]) for p in own)])
+            grp = np.concatenate([p[1].astype(np.uint32) + np.uint32(b) for p, b in zip(own, base)])
+            pos, one, two, size = (np.concatenate([p[i] for p in own]) for i in (2, 3, 4, 5))
+            own.clear()
+            order = np.argsort(token, kind="stable")
+            if not crowded:  # most n-grams are filed once
+                sorted_ = token[order]
+                again = np.zeros(len(order), bool)
+                again[1:] = sorted_[1:] == sorted_[:-1]
+                again[:-1] |= again[1:]
+                order = order[again]
+            token, grp, pos = token[order], grp[order], pos[order]
+            order = np.lexsort((two[grp], one[grp], token))
+            token, grp, pos = token[order], grp[order], pos[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (one[grp[1:]] != one[grp[:-1]]) | (two[grp[1:]] != two[grp[:-1]])
+            token, grp, pos = token[new], grp[new], pos[new]
+            if not crowded:
+                again = np.zeros(len(token), bool)
+                again[1:] = token[1:] == token[:-1]
+                again[:-1] |= again[1:]
+                token, grp, pos = token[again], grp[again], pos[again]
+            for i in range(0, len(token), 100_000):
+                t, g, p = token[i : i + 100_000], grp[i : i + 100_000], pos[i : i + 100_000]
+                columns = [pa.array(t.view(np.int64)), _sixteen(one[g], two[g]), pa.array(size[g].astype(np.int64)), pa.array(p.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(t), crowded))], names)
+        trim()
+
+    rows = dealt.where("data is not null").select("bucket", "crowded", "data").repartitionById(buckets, "bucket")
+    return rows.mapInArrow(run, "token long, gid binary, size long, pos long, crowded boolean")
+
+
+def _vertex(doc: Column, set_: Column) -> Column:
+    """A set as a key in the order of its smallest document's id: that id, then the set's hash."""
+    return F.concat(F.unhex(F.lpad(F.hex(doc.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), set_)
+
+
+def _vertex_doc(vertex: Column) -> Column:
+    return F.conv(F.hex(F.substring(vertex, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _vertex_set(vertex: Column) -> Column:
+    return F.substring(vertex, 9, 16)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """`set` and its sorted n-grams, of the wanted sets; `wanted` names a document of each.
+    """`v` and its set's sorted n-grams, of the wanted vertices.
 
-    A fixed-size filter on ids keeps most other documents' texts from being shuffled; the join is exact.
+    A filter of bounded size on ids keeps most other documents' texts from being shuffled; the join is exact.
     """
+    wanted = wanted.select("v", _vertex_doc(F.col("v")).alias("doc_id"), _vertex_set(F.col("v")).alias("set"))
+    bits = 1 << 20
+    while bits < min(FILTER_BITS, FILTER_RATE * wanted.count()):
+        bits *= 2
 
-    def bits(batches):
-        out = np.zeros(FILTER_BITS // 8, np.uint8)
+    def marks(batches):
+        from pyspark import TaskContext
+
+        out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            h = batch.column("h").to_numpy().astype(np.uint64) & _U(FILTER_BITS - 1)
+            h = batch.column("h").to_numpy().astype(np.uint64) & _U(bits - 1)
             np.bitwise_or.at(out, (h >> _U(3)).astype(np.int64), (1 << (h & _U(7)).astype(np.uint8)).astype(np.uint8))
         width = len(out) // BLOCKS
-        used = [i for i in range(BLOCKS) if out[i * width : (i + 1) * width].any()]
-        blocks = [out[i * width : (i + 1) * width].tobytes() for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], ["block", "bits"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in rows["bits"]))
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [total.tobytes()]})
+        part = TaskContext.get().partitionId()
+        pieces = [pack([out[i : i + width]]) for i in range(0, len(out), width)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int64()), pa.array(pieces, pa.binary())], ["part", "piece", "data"]
+        )
 
-    rows = (
-        wanted.select(F.xxhash64("doc_id").alias("h")).mapInArrow(bits, "block int, bits binary")
-        .groupBy("block").applyInPandas(merge, "block int, bits binary").collect()
-    )
-    mask, width = np.zeros(FILTER_BITS // 8, np.uint8), FILTER_BITS // 8 // BLOCKS
-    for r in rows:
-        mask[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    hashed = wanted.select(F.xxhash64("doc_id").alias("h")).coalesce(256)
+    found = merged_pieces(hashed.mapInArrow(marks, "part long, piece long, data binary"), 256, np.bitwise_or)
+    shared = docs.sparkSession.sparkContext.broadcast(np.concatenate(found) if found else np.zeros(bits // 8, np.uint8))
 
     def make_filter():
+        mask = shared.value
+
         def step(batch):
-            h = batch.column("h").to_numpy().astype(np.uint64) & _U(FILTER_BITS - 1)
-            keep = shared.value[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8) & 1
-            return batch.filter(pa.array(keep.astype(bool))).drop_columns(["h"])
+            h = batch.column("k").to_numpy().astype(np.uint64) & _U(bits - 1)
+            keep = mask[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8) & 1
+            return batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
 
         return step
 
@@ -345,49 +395,37 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
         def step(batch):
             found = shingler.shingles(bytes_of(batch))
-            keys = [_hash64(f.tobytes()) for f in found]
-            keep = [i for i, (k, w) in enumerate(zip(keys, batch.column("set").to_pylist())) if k == w]
+            keep = [i for i, (f, w) in enumerate(zip(found, batch.column("set").to_pylist())) if _hash128(f.tobytes()) == w]
             return pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in keep], pa.int64()), pa.array([_short(found[i]) for i in keep], pa.binary())],
-                ["set", "grams"],
+                [batch.column("v").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["v", "grams"]
             )
 
         return step
 
-    near = in_batches(docs.withColumn("h", F.xxhash64("doc_id")), make_filter, "doc_id long, text string")
-    return in_batches(near.join(wanted, "doc_id"), make_sets, "set long, grams binary")
-
-
-def _short(grams: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes: enough within one pair, and a quarter less to move."""
-    return (grams >> _U(16)).astype("<u4").tobytes() + (grams >> _U(48)).astype("<u2").tobytes()
-
-
-def _grams(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << _U(32)
+    near = in_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")), make_filter, "doc_id long, text string")
+    # rows of one id and one set give one and the same entry
+    return in_batches(near.join(wanted, "doc_id"), make_sets, "v binary, grams binary").dropDuplicates(["v"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs `a`, `b` of sets that are similar enough, compared on whole sets."""
+    """The pairs `a`, `b` of vertices that are similar enough, compared on whole sets."""
 
     def make():
         def step(batch):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = np.concatenate((_grams(x), _grams(y)))
-                both.sort()
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+                both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                x, y = len(x) // 6, len(y) // 6
-                keep.append(bool(similar(common, x, y, threshold)))
+                keep.append(bool(similar(common, len(x) // 8, len(y) // 8, threshold)))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    joined = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("set").alias("b"), F.col("grams").alias("y")), "b"
+    joined = pairs.join(sets.select(F.col("v").alias("a"), F.col("grams").alias("x")), "a").join(
+        sets.select(F.col("v").alias("b"), F.col("grams").alias("y")), "b"
     )
-    return in_batches(joined.select("a", "b", "x", "y"), make, "a long, b long")
+    return in_batches(joined.select("a", "b", "x", "y"), make, "a binary, b binary")
 
 
 def _size_filter(x, y, threshold: Fraction):
@@ -410,108 +448,159 @@ def _first_meeting(size, pos, size2, pos2, threshold: Fraction):
 
 
 def _promising(pairs: DataFrame, postings: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs that share enough n-grams of their prefixes, with a document of each (`da`, `db`).
+    """The pairs of groups `ga`, `gb` that share enough n-grams of their prefixes.
 
     N-grams in common beyond the shorter-reaching prefix are at most what is left of that set, so the prefixes must
-    share the rest of the overlap that the threshold asks for. N-grams with one set only can't be shared and needn't
+    share the rest of the overlap that the threshold asks for. N-grams with one group only can't be shared and needn't
     be looked at.
     """
-    own = postings.groupBy("set").agg(
-        F.collect_set("token").alias("tokens"), F.first("size").alias("size"), F.min("doc_id").alias("doc")
-    )
-    side = lambda n: own.select(F.col("set").alias(n), F.col("tokens").alias(f"t{n}"), F.col("size").alias(f"n{n}"), F.col("doc").alias(f"d{n}"))
+    own = postings.groupBy("gid").agg(F.collect_set("token").alias("tokens"), F.first("size").alias("size"))
+    side = lambda n: own.select(F.col("gid").alias(f"g{n}"), F.col("tokens").alias(f"t{n}"), F.col("size").alias(f"n{n}"))
     up, down = threshold.numerator, threshold.denominator
     overlap = _overlap(F.col("na"), F.col("nb"), threshold)
     # a prefix of p of n leaves n - p = ceil(n * threshold) - 1
     left = F.ceil(F.greatest("na", "nb") * up / F.lit(float(down)) - 1e-9) - 1
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.where(F.size(F.array_intersect("ta", "tb")) >= overlap - left).select("a", "b", "da", "db")
+    joined = pairs.join(side("a"), "ga").join(side("b"), "gb")
+    return joined.where(F.size(F.array_intersect("ta", "tb")) >= overlap - left).select("ga", "gb")
+
+
+def _ordered_pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, postings: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """Those of the pairs that are similar, by whole sets of the promising ones."""
-    near = written(_promising(pairs, postings, threshold), "promising")
-    wanted = near.select(F.col("a").alias("set"), F.col("da").alias("doc_id")).union(near.select("b", "db")).distinct()
-    sets = written(_sets_of(docs, wanted, n), "sets")
-    return _verified(near.select("a", "b"), sets, threshold)
+def _compared(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Those of the pairs of vertices that are similar, by their whole sets."""
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    return _verified(pairs, written(_sets_of(docs, wanted, n), "sets"), threshold)
 
 
 def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
-    """Members against a few leaders of their n-gram: the one whose prefix is most shared, and some by hash."""
-    weight = postings.groupBy("set").agg((-F.count("*") / F.first("size")).alias("w"))
-    ranked = postings.join(weight, "set")
-    entry = F.struct("set", "size", "pos")
-    ranks = [F.struct("w", "set"), *(F.xxhash64("set", F.lit(i)) for i in range(1, LEADERS))]
+    """Groups against a few leaders of their n-gram: the one whose prefix is most shared, and some by hash."""
+    weight = postings.groupBy("gid").agg((-F.count("*") / F.first("size")).alias("w"))
+    ranked = postings.join(weight, "gid")
+    entry = F.struct("gid", "size", "pos")
+    ranks = [F.struct("w", "gid"), *(F.xxhash64("gid", F.lit(i)) for i in range(1, LEADERS))]
     leaders = (
         ranked.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), entry.alias("e"))).alias(f"l{i}") for i, r in enumerate(ranks)))
         .select("token", F.array_distinct(F.array(*(F.col(f"l{i}.e") for i in range(LEADERS)))).alias("leaders"))
     )
     both = postings.join(leaders, "token")
     fits = F.filter(
-        "leaders", lambda e: (e["set"] != F.col("set")) & _first_meeting(e["size"], e["pos"], F.col("size"), F.col("pos"), threshold)
+        "leaders", lambda e: (e["gid"] != F.col("gid")) & _first_meeting(e["size"], e["pos"], F.col("size"), F.col("pos"), threshold)
     )
-    met = both.select("set", F.transform(fits, lambda e: e["set"]).alias("others")).groupBy("set").agg(
+    met = both.select("gid", F.transform(fits, lambda e: e["gid"]).alias("others")).groupBy("gid").agg(
         F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")
     )
-    return met.select("set", F.explode("others").alias("o")).select(F.least("set", "o").alias("a"), F.greatest("set", "o").alias("b")).distinct()
+    return met.select("gid", F.explode("others").alias("o")).select(F.least("gid", "o").alias("ga"), F.greatest("gid", "o").alias("gb")).distinct()
 
 
-def _rest_pairs(postings: DataFrame, roots: DataFrame, tested: DataFrame, threshold: Fraction) -> DataFrame:
-    """All pairs that meet under an n-gram, are in different classes and have not been compared."""
-    classed = postings.join(roots, postings["set"] == roots["vertex"], "left").select(
-        "token", "set", "size", "pos", F.coalesce("root", "set").alias("root")
-    )
-    mixed = classed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+def _leader_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Each member against the first member of the other group, and of its own."""
+    first = members.groupBy("gid").agg(F.min("v").alias("f"))
+    both = pairs.union(pairs.select("gb", "ga"))
+    across = both.join(members, F.col("ga") == F.col("gid")).select("gb", "v").join(first, F.col("gb") == F.col("gid")).select("v", "f")
+    within = members.join(first, "gid").where("v <> f").select("v", "f")
+    return across.union(within).select(*_ordered_pairs("v", "f")).distinct()
+
+
+def _rest_pairs(postings: DataFrame, threshold: Fraction, members: DataFrame) -> DataFrame:
+    """Pairs of groups that meet under an n-gram and are not all in one class; `members` have roots."""
+    spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    classed = postings.join(spread, "gid")
+    mixed = classed.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("token")
     left = classed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("set", "size", "pos", "root")))
-    pairs = (
-        left.join(right, "token").where("set < set2 and root <> root2")
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "size", "pos", "lo", "hi")))
+    return (
+        left.join(right, "token").where("gid < gid2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
         .where(_first_meeting(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), threshold))
-        .select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
+        .select(F.col("gid").alias("ga"), F.col("gid2").alias("gb")).distinct()
     )
+
+
+def _rest_members(pairs: DataFrame, members: DataFrame, tested: DataFrame) -> DataFrame:
+    """Members of different classes, of the pairs of groups and within groups, that have not been compared."""
+    one = members.select(F.col("gid").alias("ga"), F.col("v").alias("x"), F.col("root").alias("rx"))
+    two = members.select(F.col("gid").alias("gb"), F.col("v").alias("y"), F.col("root").alias("ry"))
+    across = pairs.join(one, "ga").join(two, "gb").where("rx <> ry").select("x", "y")
+    mixed = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
+    inner = members.join(mixed, "gid", "left_semi")
+    within = inner.join(inner.select("gid", F.col("v").alias("y"), F.col("root").alias("ry")), "gid").where("v < y and root <> ry")
+    pairs = across.union(within.select("v", "y")).select(*_ordered_pairs("x", "y")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def linked_sets(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of all documents, roots of the sets that are linked with another set)."""
     spark = docs.sparkSession
-    first = written(_first_pass(docs, n), "profiles")
-    profiles = first.where("block is null").select("doc_id", "size", "set")
-    counts = _sketch(first.where("block is not null").select("block", "counts"))
+    made = _first_pass(docs, n)
+    tasks = made.rdd.getNumPartitions()
+    first = written(made, "profiles")
+    profiles = first.where("piece is null").select("doc_id", "h", "size", "set")
+    counts = _sketch(first.where("piece is not null").select("part", "piece", "data"), tasks)
     crowded = counts > CROWDED * max(1.0, counts.mean()) + 1_000
     total = profiles.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, total // POSTINGS)
     shared = spark.sparkContext.broadcast((counts, crowded))
-    dealt = _deal_postings(docs, shared, n, threshold, buckets)
-    met = dealt.groupBy("bucket").applyInPandas(_meet, "token long, set long, size long, doc_id long, pos long")
-    # members of crowded n-grams come from several buckets
-    postings = written(met.groupBy("token", "set", "size", "pos").agg(F.min("doc_id").alias("doc_id")), "postings")
-    tested = written(_leader_pairs(postings, threshold), "pairs")
-    links = written(_compared(docs, tested, postings, n, threshold), "links")
+    dealt = written(_deal_postings(docs, shared, n, threshold, buckets), "prefixes")
+    met = written(_meetings(dealt, buckets), "postings")
+    # crowded n-grams' groups come from several buckets
+    postings = met.where("not crowded").drop("crowded").union(met.where("crowded").drop("crowded").distinct())
+    members = dealt.where("gid is not null").groupBy("gid", "set").agg(F.min("doc_id").alias("doc"))
+    members = written(members.select("gid", _vertex(F.col("doc"), F.col("set")).alias("v")), "members")
+    pairs = written(_promising(_leader_pairs(postings, threshold), postings, threshold), "pairs")
+    tested = written(_leader_members(pairs, members), "tested")
+    links = written(_compared(docs, tested, n, threshold), "links")
     roots = components(links)
-    rest = written(_rest_pairs(postings, roots, tested, threshold), "pairs")
-    return profiles, components(links.unionByName(_compared(docs, rest, postings, n, threshold)))
+    rooted = written(members.join(roots, F.col("v") == F.col("vertex"), "left").select("gid", "v", F.coalesce("root", "v").alias("root")), "rooted")
+    rest = written(_rest_members(_promising(_rest_pairs(postings, threshold, rooted), postings, threshold), rooted, tested), "rest")
+    more = written(_compared(docs, rest, n, threshold), "links")
+    # the trees of the first components stand for their links
+    return profiles, components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _with_roots(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """doc_id, h, size, set, and the smallest vertex of its class, of each row; no vertex without a set or an id."""
+    profiles, roots = linked_sets(docs, n, threshold)
+    sets = profiles.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc"))
+    sets = sets.select("set", _vertex(F.col("doc"), F.col("set")).alias("v"))
+    sets = sets.join(roots, F.col("v") == F.col("vertex"), "left").select("set", F.coalesce("root", "v").alias("root"))
+    return profiles.join(sets, "set", "left").select(
+        "doc_id", "h", "size", "set", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root")
+    )
+
+
+def _docs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = doc_columns(documents, id_col, text_col)
+    return docs.withColumn("h", F.xxhash64("text"))
 
 
 def join_classes(
     documents: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles (the set's size) and component_id (the smallest id reachable by links) of each row."""
-    docs = doc_columns(documents, id_col, text_col)
-    profiles, roots = linked_sets(docs, n, threshold)
-    rooted = profiles.join(roots, profiles["set"] == roots["vertex"], "left").select(
-        "doc_id", "size", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "set")).alias("root")
-    )
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
-    return rooted.join(least, "root", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    rooted = _with_roots(_docs(documents, id_col, text_col), n, threshold)
+    return rooted.select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce(_vertex_doc(F.col("root")), "doc_id").alias("component_id")
     )
 
 
 def keep_one(
     documents: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of the smallest id of each class, with all of their columns; rows without an id stay."""
-    classes = join_classes(documents, n, threshold, id_col, text_col)
-    gone = classes.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return documents.join(gone, id_col, "left_anti")
+    """One row of each class of linked rows, with all of its columns; rows without an id or without words all stay.
+
+    Of a class the row with the smallest id stays; of several rows of that id the one whose set, then whose text, has
+    the least hash; of rows that are equal in id and text, one.
+    """
+    rooted = written(_with_roots(_docs(documents, id_col, text_col), n, threshold).where("root is not null"), "classes")
+    first = rooted.where((F.col("doc_id") == _vertex_doc(F.col("root"))) & (F.col("set") == _vertex_set(F.col("root"))))
+    kept = first.groupBy("doc_id", "set").agg(F.min("h").alias("h")).select("doc_id", "h")
+    gone = rooted.select("doc_id", "h").distinct().join(kept, ["doc_id", "h"], "left_anti")
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    named = documents.select(F.struct(*documents.columns).alias("row"), key[0].alias("doc_id"), key[1].alias("h"))
+    left = named.join(gone, ["doc_id", "h"], "left_anti")
+    again = rooted.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h").join(kept, ["doc_id", "h"], "left_semi")
+    if again.limit(1).count():
+        one = left.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+        left = left.join(again, ["doc_id", "h"], "left_anti").unionByName(one)
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
