@@ -7,13 +7,20 @@ bytes exactly if each adjacent pair is. Its state is therefore finite: for each
 open, the place in the vocabulary's trie, the token that ends there, and the count relative to now. States and
 transitions are compiled when first taken and dropped together when there are too many.
 
-Texts longer than a chunk are cut into chunks that are spread over the cluster. Wherever a letter meets white space
-the machine is in its start state whatever came before, so a chunk's state map is its head (up to the first such
-place), the count between, and its tail (from the last one). Maps compose associatively, by running the machine over
-tail and head; a parallel prefix scan over a text's chunks, pairwise in log steps, gives its count.
-
-Defined results: a null or empty text has 0 bytes and 0 tokens; special strings in a text are one token each, as the
-library's default has it; repeated rows each give their own row; other columns are ignored.
+Texts longer than a chunk are cut into chunks that are spread over the cluster. A chunk's state map says for each entry
+state how many tokens it emits and in which state it leaves. All states meet in the start state wherever a pre-token
+must end (a run of letters or digits at any other character, a mark at a blank or digit, a mark but the apostrophe at a
+letter), so the map is kept as its head (up to the first such place, to be run from the entry state), the count
+between, and its tail (from the last one, run from the start state). Maps compose associatively; a parallel prefix scan
+over a text's chunks composes them pairwise in log steps, and groups of chunks in as many rounds of Spark as a text's
+length needs. Only a run of one kind of character that is longer than a chunk has no such place and is kept as text.
+
+The splitting pattern, the special tokens and the absence of a normalizer are read from the tokenizer file; a file with
+another pattern is refused.
+
+Defined results: a null or empty text has 0 bytes and 0 tokens; texts may be of any length; special strings in a text
+are one token each, as the library's default has it; repeated rows and rows without an id each give their own row; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +39,10 @@ from pitstats.llm.common import in_batches, texts_of
 
 #: Transitions kept by one task before its compiled machine is dropped and compiled anew.
 MAX_TRANSITIONS = 700_000
-#: Characters of a chunk.
-CHUNK = 1 << 15
+#: Characters of a chunk, and chunks that one task composes.
+CHUNK, FAN = 1 << 15, 64
+#: The splitting pattern of the library's byte-level pre-tokenizer, for which the splitter is made: a fixed value.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class MergeMachine:
@@ -159,14 +168,21 @@ class Transducer:
 
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        model = made["model"]
+        model, pre = made["model"], made.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        if model["type"] != "BPE" or not plain or made.get("normalizer") or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback")):
+            raise ValueError(f"{path}: only byte-level BPE with the pattern {PATTERN} and no normalizer")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = MergeMachine(model["vocab"], merges)
         special = sorted((t["content"] for t in made["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))).split if special else None
+        if any(t[k] for t in made["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: special tokens that take blanks or word ends along")
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.kind_of = {"L": regex.compile(r"\p{L}").match, "N": regex.compile(r"\p{N}").match, "W": regex.compile(r"\s").match}
-        self.first_sync = regex.compile(r"(?<=\p{L})(?=\s)").search
-        self.last_sync = regex.compile(r"(?r)(?<=\p{L})(?=\s)").search
+        # places where a pre-token must end; not between characters that follow each other in a special token
+        ends = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})"
+        self.syncs = regex.compile(ends).finditer, regex.compile(f"(?r){ends}").finditer
+        self.inside = {a + b for t in special for a, b in zip(t, t[1:])}
         self.reset()
 
     def reset(self) -> None:
@@ -255,18 +271,17 @@ class Transducer:
         """Tokens of a text that stands between two places where the machine is in its start state."""
         if self.transitions > MAX_TRANSITIONS:
             self.reset()
-        if self.special is None or "<" not in text:
+        if self.special is None or not self.special.search(text):
             return self._run(text)
-        pieces = self.special(text)
+        pieces = self.special.split(text)
         return sum(map(self._run, pieces)) + len(pieces) - 1
 
     def chunk_map(self, text: str) -> tuple[str, int, str | None]:
         """(head, count, tail) of a chunk; (chunk, 0, None) where nothing inside brings the machine to its start."""
-        first = self.first_sync(text)
+        first, last = (next((m.start() for m in find(text) if text[m.start() - 1 : m.start() + 1] not in self.inside), None) for find in self.syncs)
         if first is None:
             return text, 0, None
-        a, b = first.start(), self.last_sync(text).start()
-        return text[:a], self.count(text[a:b]), text[b:]
+        return text[:first], self.count(text[first:last]), text[last:]
 
     def compose(self, x: tuple[str, int, str | None], y: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
         """The state map of one chunk followed by another."""
@@ -331,14 +346,29 @@ def count_tokens(
         return step
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
+        """Neighbouring chunks' maps as one map; rows that are equal in all of the input are counted in `copies`."""
+        machine = transducer(tokenizer_path)
+        one = rows.drop_duplicates("chunk_no").sort_values("chunk_no")
+        maps = [(h, int(n), None if pd.isna(t) else t) for h, n, t in zip(one["head"], one["inner"], one["tail"])]
+        head, inner, tail = machine.scan(maps)[-1]
+        copies = int(rows.loc[rows["chunk_no"] == one["chunk_no"].iloc[0], "copies"].sum())
+        first = one.iloc[0]
+        return pd.DataFrame({
+            "doc_id": [first["doc_id"]], "n_bytes": first["n_bytes"], "text_hash": first["text_hash"], "chunk_no": first["chunk_no"] // FAN,
+            "head": head, "inner": inner, "tail": tail, "copies": copies,
+        }).astype({"doc_id": "Int64"})
+
+    def make_totals():
         machine = transducer(tokenizer_path)
-        copies = int((rows["chunk_no"] == 0).sum())  # equal rows of the input
-        rows = rows.drop_duplicates("chunk_no").sort_values("chunk_no")
-        maps = [(h, int(n), None if pd.isna(t) else t) for h, n, t in zip(rows["head"], rows["inner"], rows["tail"])]
-        total = machine.total(machine.scan(maps)[-1])
-        doc_id = None if pd.isna(rows["doc_id"].iloc[0]) else int(rows["doc_id"].iloc[0])
-        out = pd.DataFrame({"doc_id": [doc_id] * copies, "n_bytes": int(rows["n_bytes"].iloc[0]), "n_tokens": total})
-        return out.astype({"doc_id": "Int64"})
+
+        def step(batch):
+            maps = zip(*(batch.column(c).to_pylist() for c in ("head", "inner", "tail")))
+            counts = pa.array([machine.total(m) for m in maps], pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), counts, batch.column("copies")], ["doc_id", "n_bytes", "n_tokens", "copies"]
+            )
+
+        return step
 
     short = in_batches(docs.where(~is_long), make_short, "doc_id long, n_bytes long, n_tokens long")
     pieces = (
@@ -351,8 +381,14 @@ def count_tokens(
         )
         .repartition("doc_id", "text_hash", "chunk_no")
     )
-    maps = in_batches(
-        pieces, make_chunks, "doc_id long, n_bytes long, text_hash long, chunk_no int, head string, inner long, tail string"
-    )
-    long = maps.groupBy("doc_id", "n_bytes", "text_hash").applyInPandas(compose, "doc_id long, n_bytes long, n_tokens long")
+    schema = "doc_id long, n_bytes long, text_hash long, chunk_no int, head string, inner long, tail string"
+    maps = in_batches(pieces, make_chunks, schema).withColumn("copies", F.lit(1).cast("long"))
+    most = docs.agg(F.max(F.char_length("text"))).first()[0] or 0
+    chunks = -(-most // chunk)
+    while chunks > 1:
+        group = F.floor(F.col("chunk_no") / FAN).alias("group")
+        maps = maps.groupBy("doc_id", "n_bytes", "text_hash", group).applyInPandas(lambda rows: compose(rows), schema + ", copies long")
+        chunks = -(-chunks // FAN)
+    long = in_batches(maps, make_totals, "doc_id long, n_bytes long, n_tokens long, copies long")
+    long = long.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
