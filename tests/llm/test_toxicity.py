@@ -42,6 +42,14 @@ def test_held_out_accuracy(spark):
     assert kept == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_held_out_recall_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = tx.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    found = [r.toxic for r in rows if r.predicted]
+    assert sum(found) / sum(r.toxic for r in rows) >= 0.9 and sum(found) / len(found) >= 0.95
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = corpus(300)
     df = spark.createDataFrame(docs, "doc_id long, text string, y int, score double")
@@ -62,7 +70,7 @@ def test_non_negative_fit_separates():
     rng = np.random.default_rng(0)
     x = rng.random((600, 20)) < 0.3
     y = x[:, 0] & x[:, 1]
-    rows = lambda a: tx.Rows([np.flatnonzero(r) for r in a])
+    rows = lambda a: tx.Rows([(np.flatnonzero(r), np.ones(int(r.sum()))) for r in a])
     w, b = tx.fit_pu(rows(x[y]), rows(x), 20, float(y.mean()), 0)
     score = x @ w + b
     assert score[y].min() > score[~y].mean() and w[0] > 0 and w[1] > 0
