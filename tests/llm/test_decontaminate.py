@@ -20,6 +20,17 @@ def least_edits(item: bytes, text: bytes) -> int:
     return best
 
 
+def distance(a: bytes, b: bytes) -> int:
+    """Edits between two whole strings."""
+    row = list(range(len(a) + 1))
+    for j, c in enumerate(b, 1):
+        new = [j]
+        for i, x in enumerate(a, 1):
+            new.append(min(row[i - 1] + (x != c), row[i] + 1, new[i - 1] + 1))
+        row = new
+    return row[-1]
+
+
 def edited(r, text, n):
     chars = list(text)
     for _ in range(n):
@@ -53,13 +64,17 @@ def test_against_full_table(spark):
     for d, text in docs:
         for i, item in items:
             a, b = dc.normalised(item or ""), dc.normalised(text or "")
-            if len(a) >= dc.Q and (e := least_edits(a, b)) <= dc.budget(len(a)):
+            if a and (e := least_edits(a, b)) <= dc.budget(len(a)):
                 expected.append((d, i, e))
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.doc_id, r.item_id, r.edits) for r in dc.matches(df, bench).collect()]
+    rows = dc.matches(df, bench).collect()
+    got = [(r.doc_id, r.item_id, r.edits) for r in rows]
     assert len(expected) > 40
     assert sorted(got, key=str) == sorted(expected, key=str)
+    texts = [(d, dc.normalised(t or "")) for d, t in docs]
+    for r in rows:  # the passage from start to end is as many edits from the whole item
+        assert r.edits in [distance(dc.normalised(items[r.item_id][1]), t[r.start : r.end]) for d, t in texts if d == r.doc_id]
     kept = sorted((r.doc_id, r.text, r.item_id) for r in dc.drop_contaminated(df, bench).where("doc_id is not null").collect() if r.text is not None)
     hit = {(d, dc.normalised(t or "")) for d, t in docs for i, item in items if (d, i) in {(x, y) for x, y, _ in expected} and least_edits(dc.normalised(item or ""), dc.normalised(t or "")) <= dc.budget(len(dc.normalised(item or "")))}
     assert kept == sorted((d, t, 1) for d, t in docs if d is not None and t is not None and (d, dc.normalised(t)) not in hit)
@@ -80,5 +95,22 @@ def test_banded_edits():
     items, texts = [text(8, 20) for _ in range(200)], [text(0, 30) for _ in range(200)]
     low, high = np.array([-len(i) for i in items]), np.array([len(t) for t in texts])
     arrays = lambda rows: [np.frombuffer(x, np.uint8) for x in rows]
-    got, _ = dc.banded_edits(arrays(items), arrays(texts), low, high)
+    got, starts, ends = dc.banded_edits(arrays(items), arrays(texts), low, high)
     assert got.tolist() == [least_edits(i, t) for i, t in zip(items, texts)]
+    assert got.tolist() == [distance(i, t[a:b]) for i, t, a, b in zip(items, texts, starts, ends)]
+
+
+def test_true_begin_of_a_passage():
+    r = random.Random(3)
+    item = "".join(r.choice("abcdefgh ") for _ in range(200))
+    (hit,) = dc.Searcher([item.encode()]).search([("x" * 180 + item[:90] + "zz" + item[95:] + "y" * 60).encode()])[0]
+    assert (hit.start, hit.end, hit.edits) == (180, 377, 5)
+
+
+def test_hot_grams_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(dc, "MEETINGS", 500)
+    r = random.Random(6)
+    texts = [b"a" * 300 + b"b" * 20 + b"a" * 90, "".join(r.choice("ab") for _ in range(400)).encode(), b""]
+    items = [b"a" * 100, b"b" * 25, "".join(r.choice("ab") for _ in range(60)).encode(), b"aab", texts[1][100:180]]
+    got = [[(h.item, h.edits) for h in sorted(own, key=lambda h: h.item)] for own in dc.Searcher(items).search(texts)]
+    assert got == [[(i, e) for i, x in enumerate(items) if (e := least_edits(x, t)) <= dc.budget(len(x))] for t in texts]
