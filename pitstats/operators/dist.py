@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,29 +12,53 @@ def levels(n: int) -> list[float]:
     return [(i + 1) / (n + 1) for i in range(n)]
 
 
-def residual_bands(rows: DataFrame, by: list[str], residual: str, x: str, bands: int, n: int, least: int) -> DataFrame:
-    """Residual quantiles per class and band of x (equal-count bands); bands below `least` rows take the class's own."""
-    banded = rows.withColumn("band", F.ntile(bands).over(Window.partitionBy(*by).orderBy(x, residual)))
+def band_of(x: Column, edges: list[float]) -> Column:
+    """Number of the fixed band of a value: 1 below the first edge, one more from each edge on."""
+    return reduce(lambda a, e: a + (x >= e).cast("int"), edges, F.lit(1))
+
+
+def merged_bands(counts: Column, least: int) -> Column:
+    """Group of each band, from the counts of all bands: groups have `least` rows, but where all bands together have fewer.
+
+    From the top band down, a band joins the group above it while that has too few rows; a lowest group with too few
+    joins the next one. Groups are numbered from the top.
+    """
+    step = lambda s, n: F.when(
+        s["rows"] < least, F.struct((s["rows"] + n).alias("rows"), s["group"].alias("group"), F.concat(s["of"], F.array(s["group"])).alias("of"))
+    ).otherwise(F.struct(n.alias("rows"), (s["group"] + 1).alias("group"), F.concat(s["of"], F.array(s["group"] + 1)).alias("of")))
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(1).alias("group"), F.array().cast("array<int>").alias("of"))
+    done = F.aggregate(F.reverse(counts), start, step)
+    last = F.when((done["rows"] < least) & (done["group"] > 1), done["group"] - 1).otherwise(done["group"])
+    return F.reverse(F.transform(done["of"], lambda g: F.least(g, last)))
+
+
+def residual_bands(rows: DataFrame, by: list[str], residual: str, x: str, edges: list[float], n: int, least: int) -> DataFrame:
+    """Residual quantiles per class and group of bands: band_lo, band_hi, n, sd, q and the class's floor (least outcome).
+
+    Bands are fixed by their edges, so no row needs its rank; small ones are merged until a group has `least` rows. The
+    counts are one short array for each class.
+    """
+    banded = rows.withColumn("band", band_of(F.col(x), edges))
+    each = [F.count_if(F.col("band") == i + 1) for i in range(len(edges) + 1)]
+    classes = banded.groupBy(*by).agg(F.array(*each).alias("_n"), F.min(F.col(x) + F.col(residual)).alias("floor"))
+    classes = classes.select(*by, "floor", merged_bands(F.col("_n"), least).alias("_of"))
+    grouped = banded.join(classes, by).withColumn("_group", F.element_at("_of", F.col("band")))
+    first, times = F.array_position("_of", F.col("_group")), F.size(F.filter("_of", lambda g: g == F.col("_group")))
+    grouped = grouped.withColumn("band_lo", first).withColumn("band_hi", first + times - 1)
     grid = F.array(*map(F.lit, levels(n)))
-    cell = banded.groupBy(*by, "band").agg(
-        F.count("*").alias("n"), F.min(x).alias("low"), F.percentile(residual, grid).alias("q")
+    return grouped.groupBy(*by, "band_lo", "band_hi", "floor").agg(
+        F.count("*").alias("n"), F.stddev_samp(residual).alias("sd"), F.percentile(residual, grid).alias("q")
     )
-    whole = rows.groupBy(*by).agg(F.percentile(residual, grid).alias("q_all"), F.min(F.col(x) + F.col(residual)).alias("floor"))
-    return cell.join(whole, by).select(*by, "band", "n", "low", F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("q_all")).alias("q"), "floor")
 
 
-def apply_bands(rows: DataFrame, table: DataFrame, by: list[str], x: str) -> DataFrame:
-    """`rows` with `q`: x plus the residual quantiles of its class and band, not below the class's floor.
+def apply_bands(rows: DataFrame, table: DataFrame, by: list[str], x: str, edges: list[float]) -> DataFrame:
+    """`rows` with `q`: x plus the residual quantiles of its class and band, not below the class's floor; null without any.
 
-    The table has a few rows per class, gathered into one array per class and sent along.
+    The table has a few rows per class.
     """
-    per = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("low", "q", "floor"))).alias("_bands"))
-    joined = rows.join(F.broadcast(per), by)
-    fits = F.filter("_bands", lambda b: b["low"] <= F.col(x))
-    band = F.when(F.size(fits) > 0, F.element_at(fits, -1)).otherwise(F.element_at("_bands", 1))
-    return joined.withColumn("_band", band).withColumn(
-        "q", F.transform("_band.q", lambda r: F.greatest(F.col(x) + r, F.col("_band.floor")))
-    ).drop("_bands", "_band")
+    cells = table.select(*by, F.explode(F.sequence("band_lo", "band_hi")).alias("_band"), F.col("q").alias("_q"), "floor")
+    joined = rows.withColumn("_band", band_of(F.col(x), edges).cast("long")).join(cells, [*by, "_band"], "left")
+    return joined.withColumn("q", F.transform("_q", lambda r: F.greatest(F.col(x) + r, F.col("floor")))).drop("_band", "_q", "floor")
 
 
 def pinball(q: Column, y: Column, tau: Column) -> Column:

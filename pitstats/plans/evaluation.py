@@ -207,7 +207,7 @@ def weekly_rank_cor(spark, sf_dir):
 
 
 @query("pairwise_accuracy", f"""
-    with {PREDS}, s as (select * from aligned where k % 3 = 0 and model <> 'zero')
+    with {PREDS}, s as (select * from aligned where model <> 'zero')
     select a.model, count(*) as n_pairs, round(avg(case when sign(a.actual - b.actual) * sign(a.pred - b.pred) > 0 then 1.0::double when sign(a.actual - b.actual) * sign(a.pred - b.pred) < 0 then 0.0::double else 0.5::double end), 6) as accuracy
     from s a join s b on a.gi = b.gi and a.model = b.model and a.k < b.k and a.actual <> b.actual group by a.model""")
 def pairwise_accuracy(spark, sf_dir):

@@ -121,41 +121,76 @@ def corp(spark, sf_dir):
     )
 
 
-BASED = """
-    based as (select k, gi, season, position, proj, actual, actual - proj as e, ntile(3) over (partition by position order by proj, actual - proj) as band from fx_proj where proj is not null and season < 2000)"""
+#: Edges of the bands of a projection and the least number of rows of a merged group.
+EDGES, LEAST = [50.0, 100.0, 150.0, 200.0, 250.0, 300.0], 200
+
+
+def _merged(by: str, based: str) -> str:
+    """SQL of bands `bd` merged into groups `tb` (classes by `by`), from the top down as the operator does."""
+    on = " and ".join(f"r.{c} = n.{c}" for c in by.split(", "))
+    return f"""
+    bd as (select *, 1 + {" + ".join(f"(proj >= {e})::int" for e in EDGES)} as band from {based}),
+    nb as (select {by}, b.band, count(bd.e) as n from (select distinct {by} from bd) c cross join (select unnest(range(1, {len(EDGES) + 2})) as band) b left join bd using ({by}, band) group by {by}, b.band),
+    walk as (select {by}, band, 1 as grp, n as acc from nb where band = {len(EDGES) + 1}
+        union all select {", ".join(f"n.{c}" for c in by.split(", "))}, n.band, case when r.acc < {LEAST} then r.grp else r.grp + 1 end, case when r.acc < {LEAST} then r.acc + n.n else n.n end
+        from walk r join nb n on {on} and n.band = r.band - 1),
+    lw as (select {by}, case when acc < {LEAST} and grp > 1 then grp - 1 else grp end as top from walk where band = 1),
+    og as (select {by}, band, least(grp, top) as grp from walk join lw using ({by})),
+    tb as (select *, min(band) over (partition by {by}, grp) as band_lo, max(band) over (partition by {by}, grp) as band_hi from og)"""
+
+
+BASED = "based as (select k, gi, season, position, proj, actual, actual - proj as e from fx_proj where proj is not null and season < 2000)"
 
 
 @query("quantile_table", f"""
-    with {BASED} select position, band::bigint as band, count(*) as n, round(quantile_cont(e, 0.1), 3) as q1, round(quantile_cont(e, 0.5), 3) as q5, round(quantile_cont(e, 0.9), 3) as q9 from based group by position, band""")
+    with recursive {BASED}, {_merged("position", "based")}
+    select bd.position, tb.band_lo::bigint as band_lo, tb.band_hi::bigint as band_hi, count(*) as n, round(stddev_samp(e), 3) as sd, round(quantile_cont(e, 0.1), 3) as q1, round(quantile_cont(e, 0.5), 3) as q5, round(quantile_cont(e, 0.9), 3) as q9
+    from bd join tb using (position, band) group by bd.position, tb.band_lo, tb.band_hi""")
 def quantile_table(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null and season < 2000").withColumn("e", F.col("actual") - F.col("proj"))
-    t = dist.residual_bands(rows, ["position"], "e", "proj", 3, 9, 200)
-    return t.select("position", F.col("band").cast("long").alias("band"), "n", *(r4(F.col("q")[i], 3).alias(f"q{i + 1}") for i in (0, 4, 8)))
+    t = dist.residual_bands(rows, ["position"], "e", "proj", EDGES, 9, LEAST)
+    return t.select(
+        "position", *(F.col(c).cast("long").alias(c) for c in ("band_lo", "band_hi", "n")), r4("sd", 3).alias("sd"), *(r4(F.col("q")[i], 3).alias(f"q{i + 1}") for i in (0, 4, 8))
+    )
 
 
 @query("quantile_apply", f"""
-    with {BASED}, t as (select position, band, min(proj) as low, quantile_cont(e, 0.5) as q5, quantile_cont(e, 0.9) as q9 from based group by position, band),
+    with recursive {BASED}, {_merged("position", "based")},
+    t as (select bd.position, tb.grp, quantile_cont(e, 0.5) as q5, quantile_cont(e, 0.9) as q9 from bd join tb using (position, band) group by bd.position, tb.grp),
     fl as (select position, min(actual) as floor from based group by position),
-    r as (select p.k, p.gi, p.position, p.proj, coalesce(max(case when t.low <= p.proj then t.low end), min(t.low)) as low from fx_proj p join t on t.position = p.position where p.season >= 2000 and p.proj is not null group by p.k, p.gi, p.position, p.proj)
-    select r.k, r.gi, round(greatest(r.proj + t.q5, fl.floor), 3) as q50, round(greatest(r.proj + t.q9, fl.floor), 3) as q90 from r join t on t.position = r.position and t.low = r.low join fl on fl.position = r.position""")
+    r as (select k, gi, position, proj, 1 + {" + ".join(f"(proj >= {e})::int" for e in EDGES)} as band from fx_proj where season >= 2000 and proj is not null)
+    select r.k, r.gi, round(greatest(r.proj + t.q5, fl.floor), 3) as q50, round(greatest(r.proj + t.q9, fl.floor), 3) as q90
+    from r left join tb using (position, band) left join t on t.position = r.position and t.grp = tb.grp left join fl on fl.position = r.position""")
 def quantile_apply(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
-    t = dist.residual_bands(rows.where("season < 2000"), ["position"], "e", "proj", 3, 9, 200)
-    out = dist.apply_bands(rows.where("season >= 2000"), t, ["position"], "proj")
+    t = dist.residual_bands(rows.where("season < 2000"), ["position"], "e", "proj", EDGES, 9, LEAST)
+    out = dist.apply_bands(rows.where("season >= 2000"), t, ["position"], "proj", EDGES)
     return out.select("k", "gi", r4(F.col("q")[4], 3).alias("q50"), r4(F.col("q")[8], 3).alias("q90"))
 
 
-@query("dev_scoring")
+@query("dev_scoring", f"""
+    with recursive rs as (select k, gi, season, position, proj, actual, actual - proj as e from fx_proj where proj is not null),
+    be as (select s.season, r.position, r.proj, r.actual, r.e from rs r join (select distinct season from rs) s on r.season < s.season), {_merged("season, position", "be")},
+    t as (select bd.season, bd.position, tb.grp, quantile_cont(e, {[round(i / 20, 2) for i in range(1, 20)]}) as q from bd join tb using (season, position, band) group by bd.season, bd.position, tb.grp),
+    fl as (select season, position, min(actual) as floor from be group by season, position),
+    sc as (select r.season, r.position, r.k, r.gi, r.actual as y, list_transform(t.q, lambda v: greatest(r.proj + v, fl.floor)) as q
+        from (select *, 1 + {" + ".join(f"(proj >= {e})::int" for e in EDGES)} as band from rs) r join tb using (season, position, band)
+        join t on t.season = r.season and t.position = r.position and t.grp = tb.grp join fl on fl.season = r.season and fl.position = r.position),
+    l as (select season, position, k, gi, i, case when y >= q[i] then (i / 20.0::double) * (y - q[i]) else (1 - i / 20.0::double) * (q[i] - y) end as l from sc, range(1, 20) g(i)),
+    c as (select season, position, k, gi, 2 * (sum(l) + (max(case when i = 1 then l end) + max(case when i = 19 then l end)) / 2) / 20 as crps from l group by season, position, k, gi)
+    select c.season, c.position, count(*) as n, round(avg(c.crps), 4) as crps, round(avg(case when sc.y >= sc.q[2] and sc.y <= sc.q[18] then 1.0::double else 0.0::double end), 4) as coverage
+    from c join sc using (season, position, k, gi) group by c.season, c.position""")
 def dev_scoring(spark, sf_dir):
     """CRPS and 80% coverage of the banded residual quantiles, each season from all earlier ones.
 
     A row counts in the bands of each later season; the first season has nothing before it and is not scored.
     """
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
+    # a row for each season
     seasons = F.broadcast(rows.select(F.col("season").alias("later")).distinct())
     earlier = rows.join(seasons, F.col("season") < F.col("later")).drop("season").withColumnRenamed("later", "season")
-    t = dist.residual_bands(earlier, ["season", "position"], "e", "proj", 3, 19, 200)
-    scored = dist.apply_bands(rows, t, ["season", "position"], "proj")
+    t = dist.residual_bands(earlier, ["season", "position"], "e", "proj", EDGES, 19, LEAST)
+    scored = dist.apply_bands(rows, t, ["season", "position"], "proj", EDGES).where("q is not null")
     return scored.groupBy("season", "position").agg(
         F.count("*").alias("n"), r4(F.avg(dist.crps(F.col("q"), F.col("actual"), 19))).alias("crps"),
         r4(F.avg(dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double"))).alias("coverage"),
@@ -187,11 +222,11 @@ def persistence(spark, sf_dir):
 
 
 DRAWS = """
-    dr as (select g.team, g.k, sim, g.pts * (0.5::double + ('0x' || substr(md5('11|' || g.k || '|' || sim), 1, 12))::bigint / 281474976710656.0::double) as x, g.pts from fx_games g, range(1, 51) s(sim) where g.gi = 199705),
-    tot as (select team, sim, sum(x) as t from dr group by team, sim), act as (select team, sum(pts) as a from fx_games where gi = 199705 group by team)"""
+    dr as (select g.team, g.gi, g.k, sim, g.pts * (0.5::double + ('0x' || substr(md5('11|' || g.k || '|' || g.gi || '|' || sim), 1, 12))::bigint / 281474976710656.0::double) as x from fx_games g, range(1, 51) s(sim)),
+    tot as (select gi, team, sim, sum(x) as t from dr group by gi, team, sim), act as (select gi, team, sum(pts) as a from fx_games group by gi, team)"""
 
 
-@query("scenario_draws", f"with {DRAWS} select k, count(*) as n, round(avg(x), 4) as mean from dr group by k")
+@query("scenario_draws", f"with {DRAWS} select gi, k, count(*) as n, round(avg(x), 4) as mean from dr group by gi, k")
 def scenario_draws(spark, sf_dir):
     return _draws(spark, sf_dir).groupBy("gi", "k").agg(F.count("*").alias("n"), r4(F.avg("x")).alias("mean"))
 
@@ -204,7 +239,8 @@ def _draws(spark, sf_dir):
 
 
 @query("sum_distribution", f"""
-    with {DRAWS} select t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit from tot t join act a on a.team = t.team group by t.team""")
+    with {DRAWS} select t.gi, t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit
+    from tot t join act a on a.gi = t.gi and a.team = t.team group by t.gi, t.team""")
 def sum_distribution(spark, sf_dir):
     totals = _draws(spark, sf_dir).groupBy("gi", "team", "sim").agg(F.sum("x").alias("t"))
     actual = view(spark, sf_dir, "fx_games").groupBy("gi", "team").agg(F.sum("pts").alias("a"))
@@ -214,8 +250,8 @@ def sum_distribution(spark, sf_dir):
 
 
 @query("sd_match", f"""
-    with {DRAWS}, s as (select scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select team, sim, t, avg(t) over (partition by team) as m from tot) t, range(5, 16) g(scale) group by scale)
-    select scale, round(sd, 4) as sd from s""")
+    with {DRAWS}, s as (select gi, scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select gi, team, sim, t, avg(t) over (partition by gi, team) as m from tot) t, range(5, 16) g(scale) group by gi, scale)
+    select gi, scale, round(sd, 4) as sd from s""")
 def sd_match(spark, sf_dir):
     totals = _draws(spark, sf_dir).groupBy("gi", "team", "sim").agg(F.sum("x").alias("t"))
     scaled = totals.withColumn("m", F.avg("t").over(Window.partitionBy("gi", "team"))).select("*", F.explode(F.sequence(F.lit(5), F.lit(15))).alias("g"))

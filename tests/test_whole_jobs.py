@@ -1,4 +1,4 @@
-"""Queries against SQL or plain Python over all rows, where the registered SQL states only a part of the tables."""
+"""Queries and operators against plain Python over all rows."""
 
 import bisect
 import random
@@ -6,17 +6,12 @@ from datetime import datetime, time
 
 import pytest
 from pyspark.sql import functions as F
-from test_queries import SF, con, rows  # noqa: F401
+from test_queries import SF
 
 from pitstats.operators import archive, dist, evaluate
-from pitstats.plans import evaluation, registry
-from pitstats.sources.fixtures import view, with_views
-
-
-def assert_equals(spark, con, name, sql):  # noqa: F811
-    got, want = registry.queries()[name](spark, SF).toPandas(), con.execute(with_views(sql)).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+from pitstats.plans import registry
+from pitstats.plans.forecasts import EDGES, LEAST
+from pitstats.sources.fixtures import view
 
 
 def pairs_by_hand(data):
@@ -39,21 +34,6 @@ def test_pairwise_accuracy_counts_all_pairs(spark, large):
     assert {x["model"]: (x["n_pairs"], x["accuracy"]) for x in got} == pairs_by_hand(data)
 
 
-def test_pairwise_accuracy_of_all_entities(spark, con):  # noqa: F811
-    assert_equals(spark, con, "pairwise_accuracy", f"""
-        with {evaluation.PREDS}, s as (select * from aligned where model <> 'zero')
-        select a.model, count(*) as n_pairs, round(avg(case when sign(a.actual - b.actual) * sign(a.pred - b.pred) > 0 then 1.0::double when sign(a.actual - b.actual) * sign(a.pred - b.pred) < 0 then 0.0::double else 0.5::double end), 6) as accuracy
-        from s a join s b on a.gi = b.gi and a.model = b.model and a.k < b.k and a.actual <> b.actual group by a.model""")
-
-
-def test_scan_captures_reads_all(spark, con):  # noqa: F811
-    assert_equals(spark, con, "scan_captures", "select strftime(day, '%Y-%m-%d') as capture_day, count(*) as n, round(sum(v), 2) as total from fx_captures group by day")
-
-
-def test_manifest_append_covers_all_captures(spark, con):  # noqa: F811
-    assert_equals(spark, con, "manifest_append", "select event_type as dataset, event_id as id from fx_captures")
-
-
 def test_next_after_by_hand(spark):
     records = spark.createDataFrame(
         [(1, "2024-01-01 05:00:00", 9), (1, "2024-01-01 18:00:00", 8), (1, "2024-01-01 18:00:00", 7), (1, "2024-01-04 01:00:00", 6), (1, "2024-01-04 02:00:00", 5), (None, "2024-01-09 00:00:00", 4)],
@@ -79,42 +59,43 @@ def test_ledger_join_of_all_users(spark):
     assert {(r["k"], r["day"]): r["event_id"] for r in got} == want
 
 
-DRAWS = """
-    dr as (select g.team, g.gi, g.k, sim, g.pts * (0.5::double + ('0x' || substr(md5('11|' || g.k || '|' || g.gi || '|' || sim), 1, 12))::bigint / 281474976710656.0::double) as x from fx_games g, range(1, 51) s(sim)),
-    tot as (select gi, team, sim, sum(x) as t from dr group by gi, team, sim), act as (select gi, team, sum(pts) as a from fx_games group by gi, team)"""
-
-ALL_PERIODS = {
-    "json_state": "select period, home, away, winner, (period // 100 - 1970)::bigint as years from fx_matchups",
-    "scan_json": "select k as id, season, week as period, round(proj, 4) as total from fx_proj where proj is not null",
-    "scan_json_long": """
-        select k as id, season, week as period, 'receptions' as stat, cast(c2 as double) as value from fx_proj where proj is not null
-        union all select k, season, week, 'targets', cast(c1 as double) from fx_proj where proj is not null""",
-    "scenario_draws": f"with {DRAWS} select gi, k, count(*) as n, round(avg(x), 4) as mean from dr group by gi, k",
-    "sum_distribution": f"""
-        with {DRAWS} select t.gi, t.team, round(avg(t.t), 3) as mean, round(quantile_cont(t.t, 0.1), 3) as q10, round(quantile_cont(t.t, 0.9), 3) as q90, avg(case when t.t <= a.a then 1.0::double else 0.0::double end) as pit
-        from tot t join act a on a.gi = t.gi and a.team = t.team group by t.gi, t.team""",
-    "sd_match": f"""
-        with {DRAWS}, s as (select gi, scale / 10.0::double as scale, stddev_samp(t.m + (t.t - t.m) * scale / 10.0::double) as sd from (select gi, team, sim, t, avg(t) over (partition by gi, team) as m from tot) t, range(5, 16) g(scale) group by gi, scale)
-        select gi, scale, round(sd, 4) as sd from s""",
-}
-
-
-@pytest.mark.parametrize("name", ALL_PERIODS)
-def test_all_periods(spark, con, name):  # noqa: F811
-    assert_equals(spark, con, name, ALL_PERIODS[name])
-
-
 def test_dev_scoring_scores_each_season_but_the_first(spark):
     """The same bands, made season by season."""
     games = view(spark, SF, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj")).cache()
     seasons = sorted(r["season"] for r in games.select("season").distinct().collect())
     want = {}
     for season in seasons[1:]:
-        t = dist.residual_bands(games.where(F.col("season") < season), ["position"], "e", "proj", 3, 19, 200)
-        scored = dist.apply_bands(games.where(F.col("season") == season), t, ["position"], "proj")
+        t = dist.residual_bands(games.where(F.col("season") < season), ["position"], "e", "proj", EDGES, 19, LEAST)
+        scored = dist.apply_bands(games.where(F.col("season") == season), t, ["position"], "proj", EDGES).where("q is not null")
         hit = dist.covered(F.col("q")[1], F.col("q")[17], F.col("actual")).cast("double")
         for r in scored.groupBy("position").agg(F.count("*").alias("n"), F.avg(dist.crps(F.col("q"), F.col("actual"), 19)).alias("crps"), F.avg(hit).alias("hit")).collect():
             want[season, r["position"]] = (r["n"], pytest.approx(r["crps"], abs=1e-4), pytest.approx(r["hit"], abs=1e-4))
     got = registry.queries()["dev_scoring"](spark, SF).collect()
     assert {r["season"] for r in got} == set(seasons[1:]) and len(seasons) > 4
     assert {(r["season"], r["position"]): (r["n"], r["crps"], r["coverage"]) for r in got} == want
+
+
+def test_bands_are_merged_until_large_enough(spark):
+    """Fixed bands; a small one joins its lower neighbour, the lowest the next."""
+
+    def by_hand(counts, least):
+        groups = [[i] for i in range(len(counts))]
+        while True:
+            small = [i for i, g in enumerate(groups) if sum(counts[j] for j in g) < least]
+            if not small or len(groups) == 1:
+                return groups
+            i = max(small)
+            j = i - 1 if i else 1
+            groups[min(i, j)] = sorted(groups[i] + groups[j])
+            del groups[max(i, j)]
+
+    r = random.Random(8)
+    cases = [[0, 0, 0, 0], [5, 0, 0, 0], [3, 3, 3, 3], [9, 1, 9, 1], [1, 9, 1, 9], [2, 2, 9, 2]] + [[r.randint(0, 8) for _ in range(4)] for _ in range(60)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, counts array<bigint>")
+    for row in df.select("i", dist.merged_bands(F.col("counts"), 5).alias("of")).collect():
+        want = [n for n, g in enumerate(by_hand(cases[row["i"]], 5)) for _ in g]
+        assert [max(row["of"]) - g for g in row["of"]] == want
+    rows = spark.createDataFrame([("a", float(x), 0.5) for x in range(12)] + [("b", 1.0, 2.0)], "c string, x double, e double")
+    table = dist.residual_bands(rows, ["c"], "e", "x", [4.0, 8.0], 3, 5)
+    got = {(t["c"], t["band_lo"], t["band_hi"]): (t["n"], t["floor"]) for t in table.collect()}
+    assert got == {("a", 1, 3): (12, 0.5), ("b", 1, 3): (1, 3.0)}
