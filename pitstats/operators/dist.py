@@ -1,4 +1,7 @@
-"""Distributional forecasts as arrays of quantiles on the grid i / (n + 1), and their scores."""
+"""Distributional forecasts as arrays of quantiles on a grid of levels, and their scores.
+
+A grid is a list of rising levels between 0 and 1, or a number n for the grid i / (n + 1).
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,25 @@ def levels(n: int) -> list[float]:
     return [(i + 1) / (n + 1) for i in range(n)]
 
 
+def grid_of(grid: int | list[float]) -> list[float]:
+    return levels(grid) if isinstance(grid, int) else [float(t) for t in grid]
+
+
+def weights(grid: int | list[float]) -> list[float]:
+    """Of each level by the trapezoid rule, with the tails held at the end quantiles; they sum to 1."""
+    tau = grid_of(grid)
+    edges = [0.0, *((a + b) / 2 for a, b in zip(tau, tau[1:])), 1.0]
+    return [b - a for a, b in zip(edges, edges[1:])]
+
+
+def _literal(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _weighted(x: Column, grid: int | list[float]) -> Column:
+    return F.aggregate(F.zip_with(x, _literal(weights(grid)), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+
+
 def band_of(x: Column, edges: list[float]) -> Column:
     """Number of the fixed band of a value: 1 below the first edge, one more from each edge on."""
     return reduce(lambda a, e: a + (x >= e).cast("int"), edges, F.lit(1))
@@ -65,12 +87,29 @@ def pinball(q: Column, y: Column, tau: Column) -> Column:
     return F.when(y >= q, tau * (y - q)).otherwise((1 - tau) * (q - y))
 
 
-def crps(q: Column, y: Column, n: int) -> Column:
-    """Twice the mean pinball loss over the grid, with half cells held at both ends."""
-    tau = F.array(*map(F.lit, levels(n)))
-    losses = F.zip_with(q, tau, lambda a, t: pinball(a, y, t))
-    ends = (F.element_at(losses, 1) + F.element_at(losses, -1)) / 2
-    return 2 * (F.aggregate(losses, F.lit(0.0), lambda a, v: a + v) + ends) / (n + 1)
+def crps(q: Column, y: Column, grid: int | list[float]) -> Column:
+    """Twice the mean pinball loss over the grid, with the tails scored at the end quantiles."""
+    return 2 * _weighted(F.zip_with(q, _literal(grid_of(grid)), lambda a, t: pinball(a, y, t)), grid)
+
+
+def crps_above(q: Column, y: Column, grid: int | list[float], threshold: float) -> Column:
+    """Threshold-weighted CRPS: of forecast and outcome with all that lies below the threshold moved to it."""
+    up = F.transform(q, lambda v: F.greatest(v, F.lit(threshold)))
+    return crps(up, F.greatest(y, F.lit(threshold)), grid)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Within 1e-7, by the rational approximation 26.2.17 of Abramowitz and Stegun."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-z * z / 2) * 0.3989422804014327 * tail
+    return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+def crps_normal(mean: Column, sd: Column, y: Column) -> Column:
+    """Closed form of a normal forecast."""
+    z = (y - mean) / sd
+    return sd * (z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) * 0.3989422804014327 - 0.5641895835477563)
 
 
 def interval_score(low: Column, high: Column, y: Column, alpha: float) -> Column:
@@ -81,24 +120,56 @@ def covered(low: Column, high: Column, y: Column) -> Column:
     return (y >= low) & (y <= high)
 
 
-def cdf(q: Column, y: Column, n: int) -> Column:
-    """Share of the distribution below y: linear between quantiles, 0 and 1 outside them."""
+def cdf(q: Column, y: Column, grid: int | list[float]) -> Column:
+    """Share of the distribution up to y: linear between quantiles, and outside them at the slope of the end pair.
+
+    Where quantiles are tied the share jumps; at their value it is that of the last.
+    """
+    tau, at = grid_of(grid), lambda i: F.element_at(_literal(grid_of(grid)), i)
+    k = len(tau)
+    if k < 2:
+        raise ValueError("a grid has two levels at least")
+    first, second, last, before = (F.element_at(q, i) for i in (1, 2, -1, -2))
     below = F.size(F.filter(q, lambda v: v <= y))
-    low, high = F.element_at(q, F.greatest(below, F.lit(1))), F.element_at(q, F.least(below + 1, F.lit(n)))
-    inside = (below + F.when(high > low, (y - low) / (high - low)).otherwise(0.0)) / (n + 1)
-    return F.when(below == 0, 0.0).when(below == n, 1.0).otherwise(inside)
+    low, high = F.greatest(below, F.lit(1)), F.least(below + 1, F.lit(k))
+    step = F.element_at(q, high) - F.element_at(q, low)
+    inside = at(low) + (y - F.element_at(q, low)) / F.when(step > 0, step) * (at(high) - at(low))
+    under = F.greatest(F.lit(0.0), tau[0] - (first - y) / F.greatest(second - first, F.lit(1e-9)) * (tau[1] - tau[0]))
+    over = F.least(F.lit(1.0), tau[-1] + (y - last) / F.greatest(last - before, F.lit(1e-9)) * (tau[-1] - tau[-2]))
+    return F.when(y < first, under).when(y > last, over).otherwise(F.coalesce(inside, at(low)))
+
+
+def cdf_before(q: Column, y: Column, grid: int | list[float]) -> Column:
+    """The share just below y: at a quantile's value the level of the first of those tied."""
+    place = F.array_position(q, y).cast("int")
+    return F.when(place > 0, F.element_at(_literal(grid_of(grid)), F.greatest(place, F.lit(1)))).otherwise(cdf(q, y, grid))
 
 
-def moments(q: Column, p: Column, n: int) -> tuple[Column, Column]:
+def pit(q: Column, y: Column, grid: int | list[float], u: Column) -> Column:
+    """Randomised probability integral transform: uniform under calibration even where the distribution jumps."""
+    upper, lower = cdf(q, y, grid), cdf_before(q, y, grid)
+    return lower + u * F.greatest(upper - lower, F.lit(0.0))
+
+
+def mixed_cdf(q: Column, y: Column, grid: int | list[float], p: Column) -> Column:
+    """Of p times the quantile forecast plus an atom of the rest at 0."""
+    return p * cdf(q, y, grid) + (1 - p) * (y >= 0).cast("double")
+
+
+def moments(q: Column, p: Column, grid: int | list[float]) -> tuple[Column, Column]:
     """Mean and variance of p times the quantile forecast plus an atom at 0."""
-    first = F.aggregate(q, F.lit(0.0), lambda a, v: a + v) / n
-    second = F.aggregate(q, F.lit(0.0), lambda a, v: a + v * v) / n
+    first, second = _weighted(q, grid), _weighted(F.transform(q, lambda v: v * v), grid)
     return p * first, p * second - p * first * p * first
 
 
-def excess(q: Column, level: Column, n: int) -> Column:
+def with_mean(rows: DataFrame, q: str, p: str, grid: int | list[float]) -> DataFrame:
+    """Rows of quantiles and a probability with mean_active, the quantiles' mean, and mean, p times it."""
+    return rows.withColumn("mean_active", _weighted(F.col(q), grid)).withColumn("mean", F.col(p) * F.col("mean_active"))
+
+
+def excess(q: Column, level: Column, grid: int | list[float]) -> Column:
     """Mean of what exceeds a level."""
-    return F.aggregate(q, F.lit(0.0), lambda a, v: a + F.greatest(v - level, F.lit(0.0))) / n
+    return _weighted(F.transform(q, lambda v: F.greatest(v - level, F.lit(0.0))), grid)
 
 
 def brier(p: Column, o: Column) -> Column:

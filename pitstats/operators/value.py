@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 def starters(weekly: DataFrame, period: str, position: str, value: str, key: str, slots: dict[str, int], flex: int, flex_classes: list[str]) -> DataFrame:
     """`weekly` with `starter` and `slot`: the best of each class fill its own slots, the best of the rest the flex slots.
 
-    For slots of this (laminar) kind the greedy choice is the best league-wide starting set.
+    Values of 0 and less never start. For slots of this (laminar) kind the greedy choice is the best league-wide set.
     """
     own = F.row_number().over(Window.partitionBy(period, position).orderBy(F.desc(value), key))
     size = reduce(lambda a, i: a.when(F.col(position) == i[0], i[1]), slots.items(), F.when(F.lit(False), 0)).otherwise(0)
-    ranked = weekly.withColumn("_own", own <= size).withColumn("_may", ~F.col("_own") & F.col(position).isin(*flex_classes))
+    ranked = weekly.withColumn("_own", (own <= size) & (F.col(value) > 0))
+    ranked = ranked.withColumn("_may", ~F.col("_own") & (F.col(value) > 0) & F.col(position).isin(*flex_classes))
     rest = F.row_number().over(Window.partitionBy(period, "_may").orderBy(F.desc(value), key))
     ranked = ranked.withColumn("_flex", F.col("_may") & (rest <= flex))
     slot = F.when(F.col("_own"), F.col(position)).when(F.col("_flex"), "flex")
@@ -30,11 +31,11 @@ def baselines(started: DataFrame, period: str, position: str, value: str, flex_c
     return classes.join(best, [period, "_g"], "left").select(period, position, F.coalesce("replacement", F.lit(0.0)).alias("replacement"))
 
 
-def over_replacement(started: DataFrame, base: DataFrame, period: str, position: str, value: str, key: str) -> DataFrame:
+def over_replacement(started: DataFrame, base: DataFrame, period: str, position: str, value: str, key: list[str]) -> DataFrame:
     """Per entity: value over replacement, its positive part, and value of started periods, summed over the horizon."""
     d = F.col(value) - F.col("replacement")
     joined = started.join(base, [period, position])
-    return joined.groupBy(key, position).agg(
+    return joined.groupBy(*key, position).agg(
         F.sum(d).alias("vor"), F.sum(F.greatest(d, F.lit(0.0))).alias("vor_plus"), F.sum(F.when(F.col("starter"), d).otherwise(0.0)).alias("vas"),
         F.count("*").alias("periods"),
     )

@@ -44,20 +44,72 @@ def crps(spark, sf_dir):
     return quantiles(spark, sf_dir).select("vec_id", r4(dist.crps(F.col("q"), F.col("y"), N), 6).alias("crps"))
 
 
-@query("cdf_interp", f"""
-    with {QUANT}, b as (select *, len(list_filter(q, lambda v: v <= y)) as b from qu)
-    select vec_id, round(case when b = 0 then 0.0::double when b = 64 then 1.0::double else (b + (y - q[b]) / (q[b + 1] - q[b])) / 65.0::double end, 6) as pit from b""")
+UNEVEN = [0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98]
+_UNEVEN_W = dist.weights(UNEVEN)
+FORMS = f"""
+    un as (select vec_id, y, [q[2], q[7], q[16], q[32], q[48], q[58], q[63]] as q, {UNEVEN} as tau, {_UNEVEN_W} as w from qu),
+    fl as (select vec_id, 2 * sum(w[i] * case when y >= q[i] then tau[i] * (y - q[i]) else (1 - tau[i]) * (q[i] - y) end) as crps,
+        2 * sum(w[i] * case when greatest(y, 0.0::double) >= greatest(q[i], 0.0::double) then tau[i] * (greatest(y, 0.0::double) - greatest(q[i], 0.0::double)) else (1 - tau[i]) * (greatest(q[i], 0.0::double) - greatest(y, 0.0::double)) end) as above from un, range(1, 8) t(i) group by vec_id),
+    nz as (select vec_id, (q[48] - q[16]) / 1.35::double as s, (y - q[32]) / ((q[48] - q[16]) / 1.35::double) as z from qu),
+    nt as (select *, 1 / (1 + 0.2316419::double * abs(z)) as t, exp(-z * z / 2) * 0.3989422804014327::double as d from nz),
+    nn as (select *, d * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))) as up from nt)"""
+
+
+@query("crps_forms", f"""
+    with {QUANT}, {FORMS}
+    select fl.vec_id, round(fl.crps, 6) as crps, round(fl.above, 6) as above, round(s * (z * (2 * case when z >= 0 then 1 - up else up end - 1) + 2 * d - 0.5641895835477563::double), 6) as normal
+    from fl join nn using (vec_id)""")
+def crps_forms(spark, sf_dir):
+    """On an uneven grid; threshold-weighted; and of the normal forecast with the same median and quartiles."""
+    rows = quantiles(spark, sf_dir)
+    at = lambda i: F.element_at("q", i)
+    few, y = F.array(*(at(i) for i in (2, 7, 16, 32, 48, 58, 63))), F.col("y")
+    return rows.select(
+        "vec_id", r4(dist.crps(few, y, UNEVEN), 6).alias("crps"), r4(dist.crps_above(few, y, UNEVEN, 0.0), 6).alias("above"),
+        r4(dist.crps_normal(at(32), (at(48) - at(16)) / 1.35, y), 6).alias("normal"),
+    )
+
+
+#: Forecasts with an atom: quantiles and outcomes below 0 are moved to 0; every fifth outcome lies above all quantiles.
+ATOMS = """
+    qz as (select vec_id, class, list_transform(q, lambda v: greatest(v, 0.0::double)) as q, case when vec_id % 5 = 0 then q[64] + 0.01::double when vec_id % 5 = 1 then 0.0::double when vec_id % 5 = 2 then q[40] else greatest(y, 0.0::double) end as y from qu),
+    qh as (select *, len(list_filter(q, lambda v: v <= y)) as hi, list_position(q, y) as lo from qz),
+    qf as (select vec_id, class, lo, hi, y, case when y < q[1] then greatest(0.0::double, 1 / 65.0::double - (q[1] - y) / greatest(q[2] - q[1], 1e-9::double) / 65.0::double)
+        when y > q[64] then least(1.0::double, 64 / 65.0::double + (y - q[64]) / greatest(q[64] - q[63], 1e-9::double) / 65.0::double)
+        when hi = 64 then 64 / 65.0::double else (hi + (y - q[hi]) / (q[hi + 1] - q[hi])) / 65.0::double end as f from qh),
+    qp as (select vec_id, class, y, f, case when coalesce(lo, 0) > 0 then lo / 65.0::double else f end as fm, ('0x' || substr(md5('12|' || vec_id), 1, 12))::bigint / 281474976710656.0::double as u from qf)"""
+
+
+def atoms(spark, sf_dir):
+    q = F.col("q")
+    y = F.when(F.col("vec_id") % 5 == 0, F.element_at("q", 64) + 0.01).when(F.col("vec_id") % 5 == 1, 0.0).when(F.col("vec_id") % 5 == 2, F.element_at("q", 40))
+    rows = quantiles(spark, sf_dir).withColumn("y", y.otherwise(F.greatest("y", F.lit(0.0))))
+    return rows.withColumn("q", F.transform(q, lambda v: F.greatest(v, F.lit(0.0))))
+
+
+@query("cdf_interp", f"with {QUANT}, {ATOMS} select vec_id, round(f, 6) as upper, round(fm, 6) as lower, round(0.8::double * f + (1 - 0.8::double) * (y >= 0)::int, 6) as mixed from qp")
 def cdf_interp(spark, sf_dir):
-    return quantiles(spark, sf_dir).select("vec_id", r4(dist.cdf(F.col("q"), F.col("y"), N), 6).alias("pit"))
+    q, y = F.col("q"), F.col("y")
+    return atoms(spark, sf_dir).select(
+        "vec_id", r4(dist.cdf(q, y, N), 6).alias("upper"), r4(dist.cdf_before(q, y, N), 6).alias("lower"), r4(dist.mixed_cdf(q, y, N, F.lit(0.8)), 6).alias("mixed")
+    )
 
 
 @query("pit", f"""
-    with {QUANT}, b as (select *, len(list_filter(q, lambda v: v <= y)) as b from qu),
-    p as (select class, case when b = 0 then 0.0::double when b = 64 then 1.0::double else (b + (y - q[b]) / (q[b + 1] - q[b])) / 65.0::double end as pit from b)
-    select least(floor(pit * 10), 9)::bigint as bin, count(*) as n from p group by 1""")
+    with {QUANT}, {ATOMS}, b as (select class, least(floor((fm + u * greatest(f - fm, 0)) * 10), 9)::bigint as bin from qp),
+    c as (select class, bin, count(*) as n from b group by class, bin), t as (select class, sum(n) as total from c group by class)
+    select class, bin, n::bigint as n, round(sum((n - total / 10.0::double) * (n - total / 10.0::double) / (total / 10.0::double)) over (partition by class) + (10 - count(*) over (partition by class)) * (total / 10.0::double), 4) as chi2 from c join t using (class)""")
 def pit(spark, sf_dir):
-    p = quantiles(spark, sf_dir).select(dist.cdf(F.col("q"), F.col("y"), N).alias("pit"))
-    return p.groupBy(F.least(F.floor(F.col("pit") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    """Decile counts of the randomised transform and their chi-square against equal counts, per class."""
+    u = portable_uniform(F.lit(12), F.col("vec_id"))
+    p = atoms(spark, sf_dir).select("class", dist.pit(F.col("q"), F.col("y"), N, u).alias("pit"))
+    bins = p.groupBy("class", F.least(F.floor(F.col("pit") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("class")
+    expected = F.sum("n").over(whole) / 10.0
+    off = F.col("n") - F.col("expected")
+    out = bins.withColumn("expected", expected)
+    chi2 = F.sum(off * off / F.col("expected")).over(whole) + (10 - F.count("*").over(whole)) * F.col("expected")
+    return out.select("class", "bin", "n", r4(chi2).alias("chi2"))
 
 
 @query("quantile_interp", f"""
@@ -80,14 +132,16 @@ def coverage(spark, sf_dir):
 
 
 @query("pod_moments", f"""
-    with {QUANT}, m as (select vec_id, 0.25::double + 0.05::double * class as p, list_sum(q) / 64 as a, list_sum(list_transform(q, lambda v: v * v)) / 64 as b from qu)
+    with {QUANT}, m as (select vec_id, 0.25::double + 0.05::double * class as p, (list_sum(q) + (q[1] + q[64]) / 2) / 65 as a, (list_sum(list_transform(q, lambda v: v * v)) + (q[1] * q[1] + q[64] * q[64]) / 2) / 65 as b from qu)
     select vec_id, round(p * a, 6) as mean, round(p * b - p * a * p * a, 6) as variance from m""")
 def pod_moments(spark, sf_dir):
     mean, variance = dist.moments(F.col("q"), 0.25 + 0.05 * F.col("class"), N)
     return quantiles(spark, sf_dir).select("vec_id", r4(mean, 6).alias("mean"), r4(variance, 6).alias("variance"))
 
 
-@query("evor", f"with {QUANT} select vec_id, round(0.9::double * list_sum(list_transform(q, lambda v: greatest(v - 0.05::double, 0.0::double))) / 64, 6) as evor from qu")
+@query("evor", f"""
+    with {QUANT}, e as (select vec_id, list_transform(q, lambda v: greatest(v - 0.05::double, 0.0::double)) as e from qu)
+    select vec_id, round(0.9::double * (list_sum(e) + (e[1] + e[64]) / 2) / 65, 6) as evor from e""")
 def evor(spark, sf_dir):
     return quantiles(spark, sf_dir).select("vec_id", r4(0.9 * dist.excess(F.col("q"), F.lit(0.05), N), 6).alias("evor"))
 
@@ -168,6 +222,23 @@ def quantile_apply(spark, sf_dir):
     return out.select("k", "gi", r4(F.col("q")[4], 3).alias("q50"), r4(F.col("q")[8], 3).alias("q90"))
 
 
+@query("pods", f"""
+    with recursive {BASED}, {_merged("position", "based")},
+    t as (select bd.position, tb.grp, quantile_cont(e, {[round(i / 10, 1) for i in range(1, 10)]}) as q from bd join tb using (position, band) group by bd.position, tb.grp),
+    fl as (select position, min(actual) as floor from based group by position),
+    r as (select k, gi, position, proj, case when c2 >= 8 then 0.95::double when c2 >= 4 then 0.8::double else 0.5::double end as p_active, 1 + {" + ".join(f"(proj >= {e})::int" for e in EDGES)} as band from fx_proj where season >= 2000 and proj is not null),
+    p as (select r.k, r.gi, r.p_active, list_transform(t.q, lambda v: greatest(r.proj + v, fl.floor)) as q from r join tb using (position, band) join t on t.position = r.position and t.grp = tb.grp join fl on fl.position = r.position)
+    select k, gi, p_active, round(q[1], 3) as q10, round(q[5], 3) as q50, round(q[9], 3) as q90, round((list_sum(q) + (q[1] + q[9]) / 2) / 10, 3) as mean_active, round(p_active * (list_sum(q) + (q[1] + q[9]) / 2) / 10, 3) as mean from p""")
+def pods(spark, sf_dir):
+    """Forecasts as quantiles given activity, the probability of activity, and the mean."""
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null").withColumn("e", F.col("actual") - F.col("proj"))
+    t = dist.residual_bands(rows.where("season < 2000"), ["position"], "e", "proj", EDGES, 9, LEAST)
+    p = F.when(F.col("c2") >= 8, 0.95).when(F.col("c2") >= 4, 0.8).otherwise(0.5)
+    out = dist.apply_bands(rows.where("season >= 2000"), t, ["position"], "proj", EDGES).where("q is not null").withColumn("p_active", p)
+    out = dist.with_mean(out, "q", "p_active", 9)
+    return out.select("k", "gi", "p_active", *(r4(F.col("q")[i], 3).alias(f"q{10 * i + 10}") for i in (0, 4, 8)), r4("mean_active", 3).alias("mean_active"), r4("mean", 3).alias("mean"))
+
+
 @query("dev_scoring", f"""
     with recursive rs as (select k, gi, season, position, proj, actual, actual - proj as e from fx_proj where proj is not null),
     be as (select s.season, r.position, r.proj, r.actual, r.e from rs r join (select distinct season from rs) s on r.season < s.season), {_merged("season, position", "be")},
@@ -357,14 +428,14 @@ def components_fit(spark, sf_dir):
 SLOTS = {"BUILDING": 10, "MACHINERY": 8, "AUTOMOBILE": 8}
 FLEX = ["BUILDING", "MACHINERY", "FURNITURE", "HOUSEHOLD"]
 STARTED = """
-    r1 as (select k, gi, position, coalesce(proj, 0) as v, row_number() over (partition by gi, position order by coalesce(proj, 0) desc, k) <= case position when 'BUILDING' then 10 when 'MACHINERY' then 8 when 'AUTOMOBILE' then 8 else 0 end as own from fx_proj where season = 1999),
-    r2 as (select *, not own and position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') as may from r1),
+    r1 as (select k, gi, season, position, coalesce(proj, 0) as v, coalesce(proj, 0) > 0 and row_number() over (partition by gi, position order by coalesce(proj, 0) desc, k) <= case position when 'BUILDING' then 10 when 'MACHINERY' then 8 when 'AUTOMOBILE' then 8 else 0 end as own from fx_proj),
+    r2 as (select *, not own and v > 0 and position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') as may from r1),
     st as (select *, case when own then position when may and row_number() over (partition by gi, may order by v desc, k) <= 12 then 'flex' end as slot from r2),
     bs as (select gi, case when position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else position end as g, max(case when slot is null then v end) as repl from st group by 1, 2)"""
 
 
 def _started(spark, sf_dir):
-    weekly = view(spark, sf_dir, "fx_proj").where("season = 1999").select("k", "gi", "position", F.coalesce("proj", F.lit(0.0)).alias("v"))
+    weekly = view(spark, sf_dir, "fx_proj").select("k", "gi", "season", "position", F.coalesce("proj", F.lit(0.0)).alias("v"))
     return value.starters(weekly, "gi", "position", "v", "k", SLOTS, 12, FLEX)
 
 
@@ -378,56 +449,57 @@ def baselines(spark, sf_dir):
     return value.baselines(_started(spark, sf_dir), "gi", "position", "v", FLEX).select("gi", "position", r4("replacement").alias("replacement"))
 
 
-VOR = f"""{STARTED}, vr as (select st.k, st.position, sum(v - coalesce(repl, 0)) as vor, sum(greatest(v - coalesce(repl, 0), 0)) as vp, sum(case when slot is not null then v - coalesce(repl, 0) else 0 end) as vas, count(*) as periods
-      from st join bs on bs.gi = st.gi and bs.g = case when st.position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else st.position end group by st.k, st.position)"""
+VOR = f"""{STARTED}, vr as (select st.season, st.k, st.position, sum(v - coalesce(repl, 0)) as vor, sum(greatest(v - coalesce(repl, 0), 0)) as vp, sum(case when slot is not null then v - coalesce(repl, 0) else 0 end) as vas, count(*) as periods
+      from st join bs on bs.gi = st.gi and bs.g = case when st.position in ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') then 'flex' else st.position end group by st.season, st.k, st.position)"""
 
 
 def _vor(spark, sf_dir):
     started = _started(spark, sf_dir)
-    return value.over_replacement(started, value.baselines(started, "gi", "position", "v", FLEX), "gi", "position", "v", "k")
+    return value.over_replacement(started, value.baselines(started, "gi", "position", "v", FLEX), "gi", "position", "v", ["season", "k"])
 
 
-@query("vor", f"with {VOR} select k, position, round(vor, 3) as vor, round(vp, 3) as vor_plus, round(vas, 3) as vas, periods from vr")
+@query("vor", f"with {VOR} select season, k, position, round(vor, 3) as vor, round(vp, 3) as vor_plus, round(vas, 3) as vas, periods from vr")
 def vor(spark, sf_dir):
-    return _vor(spark, sf_dir).select("k", "position", *(r4(c, 3).alias(c) for c in ("vor", "vor_plus", "vas")), "periods")
+    return _vor(spark, sf_dir).select("season", "k", "position", *(r4(c, 3).alias(c) for c in ("vor", "vor_plus", "vas")), "periods")
 
 
-@query("scarcity", f"with {VOR} select position, count(*) as n, round(max(vor), 3) as elite, count(*) filter (where vor > 0) as n_above, round(quantile_cont(vor, 0.5), 3) as median from vr group by position")
+@query("scarcity", f"with {VOR} select season, position, count(*) as n, round(max(vor), 3) as elite, count(*) filter (where vor > 0) as n_above, round(quantile_cont(vor, 0.5), 3) as median from vr group by season, position")
 def scarcity(spark, sf_dir):
-    return _vor(spark, sf_dir).groupBy("position").agg(
+    return _vor(spark, sf_dir).groupBy("season", "position").agg(
         F.count("*").alias("n"), r4(F.max("vor"), 3).alias("elite"), F.count_if(F.col("vor") > 0).alias("n_above"), r4(F.percentile("vor", 0.5), 3).alias("median")
     )
 
 
 @query("proportional_pool", f"""
-    with {STARTED}, s as (select position, count(slot) / cast(sum(count(slot)) over () as double) as share from st group by position),
-    t as (select k, position, sum(v) as v, row_number() over (partition by position order by sum(v) desc, k) as r from st group by k, position)
-    select t.k, t.position, t.r as rank from t join s using (position) where t.r <= round(s.share * 150)""")
+    with {STARTED}, s as (select season, position, count(slot) / cast(sum(count(slot)) over (partition by season) as double) as share from st group by season, position),
+    t as (select season, k, position, sum(v) as v, row_number() over (partition by season, position order by sum(v) desc, k) as r from st group by season, k, position)
+    select t.season, t.k, t.position, t.r as rank from t join s using (season, position) where t.r <= round(s.share * 150)""")
 def proportional_pool(spark, sf_dir):
     started = _started(spark, sf_dir)
-    counts = started.groupBy("position").agg(F.count("slot").alias("c"))
-    size = counts.crossJoin(counts.agg(F.sum("c").alias("all"))).select("position", F.round(F.col("c") / F.col("all") * 150).alias("size"))
-    totals = started.groupBy("k", "position").agg(F.sum("v").alias("v"))
-    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("v"), "k")).cast("long"))
-    return ranked.join(F.broadcast(size), "position").where("rank <= size").select("k", "position", "rank")
+    counts = started.groupBy("season", "position").agg(F.count("slot").alias("c"))
+    share = F.col("c") / F.sum("c").over(Window.partitionBy("season"))
+    size = counts.select("season", "position", F.round(share * 150).alias("size"))
+    totals = started.groupBy("season", "k", "position").agg(F.sum("v").alias("v"))
+    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("season", "position").orderBy(F.desc("v"), "k")).cast("long"))
+    return ranked.join(size, ["season", "position"]).where("rank <= size").select("season", "k", "position", "rank")
 
 
 @query("vor_backtest", f"""
-    with {VOR}, ac as (select k, sum(actual) as a from fx_proj where season = 1999 group by k),
-    r as (select vr.position, vr.vor, ac.a, rank() over (partition by vr.position order by vr.vor) as p, rank() over (partition by vr.position order by ac.a) as q from vr join ac on ac.k = vr.k)
-    select position, count(*) as n, round(regr_slope(a, vor), 5) as slope, round(corr(p, q), 5) as spearman from r group by position""")
+    with {VOR}, ac as (select season, k, sum(actual) as a from fx_proj group by season, k),
+    r as (select vr.season, vr.position, vr.vor, ac.a, rank() over (partition by vr.season, vr.position order by vr.vor) as p, rank() over (partition by vr.season, vr.position order by ac.a) as q from vr join ac on ac.k = vr.k and ac.season = vr.season)
+    select season, position, count(*) as n, round(regr_slope(a, vor), 5) as slope, round(corr(p, q), 5) as spearman from r group by season, position""")
 def vor_backtest(spark, sf_dir):
-    actual = view(spark, sf_dir, "fx_proj").where("season = 1999").groupBy("k").agg(F.sum("actual").alias("a"))
-    rank = lambda c: F.rank().over(Window.partitionBy("position").orderBy(c))
-    rows = _vor(spark, sf_dir).join(actual, "k").select("position", "vor", "a", rank("vor").alias("p"), rank("a").alias("q"))
-    return rows.groupBy("position").agg(F.count("*").alias("n"), r4(F.regr_slope("a", "vor"), 5).alias("slope"), r4(F.corr("p", "q"), 5).alias("spearman"))
+    actual = view(spark, sf_dir, "fx_proj").groupBy("season", "k").agg(F.sum("actual").alias("a"))
+    rank = lambda c: F.rank().over(Window.partitionBy("season", "position").orderBy(c))
+    rows = _vor(spark, sf_dir).join(actual, ["season", "k"]).select("season", "position", "vor", "a", rank("vor").alias("p"), rank("a").alias("q"))
+    return rows.groupBy("season", "position").agg(F.count("*").alias("n"), r4(F.regr_slope("a", "vor"), 5).alias("slope"), r4(F.corr("p", "q"), 5).alias("spearman"))
 
 
 @query("buy_sell", """
-    with s as (select k, sum(actual) / nullif(sum(proj), 0) as ratio, count(*) as n from fx_proj where season = 1999 and proj is not null group by k having count(*) >= 2)
-    select k, round(ratio, 4) as ratio, case when ratio >= 1.02 then 'buy' when ratio <= 0.9 then 'sell' else 'hold' end as signal from s""")
+    with s as (select season, k, sum(actual) / nullif(sum(proj), 0) as ratio, count(*) as n from fx_proj where proj is not null group by season, k having count(*) >= 2)
+    select season, k, round(ratio, 4) as ratio, case when ratio >= 1.02 then 'buy' when ratio <= 0.9 then 'sell' else 'hold' end as signal from s""")
 def buy_sell(spark, sf_dir):
-    sums = view(spark, sf_dir, "fx_proj").where("season = 1999 and proj is not null").groupBy("k").agg(
+    sums = view(spark, sf_dir, "fx_proj").where("proj is not null").groupBy("season", "k").agg(
         (F.sum("actual") / F.nullif(F.sum("proj"), F.lit(0.0))).alias("ratio"), F.count("*").alias("n")
     ).where("n >= 2")
-    return sums.select("k", r4("ratio").alias("ratio"), F.when(F.col("ratio") >= 1.02, "buy").when(F.col("ratio") <= 0.9, "sell").otherwise("hold").alias("signal"))
+    return sums.select("season", "k", r4("ratio").alias("ratio"), F.when(F.col("ratio") >= 1.02, "buy").when(F.col("ratio") <= 0.9, "sell").otherwise("hold").alias("signal"))
