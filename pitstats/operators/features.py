@@ -8,11 +8,100 @@ from pyspark.sql import functions as F
 from pitstats.operators import dedup, joins, windows
 
 
-def player_state(games: DataFrame, key: str, index: str, variables: list[str], sizes=(3, 8)) -> DataFrame:
-    """State after each game: trailing means of every variable and size, and the career counter, in one sort per key."""
+def player_state(games: DataFrame, key: str, index: str, season: str, variables: list[str], running: list[str], sizes=(3, 8)) -> DataFrame:
+    """State after each game, in two sorts per key: trailing means of every variable and size, career and season counters,
+    and the season's running means."""
+    whole, inside = Window.partitionBy(key).orderBy(index), Window.partitionBy(key, season).orderBy(index)
     means = [windows.trailing_mean(v, [key], [index], n).alias(f"{v}_{n}") for v in variables for n in sizes]
-    career = F.row_number().over(Window.partitionBy(key).orderBy(index)).cast("long").alias("career_games")
-    return games.select(key, index, *means, career)
+    season_means = [F.avg(v).over(windows.last_rows([key, season], [index], None)).alias(f"season_{v}") for v in running]
+    return games.select(
+        key, index, F.col(season).alias("last_season"), *means, F.row_number().over(whole).cast("long").alias("career_games"),
+        F.row_number().over(inside).cast("long").alias("season_games"), *season_means,
+    )
+
+
+#: Prior and weight of the shrunk rates over sixteen games: fixed values.
+RATES = {
+    "per_target": ("yards", "targets", 8.0, 30), "catch": ("receptions", "targets", 0.62, 30), "depth": ("air", "targets", 9.0, 30),
+    "after_catch": ("yac", "receptions", 4.5, 20),
+}
+
+
+def player_state_m2(games: DataFrame, key: str, index: str, variables: list[str], trends: list[str]) -> DataFrame:
+    """State after each game: two weighted means of every variable (half-lives of 2 and 6 games), short trailing means,
+    deviations, shrunk rates and trends. All windows share one sort per key.
+
+    Weights grow from a key's first row on, as in `windows.with_ewma`.
+    """
+    row = F.row_number().over(Window.partitionBy(key).orderBy(index)) - 1
+    rows = games.withColumns({f"_w{h}": F.pow(F.lit(2.0), row / F.lit(float(h))) for h in (2, 6)})
+    upto, w16 = windows.last_rows([key], [index], None), windows.last_rows([key], [index], 16)
+
+    def ewma(v: str, h: int):
+        w = F.when(F.col(v).isNotNull(), F.col(f"_w{h}"))
+        return F.sum(F.col(v) * w).over(upto) / F.nullif(F.sum(w).over(upto), F.lit(0.0))
+
+    total = lambda v: F.sum(F.coalesce(F.col(v), F.lit(0))).over(w16)
+    rates = [((total(a) + k * prior) / (total(b) + k)).alias(f"{name}_16") for name, (a, b, prior, k) in RATES.items()]
+    over = (F.sum(F.col("pts") - F.col("xfp")).over(w16) / (F.count(F.col("pts") - F.col("xfp")).over(w16) + 6)).alias("over_16")
+    rows = rows.select(
+        key, index, F.col("week").alias("last_week"), *(ewma(v, h).alias(f"{v}_e{h}") for v in variables for h in (2, 6)),
+        F.col("pts").alias("pts_1"), windows.trailing_mean("targets", [key], [index], 2).alias("targets_2"),
+        windows.trailing_mean("targets", [key], [index], 4).alias("targets_4"), windows.trailing_sd("pts", [key], [index], 8).alias("pts_sd8"),
+        windows.trailing_sd("target_share", [key], [index], 8).alias("target_share_sd8"), *rates, over,
+    )
+    return rows.withColumns({f"{v}_trend": F.col(f"{v}_e2") - F.col(f"{v}_e6") for v in trends})
+
+
+def feature_rows_m2(rows: DataFrame, state: DataFrame, context: DataFrame, bio: DataFrame) -> DataFrame:
+    """Rows of `feature_rows` (k, team, gi, season, week) with the second player state strictly before, the context of
+    the team's game (already known strictly before it, one row per team and game) and what is fixed about the player.
+
+    As-of joins of teams, opponents and leaders are made on the schedule, which is small, and met by equal keys here.
+    """
+    known = [c for c in state.columns if c not in ("k", "gi")]
+    out = joins.asof_strict(rows, state, ["k"], "gi", known).join(context, ["team", "gi"], "left").join(bio, "k", "left")
+    played = F.col("state_season") == F.col("season")
+    years = F.col("season") - F.col("first_season")
+    return out.withColumns({
+        "rest": F.when(played, F.col("week") - F.col("last_week")), "age": F.col("season") - F.col("born"), "experience": years,
+        "rookie": joins.matched(years == 0), "undrafted": F.col("pick").isNull(), "log_pick": F.ln(F.coalesce(F.col("pick"), F.lit(300)).cast("double")),
+        "no_previous": F.col("prev_mean").isNull(), "no_games": ~joins.matched(played),
+    })
+
+
+def availability(targets: DataFrame, detail: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Targets (k, team, day) with this day's report and the trajectory of the team's earlier games.
+
+    `detail` has one valid report per player and day (designation, practice, body), `schedule` the teams' days. The
+    streak is the number of the team's games directly before on which the player was listed. A missing report is told
+    apart: the team has a report without the player, no report of the team, no report of that month at all.
+    """
+    grid = targets.select("k", "team").distinct().join(schedule.select("team", "day"), "team")
+    listed = grid.join(detail.select("k", "day", "designation", F.lit(True).alias("listed")), ["k", "day"], "left")
+    listed = listed.withColumn("listed", F.coalesce("listed", F.lit(False)))
+    past = windows.with_streak(listed, "listed", ["k", "team"], "day", "streak")
+    past = past.select("k", "team", "day", F.coalesce(windows.previous("designation", ["k", "team"], ["day"]), F.lit("none")).alias("previous"), "streak")
+    teams = detail.select("team", "day").distinct().withColumn("_team", F.lit(True))
+    months = detail.select(F.trunc("day", "month").alias("_month")).distinct().withColumn("_source", F.lit(True))
+    out = targets.join(detail.drop("team"), ["k", "day"], "left").join(past, ["k", "team", "day"], "left").join(teams, ["team", "day"], "left")
+    out = out.withColumn("_month", F.trunc("day", "month")).join(months, "_month", "left")
+    state = F.when(F.col("designation").isNotNull(), "listed").when(F.col("_source").isNull(), "source_missing").when(F.col("_team"), "not_listed")
+    filled = {c: F.coalesce(c, F.lit("none")) for c in ("designation", "practice", "body", "previous")}
+    return out.withColumn("report_state", state.otherwise("no_team_report")).withColumns(filled).withColumn("streak", F.coalesce("streak", F.lit(0))).drop("_team", "_month", "_source")
+
+
+#: Parts of the body by the words that reports use for them: fixed values.
+BODY = {"knee": "knee", "ankle": "leg", "hamstring": "leg", "shoulder": "arm", "illness": "illness"}
+
+
+def body_part(text):
+    """The part named in a report's free text, or `other`."""
+    low = F.lower(F.trim(text))
+    out = F.lit("other")
+    for word, part in reversed(BODY.items()):
+        out = F.when(low.contains(word), part).otherwise(out)
+    return F.when(text.isNotNull(), out)
 
 
 def leaders(plays: DataFrame, by: list[str], who: str, amount: str) -> DataFrame:

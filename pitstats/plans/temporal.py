@@ -216,30 +216,45 @@ def cumprod(spark, sf_dir):
     return games.select("k", "gi", rounded(windows.cumprod("bet", ["k"], ["gi"]), 6).alias("wealth"))
 
 
-@query("pit_player_state", """
-    select k, gi, round(avg(pts) over w3, 4) as pts_3, round(avg(pts) over w8, 4) as pts_8, round(avg(targets) over w3, 4) as targets_3, round(avg(targets) over w8, 4) as targets_8,
-        row_number() over (partition by k order by gi) as career_games
-    from fx_games window w3 as (partition by k order by gi rows between 2 preceding and current row), w8 as (partition by k order by gi rows between 7 preceding and current row)""")
+PLAYER = ["pts", "targets", "receptions", "yards", "target_share", "air_share", "snap_share", "rz", "rz_share", "xfp"]
+RECENT = ["pts", "targets", "target_share", "air_share", "snap_share", "xfp", "deep", "rz", "carries", "receptions"]
+TRENDS = ["target_share", "snap_share", "xfp"]
+M1_MEANS = [f"{v}_{n}" for v in PLAYER for n in (3, 8)]
+M2_PARTS = (
+    [f"{v}_e{h}" for v in RECENT for h in (2, 6)] + ["pts_1", "targets_2", "targets_4", "pts_sd8", "target_share_sd8"]
+    + [f"{r}_16" for r in features.RATES] + ["over_16"] + [f"{v}_trend" for v in TRENDS]
+)
+
+
+@query("pit_player_state", f"""
+    select k, gi, season as last_season, {", ".join(f"round(avg({v}) over w{n}, 4) as {v}_{n}" for v in PLAYER for n in (3, 8))},
+        row_number() over (partition by k order by gi) as career_games, row_number() over s as season_games, round(avg(pts) over s, 4) as season_pts, round(avg(targets) over s, 4) as season_targets
+    from fx_usage window w3 as (partition by k order by gi rows between 2 preceding and current row), w8 as (partition by k order by gi rows between 7 preceding and current row),
+        s as (partition by k, season order by gi rows unbounded preceding)""")
 def pit_player_state(spark, sf_dir):
-    state = features.player_state(view(spark, sf_dir, "fx_games"), "k", "gi", ["pts", "targets"], (3, 8))
-    return state.select("k", "gi", *(r4(c).alias(c) for c in ("pts_3", "pts_8", "targets_3", "targets_8")), "career_games")
+    state = features.player_state(view(spark, sf_dir, "fx_usage"), "k", "gi", "season", PLAYER, ["pts", "targets"])
+    return state.select("k", "gi", "last_season", *(r4(c).alias(c) for c in M1_MEANS), "career_games", "season_games", r4("season_pts").alias("season_pts"), r4("season_targets").alias("season_targets"))
 
 
-@query("pit_player_state_m2", """
-    with recursive g as (select k, gi, pts as x, receptions, targets, row_number() over (partition by k order by gi) as i from fx_games),
-    e as (select k, gi, i, x as num, 1.0::double as den from g where i = 1
-      union all select g.k, g.gi, g.i, e.num * pow(0.5, 1 / 6.0::double) + g.x, e.den * pow(0.5, 1 / 6.0::double) + 1 from e join g on g.k = e.k and g.i = e.i + 1),
-    r as (select k, gi, (sum(receptions) over w + 40 * 0.05::double) / (sum(targets) over w + 40) as rate, avg(x) over (partition by k order by gi rows between 2 preceding and current row) as m3 from g
-      window w as (partition by k order by gi rows between 15 preceding and current row))
-    select e.k, e.gi, round(num / den, 3) as ewma_6, round(rate, 5) as rate_16, round(m3 - num / den, 3) as trend from e join r on r.k = e.k and r.gi = e.gi""")
+def _ewma_sql(v: str, h: int) -> str:
+    return f"sum({v} * pow(2.0::double, i / {h}.0::double)) over u / nullif(sum(case when {v} is not null then pow(2.0::double, i / {h}.0::double) end) over u, 0)"
+
+
+STATE_M2 = f"""
+    us as (select *, row_number() over (partition by k order by gi) - 1 as i from fx_usage),
+    m2 as (select k, gi, week as last_week, {", ".join(f"{_ewma_sql(v, h)} as {v}_e{h}" for v in RECENT for h in (2, 6))}, pts as pts_1,
+        avg(targets) over (partition by k order by gi rows between 1 preceding and current row) as targets_2, avg(targets) over (partition by k order by gi rows between 3 preceding and current row) as targets_4,
+        case when count(pts) over w8 >= 2 then stddev_samp(pts) over w8 end as pts_sd8, case when count(target_share) over w8 >= 2 then stddev_samp(target_share) over w8 end as target_share_sd8,
+        {", ".join(f"(sum(coalesce({x}, 0)) over w16 + {n * prior}::double) / (sum(coalesce({y}, 0)) over w16 + {n}) as {name}_16" for name, (x, y, prior, n) in features.RATES.items())},
+        sum(pts - xfp) over w16 / (count(pts - xfp) over w16 + 6) as over_16
+      from us window u as (partition by k order by gi rows unbounded preceding), w8 as (partition by k order by gi rows between 7 preceding and current row), w16 as (partition by k order by gi rows between 15 preceding and current row)),
+    s2 as (select *, {", ".join(f"{v}_e2 - {v}_e6 as {v}_trend" for v in TRENDS)} from m2)"""
+
+
+@query("pit_player_state_m2", f"with {STATE_M2} select k, gi, last_week, {', '.join(f'round({c}, 4) as {c}' for c in M2_PARTS)} from s2")
 def pit_player_state_m2(spark, sf_dir):
-    games = windows.with_ewma(view(spark, sf_dir, "fx_games"), "pts", ["k"], ["gi"], 6.0, "e6")
-    w16 = windows.last_rows(["k"], ["gi"], 16)
-    rate = (F.sum("receptions").over(w16) + 40 * 0.05) / (F.sum("targets").over(w16) + 40)
-    return games.select(
-        "k", "gi", rounded(F.col("e6"), 3).alias("ewma_6"), rounded(rate, 5).alias("rate_16"),
-        rounded(windows.trailing_mean("pts", ["k"], ["gi"], 3) - F.col("e6"), 3).alias("trend"),
-    )
+    state = features.player_state_m2(view(spark, sf_dir, "fx_usage"), "k", "gi", RECENT, TRENDS)
+    return state.select("k", "gi", "last_week", *(r4(c).alias(c) for c in M2_PARTS))
 
 
 @query("pit_team_state", """
@@ -291,25 +306,106 @@ def pit_features_m1(spark, sf_dir):
     return rows.select("k", "gi", r4("roll3").alias("roll3"), r4("season_mean").alias("season_mean"), "career", r4("prev_mean").alias("prev_mean"), r4("team3").alias("team3"))
 
 
-@query("pit_availability", """
-    with d as (select k, day, max(case when ts < cutoff then status end) as status, bool_or(ts < cutoff) as listed from fx_reports group by k, day)
-    select k, day, case when listed then status end as status, lag(case when listed then status end) over (partition by k order by day) as prev_status,
-        case when not listed then 'late only' when status = 'Out' then 'out' when status in ('Doubtful', 'Questionable') then 'in doubt' else 'listed' end as state from d""")
+def _context(spark, sf_dir):
+    """One row per team and month: opponent, home, and what was known of team, opponent and leader strictly before."""
+    games = view(spark, sf_dir, "fx_games")
+    volume = games.groupBy("team", "gi").agg(F.sum("targets").alias("t"), F.max("targets").alias("top"))
+    team = volume.select(
+        "team", "gi", windows.trailing_mean("t", ["team"], ["gi"], 8).alias("team_targets_8"),
+        F.avg(F.col("top") / F.col("t")).over(windows.last_rows(["team"], ["gi"], 8)).alias("top_share_8"),
+    )
+    allowed = games.groupBy(((F.col("team") + F.col("gi")) % 25).alias("opponent"), "gi").agg(F.sum("pts").alias("x"))
+    defense = allowed.select("opponent", "gi", windows.trailing_mean("x", ["opponent"], ["gi"], 8).alias("allowed_8"))
+    leader = pit_leader_state(spark, sf_dir).select("team", "gi", "leader", F.col("eff").alias("leader_eff"))
+    rows = view(spark, sf_dir, "fx_schedule").select("team", "gi", "opponent", "home")
+    rows = joins.asof_strict(rows, team, ["team"], "gi", ["team_targets_8", "top_share_8"])
+    return joins.asof_strict(rows, defense, ["opponent"], "gi", ["allowed_8"]).join(leader, ["team", "gi"], "left")
+
+
+FEATURES_M2 = ["roll3", "season_mean", "prev_mean", "team3", *M2_PARTS, "team_targets_8", "top_share_8", "allowed_8", "log_pick"]
+PLAIN_M2 = ["career", "opponent", "home", "leader", "rest", "age", "experience", "rookie", "undrafted", "no_previous", "no_games"]
+
+
+@query("pit_features_m2", f"""
+    with {LEADERS}, {STATE_M2}, st as (select k, gi, season, avg(pts) over (partition by k order by gi rows between 2 preceding and current row) as roll3,
+        avg(pts) over (partition by k, season order by gi rows unbounded preceding) as smean, row_number() over (partition by k order by gi) as career from fx_games),
+    t as (select t.*, (select max(s.gi) from st s where s.k = t.k and s.gi < t.gi) as sg from fx_targets t),
+    vo as (select team, gi, sum(targets) as t, max(targets) as top from fx_games group by team, gi),
+    tv as (select team, gi, avg(t) over (partition by team order by gi rows between 2 preceding and current row) as team3, avg(t) over w as team_targets_8, avg(cast(top as double) / t) over w as top_share_8 from vo window w as (partition by team order by gi rows between 7 preceding and current row)),
+    al as (select (team + gi) % 25 as opponent, gi, sum(pts) as x from fx_games group by 1, 2),
+    df as (select opponent, gi, avg(x) over (partition by opponent order by gi rows between 7 preceding and current row) as allowed_8 from al),
+    cx as (select s.team, s.gi, s.opponent, s.home, (select max_by(l.leader, l.gi) from l where l.team = s.team and l.gi < s.gi) as leader,
+        (select max(v.gi) from tv v where v.team = s.team and v.gi < s.gi) as tg, (select max(d.gi) from df d where d.opponent = s.opponent and d.gi < s.gi) as dg from fx_schedule s),
+    ps as (select k, season + 1 as season, avg(pts) as prev_mean from fx_games group by k, season),
+    j as (select t.k, t.gi, st.roll3, case when st.season = t.season then st.smean end as season_mean, coalesce(st.career, 0) as career, ps.prev_mean, tw.team3, cx.opponent, cx.home, cx.leader, tv.team_targets_8, tv.top_share_8, df.allowed_8,
+        case when st.season = t.season then t.week - s2.last_week end as rest, t.season - b.born as age, t.season - b.first_season as experience, coalesce(t.season - b.first_season = 0, false) as rookie, b.pick is null as undrafted,
+        ln(coalesce(b.pick, 300)::double) as log_pick, ps.prev_mean is null as no_previous, not coalesce(st.season = t.season, false) as no_games, {", ".join(f"s2.{c}" for c in M2_PARTS)}
+      from t left join st on st.k = t.k and st.gi = t.sg left join s2 on s2.k = t.k and s2.gi = t.sg left join ps on ps.k = t.k and ps.season = t.season left join cx on cx.team = t.team and cx.gi = t.gi
+      left join tv on tv.team = cx.team and tv.gi = cx.tg left join tv tw on tw.team = t.team and tw.gi = cx.tg left join df on df.opponent = cx.opponent and df.gi = cx.dg left join fx_bio b on b.k = t.k)
+    select k, gi, {", ".join(PLAIN_M2)}, {", ".join(f"round({c}, 4) as {c}" for c in FEATURES_M2)} from j""")
+def pit_features_m2(spark, sf_dir):
+    """The first feature row, the second player state, the context of the team's game, and what is fixed about the player."""
+    targets = view(spark, sf_dir, "fx_targets").select("k", "team", "gi", "season", "week")
+    rows = features.feature_rows(targets, view(spark, sf_dir, "fx_games"))
+    state = features.player_state_m2(view(spark, sf_dir, "fx_usage"), "k", "gi", RECENT, TRENDS)
+    out = features.feature_rows_m2(rows, state, _context(spark, sf_dir), view(spark, sf_dir, "fx_bio"))
+    return out.select("k", "gi", *PLAIN_M2, *(r4(c).alias(c) for c in FEATURES_M2))
+
+
+DETAIL = """
+    de as (select k, team, day, max_by(designation, (ts, event_id)) as designation, max_by(practice, (ts, event_id)) as practice, max_by(injury, (ts, event_id)) as injury from fx_details where ts < cutoff group by k, team, day),
+    sc as (select distinct team, day from fx_details), tg as (select k, sc.team, sc.day from (select distinct k, team from fx_details) p join sc on sc.team = p.team)"""
+
+
+def _detail(spark, sf_dir):
+    """The last report of each player and day before the day's cutoff."""
+    last = lambda c: F.max_by(c, F.struct("ts", "event_id")).alias(c)
+    rows = view(spark, sf_dir, "fx_details").where("ts < cutoff").groupBy("k", "team", "day").agg(*map(last, ("designation", "practice", "injury")))
+    return rows.select("k", "team", "day", "designation", "practice", features.body_part(F.col("injury")).alias("body"))
+
+
+@query("pit_availability", f"""
+    with {DETAIL}, g as (select tg.*, de.designation, de.practice, case when de.injury ilike '%knee%' then 'knee' when de.injury ilike '%ankle%' then 'leg' when de.injury ilike '%illness%' then 'illness' when de.injury is not null then 'other' end as body,
+        de.designation is not null as listed, row_number() over (partition by tg.k order by tg.day) as i from tg left join de on de.k = tg.k and de.day = tg.day),
+    s as (select *, i - 1 - coalesce(max(case when not listed then i end) over (partition by k order by i rows between unbounded preceding and 1 preceding), 0) as streak, lag(designation) over (partition by k order by i) as previous from g)
+    select k, day, coalesce(designation, 'none') as designation, coalesce(practice, 'none') as practice, coalesce(body, 'none') as body, coalesce(previous, 'none') as previous, streak,
+        case when listed then 'listed' when exists (select 1 from de where de.team = s.team and de.day = s.day) then 'not_listed' else 'no_team_report' end as report_state from s""")
 def pit_availability(spark, sf_dir):
-    intime = F.col("ts") < F.col("cutoff")
-    days = view(spark, sf_dir, "fx_reports").groupBy("k", "day").agg(F.max(F.when(intime, F.col("status"))).alias("status"), F.bool_or(intime).alias("listed"))
-    state = F.when(~F.col("listed"), "late only").when(F.col("status") == "Out", "out").when(F.col("status").isin("Doubtful", "Questionable"), "in doubt").otherwise("listed")
-    return days.select("k", "day", "status", windows.previous("status", ["k"], ["day"]).alias("prev_status"), state.alias("state"))
+    details = view(spark, sf_dir, "fx_details")
+    schedule = details.select("team", "day").distinct()
+    targets = details.select("k", "team").distinct().join(schedule, "team").select("k", "team", "day")
+    out = features.availability(targets, _detail(spark, sf_dir), schedule)
+    return out.select("k", "day", "designation", "practice", "body", "previous", "streak", "report_state")
+
+
+#: Probability of activity by designation, and what a limited or missing practice takes off: fixed values.
+ACTIVE, PRACTICE = {"Out": 0.0, "Doubtful": 0.1, "Questionable": 0.7, "Listed": 0.95, "Note": 0.99}, {"none": 0.5, "limited": 0.9, "full": 1.0}
 
 
-@query("pit_live_availability", """
-    with d as (select day, k % 25 as team, max(ts) >= max(cutoff) - interval 6 hour as final from fx_reports group by day, k % 25)
-    select r.day, count(*) as n, count(*) filter (where d.final) as n_final from fx_reports r join d on d.day = r.day and d.team = r.k % 25 where r.ts < r.cutoff group by r.day""")
+def _case(column: str, values: dict) -> str:
+    return f"case {column} {' '.join(f'when {k!r} then {v}::double' for k, v in values.items())} end"
+
+
+@query("pit_live_availability", f"""
+    with d as (select day, team, max(ts) >= max(cutoff) - interval 6 hour as final from fx_details group by day, team),
+    r as (select x.*, d.final from fx_details x join d using (day, team) where x.ts < x.cutoff),
+    last as (select k, day, bool_or(final) as final, max_by(designation, (ts, event_id)) as designation, max_by(practice, (ts, event_id)) as practice from r group by k, day),
+    lg as (select *, lag(designation) over (partition by k order by day) as previous from last)
+    select k, day, case when final then designation else 'none' end as designation, coalesce(previous, 'none') as previous,
+        case when final then round({_case("designation", ACTIVE)} * {_case("practice", PRACTICE)}, 4) else 1.0::double end as p_active from lg""")
 def pit_live_availability(spark, sf_dir):
-    reports = view(spark, sf_dir, "fx_reports").withColumn("team", F.col("k") % 25)
+    """The target day counts only where the team's final report is out; earlier days feed the lag; status and practice give P(active)."""
+    from pitstats.functions.scalars import lookup
+
+    reports = view(spark, sf_dir, "fx_details")
     final = reports.groupBy("day", "team").agg((F.max("ts") >= F.max("cutoff") - F.expr("interval 6 hours")).alias("final"))
-    known = reports.where("ts < cutoff").join(final, ["day", "team"])
-    return known.groupBy("day").agg(F.count("*").alias("n"), F.count_if("final").alias("n_final"))
+    latest = lambda c: F.max_by(c, F.struct("ts", "event_id")).alias(c)
+    known = reports.where("ts < cutoff").join(final, ["day", "team"]).groupBy("k", "day").agg(F.bool_or("final").alias("final"), latest("designation"), latest("practice"))
+    known = known.withColumn("previous", F.coalesce(windows.previous("designation", ["k"], ["day"]), F.lit("none")))
+    p = rounded(lookup(F.col("designation"), ACTIVE) * lookup(F.col("practice"), PRACTICE), 4)
+    return known.select(
+        "k", "day", F.when(F.col("final"), F.col("designation")).otherwise("none").alias("designation"), "previous", F.when(F.col("final"), p).otherwise(1.0).alias("p_active")
+    )
 
 
 @query("version_asof", """

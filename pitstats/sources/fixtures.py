@@ -35,6 +35,20 @@ VIEWS = {
             case when p.week % 5 = 0 then null else cast(sum(p.tax) as double) / count(*) / 10 end as snap_share
         from {fx_plays} p join {fx_totals} t on p.k = t.k and p.gi = t.gi
         group by p.k, p.gi, p.season, p.week, p.team, p.position""",
+    "fx_usage": """
+        select g.k, g.gi, g.season, g.week, g.team, g.position, g.pts, g.targets, g.receptions, g.yards, g.xfp, g.snap_share,
+            p.rz, p.deep, p.carries, p.air, p.yac, cast(g.targets as double) / t.targets as target_share,
+            cast(p.air as double) / nullif(t.air, 0) as air_share, cast(p.rz as double) / nullif(t.rz, 0) as rz_share
+        from {fx_games} g
+        join (select k, gi, cast(count(case when disc >= 8 then 1 end) as bigint) as rz, cast(count(case when yards >= 40 then 1 end) as bigint) as deep,
+                cast(count(case when play_type = 'R' then 1 end) as bigint) as carries, cast(sum(disc) as bigint) as air, cast(sum(tax) as bigint) as yac
+            from {fx_plays} group by k, gi) p on p.k = g.k and p.gi = g.gi
+        join (select team, gi, cast(sum(yards) as bigint) as targets, cast(count(case when disc >= 8 then 1 end) as bigint) as rz, cast(sum(disc) as bigint) as air
+            from {fx_plays} group by team, gi) t on t.team = g.team and t.gi = g.gi""",
+    "fx_bio": """
+        select cast(c_custkey as bigint) as k, case when c_custkey % 4 = 0 then null else cast(c_custkey % 250 + 1 as bigint) end as pick,
+            cast(1960 + c_custkey % 30 as bigint) as born, cast(1990 + c_custkey % 8 as bigint) as first_season
+        from {customer}""",
     "fx_schedule": """
         select n.team, m.gi, m.season, m.week, (n.team + m.gi) % 25 as opponent, (n.team + m.gi) % 2 = 0 as home,
             m.gi < mx.last as final, m.cents
@@ -57,6 +71,12 @@ VIEWS = {
             case event_type when 'error' then 'Out' when 'click' then 'Questionable' when 'view' then 'Doubtful'
                 when 'signup' then 'Listed' else 'Note' end as status
         from {events}""",
+    "fx_details": """
+        select event_id, user_id as k, user_id % 25 as team, cast(ts as date) as day, ts, cast(ts as date) + interval '18' hour as cutoff,
+            case event_type when 'error' then 'Out' when 'click' then 'Questionable' when 'view' then 'Doubtful' when 'signup' then 'Listed' else 'Note' end as designation,
+            case when value < 20 then 'none' when value < 60 then 'limited' else 'full' end as practice,
+            case event_id % 4 when 0 then 'left knee' when 1 then 'Knee' when 2 then 'Ankle ' else 'illness' end as injury
+        from {events}""",
     "fx_captures": """
         select event_id, user_id as k, ts, cast(ts as date) as day, value as v, event_type from {events}""",
     "fx_ids": """
