@@ -48,6 +48,14 @@ def fingerprint(preds: DataFrame, model: str, key: list[str], pred: str) -> Data
     return preds.groupBy(model).agg(F.count("*").alias("n"), F.avg(pred).alias("mean"), F.bit_xor(row).alias("content"))
 
 
+def compare_prints(now: DataFrame, stored: DataFrame, model: str) -> DataFrame:
+    """Prints of now with a status: identical, CHANGED, or unverifiable where none is stored."""
+    kept = stored.select(model, F.col("n").alias("_n"), F.col("content").alias("_content"))
+    same = (F.col("n") == F.col("_n")) & (F.col("content") == F.col("_content"))
+    status = F.when(F.col("_n").isNull(), "unverifiable").when(same, "identical").otherwise("CHANGED")
+    return now.join(kept, model, "left").withColumn("status", status).drop("_n", "_content")
+
+
 def next_after(rows: DataFrame, records: DataFrame, by: list[str], at: str, cutoff: str, payload: list[str]) -> DataFrame:
     """For each row the first record of its key at or after its cutoff; of records of one instant the smallest payload.
 

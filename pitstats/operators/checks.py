@@ -70,3 +70,19 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], columns: list[st
     only = [F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right")]
     out = both.agg(F.count_if(there).alias("n_both"), *only, *counts)
     return out.unpivot(["n_both"], ["only_left", "only_right", *columns], "column", "n_different")
+
+
+def projection_violations(df: DataFrame, keys: list[str], present: list[str], kinds: list[str], most: float) -> DataFrame:
+    """Broken rules of a projection table (keys, has_game, proj, p_active, lvl, kind): rule, n_broken; all in one pass
+    but for the key."""
+    missing = [c for c in (*keys, *present, "has_game", "proj", "p_active", "lvl", "kind") if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {missing}")
+    rules = {f"present: {c}": F.col(c).isNull() for c in (*keys, *present, "proj")} | {
+        "kind allowed": ~F.col("kind").isin(*kinds), "proj in range": ~F.col("proj").between(0, most), "p_active in range": ~F.col("p_active").between(0, 1),
+        "no game, no projection": ~F.col("has_game") & (F.col("proj") != 0), "proj = p_active * lvl": F.abs(F.col("proj") - F.col("p_active") * F.col("lvl")) > 1e-6,
+    }
+    counts = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
+    long = counts.unpivot([], list(rules), "rule", "n_broken")
+    repeated = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_broken"))
+    return repeated.select(F.lit("unique key").alias("rule"), "n_broken").unionByName(long)

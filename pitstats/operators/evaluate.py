@@ -164,3 +164,27 @@ def mde(sd: Column, n: Column, alpha: float = 0.05, power: float = 0.8) -> Colum
 def bootstrap_p(draws: DataFrame, value: str, by: list[str], margin: float = 0.0) -> DataFrame:
     """One-sided p of (1 + draws at or below the margin) / (1 + draws)."""
     return draws.groupBy(*by).agg(((1 + F.count_if(F.col(value) <= margin)) / (1 + F.count("*"))).alias("p"))
+
+
+def coverage_p(df: DataFrame, hit: str, by: list[str], cluster: str, nominal: float, reps: int, seed: int) -> DataFrame:
+    """Per cell the coverage and its two-sided bootstrap p against the nominal one, whole clusters redrawn in the cell.
+
+    Twice the smaller share of draws on either side of the nominal coverage, (1 + k) / (1 + reps), at most 1.
+    """
+    sums = df.groupBy(*by, cluster).agg(F.sum(hit).alias("_s"), F.count(hit).alias("_n"))
+    w = Window.partitionBy(*by)
+    numbered = sums.withColumn("_i", F.row_number().over(w.orderBy(cluster))).withColumn("_size", F.count("*").over(w))
+    draws = numbered.select(*by, F.col("_i").alias("_slot"), "_size", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
+    u = portable_uniform(F.lit(seed), F.col("_rep"), *(F.col(c) for c in by), F.col("_slot"))
+    draws = draws.select(*by, "_rep", (F.floor(u * F.col("_size")) + 1).cast("int").alias("_i"))
+    drawn = draws.join(numbered.select(*by, "_i", "_s", "_n"), [*by, "_i"]).groupBy(*by, "_rep").agg((F.sum("_s") / F.sum("_n")).alias("_m"))
+    side = lambda c: (1 + F.count_if(c)) / F.lit(1.0 + reps)
+    p = drawn.groupBy(*by).agg(F.least(F.lit(1.0), 2 * F.least(side(F.col("_m") <= nominal), side(F.col("_m") >= nominal))).alias("p"))
+    return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("cov"), F.sum("_n").alias("n")).join(p, by)
+
+
+def week_t(df: DataFrame, value: str, week: list[str], by: list[str]) -> DataFrame:
+    """Per group the t statistic of the weekly means against 0 and its degrees of freedom; null below two weeks."""
+    weeks = df.groupBy(*dict.fromkeys([*by, *week])).agg(F.avg(value).alias("_m"))
+    n, sd = F.count("_m"), F.stddev_samp("_m")
+    return weeks.groupBy(*by).agg(n.alias("weeks"), F.when((n > 1) & (sd > 0), F.avg("_m") / (sd / F.sqrt(n))).alias("t"), (n - 1).alias("df"))

@@ -90,7 +90,30 @@ def calib_ols(spark, sf_dir):
     )
 
 
-@query("calib_components")
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " + ".join(f"({'-' if j % 2 else ''}1) * {m[0][j]} * {_det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+
+def _least_squares_sql(name: str, rows: str, xs: list[str], y: str, weight: str = "1.0::double") -> str:
+    """SQL of a one-row table `name` with intercept b0 and slopes b1, ...: Cramer's rule on centred weighted sums."""
+    n = len(xs)
+    mean = lambda c: f"sum(w * {c}) / sum(w)"
+    sums = [f"sum(w * (x{i} - m{i}) * (x{j} - m{j})) as s{i}{j}" for i in range(n) for j in range(i, n)] + [f"sum(w * (x{i} - m{i}) * (y - my)) as t{i}" for i in range(n)]
+    a = [[f"s{min(i, j)}{max(i, j)}" for j in range(n)] for i in range(n)]
+    solve = [f"{_det([[f't{i}' if j == k else a[i][j] for j in range(n)] for i in range(n)])} / {_det(a)} as b{k + 1}" for k in range(n)]
+    return f"""
+    {name}_r as (select {weight} as w, {y} as y, {", ".join(f"cast({x} as double) as x{i}" for i, x in enumerate(xs))} from {rows}),
+    {name}_m as (select {mean("y")} as my, {", ".join(f"{mean(f'x{i}')} as m{i}" for i in range(n))} from {name}_r),
+    {name}_s as (select {", ".join(sums)} from {name}_r, {name}_m),
+    {name}_b as (select {", ".join(solve)} from {name}_s),
+    {name} as (select my - {" - ".join(f"b{i + 1} * m{i}" for i in range(n))} as b0, {name}_b.* from {name}_m, {name}_b)"""
+
+
+@query("calib_components", f"""
+    with la as (select max(season) as last from fx_proj), tr as (select p.*, last from fx_proj p, la where season < last), {_least_squares_sql("ls", "tr", ["c1", "c2", "c3"], "actual", "pow(0.5, (last * 12 - (season * 12 + week)) / 17.0::double)")}
+    select k, gi, round(b0 + b1 * c1 + b2 * c2 + b3 * c3, 3) as pred, round(actual, 3) as actual from fx_proj, la, ls where season = last""")
 def calib_components(spark, sf_dir):
     """Least squares on three components, weights halved every 17 months of age; fitted on rows before the last year."""
     df = view(spark, sf_dir, "fx_proj")
@@ -100,7 +123,7 @@ def calib_components(spark, sf_dir):
     train = df.where(F.col("season") < last)
     b = fit.normal_equations(train, ["c1", "c2", "c3"], "actual", weight)
     pred = F.lit(float(b[0])) + sum(F.lit(float(w)) * F.col(c) for w, c in zip(b[1:], ("c1", "c2", "c3")))
-    return df.where(F.col("season") == last).select("k", "gi", r4(pred, 3).alias("pred"), "actual")
+    return df.where(F.col("season") == last).select("k", "gi", r4(pred, 3).alias("pred"), r4("actual", 3).alias("actual"))
 
 
 @query("baseline_naive", """
@@ -281,17 +304,31 @@ def selection_rules(spark, sf_dir):
 
 
 @query("holm_gate", f"""
-    with {PREDS}, h as (select season, position, avg(case when abs(pred - actual) <= 60 then 1.0::double else 0.0::double end) as cov, count(*) as n from aligned where model = 'cal' group by season, position),
-    p as (select *, 1 / (1 + n * abs(cov - 0.8)) as p from h), r as (select *, p * (count(*) over (partition by season) - row_number() over (partition by season order by p, position) + 1) as raw from p)
-    select season, position, round(cov, 5) as cov, round(least(1.0, max(raw) over (partition by season order by p, position rows unbounded preceding)), 5) as adjusted from r""")
+    with {PREDS}, hc as (select season, position, gi, sum(case when abs(pred - actual) <= 60 then 1.0::double else 0.0::double end) as s, count(*) as n from aligned where model = 'cal' group by season, position, gi),
+    nm as (select *, row_number() over (partition by season, position order by gi) as i, count(*) over (partition by season, position) as size from hc),
+    dr as (select season, position, rep, cast(floor(('0x' || substr(md5('9|' || rep || '|' || season || '|' || position || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from nm, range(1, 201) r(rep)),
+    ms as (select season, position, rep, sum(s) / sum(n) as m from dr join nm using (season, position, i) group by season, position, rep),
+    ps as (select season, position, least(1.0::double, 2 * least((1 + count(*) filter (where m <= 0.8)) / 201.0::double, (1 + count(*) filter (where m >= 0.8)) / 201.0::double)) as p from ms group by season, position),
+    cv as (select season, position, sum(s) / sum(n) as cov from hc group by season, position),
+    r as (select *, p * (count(*) over (partition by season) - row_number() over (partition by season order by p, position) + 1) as raw from ps join cv using (season, position))
+    select season, position, round(cov, 5) as cov, round(p, 5) as p, round(least(1.0, max(raw) over (partition by season order by p, position rows unbounded preceding)), 5) as adjusted from r""")
 def holm_gate(spark, sf_dir):
+    """Coverage per cell against 0.8: bootstrap p over months, adjusted within the season."""
     from pitstats.operators import windows
 
-    hit = (F.abs(F.col("pred") - F.col("actual")) <= 60).cast("double")
-    cells = aligned(spark, sf_dir).where("model = 'cal'").groupBy("season", "position").agg(F.avg(hit).alias("cov"), F.count("*").alias("n"))
-    cells = cells.withColumn("p", 1 / (1 + F.col("n") * F.abs(F.col("cov") - 0.8)))
+    rows = aligned(spark, sf_dir).where("model = 'cal'").withColumn("hit", (F.abs(F.col("pred") - F.col("actual")) <= 60).cast("double"))
+    cells = evaluate.coverage_p(rows, "hit", ["season", "position"], "gi", 0.8, 200, 9)
     out = windows.with_holm(cells, "p", ["season"], ["position"], "adjusted")
-    return out.select("season", "position", r4("cov", 5).alias("cov"), r4("adjusted", 5).alias("adjusted"))
+    return out.select("season", "position", r4("cov", 5).alias("cov"), r4("p", 5).alias("p"), r4("adjusted", 5).alias("adjusted"))
+
+
+@query("week_t", f"""
+    with {PREDS}, d as (select k, gi, season, max(case when model = 'cal' then abs(pred - actual) end) - max(case when model = 'vendor' then abs(pred - actual) end) as d from aligned where model in ('cal', 'vendor') group by k, gi, season),
+    w as (select season, gi, avg(d) as m from d group by season, gi)
+    select season, count(m) as weeks, case when count(m) > 1 and stddev_samp(m) > 0 then round(avg(m) / (stddev_samp(m) / sqrt(count(m))), 4) end as t, count(m) - 1 as df from w group by season""")
+def week_t(spark, sf_dir):
+    d = evaluate.paired_differences(aligned(spark, sf_dir), "cal", "vendor", ["k", "gi", "season"])
+    return evaluate.week_t(d, "d", ["season", "gi"], ["season"]).select("season", "weeks", r4("t").alias("t"), "df")
 
 
 @query("power_mde", f"""
@@ -305,7 +342,13 @@ def power_mde(spark, sf_dir):
     return out.select("season", "weeks", r4("s").alias("sd"), r4(evaluate.mde(F.col("s"), F.col("weeks"))).alias("mde"))
 
 
-@query("ablation")
+_NAMES = ["proj", "c1", "c2", "c3"]
+_USED = {left: [n for n in _NAMES if n != left] for left in ("none", *_NAMES)}
+
+
+@query("ablation", f"""
+    with tr as (select * from fx_proj where proj is not null and season < 1998), te as (select * from fx_proj where proj is not null and season >= 1998), {", ".join(_least_squares_sql(f"l_{left}", "tr", used, "actual") for left, used in _USED.items())}
+    {" union all ".join(f"select '{left}' as left_out, count(*) as n, round(avg(abs(b0 + {' + '.join(f'b{i + 1} * {c}' for i, c in enumerate(used))} - actual)), 4) as mae from te, l_{left}" for left, used in _USED.items())}""")
 def ablation(spark, sf_dir):
     """Error of the linear model when one predictor at a time is left out, trained before 1998."""
     df = view(spark, sf_dir, "fx_proj").where("proj is not null").select("season", "proj", *(F.col(c).cast("double").alias(c) for c in ("c1", "c2", "c3")), "actual")

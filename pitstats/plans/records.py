@@ -96,7 +96,7 @@ def manifest_append(spark, sf_dir):
     return archive.append_manifest(rows.where("not added").drop("added"), rows.where("added").drop("added"), ["dataset", "id"])
 
 
-@query("verify_archive")
+@query("verify_archive", "select 'CHANGED' as status, 1 as n union all select 'unregistered', 1 union all select 'identical', 2")
 def verify_archive(spark, sf_dir):
     """Every registered file is hashed again; one registered hash is wrong and one file unregistered."""
     path = docs.scratch(spark, "archive")
@@ -139,9 +139,32 @@ def score_official(spark, sf_dir):
     return done.groupBy("model").agg(F.count("*").alias("n"), r4(F.avg(F.abs(F.col("pred") - F.coalesce("y", F.lit(0.0))))).alias("mae"))
 
 
-@query("fingerprint")
+@query("fingerprint", f"""
+    with {RUNS} select model, count(*) as n, round(avg(pred), 4) as mean, case model when 'click' then 'CHANGED' when 'view' then 'unverifiable' else 'identical' end as status from runs group by model""")
 def fingerprint(spark, sf_dir):
-    return archive.fingerprint(_runs(spark, sf_dir), "model", ["k", "event_id"], "pred").select("model", "n", r4("mean").alias("mean"), "content")
+    """Prints of the predictions against stored ones: one model's were changed in a single row, one has no stored print."""
+    runs = _runs(spark, sf_dir)
+    first = runs.where("model = 'click'").agg(F.min("event_id").alias("event_id"))
+    changed = runs.join(first.withColumn("_first", F.lit(True)), "event_id", "left").withColumn("pred", F.col("pred") + F.when(F.col("_first"), 0.01).otherwise(0.0))
+    stored = archive.fingerprint(changed.where("model <> 'view'"), "model", ["k", "event_id"], "pred")
+    now = archive.fingerprint(runs, "model", ["k", "event_id"], "pred")
+    return archive.compare_prints(now, stored, "model").select("model", "n", r4("mean").alias("mean"), "status")
+
+
+@query("sink_write_once", "select count(*) as n, true as refused from fx_games")
+def sink_write_once(spark, sf_dir):
+    """A table that was written can't be written again, and stays as it was."""
+    from pyspark.errors import AnalysisException
+
+    path = docs.scratch(spark, "once")
+    games = view(spark, sf_dir, "fx_games")
+    docs.write_once(games, path)
+    try:
+        docs.write_once(games.limit(1), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.lit(refused).alias("refused"))
 
 
 @query("ledger_join", """

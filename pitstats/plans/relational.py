@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitstats.functions import scalars as fn
 from pitstats.operators import checks, dedup, joins, scoring
 from pitstats.plans.registry import query
+from pitstats.sources import documents as docs
 from pitstats.sources.fixtures import rounded, view
 
 
@@ -20,7 +21,7 @@ def r4(column):
 
 @query("scan_pruned", "select season, team, count(*) as n, cast(sum(yards) as bigint) as yards from fx_plays where season in (1996, 1997) and team < 10 group by season, team")
 def scan_pruned(spark, sf_dir):
-    orders = view(spark, sf_dir, "orders").where(F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = view(spark, sf_dir, "orders").where("o_orderdate >= date '1996-01-01' and o_orderdate < date '1998-01-01'").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = view(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey", F.col("c_nationkey").cast("long").alias("team"))
     lines = view(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -30,13 +31,34 @@ def scan_pruned(spark, sf_dir):
 
 
 @query("union_by_name", """
-    select k, gi, cast(null as varchar) as status, pts from fx_games where season = 1996
+    select k, gi, cast(null as varchar) as status, pts from fx_games
     union all select k, null, status, null from fx_reports""")
 def union_by_name(spark, sf_dir):
-    games = view(spark, sf_dir, "fx_games").where("season = 1996").select("k", "gi", "pts")
+    games = view(spark, sf_dir, "fx_games").select("k", "gi", "pts")
     return games.unionByName(view(spark, sf_dir, "fx_reports").select("k", "status"), allowMissingColumns=True)
 
 
+@query("scan_parquet", "select season, count(*) as n, cast(sum(receptions) as bigint) as receptions, count(case when season >= 1998 then snap_share end) as n_shares from fx_games group by season")
+def scan_parquet(spark, sf_dir):
+    """Files of several folders whose columns differ, bound by name: a column that a folder lacks is null."""
+    games = view(spark, sf_dir, "fx_games").select("k", "gi", "season", "receptions", "snap_share")
+    base = docs.scratch(spark, "many")
+    parts = [games.where("season < 1998").drop("snap_share"), games.where("season >= 1998").select("snap_share", "receptions", "season", "gi", "k")]
+    paths = [f"{base}/{i}" for i in range(len(parts))]
+    for part, path in zip(parts, paths):
+        docs.write_once(part, path)
+    return docs.read_many(spark, paths).groupBy("season").agg(F.count("*").alias("n"), F.sum("receptions").alias("receptions"), F.count("snap_share").alias("n_shares"))
+
+
+@query("scan_union_by_name", "select team, count(*) as n, round(sum(disc - tax), 2) as margin from fx_plays where play_type <> 'R' and season >= 1996 group by team")
+def scan_union_by_name(spark, sf_dir):
+    """A view over all seasons' event files with one filter, queried as SQL."""
+    base = docs.scratch(spark, "events")
+    docs.write_once(view(spark, sf_dir, "fx_plays").drop("leader"), base, ["season"])
+    name = docs.union_view(spark, [base], "play_type <> 'R' and season >= 1996")
+    return spark.sql(f"select cast(team as bigint) as team, count(*) as n, round(sum(disc - tax), 2) as margin from {name} group by team")
+
+
 # --- checks --------------------------------------------------------------------------------------------------------
 
 
@@ -111,6 +133,26 @@ def reproduction_check(spark, sf_dir):
     return checks.compare_tables(games.where("week <= 6"), other, ["k", "gi"], ["targets", "receptions"])
 
 
+@query("projection_contract", """
+    with p as (select k, gi, season, position, case when k % 17 = 1 then null else proj end as proj_raw, k % 29 <> 0 as has_game, case when k % 23 = 0 then 1.2::double when c2 >= 4 then 1.0::double else 0.5::double end as p_active,
+        coalesce(proj, 0) * case when k % 13 = 0 then 1.1::double else 1.0::double end as lvl, coalesce(proj, 0) * case when k % 23 = 0 then 1.2::double when c2 >= 4 then 1.0::double else 0.5::double end as proj, case when gi % 7 = 0 then 'guess' else 'current' end as kind from fx_proj)
+    select 'unique key' as rule, count(*) - count(distinct (k, gi)) as n_broken from p
+    union all select 'present: k', 0 from (select 1) union all select 'present: gi', 0 from (select 1) union all select 'present: position', 0 from (select 1) union all select 'present: proj', count(*) filter (where proj is null) from p
+    union all select 'kind allowed', count(*) filter (where kind <> 'current') from p union all select 'proj in range', count(*) filter (where proj < 0 or proj > 400) from p
+    union all select 'p_active in range', count(*) filter (where p_active > 1) from p union all select 'no game, no projection', count(*) filter (where not has_game and proj <> 0) from p
+    union all select 'proj = p_active * lvl', count(*) filter (where abs(proj - p_active * lvl) > 0.000001) from p""")
+def projection_contract(spark, sf_dir):
+    """The weekly projection table with planted faults, counted rule by rule."""
+    k = F.col("k")
+    p = F.when(k % 23 == 0, 1.2).when(F.col("c2") >= 4, 1.0).otherwise(0.5)
+    proj = F.coalesce("proj", F.lit(0.0))
+    table = view(spark, sf_dir, "fx_proj").select(
+        "k", "gi", "position", (k % 29 != 0).alias("has_game"), p.alias("p_active"), (proj * F.when(k % 13 == 0, 1.1).otherwise(1.0)).alias("lvl"), (proj * p).alias("proj"),
+        F.when(F.col("gi") % 7 == 0, "guess").otherwise("current").alias("kind"),
+    )
+    return checks.projection_violations(table, ["k", "gi"], ["position"], ["current"], 400.0)
+
+
 @query("state_checks", """
     with sides as (select period, home as team, case winner when 'HOME' then 1 else 0 end as w, case winner when 'AWAY' then 1 else 0 end as l, case winner when 'TIE' then 1 else 0 end as t, home_points as pf from fx_matchups
       union all select period, away, case winner when 'AWAY' then 1 else 0 end, case winner when 'HOME' then 1 else 0 end, case winner when 'TIE' then 1 else 0 end, away_points from fx_matchups),
@@ -229,12 +271,12 @@ def provider_cascade(spark, sf_dir):
 
 
 @query("universe_union", """
-    with u as (select k from fx_games where season = 1996 union select k from fx_reports union select a_id from fx_ids where source = 'c')
+    with u as (select k from fx_games union select k from fx_reports union select a_id from fx_ids where source = 'c')
     select u.k, c.c_name as name, coalesce(g.n, 0) as n_games from u left join customer c on c.c_custkey = u.k
     left join (select k, count(*) as n from fx_games group by k) g on g.k = u.k""")
 def universe_union(spark, sf_dir):
     games = view(spark, sf_dir, "fx_games")
-    keys = games.where("season = 1996").select("k").union(view(spark, sf_dir, "fx_reports").select("k")).union(
+    keys = games.select("k").union(view(spark, sf_dir, "fx_reports").select("k")).union(
         view(spark, sf_dir, "fx_ids").where("source = 'c'").select("a_id")
     ).distinct()
     names = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pitstats.plans.registry import query
@@ -13,7 +11,7 @@ from pitstats.streaming import captures
 
 
 def _result(spark, stream, mode="complete"):
-    return captures.run_once(stream, f"stream_{uuid.uuid4().hex}", scratch(spark, "stream"), mode)
+    return captures.run_once(stream, scratch(spark, "streamed"), scratch(spark, "stream"), mode)
 
 
 @query("stream_ingest", "select event_type, count(*) as n from (select distinct user_id, event_type, ts from events) group by event_type")
@@ -80,10 +78,12 @@ def stream_eprocess(spark, sf_dir):
     l as (select event_type, day, i, cov, 0.0::double as delta from d where i = 1 union all select d.event_type, d.day, d.i, d.cov, l.delta + 0.05::double * (0.9::double - l.cov) from l join d on d.event_type = l.event_type and d.i = l.i + 1)
     select event_type, day, round(delta, 6) as delta from l""")
 def stream_adaptive_levels(spark, sf_dir):
-    """Correction of a quantile level by the misses so far: a running sum over the short series of daily coverage."""
+    """Correction of a quantile level by the misses so far: daily coverage as a stream, then a running sum over that
+    short series."""
     from pyspark.sql import Window
 
-    daily = view(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg((F.col("value") <= 50).cast("double")).alias("cov"))
+    hits = captures.read_events(spark, sf_dir).withWatermark("ts", "40 days").groupBy("event_type", F.window("ts", "1 day").alias("w"))
+    daily = _result(spark, hits.agg(F.avg((F.col("value") <= 50).cast("double")).alias("cov"))).select("event_type", F.to_date("w.start").alias("day"), "cov")
     w = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     return daily.select("event_type", "day", rounded(F.coalesce(F.sum(0.05 * (0.9 - F.col("cov"))).over(w), F.lit(0.0)), 6).alias("delta"))
 

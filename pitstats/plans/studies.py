@@ -30,12 +30,12 @@ def registry(spark, sf_dir):
 
 
 @query("udf_provider", """
-    select g.k, g.gi, coalesce(p.v, g.v) as v, case when p.v is not null then 'projected' else 'played' end as provider from (select k, gi, pts as v from fx_games where season = 1999) g
-    left join (select k, gi, proj as v from fx_proj where season = 1999 and proj is not null) p on p.k = g.k and p.gi = g.gi""")
+    select g.k, g.gi, coalesce(p.v, g.v) as v, case when p.v is not null then 'projected' else 'played' end as provider from (select k, gi, pts as v from fx_games) g
+    left join (select k, gi, proj as v from fx_proj where proj is not null) p on p.k = g.k and p.gi = g.gi""")
 def udf_provider(spark, sf_dir):
     specs.provider("projected")(lambda c: c["proj"].where("proj is not null").select("k", "gi", F.col("proj").alias("v")))
     specs.provider("played")(lambda c: c["games"].select("k", "gi", F.col("pts").alias("v")))
-    context = {"proj": view(spark, sf_dir, "fx_proj").where("season = 1999"), "games": view(spark, sf_dir, "fx_games").where("season = 1999")}
+    context = {"proj": view(spark, sf_dir, "fx_proj"), "games": view(spark, sf_dir, "fx_games")}
     return specs.cascade_of(["projected", "played"], context, ["k", "gi"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,26 @@ def read_captures(spark: SparkSession, path: str, pattern: str, name: str) -> Da
     return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias(name))
 
 
+def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parquet files of several places bound by column name; columns that some lack are null there."""
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def union_view(spark: SparkSession, paths: list[str], where: str) -> str:
+    """A temporary view over files of several places, bound by name, with a fixed filter; returns its name."""
+    name = f"union_{uuid.uuid4().hex}"
+    read_many(spark, paths).where(where).createOrReplaceTempView(name)
+    return name
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the session's checkpoint folder."""
-    import tempfile
+    """A new folder name under the folder that driver and executors share.
 
+    Without `spark.checkpoint.dir` a local session gets a folder of its own; a cluster has to name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/spark-{spark.sparkContext.applicationId}"
     return f"{base}/{name}-{uuid.uuid4().hex}"

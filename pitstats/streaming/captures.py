@@ -83,12 +83,24 @@ def wealth(stream: DataFrame, p0: float, bet: float, level: float) -> DataFrame:
     )
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns the result table."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns its result, which each batch writes to Parquet.
+
+    In complete mode a batch holds the whole result and the last one counts; in update mode all rows that were ever
+    put out are returned, with the number of their batch. A batch that runs again replaces what it wrote.
+    """
+    spark, schema, numbers = stream.sparkSession, stream.schema, []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{path}/batch={max(numbers)}")
+    return spark.read.option("basePath", path).parquet(*(f"{path}/batch={n}" for n in sorted(set(numbers))))
 
 
 def write_out(stream: DataFrame, path: str, checkpoint: str) -> None:
