@@ -10,7 +10,8 @@ The classifiers are fitted on a bounded sample (MAX_POSITIVE and MAX_UNLABELLED
 scoring covers every whole text.
 
 Defined results: a null or empty text scores as a text without known words; texts may be of any length (one text's
-words are held at a time); without any positive the score is 0 for all; repeated labels count once, a document with any
+words are held at a time); without any positive the score is 0 for all, and where no feature tells the positives apart
+it is the prior; repeated labels count once, a document with any
 toxic label is toxic; a null id is not held out and not learned from, and its row is scored; rows of one id are scored
 each by its own text; equal scores need no order; an empty table gives no rows; other columns are ignored.
 """
@@ -157,7 +158,9 @@ def fit_pu(
                     on_p, on_u = prior * (as_positive - slope_p) / len(drawn), slope_u / len(chosen)
                 else:  # turned back: up the negative part only
                     on_p, on_u = prior * slope_p / len(drawn), -slope_u / len(chosen)
-                g = np.bincount(at_p, on_p[row_p] * v_p, features + 1) + np.bincount(at_u, on_u[row_u] * v_u, features + 1)
+                g = np.zeros(features + 1)  # without any entry a count has whole numbers
+                g += np.bincount(at_p, on_p[row_p] * v_p, features + 1)
+                g += np.bincount(at_u, on_u[row_u] * v_u, features + 1)
                 g[-1] = on_p.sum() + on_u.sum()
                 g[:-1] += decay * w[:-1]
                 step += 1
@@ -218,6 +221,8 @@ def train(
     if not sizes.get(1):
         return None
     names = pick_features(featured, sizes)
+    if not names:
+        return Model({}, math.log(prior / (1 - prior)))
     index = {f: i for i, f in enumerate(names)}
 
     def make_places():

@@ -56,3 +56,45 @@ def test_planted_cases(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(kept["decontaminate"][i].text.encode()).hexdigest()
         assert len(r.ids) == r.n_tokens
     assert {r["doc_id"] for r in cp.run(spark, sf_dir).collect()} == set(kept["byte_bpe"])
+
+
+CLASHING = "row string, h int, data binary, rest string, size int, set string, v string, root string, part int, score double, asked int"
+
+
+def edge_rows():
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b, c, long = text(40), text(40), text(40), text(60_000)
+    texts = [(1, a), (5, a), (5, b), (9, b + " more"), (9, b + " more"), (None, a), (None, None), (3, None), (3, ""), (3, ""), (4, " "), (7, long), (8, c), (8, c), (6, "one two"), (2, "One  TWO")]
+    return [(i, t, None, "s" if k % 2 else None, None if k % 3 else len(t or ""), *([None] * 11)) for k, (i, t) in enumerate(texts)], (a, b, c, long)
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated ids and rows, and columns that clash with the operators' own."""
+    planted(str(tmp_path), spark)
+    rows, (a, b, c, long) = edge_rows()
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    sf_dir, seen = str(tmp_path), {}
+    now = docs
+    for i, (name, stage) in enumerate(cp.STAGES):
+        now = stage(spark, now, sf_dir)
+        if i < len(cp.STAGES) - 1:
+            assert now.columns == docs.columns
+            now = cp.written(now, f"edges-{name}")
+            seen[name] = sorted(((r.doc_id, r.text) for r in now.collect()), key=str)
+    assert len(seen["toxicity"]) == len(rows)
+    # of each class one row: (1, a) for a; (5, b) for b and its near copy; one of two equal rows; the least id of "one two"
+    left = [(1, a), (5, b), (None, a), (None, None), (3, None), (3, ""), (3, ""), (4, " "), (7, long), (8, c), (2, "One  TWO")]
+    assert seen["ngram_join"] == sorted(left, key=str)
+    cut = [(i, t or "") for i, t in left]
+    assert seen["suffix_dedup"] == sorted(cut, key=str) and seen["decontaminate"] == sorted(cut, key=str)
+    assert now.count() == len(left)
+
+
+def test_empty_tables(spark, tmp_path):
+    planted(str(tmp_path), spark)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        now = cp.written(stage(spark, now, str(tmp_path)), f"empty-{name}")
+        assert now.count() == 0
