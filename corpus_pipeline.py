@@ -3,6 +3,13 @@
 Toxic documents go; of each class of near copies the document with the smallest id stays; strings of 50 bytes that
 also start in an earlier document are cut out; documents that contain a benchmark item go; the rest is encoded to
 token ids and decoded again. Each stage works on all rows that the one before it kept.
+
+Defined results: ids may repeat, and what holds for a row is decided by its own text. A null or empty text is not toxic,
+is near no other, loses nothing, holds no item and has no tokens, so its row comes out (a null one as an empty text
+after the third stage); rows without an id stay in the second and third stage. Of rows that are equal in id and text one
+stays. Of a class of near copies the smallest id stays, and of its rows the one with the least hash of words and text.
+Texts may be of any length; an empty table gives no rows; other columns of any name are carried along up to the last
+stage, which returns its own.
 """
 
 from __future__ import annotations
