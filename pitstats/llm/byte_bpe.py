@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from pitstats.llm.common import doc_columns, in_batches, texts_of
 
-#: Pre-tokens kept in a task's memory before the store starts anew.
-CACHE = 400_000
+#: Pre-tokens kept in a task's memory before the store starts anew, and characters of them.
+CACHE, CACHE_CHARS = 400_000, 16_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,12 +109,14 @@ class ByteBpe:
             except UnicodeDecodeError:
                 continue
         self.known: dict[str, tuple[int, ...]] = dict(self.whole)
+        self.chars = 0
 
     def _learn(self, parts: Iterable[str]) -> None:
         fresh = [p for p in parts if p not in self.known]
-        if len(self.known) + len(fresh) > CACHE + len(self.whole):
-            self.known = dict(self.whole)
+        if len(self.known) + len(fresh) > CACHE + len(self.whole) or self.chars > CACHE_CHARS:
+            self.known, self.chars = dict(self.whole), 0
             fresh = list({p for p in parts if p not in self.known})
+        self.chars += sum(map(len, fresh))
         mapped = [p.encode().decode("latin-1").translate(self.letters) for p in fresh]
         for part, ids in zip(fresh, self.model.encode(mapped, num_threads=1)):
             self.known[part] = tuple(ids) if self.plain else tuple(self.id_of_piece[i] for i in ids)
@@ -124,7 +126,8 @@ class ByteBpe:
         parts = self.split(text)
         known = self.known
         if missing := {p for p in parts if p not in known}:
-            self._learn(set(parts) if len(known) + len(missing) > CACHE + len(self.whole) else missing)
+            full = len(known) + len(missing) > CACHE + len(self.whole) or self.chars > CACHE_CHARS
+            self._learn(set(parts) if full else missing)
             known = self.known
         return list(chain.from_iterable(map(known.__getitem__, parts)))
 

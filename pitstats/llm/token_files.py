@@ -6,7 +6,8 @@ shared folder: `.bin` (all ids one after another, 16-bit where the vocabulary al
 sequence is the prefix sum of the id counts before it, so no task waits for another. Readers map the files into
 memory. Files are written under a temporary name and renamed, so a repeated task leaves the same file.
 
-Defined results: a null or empty text has only the end id; documents without an id come first and have a null id
+Defined results: a null or empty text has only the end id; texts may be of any length (one text's words and ids are held
+at a time); documents without an id come first and have a null id
 again when read; documents of one id are in the order of their texts; an empty table gives no files; other columns are
 ignored.
 """

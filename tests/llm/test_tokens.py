@@ -93,6 +93,30 @@ def test_token_files(spark, df, rows):
     assert token_files.token_files(df.limit(0), WORDS).collect() == []
 
 
+def test_words_put_together_from_stems_and_marks():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    assert encoder.splits and encoder.folds
+    r = random.Random(1)
+    bits = ["ΣΑΣ", "İstanbul", "ÉCOLE", "e\u0301cole.", "STRASSE", "ﬁn", "don't", "x's.", "'S", "''", "...", "***", "a.b", "3.14,", "日本。", "\t", "ǅ", "ŉ", "<|endoftext|>,", "OK,", "(x)", "we'RE."]
+    for _ in range(1_500):
+        text = "".join(r.choice(bits) + r.choice([" ", "  ", "\n", "\u00a0", ""]) for _ in range(r.randint(0, 12)))
+        got = np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    with open(BYTES, encoding="utf-8") as f:
+        made = json.load(f)
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    with pytest.raises(ValueError):
+        token_counts.Transducer(str(tmp_path / "other.json"))
+
+
 def test_empty(df):
     assert byte_bpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
     assert token_counts.count_tokens(df.limit(0), BYTES).collect() == []
