@@ -135,3 +135,18 @@ def isotonic(df: DataFrame, x: str, y: str, increasing: bool = True):
     from pyspark.ml.regression import IsotonicRegression
 
     return IsotonicRegression(featuresCol=x, labelCol=y, predictionCol="fitted", isotonic=increasing).fit(df)
+
+
+def two_slopes(df: DataFrame, by: list[str], x: str, z: str, y: str, least: int) -> DataFrame:
+    """Per group of `least` rows and more: n, intercept `a` and slopes `b`, `c` of y on x and z, from sums alone.
+
+    Groups in which x and z tell the same have no row.
+    """
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(x).alias("_mx"), F.avg(z).alias("_mz"), F.avg(y).alias("_my"), F.var_pop(x).alias("_xx"), F.var_pop(z).alias("_zz"),
+        F.covar_pop(x, z).alias("_xz"), F.covar_pop(x, y).alias("_xy"), F.covar_pop(z, y).alias("_zy"),
+    )
+    d = F.col("_xx") * F.col("_zz") - F.col("_xz") * F.col("_xz")
+    fits = sums.where((F.col("n") >= least) & (d > 1e-9))
+    fits = fits.withColumn("b", (F.col("_xy") * F.col("_zz") - F.col("_zy") * F.col("_xz")) / d).withColumn("c", (F.col("_zy") * F.col("_xx") - F.col("_xy") * F.col("_xz")) / d)
+    return fits.select(*by, "n", (F.col("_my") - F.col("b") * F.col("_mx") - F.col("c") * F.col("_mz")).alias("a"), "b", "c")

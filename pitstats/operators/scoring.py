@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default weights of the example scoring; any mapping of column to weight is accepted.
 WEIGHTS = {"targets": 0.1, "receptions": 1.0, "yards": 0.05}
 
 
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """A small YAML file that Spark can read."""
+    import yaml
+
+    return yaml.safe_load("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def read_weights(spark: SparkSession, path: str) -> dict[str, float]:
+    """The `weights` of a scoring file: statistic to weight."""
+    weights = read_yaml(spark, path).get("weights") or {}
+    bad = [k for k, w in weights.items() if isinstance(w, bool) or not isinstance(w, (int, float))]
+    if bad or not weights:
+        raise ValueError(f"{path}: no weights, or not numbers: {bad}")
+    return {k: float(w) for k, w in weights.items()}
+
+
 def weighted_score(df: DataFrame, weights: dict[str, float], strict: bool = True) -> Column:
     """Sum of weight times statistic; a missing value counts as 0, a missing column is an error (or 0)."""
     absent = [c for c in weights if c not in df.columns]

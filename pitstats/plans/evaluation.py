@@ -264,25 +264,25 @@ BOOT = """
     d as (select k, gi, season, max(case when model = 'cal' then abs(pred - actual) end) - max(case when model = 'vendor' then abs(pred - actual) end) as d from aligned where model in ('cal', 'vendor') group by k, gi, season),
     s as (select season, {cluster} as c, sum(d) as s, count(d) as n from d group by season, {cluster}),
     num as (select *, row_number() over (partition by season order by c) as i, count(*) over (partition by season) as size from s),
-    draws as (select season, rep, cast(floor(('0x' || substr(md5('{seed}|' || rep || '|' || season || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from num, range(1, 201) r(rep)),
+    draws as (select season, rep, cast(floor(('0x' || substr(md5('{seed}|' || rep || '|' || season || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from num, range(1, {reps} + 1) r(rep)),
     m as (select rep, sum(s) / sum(n) as m from draws join num using (season, i) group by rep)
     select round((select sum(s) / sum(n) from s), 4) as mean, round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high, avg(case when m < 0 then 1.0::double else 0.0::double end) as share_below from m"""
 
 
-def _boot(spark, sf_dir, cluster, seed):
+def _boot(spark, sf_dir, cluster, seed, reps):
     d = evaluate.paired_differences(aligned(spark, sf_dir), "cal", "vendor", ["k", "gi", "season"])
-    b = evaluate.cluster_bootstrap(d, "d", ["season"], cluster, 200, seed)
+    b = evaluate.cluster_bootstrap(d, "d", ["season"], cluster, reps, seed)
     return b.select(*(r4(c).alias(c) for c in ("mean", "low", "high")), "share_below")
 
 
-@query("cluster_bootstrap", f"with {PREDS}, {BOOT.format(cluster='gi', seed=7)}")
+@query("cluster_bootstrap", f"with {PREDS}, {BOOT.format(cluster='gi', seed=7, reps=2000)}")
 def cluster_bootstrap(spark, sf_dir):
-    return _boot(spark, sf_dir, "gi", 7)
+    return _boot(spark, sf_dir, "gi", 7, 2000)
 
 
-@query("entity_bootstrap", f"with {PREDS}, {BOOT.format(cluster='k', seed=8)}")
+@query("entity_bootstrap", f"with {PREDS}, {BOOT.format(cluster='k', seed=8, reps=200)}")
 def entity_bootstrap(spark, sf_dir):
-    return _boot(spark, sf_dir, "k", 8)
+    return _boot(spark, sf_dir, "k", 8, 200)
 
 
 @query("seasonal_deltas", f"""

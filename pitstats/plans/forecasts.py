@@ -401,6 +401,37 @@ def ros_fit(spark, sf_dir):
     return _horizon(spark, sf_dir).where("season < 2000").groupBy("position", "bucket").agg(F.count("*").alias("n"), r4(F.regr_intercept("y", "level"), 3).alias("a"), r4(F.regr_slope("y", "level"), 5).alias("b"))
 
 
+@query("ros_fit_quadratic", f"""
+    with {HORIZON}, h as (select position, bucket, y, level as x, level * level as z from hz where season < 2000),
+    c as (select position, bucket, count(*) as n, avg(x) as mx, avg(z) as mz, avg(y) as my, var_pop(x) as xx, var_pop(z) as zz, covar_pop(x, z) as xz, covar_pop(x, y) as xy, covar_pop(z, y) as zy from h group by position, bucket),
+    b as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as b, (zy * xx - xy * xz) / (xx * zz - xz * xz) as c from c where n >= 20 and xx * zz - xz * xz > 0.000000001)
+    select position, bucket, n, round(my - b * mx - c * mz, 3) as a, round(b, 5) as b, round(c * 1000, 5) as c from b""")
+def ros_fit_quadratic(spark, sf_dir):
+    """Level and its square, with a thousandth's unit of the second slope."""
+    rows = _horizon(spark, sf_dir).where("season < 2000").withColumn("z", F.col("level") * F.col("level"))
+    return fit.two_slopes(rows, ["position", "bucket"], "level", "z", "y", 20).select(
+        "position", "bucket", "n", r4("a", 3).alias("a"), r4("b", 5).alias("b"), r4(F.col("c") * 1000, 5).alias("c")
+    )
+
+
+@query("ros_fit_two_stage", f"""
+    with {HORIZON}, h as (select *, y >= level / 2 as active, least(floor(level / 100), 3)::bigint as band from hz),
+    p as (select position, bucket, band, avg(case when active then 1.0::double else 0.0::double end) as p from h where season < 2000 group by position, bucket, band),
+    f as (select position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from h where season < 2000 and active group by position, bucket)
+    select h.position, h.bucket, count(*) as n, round(avg(p.p), 4) as p_active, round(avg(p.p * (f.a + f.b * h.level)), 3) as forecast, round(avg(h.y), 3) as actual
+    from h join p using (position, bucket, band) join f using (position, bucket) where h.season >= 2000 group by h.position, h.bucket""")
+def ros_fit_two_stage(spark, sf_dir):
+    """The probability of activity by band of the level, times the line of the active rows."""
+    rows = _horizon(spark, sf_dir).withColumns({"active": F.col("y") >= F.col("level") / 2, "band": F.least(F.floor(F.col("level") / 100), F.lit(3)).cast("long")})
+    past = rows.where("season < 2000")
+    p = past.groupBy("position", "bucket", "band").agg(F.avg(F.col("active").cast("double")).alias("p"))
+    line = past.where("active").groupBy("position", "bucket").agg(F.regr_intercept("y", "level").alias("a"), F.regr_slope("y", "level").alias("b"))
+    scored = rows.where("season >= 2000").join(p, ["position", "bucket", "band"]).join(line, ["position", "bucket"])
+    return scored.groupBy("position", "bucket").agg(
+        F.count("*").alias("n"), r4(F.avg("p")).alias("p_active"), r4(F.avg(F.col("p") * (F.col("a") + F.col("b") * F.col("level"))), 3).alias("forecast"), r4(F.avg("y"), 3).alias("actual")
+    )
+
+
 @query("ros_forecast", f"""
     with {HORIZON}, f as (select position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from hz where season < 2000 group by position, bucket)
     select k, season, week, count(*) as n, round(sum(f.a + f.b * level), 3) as forecast, round(sum(y), 3) as actual from hz join f using (position, bucket) where season >= 2000 group by k, season, week""")

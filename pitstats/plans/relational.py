@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitstats.functions import scalars as fn
-from pitstats.operators import checks, dedup, joins, scoring
+from pitstats.operators import checks, dedup, features, joins, scoring
 from pitstats.plans.registry import query
 from pitstats.sources import documents as docs
 from pitstats.sources.fixtures import rounded, view
@@ -548,6 +548,16 @@ def weighted_score(spark, sf_dir):
     return games.select("k", "gi", r4(scoring.weighted_score(games, scoring.WEIGHTS)).alias("score"))
 
 
+@query("udf_scoring", "select k, gi, round(coalesce(targets, 0) * 0.25::double + coalesce(receptions, 0) * 1.5::double - coalesce(yards, 0) * 0.02::double, 4) as score from fx_games")
+def udf_scoring(spark, sf_dir):
+    """A scoring system that a user states as YAML: statistic to weight."""
+    path = docs.scratch(spark, "rules")
+    text = "name: example\nweights:\n  targets: 0.25\n  receptions: 1.5\n  yards: -0.02\n"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    games = view(spark, sf_dir, "fx_games")
+    return games.select("k", "gi", r4(scoring.weighted_score(games, scoring.read_weights(spark, path))).alias("score"))
+
+
 @query("unit_score", """
     select k, gi, position as unit, round(case when position in ('BUILDING', 'MACHINERY') then targets * 0.2::double + receptions * 1.5::double else targets * 0.1::double end, 4) as points from fx_games""")
 def unit_score(spark, sf_dir):
@@ -622,16 +632,19 @@ def group_multiplier(spark, sf_dir):
 
 
 @query("injury_group", """
-    select status, day, case when status = 'Out' then 'out' when status in ('Doubtful', 'Questionable') and hour(ts) >= 12 then 'uncertain, full'
-        when status in ('Doubtful', 'Questionable') then 'uncertain, limited' when status = 'Listed' then 'listed' else 'none' end as grp, count(*) as n
-    from fx_reports group by all""")
+    select designation, practice, case when injury ilike '%knee%' then 'knee' when injury ilike '%ankle%' then 'leg' when injury ilike '%illness%' then 'illness' else 'other' end as body,
+        case when designation = 'Out' then 'out' when designation in ('Doubtful', 'Questionable') and practice = 'full' then 'uncertain, full' when designation in ('Doubtful', 'Questionable') and practice = 'limited' then 'uncertain, limited'
+        when designation in ('Doubtful', 'Questionable') then 'uncertain, none' when designation = 'Listed' then 'listed' else 'none' end as grp, count(*) as n
+    from fx_details group by all""")
 def injury_group(spark, sf_dir):
-    unsure = F.col("status").isin("Doubtful", "Questionable")
+    """Reports by designation, practice and normalised part of the body, with the group of the first two."""
+    unsure, practice = F.col("designation").isin("Doubtful", "Questionable"), F.col("practice")
     grp = (
-        F.when(F.col("status") == "Out", "out").when(unsure & (F.hour("ts") >= 12), "uncertain, full").when(unsure, "uncertain, limited")
-        .when(F.col("status") == "Listed", "listed").otherwise("none")
+        F.when(F.col("designation") == "Out", "out").when(unsure & (practice == "full"), "uncertain, full").when(unsure & (practice == "limited"), "uncertain, limited")
+        .when(unsure, "uncertain, none").when(F.col("designation") == "Listed", "listed").otherwise("none")
     )
-    return view(spark, sf_dir, "fx_reports").groupBy("status", "day", grp.alias("grp")).agg(F.count("*").alias("n"))
+    body = features.body_part(F.col("injury"))
+    return view(spark, sf_dir, "fx_details").groupBy("designation", "practice", body.alias("body"), grp.alias("grp")).agg(F.count("*").alias("n"))
 
 
 @query("kick_tiers", """

@@ -29,6 +29,27 @@ def registry(spark, sf_dir):
     return p.groupBy("model").agg(F.count("*").alias("n"), r4(F.avg(F.abs(F.col("pred") - F.col("actual")))).alias("mae"))
 
 
+@query("udf_spec", """
+    with l as (select k, season + 1 as season, avg(actual) as m from fx_proj where proj is not null group by k, season)
+    select 'm_half' as model, count(*) as n, round(avg(abs(p.proj * 0.5::double + l.m * 0.5::double - p.actual)), 4) as mae from fx_proj p join l on l.k = p.k and l.season = p.season where p.proj is not null
+    union all select 'm_vendor', count(*), round(avg(abs(proj - actual)), 4) from fx_proj where proj is not null""")
+def udf_spec(spark, sf_dir):
+    """A model type that a user adds by name, and a registry of models stated as YAML."""
+    from pitstats.operators import scoring
+    from pitstats.sources.documents import scratch
+
+    @specs.spec("half_last_season")
+    def half(rows, share: float = 0.5):
+        last = rows.groupBy("k", (F.col("season") + 1).alias("season")).agg(F.avg("actual").alias("_m"))
+        return rows.join(last, ["k", "season"], "left").withColumn("pred", F.col("proj") * share + F.col("_m") * (1 - share)).drop("_m")
+
+    path = scratch(spark, "registry")
+    text = "m_half:\n  type: half_last_season\n  settings: {share: 0.5}\nm_vendor:\n  type: vendor\n"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    p = specs.predictions(view(spark, sf_dir, "fx_proj").where("proj is not null"), scoring.read_yaml(spark, path))
+    return p.groupBy("model").agg(F.count("*").alias("n"), r4(F.avg(F.abs(F.col("pred") - F.col("actual")))).alias("mae"))
+
+
 @query("udf_provider", """
     select g.k, g.gi, coalesce(p.v, g.v) as v, case when p.v is not null then 'projected' else 'played' end as provider from (select k, gi, pts as v from fx_games) g
     left join (select k, gi, proj as v from fx_proj where proj is not null) p on p.k = g.k and p.gi = g.gi""")

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitstats.sources.documents import scratch
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
 
 VIEWS = {
@@ -107,12 +110,33 @@ def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
+#: Views that several others and most queries read, and where each application has written them.
+WRITTEN = ("fx_plays", "fx_totals", "fx_games", "fx_usage")
+_places: dict[tuple[str, str, str], str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view."""
+    """A given table or a derived view.
+
+    The views that all others come from join three tables; an application derives these once for a folder of tables,
+    writes them to the shared folder and reads them from there, so that a query's branches don't derive them again.
+    """
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place in _places:
+        try:
+            return spark.read.parquet(_places[place])
+        except AnalysisException:  # the shared folder was cleared: derived anew
+            del _places[place]
+    rows = spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
+    if name not in WRITTEN:
+        return rows
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    _places[place] = path
+    return spark.read.parquet(path)
 
 
 def _order(names: tuple[str, ...], seen: list[str]) -> list[str]:
