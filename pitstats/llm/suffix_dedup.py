@@ -5,47 +5,49 @@ suffix would multiply the corpus, so suffixes start only at anchors: in each win
 k-gram with the least hash. Equal windows have equal anchors, so windows meet their copies at their anchors' suffixes.
 The consecutive windows of one anchor form a cell.
 
-1. Each task lists its documents' cells as (anchor hash, cell hash, document, place), settles repeated cells within
-   itself, and deals one row per (anchor, cell) to buckets, packed in columns.
-2. Each bucket settles cells that repeat as a whole, and asks for the bytes of cells whose anchor occurs in several
-   documents with different surroundings.
-3. The suffixes of those cells are range-partitioned by their leading tokens (the anchor's bytes) with sampled
-   splitters, and each partition sorts its windows by multikey quicksort on machine words; equal neighbours give the
-   smallest document of each window. A splitter never falls between equal leading tokens.
-4. Anchors with very many different surroundings are dealt as single windows, range-partitioned by all their bytes
-   and the document, so that even one string's copies spread over partitions; runs are compared across the partitions'
-   boundaries.
-
-Cells that repeat as a whole are known by 48 + 48 bits of hash beside their bucket.
-
-Defined results: a null, empty or shorter text loses nothing; documents without an id are neither searched nor
-stripped; rows with equal ids do not strip each other, each gives its own row; other columns are ignored.
+1. Each task lists its documents' cells under 48 bits of their anchors' hashes. Anchors that occur in several documents
+   are open; all others are left. This only chooses candidates: a chance meeting of hashes opens an anchor in vain. A
+   task sends an anchor that it finds open itself as one mark, so no bucket gets a hot anchor's cells.
+2. The texts give the bytes of open cells: the suffix from the anchor on, and what stands before it. Splitters sampled
+   from them range-partition the suffixes by their leading tokens. Tasks settle equal cells of their own before that.
+3. Each partition sorts its suffixes by multikey quicksort on machine words. Of equal cells those of larger documents
+   go; of different cells under one anchor the windows are sorted and compared likewise.
+4. Leading tokens that would fill a whole partition by themselves are known from the splitters, as several of these are
+   equal. Their cells are spread by all their bytes, equal ones are settled, and the windows of the rest are
+   range-partitioned by their bytes and the document, so that even one string's copies spread over partitions; runs of
+   equal windows are compared across the partitions' boundaries.
+
+All removals rest on compared bytes.
+
+Defined results: a null, empty or shorter text loses nothing; texts may be of any length (cells are found and sent some
+at a time); of equal ids none strips the other, each row gives its own row, and rows with equal id and text lose the
+same bytes; documents without an id are neither searched nor stripped; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitstats.llm.common import bytes_of, in_batches, slices, written
+from pitstats.llm.common import bytes_of, in_batches, pack, slices, trim, unpack, written
 
 #: Bytes of an anchor (16 to 32), and bytes of a string that must not repeat. Shorter anchors meet by chance: pairs of
 #: unrelated texts that share one grow with the square of the corpus.
 K, SPAN = 20, 50
-#: Bytes of text per bucket of cells.
-BUCKET_BYTES = 8 << 20
-#: Cells of one task before they are dealt out.
-FLUSH = 300_000
-#: Different surroundings of one anchor beyond which its windows are dealt singly.
-HOT = 10_000
+#: Bytes of text per bucket of anchors, and cells of one task before they are dealt out.
+BUCKET_BYTES, FLUSH = 16 << 20, 400_000
+#: Open cells of one partition of suffixes; leading tokens that have more are hot. Open cells of one task before they
+#: are dealt out, and documents in the sample for splitters.
+HOT, CELLS, SAMPLE = 150_000, 100_000, 20_000
+#: Cells whose windows are sorted together.
+TOGETHER = 10_000
 _BLOCK = 60_000
 _U = np.uint64
 _KEY = "doc_id long, row_hash int"
@@ -58,18 +60,9 @@ class Hasher:
         rng = np.random.default_rng(20240501)
         self.of_byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         self.steps = rng.integers(0, 1 << 63, 4, dtype=np.uint64) * _U(2) + _U(1)
-        base = int(rng.integers(0, 1 << 62)) * 8 + 5
-        self.up, self.down = self._powers(base), self._powers(pow(base, -1, 1 << 64))
-
-    @staticmethod
-    def _powers(base: int) -> np.ndarray:
-        out = np.ones(1 << 16, np.uint64)
-        out[1:] = base & (1 << 64) - 1
-        return np.multiply.accumulate(out)
 
     def cells(self, data: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-        """Anchor hash, cell hash, first and last window start, and anchor place of each cell of a block."""
-        n = len(data)
+        """Anchor hash, first and last window start, and anchor place of each cell of a block."""
         values = self.of_byte[data]
         grams = values
         for step, width in zip(self.steps, (1, 2, 4, 8)):
@@ -90,35 +83,28 @@ class Hasher:
         place = (least & _U(0xFFFF)).astype(np.int32)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.concatenate((first[1:], [len(place)])) - 1
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * self.up[:n])))
-        whole = (sums[last + span] - sums[first]) * self.down[first]
-        whole ^= (last - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        whole ^= whole >> _U(29)
-        return grams[place[first]] >> _U(16), whole >> _U(16), first.astype(np.int32), last.astype(np.int32), place[first]
+        # least hashes are small numbers: mixed again, so that buckets by range fill alike
+        anchor = grams[place[first]]
+        anchor ^= anchor >> _U(32)
+        anchor *= _U(0xD6E8FEB86659FD93)
+        anchor ^= anchor >> _U(32)
+        return anchor >> _U(16), first.astype(np.int32), last.astype(np.int32), place[first]
 
 
 def cells_of(hasher: Hasher, data: bytes, span: int) -> tuple[np.ndarray, ...] | None:
-    """The cells of a whole text, found in overlapping blocks so that every window lies in one."""
+    """Anchor hash, first window, windows less one, and place of the anchor in the cell, of a whole text's cells.
+
+    They are found in overlapping blocks so that every window lies in one.
+    """
     if len(data) < span:
         return None
     array, out = np.frombuffer(data, np.uint8), []
     for at in range(0, len(array) - span + 1, _BLOCK - span + 1):
-        a, h, first, last, place = hasher.cells(array[at : at + _BLOCK], span)
-        out.append((a, h, first + at, last + at, (place - first).astype(np.uint8)))
+        anchor, first, last, place = hasher.cells(array[at : at + _BLOCK], span)
+        out.append((anchor, first + at, (last - first).astype(np.uint8), (place - first).astype(np.uint8)))
     return tuple(np.concatenate(c) for c in zip(*out)) if len(out) > 1 else out[0]
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Columns split into byte planes and compressed."""
-    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(d).itemsize, n).T).view(d).ravel() for d, n, b in planes]
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """True where a sorted table's key changes."""
     new = np.zeros(len(columns[0]), bool)
@@ -128,8 +114,23 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    begin = np.flatnonzero(_starts(sorted_keys))
+    return zip(begin.tolist(), [*begin[1:].tolist(), len(sorted_keys)])
+
+
+def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the key of each row of a table sorted by key occurs in several documents."""
+    new = _starts(key)
+    begin = np.flatnonzero(new)
+    if not len(begin):
+        return new
+    return (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[np.cumsum(new) - 1]
+
+
 def _list_cells(docs: DataFrame, buckets: int, span: int) -> DataFrame:
-    """Packed by bucket: cells, and ranges that are settled within one task."""
+    """Packed by bucket of the anchor: cells; and cells whose anchors are open within one task, with any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -138,42 +139,34 @@ def _list_cells(docs: DataFrame, buckets: int, span: int) -> DataFrame:
         hashes: list[int] = []
         size = 0
 
-        def deal() -> Iterator[pa.RecordBatch]:
+        def deal() -> pa.RecordBatch:
             doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(h[0]) for h in held])
-            anchor, whole, first, last, lead = (np.concatenate(c) for c in zip(*held))
+            anchor, first, wide, lead = (np.concatenate(c) for c in zip(*held))
             of_doc, of_row = np.array(ids, np.int64), np.array(hashes, np.int32)
-            order = np.lexsort((of_doc[doc], whole, anchor))
-            anchor, whole, first, last, lead, doc = (x[order] for x in (anchor, whole, first, last, lead, doc))
-            new = _starts(anchor, whole)
-            least = of_doc[doc[new]][np.cumsum(new) - 1]
-            again = of_doc[doc] > least
-            number, kinds, blobs = [], [], []
-
-            def put(bucket, settled, arrays):
-                number.append(int(bucket))
-                kinds.append(settled)
-                blobs.append(pack(arrays))
-
-            # ranges settled here go along with any bucket, dealt by document so that a hot cell's copies spread
-            d = doc[again]
-            to = of_doc[d] % buckets
-            by = np.argsort(to, kind="stable")
-            to, d, begin, end = to[by], d[by], first[again][by], (last[again] + span)[by]
-            for i, j in _slices(to):
-                put(to[i], True, [of_doc[d[i:j]], of_row[d[i:j]], begin[i:j], end[i:j].astype(np.int32)])
-            keep = ~again
-            anchor, whole, first, last, lead, doc = (x[keep] for x in (anchor, whole, first, last, lead, doc))
-            bucket = (anchor >> _U(16)).astype(np.int64) * buckets >> 32
-            for i, j in _slices(bucket):
-                own, local = np.unique(doc[i:j], return_inverse=True)
-                kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
-                put(bucket[i], False, [
-                    anchor[i:j], whole[i:j], local.astype(kind), first[i:j], (last[i:j] - first[i:j]).astype(np.uint8),
-                    lead[i:j], of_doc[own], of_row[own],
-                ])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "settled", "data"]
-            )
+            order = np.argsort(anchor, kind="stable")
+            anchor, first, wide, lead, doc = (x[order] for x in (anchor, first, wide, lead, doc))
+            open_ = _several(anchor, of_doc[doc])
+            # of an anchor that is open here one mark goes to its bucket; its cells need nothing more
+            mark, cells = open_ & _starts(anchor), ~open_
+            bucket_of = (anchor >> _U(16)).astype(np.int64) * buckets >> 32
+            number, blobs = [], []
+            spread = np.where(open_, of_doc[doc] % buckets, bucket_of)
+            order = np.argsort(spread, kind="stable")
+            bounds = np.searchsorted(spread[order], np.arange(buckets + 1))
+            marks = np.searchsorted(bucket_of[mark], np.arange(buckets + 1))
+            marked = anchor[mark]
+            for b in range(buckets):
+                own = order[bounds[b] : bounds[b + 1]]
+                m = marked[marks[b] : marks[b + 1]]
+                if not len(own) and not len(m):
+                    continue
+                names, local = np.unique(doc[own], return_inverse=True)
+                kind = np.uint16 if len(names) <= 1 << 16 else np.uint32
+                number.append(b)
+                blobs.append(pack([
+                    anchor[own][cells[own]], cells[own], local.astype(kind), first[own], wide[own], lead[own], of_doc[names], of_row[names], m,
+                ]))
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
         for batch in slices(batches):
             for doc_id, row_hash, data in zip(batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist(), bytes_of(batch)):
@@ -185,187 +178,323 @@ def _list_cells(docs: DataFrame, buckets: int, span: int) -> DataFrame:
                 hashes.append(row_hash)
                 size += len(found[0])
                 if size >= FLUSH:
-                    yield from deal()
+                    yield deal()
                     held, ids, hashes, size = [], [], [], 0
         if held:
-            yield from deal()
-
-    return docs.mapInArrow(run, "bucket int, settled boolean, data binary")
-
+            yield deal()
+        trim()
 
-def _slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Begin and end of each run of equal keys."""
-    begin = np.flatnonzero(_starts(sorted_keys))
-    return zip(begin.tolist(), [*begin[1:].tolist(), len(sorted_keys)])
+    return docs.mapInArrow(run, "bucket int, data binary")
 
 
-def _settle(hot: int, span: int):
-    """Of one bucket: ranges that repeat whole cells (lead -1), and cells whose bytes are needed."""
+def _open_cells(dealt: DataFrame, buckets: int, span: int) -> DataFrame:
+    """The cells whose anchors occur in several documents; one partition is one bucket."""
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        done = [unpack(d) for d in rows["data"][rows["settled"]]]
-        done = [np.concatenate([p[i] for p in done]) if done else np.zeros(0, np.int64) for i in range(4)]
-        settled = pd.DataFrame(dict(zip(("doc_id", "row_hash", "start", "stop"), done)) | {"lead": -1, "hot": 0})
-        parts = [unpack(d) for d in rows["data"][~rows["settled"]]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(d) for batch in batches for d in batch.column("data").to_pylist()]
         if not parts:
-            return settled
-        doc = np.concatenate([p[6][p[2]] for p in parts])
-        row_hash = np.concatenate([p[7][p[2]] for p in parts])
-        anchor, whole, first, wide, lead = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
+            return
+        cells = np.concatenate([p[1] for p in parts])
+        doc, row_hash = (np.concatenate([p[i][p[2]] for p in parts]) for i in (6, 7))
+        first, wide, lead = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        marked = np.unique(np.concatenate([p[8] for p in parts]))
+        anchor = np.concatenate([p[0] for p in parts])
+        del parts
+        some = np.flatnonzero(cells)
         order = np.argsort(anchor, kind="stable")
-        new = _starts(anchor[order])
-        group = np.cumsum(new) - 1
-        order = order[np.bincount(group)[group] > 1]  # most anchors occur once
-        order = order[np.lexsort((doc[order], whole[order], anchor[order]))]
-        doc, row_hash, anchor, whole, first, wide, lead = (x[order] for x in (doc, row_hash, anchor, whole, first, wide, lead))
-        if not len(doc):
-            return settled
-        new_cell, new_anchor = _starts(anchor, whole), _starts(anchor)
-        least = doc[new_cell][np.cumsum(new_cell) - 1]
-        again = doc > least
-        of_anchor = np.cumsum(new_anchor) - 1
-        cells = np.bincount(of_anchor[new_cell])
-        lo = np.minimum.reduceat(doc, np.flatnonzero(new_anchor))
-        hi = np.maximum.reduceat(least, np.flatnonzero(new_anchor))
-        ask = ~again & ((cells > 1) & (hi > lo))[of_anchor]
-        keep = again | ask
-        out = pd.DataFrame({
-            "doc_id": doc, "row_hash": row_hash, "start": first, "stop": first + wide + span,
-            "lead": np.where(again, -1, lead.astype(np.int32)), "hot": (cells > hot)[of_anchor].astype(np.int32),
-        })
-        return pd.concat([settled, out[keep]])
-
-    return settle
-
-
-def _cell_bytes(asked: DataFrame, packed_docs: DataFrame) -> DataFrame:
-    """The bytes of each asked cell with its leading tokens."""
-    per_doc = asked.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop", "lead", "hot")).alias("asked"))
-
-    def make():
-        plain = zstandard.ZstdDecompressor()
-
-        def step(batch):
-            out: list[tuple] = []
-            for doc_id, row_hash, data, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "data", "asked"))):
-                text = plain.decompress(data)
-                for a in asked:
-                    cell = text[a["start"] : a["stop"]]
-                    out.append((cell[a["lead"] : a["lead"] + K], cell, doc_id, row_hash, a["start"], a["hot"]))
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["tokens", "cell", "doc_id", "row_hash", "start", "hot"]
+        anchor, some = anchor[order], some[order]
+        open_ = _several(anchor, doc[some])
+        if len(marked):
+            at = np.minimum(np.searchsorted(marked, anchor), len(marked) - 1)
+            open_ |= marked[at] == anchor
+        cells[some[open_]] = False  # what is left as a cell is not open
+        keep = np.flatnonzero(~cells)
+        for i in range(0, len(keep), 100_000):
+            k = keep[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[k]), pa.array(row_hash[k]), pa.array(first[k]), pa.array(wide[k].astype(np.int16)), pa.array(lead[k].astype(np.int16))],
+                ["doc_id", "row_hash", "start", "wide", "lead"],
             )
+        trim()
 
-        return step
-
-    joined = packed_docs.join(per_doc, ["doc_id", "row_hash"])
-    return in_batches(joined, make, f"tokens binary, cell binary, {_KEY}, start int, hot int")
+    return dealt.repartitionById(buckets, "bucket").select("data").mapInArrow(run, f"{_KEY}, start int, wide short, lead short")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of big-endian words, and the number of each row's class of equal rows in that order.
 
-    Word by word from the first, sorting on only among rows that are still equal.
+    Multikey quicksort after a first pass by the leading word: a segment is parted around the median of three of its
+    words at one depth; smaller and greater rows stay at that depth, equal ones go on to the next word. All open
+    segments take this step together.
     """
     n, width = words.shape
     order = np.argsort(words[:, 0], kind="stable")
-    group = np.cumsum(_starts(words[order, 0])) - 1 if n else np.zeros(0, np.int64)
-    for j in range(1, width):
-        open_ = np.flatnonzero((np.bincount(group, minlength=1)[group] > 1)) if n else np.zeros(0, np.int64)
-        if not len(open_):
+    if not n:
+        return order, order
+    cut = np.flatnonzero(_starts(words[order, 0]))
+    lo, hi = cut, np.append(cut[1:], n)
+    depth = np.ones(len(lo), np.int64)
+    while True:
+        live = (hi - lo > 1) & (depth < width)
+        lo, hi, depth = lo[live], hi[live], depth[live]
+        if not len(lo):
             break
-        rows, own = order[open_], group[open_]
-        word = words[rows, j]
-        by = np.lexsort((word, own))
-        order[open_] = rows[by]
-        change = np.zeros(n, bool)
-        change[1:] = group[1:] != group[:-1]
-        own, word = own[by], word[by]
-        inner = np.zeros(len(open_), bool)
-        inner[1:] = (own[1:] == own[:-1]) & (word[1:] != word[:-1])
-        change[open_] |= inner
-        group = np.cumsum(change)
-    return order, group
-
-
-def _windows(cells: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the cells as rows of big-endian words, each with its cell and its place in the cell."""
-    sizes = np.array([len(c) for c in cells])
-    flat = np.frombuffer(b"".join(cells), np.uint8)
-    count = sizes - span + 1
-    cell = np.repeat(np.arange(len(cells)), count)
-    at = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
-    begin = np.repeat(np.cumsum(sizes) - sizes, count) + at
-    width = -(-span // 8) * 8
-    rows = np.zeros((len(cell), width), np.uint8)
-    rows[:, :span] = np.lib.stride_tricks.sliding_window_view(flat, span)[begin]
-    return rows.view(">u8").astype(np.uint64), cell, at
-
-
-def _runs(doc: np.ndarray, row_hash: np.ndarray, place: np.ndarray, span: int) -> pa.RecordBatch:
-    """Repeated windows as ranges: consecutive places of one row joined."""
-    order = np.lexsort((place, row_hash, doc))
-    doc, row_hash, place = doc[order], row_hash[order], place[order]
+        size = hi - lo
+        segment = np.repeat(np.arange(len(lo)), size)
+        at = np.arange(len(segment)) - np.repeat(np.cumsum(size) - size - lo, size)
+        rows = order[at]
+        word = words[rows, depth[segment]]
+        three = np.stack([words[order[x], depth] for x in (lo, (lo + hi) // 2, hi - 1)])
+        pivot = np.maximum(np.minimum(three[0], three[1]), np.minimum(np.maximum(three[0], three[1]), three[2]))[segment]
+        side = 3 * segment + 1 + (word > pivot) - (word < pivot)
+        order[at] = rows[np.argsort(side, kind="stable")]
+        less, equal, _ = np.bincount(side, minlength=3 * len(lo)).reshape(-1, 3).T
+        a, b = lo + less, lo + less + equal
+        lo, hi, depth = np.concatenate((lo, a, b)), np.concatenate((a, b, hi)), np.concatenate((depth, depth + 1, depth))
+    new = np.ones(n, bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return order, np.cumsum(new) - 1
+
+
+class Suffixes:
+    """Rows of open cells: the suffix from the anchor on, what stands before the anchor (backwards), and both lengths."""
+
+    def __init__(self, span: int):
+        self.span, self.before = span, span - K
+        self.used = self.span + self.before + 2
+        self.width = -(-self.used // 8) * 8
+
+    def rows(self, flat: np.ndarray, anchor: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Of anchors at places of a text that has `span` bytes more at both ends."""
+        out = np.zeros((len(anchor), self.width), np.uint8)
+        views = np.lib.stride_tricks.sliding_window_view
+        out[:, : self.span] = views(flat, self.span)[anchor]
+        out[:, self.span : self.span + self.before] = views(flat, self.before)[anchor - self.before][:, ::-1]
+        steps = np.arange(self.span)
+        out[:, : self.span][steps >= right[:, None]] = 0
+        out[:, self.span : self.span + self.before][steps[: self.before] >= left[:, None]] = 0
+        out[:, self.used - 2], out[:, self.used - 1] = right, left
+        return out
+
+    @staticmethod
+    def words(rows: np.ndarray) -> np.ndarray:
+        return rows.view(">u8").astype(np.uint64)
+
+    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of the rows' cells, each with its row and its place in the cell."""
+        right, left = rows[:, self.used - 2].astype(np.int64), rows[:, self.used - 1].astype(np.int64)
+        whole = np.concatenate((rows[:, self.span : self.span + self.before][:, ::-1], rows[:, : self.span]), axis=1)
+        count = right + left - self.span + 1
+        row = np.repeat(np.arange(len(rows)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        begin = row * whole.shape[1] + self.before - left[row] + at
+        out = np.zeros((len(row), -(-self.span // 8) * 8), np.uint8)
+        out[:, : self.span] = np.lib.stride_tricks.sliding_window_view(whole.ravel(), self.span)[begin]
+        return out, row, at
+
+
+def _token(rows: np.ndarray) -> np.ndarray:
+    """The leading token of each row as a signed number in the same order."""
+    return (np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64) ^ _U(1 << 63)).view(np.int64)
+
+
+def _asked_cells(batch: pa.RecordBatch, suffixes: Suffixes, most: int):
+    """doc_id, row_hash, start of the cell, and row of the asked cells of a batch of texts, at most so many at a time."""
+    plain, span = zstandard.ZstdDecompressor(), suffixes.span
+    pad = bytes(span)
+    texts = [plain.decompress(d) for d in batch.column("data").to_pylist()]
+    flat = np.frombuffer(pad.join([b"", *texts, b""]), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(size + span) - size
+    del texts
+    asked = batch.column("asked")
+    start, wide, lead = (asked.flatten().field(i).to_numpy().astype(np.int64) for i in range(3))
+    of = np.repeat(np.arange(batch.num_rows), asked.value_lengths().to_numpy())
+    doc, row_hash = batch.column("doc_id").to_numpy()[of], batch.column("row_hash").to_numpy()[of]
+    for i in range(0, len(start), most):
+        s = slice(i, i + most)
+        yield doc[s], row_hash[s], start[s], suffixes.rows(flat, base[of[s]] + start[s] + lead[s], wide[s] + span - lead[s], lead[s])
+
+
+def _equal_cells(rows: np.ndarray, doc: np.ndarray):
+    """Order of the rows, class of each in that order, and the smallest document of each class."""
+    order, group = multikey_order(Suffixes.words(rows))
+    begin = np.flatnonzero(_starts(group))
+    return order, group, np.minimum.reduceat(doc[order], begin) if len(begin) else doc[:0]
+
+
+def _deal_suffixes(joined: DataFrame, splitters: np.ndarray, hot: np.ndarray, span: int) -> DataFrame:
+    """Packed by range of the leading token: suffixes, and cells that are settled within one task."""
+    spark = joined.sparkSession
+    shared = spark.sparkContext.broadcast((splitters, hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitters, hot = shared.value
+        suffixes, press = Suffixes(span), zstandard.ZstdCompressor(level=3)
+        held: list[tuple] = []
+        size = 0
+
+        def deal() -> pa.RecordBatch:
+            doc, row_hash, start, rows = (np.concatenate(c) for c in zip(*held))
+            order, group, least = _equal_cells(rows, doc)
+            doc, row_hash, start, rows = doc[order], row_hash[order], start[order], rows[order]
+            token = _token(rows)
+            part = np.searchsorted(splitters, token, side="right")
+            if len(hot):
+                spread = np.isin(token, hot)
+                words = Suffixes.words(rows[spread])
+                mixed = np.zeros(len(words), np.uint64)
+                for i in range(words.shape[1]):
+                    mixed = (mixed ^ words[:, i]) * _U(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> _U(29)
+                part[spread] = (mixed % _U(len(splitters) + 1)).astype(np.int64)
+            gone = doc > least[group]
+            wide = rows[:, suffixes.used - 2].astype(np.int32) + rows[:, suffixes.used - 1]
+            # the texts' numbers in this piece of work, and a cell of each
+            by, text = np.lexsort((row_hash, doc)), np.empty(len(doc), np.int64)
+            new = _starts(doc[by], row_hash[by])
+            text[by], first = np.cumsum(new) - 1, by[new]
+            order = np.argsort(part, kind="stable")
+            number, blobs = [], []
+            for i, j in _slices(part[order]):
+                own = order[i:j]
+                out, go = own[~gone[own]], own[gone[own]]
+                names, local = np.unique(np.concatenate((text[out], text[go])), return_inverse=True)
+                local = local.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+                number.append(int(part[own[0]]))
+                columns = pack([
+                    local[: len(out)], start[out].astype(np.int32), local[len(out) :], start[go].astype(np.int32), wide[go].astype(np.uint8),
+                    doc[first[names]], row_hash[first[names]],
+                ])
+                flat = press.compress(np.ascontiguousarray(rows[out, : suffixes.used]).tobytes())
+                blobs.append(len(columns).to_bytes(8, "little") + columns + flat)
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
+
+        for batch in slices(batches, 500):
+            for piece in _asked_cells(batch, suffixes, CELLS):
+                held.append(piece)
+                size += len(piece[0])
+                if size >= CELLS:
+                    yield deal()
+                    held, size = [], 0
+        if held:
+            yield deal()
+        trim()
+
+    return joined.mapInArrow(run, "part int, data binary")
+
+
+def _runs(doc: np.ndarray, row_hash: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges with those that touch or overlap joined."""
+    order = np.lexsort((start, row_hash, doc))
+    doc, row_hash, start, stop = doc[order], row_hash[order], start[order], stop[order]
     new = _starts(doc, row_hash)
-    new[1:] |= place[1:] > place[:-1] + 1
+    new[1:] |= start[1:] > stop[:-1]  # all windows are equally long, and cells hold whole windows
     begin = np.flatnonzero(new)
-    end = np.concatenate((begin[1:], [len(place)])) - 1 if len(begin) else begin
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[begin]), pa.array(row_hash[begin]), pa.array(place[begin].astype(np.int32)), pa.array((place[end] + span).astype(np.int32))],
-        ["doc_id", "row_hash", "start", "stop"],
-    )
-
+    return doc[begin], row_hash[begin], start[begin], np.maximum.reduceat(stop, begin) if len(begin) else stop
 
-def _compare_suffixes(cells: DataFrame, partitions: int, span: int, most: int = 10_000) -> DataFrame:
-    """Ranges of windows that also start in a smaller document, of cells range-partitioned by leading tokens."""
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        doc, row_hash, start = (table.column(c).to_numpy() for c in ("doc_id", "row_hash", "start"))
-        words, cell, at = _windows(table.column("cell").to_pylist(), span)
-        order, group = multikey_order(words)
-        owner = doc[cell[order]]
-        least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, owner)
-        again = order[owner > least[group]]
-        c = cell[again]
-        return _runs(doc[c], row_hash[c], start[c] + at[again], span)
+def _compare_suffixes(dealt: DataFrame, partitions: int, hot: np.ndarray, span: int) -> DataFrame:
+    """Ranges that also start in a smaller document; and, with their bytes, the windows under hot tokens."""
+    shared = dealt.sparkSession.sparkContext.broadcast(hot)
+    names = ["doc_id", "row_hash", "start", "stop", "suffix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        suffixes, hot = Suffixes(span), shared.value
+
+        def ranges(doc, row_hash, start, stop):
+            doc, row_hash, start, stop = _runs(doc, row_hash, start.astype(np.int32), stop.astype(np.int32))
+            for i in range(0, len(doc), 100_000):
+                s = slice(i, i + 100_000)
+                columns = [pa.array(x[s]) for x in (doc, row_hash, start, stop)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names)
+
+        plain = zstandard.ZstdDecompressor()
+        columns, rows = [], []
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < most:
-                continue
-            table = pa.Table.from_batches(held)
-            tokens = table.column("tokens")
-            last = tokens[-1].as_py()
-            flags = np.array([t == last for t in tokens.to_pylist()])
-            cut = int(np.argmax(flags))  # the last group may go on in the next batch
-            if cut:
-                yield compare(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-            size = table.num_rows - cut
-        if size:
-            yield compare(pa.Table.from_batches(held))
-
-    ranged = cells.repartitionByRange(partitions, "tokens").sortWithinPartitions("tokens")
-    return ranged.mapInArrow(run, f"{_KEY}, start int, stop int")
-
-
-def _compare_windows(cells: DataFrame, partitions: int, span: int) -> DataFrame:
+            for data in batch.column("data").to_pylist():
+                at = 8 + int.from_bytes(data[:8], "little")
+                local, start, gone, start_gone, wide, ids, hashes = unpack(data[8:at])
+                columns.append((ids[local], hashes[local], start, ids[gone], hashes[gone], start_gone, wide.astype(np.int32)))
+                rows.append(np.frombuffer(plain.decompress(data[at:]), np.uint8).reshape(-1, suffixes.used))
+        if not columns:
+            return
+        doc, row_hash, start, *done = (np.concatenate(c) for c in zip(*columns))
+        yield from ranges(done[0], done[1], done[2], done[2] + done[3])
+        whole = np.zeros((len(doc), suffixes.width), np.uint8)
+        at = 0
+        for flat in rows:
+            whole[at : at + len(flat), : suffixes.used] = flat
+            at += len(flat)
+        del columns, rows, done
+        order, group, least = _equal_cells(whole, doc)
+        doc, row_hash, start, rows = doc[order], row_hash[order], start[order].astype(np.int64), whole[order]
+        del whole
+        gone = doc > least[group]
+        wide = rows[:, suffixes.used - 2].astype(np.int64) + rows[:, suffixes.used - 1]
+        yield from ranges(doc[gone], row_hash[gone], start[gone], (start + wide)[gone])
+        # of each class the rows of its smallest document go on; anchors with one class, or one document, are done
+        doc, row_hash, start, rows, group = (x[~gone] for x in (doc, row_hash, start, rows, group))
+        classes = np.flatnonzero(_starts(group))
+        members = np.append(classes[1:], len(group)) - classes
+        head = rows[classes, : (K + 7) // 8 * 8].copy()
+        head[:, K:] = 0
+        new = np.ones(len(classes), bool)
+        new[1:] = (head[1:] != head[:-1]).any(axis=1)
+        anchors = np.flatnonzero(new)
+        owner = least  # class numbers have no gaps: each class keeps its smallest document's rows
+        if len(anchors):
+            differ = np.minimum.reduceat(owner, anchors) < np.maximum.reduceat(owner, anchors)
+            differ = differ[np.cumsum(new) - 1]
+        else:
+            differ = new
+        is_hot = np.isin(_token(rows[classes]), hot)
+        todo = np.flatnonzero(differ & ~is_hot)
+        anchor_of = (np.cumsum(new) - 1)[todo]
+        bounds = np.flatnonzero(_starts(anchor_of))
+        at = 0
+        while at < len(todo):  # whole anchors, about so many cells at a time
+            later = bounds[np.searchsorted(bounds, at + TOGETHER) :]
+            stop = int(later[0]) if len(later) else len(todo)
+            own = todo[at:stop]
+            at = stop
+            bytes_, row, place = suffixes.windows(rows[classes[own]])
+            by, same = multikey_order(Suffixes.words(bytes_))
+            of = owner[own][row[by]]
+            first = np.minimum.reduceat(of, np.flatnonzero(_starts(same)))
+            again = by[of > first[same]]
+            yield from ranges(*_of_members(doc, row_hash, start, classes[own][row[again]], members[own][row[again]], place[again], span))
+        # hot tokens may have cells elsewhere, whatever the documents here
+        todo = np.flatnonzero(is_hot)
+        for i in range(0, len(todo), TOGETHER // 4):
+            own = todo[i : i + TOGETHER // 4]
+            bytes_, row, place = suffixes.windows(rows[classes[own]])
+            times = members[own][row]
+            d, h, s, t = _of_members(doc, row_hash, start, classes[own][row], times, place, span)
+            cut = [x[:span].tobytes() for x in np.repeat(bytes_, times, axis=0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d), pa.array(h), pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(cut, pa.binary())], names
+            )
+        del rows
+        trim()
+
+    return dealt.repartitionById(partitions, "part").select("data").mapInArrow(run, f"{_KEY}, start int, stop int, suffix binary")
+
+
+def _of_members(doc, row_hash, start, begin, times, place, span: int):
+    """Windows of a class at these places, for each row of the class: begin and number of its rows are given."""
+    rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - begin, times)
+    at = start[rows] + np.repeat(place, times)
+    return doc[rows], row_hash[rows], at, at + span
+
+
+def _compare_windows(single: DataFrame, partitions: int) -> DataFrame:
     """The same of single windows, range-partitioned by all their bytes and the document.
 
     One string's copies may fill several partitions; each partition says with which string it begins and ends and the
     smallest document of its last run, and goes on from what stands before it. These are three values a partition.
     """
-    spark = cells.sparkSession
-    places = F.sequence(F.lit(0), F.length("cell") - span)
-    single = cells.select(
-        F.explode(places).alias("at"), "cell", "doc_id", "row_hash", "start"
-    ).select(F.expr(f"substring(cell, at + 1, {span})").alias("suffix"), "doc_id", "row_hash", (F.col("start") + F.col("at")).alias("start"))
+    spark = single.sparkSession
     ranged = written(
         single.repartitionByRange(partitions, "suffix", "doc_id").withColumn("part", F.spark_partition_id()), "windows"
     )
@@ -383,11 +512,12 @@ def _compare_windows(cells: DataFrame, partitions: int, span: int) -> DataFrame:
         before = (high, least)
     left = spark.createDataFrame(carried, "part int, suffix binary, carried long")
     least = ranged.groupBy("part", "suffix").agg(F.min("doc_id").alias("least"))
+    # a row for each partition at most
     least = least.join(F.broadcast(left), ["part", "suffix"], "left").select(
         "part", "suffix", F.least("least", F.coalesce("carried", "least")).alias("least")
     )
     again = ranged.join(least, ["part", "suffix"]).where("doc_id > least")
-    return again.select("doc_id", "row_hash", "start", (F.col("start") + span).cast("int").alias("stop"))
+    return again.select("doc_id", "row_hash", "start", "stop")
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
@@ -413,25 +543,54 @@ def _packed(docs: DataFrame, rest: bool = False) -> DataFrame:
     return in_batches(docs, make, f"{_KEY}{more}, data binary")
 
 
+def _splitters(open_cells: DataFrame, docs: DataFrame, partitions: int, n_docs: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of the leading tokens of a sample of the open cells, and those that fill a partition by themselves.
+
+    The sample is of whole documents, about SAMPLE of them; what is fitted to it is only how evenly partitions fill.
+    """
+    if partitions < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(max(1, n_docs // SAMPLE))) == 0
+    joined = _packed(docs.where(some)).join(_asked(open_cells.where(some)), ["doc_id", "row_hash"])
+
+    def make():
+        suffixes = Suffixes(span)
+
+        def step(batch):
+            found = [_token(rows) for _, _, _, rows in _asked_cells(batch, suffixes, CELLS)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["token"])
+
+        return step
+
+    share = [i / partitions for i in range(1, partitions)]
+    row = in_batches(joined, make, "token long").agg(F.percentile_approx("token", share, 20 * partitions).alias("q")).first()
+    cuts = np.array(row["q"] or [], np.int64)
+    return np.unique(cuts), np.unique(cuts[1:][cuts[1:] == cuts[:-1]])
+
+
+def _asked(open_cells: DataFrame) -> DataFrame:
+    return open_cells.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "wide", "lead")).alias("asked"))
+
+
 def repeated_ranges(documents: DataFrame, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash and `ranges`, the repeated byte ranges of each row that has any."""
+    """doc_id, row_hash and `ranges`, the repeated byte ranges of each row that has any.
+
+    `hot` is the number of open cells for which one partition is made.
+    """
     spark = documents.sparkSession
     docs = _keyed(documents, id_col, text_col)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    packed = _packed(docs)
-    settled = (
-        _list_cells(docs, buckets, span).groupBy("bucket")
-        .applyInPandas(_settle(hot, span), f"{_KEY}, start int, stop int, lead int, hot int")
-    )
-    found = written(settled, "cells")
-    cells = _cell_bytes(found.where("lead >= 0"), packed)
-    by_tokens = _compare_suffixes(cells.where("hot = 0").drop("hot"), partitions, span)
-    ranges = found.where("lead < 0").select("doc_id", "row_hash", "start", "stop").unionByName(by_tokens)
-    if found.where("hot = 1").limit(1).count():
-        ranges = ranges.unionByName(_compare_windows(_cell_bytes(found.where("lead >= 0 and hot = 1"), packed), partitions, span))
+    total, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets = max(8, -(-(total or 0) // BUCKET_BYTES))
+    open_cells = written(_open_cells(_list_cells(docs, buckets, span), buckets, span), "cells")
+    partitions = max(1, -(-open_cells.count() // hot))
+    splitters, tokens = _splitters(open_cells, docs, partitions, n_docs, span)
+    joined = _packed(docs).join(_asked(open_cells), ["doc_id", "row_hash"])
+    dealt = _deal_suffixes(joined, splitters, tokens, span)
+    found = written(_compare_suffixes(dealt, len(splitters) + 1, tokens, span), "ranges")
+    ranges = found.where("suffix is null").select("doc_id", "row_hash", "start", "stop")
+    if len(tokens):
+        width = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ranges = ranges.unionByName(_compare_windows(found.where("suffix is not null"), width))
     return ranges.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 

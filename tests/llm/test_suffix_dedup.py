@@ -50,7 +50,7 @@ def corpus(seed):
     return [*rows, (5, texts[2]), (5, texts[2]), (None, texts[1]), (4, texts[40])]
 
 
-@pytest.mark.parametrize("hot", [sd.HOT, 2])
+@pytest.mark.parametrize("hot", [sd.HOT, 40])
 def test_against_brute_force(spark, hot):
     rows = corpus(7)
     df = spark.createDataFrame([(i, t, "z", i) for i, t in rows], "doc_id long, text string, data string, start long")
