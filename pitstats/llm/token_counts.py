@@ -26,7 +26,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
