@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitstats.functions.scalars import portable_uniform, quantile_interp
-from pitstats.operators import dist, features, fit, joins, leakage, value, windows
+from pitstats.operators import dist, fit, joins, leakage, value, windows
 from pitstats.plans.registry import query
 from pitstats.sources.fixtures import rounded, view
 
