@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return os.path.join(tempfile.gettempdir(), f"spark-{spark.sparkContext.applicationId}")
 
