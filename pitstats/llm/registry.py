@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitstats.llm import bm25, byte_bpe, decontaminate, license_scan, line_quality, ngram_join, suffix_dedup, token_counts, token_files, toxicity, url_filter, whitening
+from pitstats.llm import bm25, byte_bpe, decontaminate, license_scan, line_quality, ngram_join, prefix_trie, suffix_dedup, token_counts, token_files, toxicity, url_filter, whitening
 from pitstats.llm.common import table, vocabulary
 
 #: The rules of the URL query: fixed values, of which the longest that fits decides.
@@ -65,6 +65,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of up to eight turns are shared within five ids."""
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), group=5, heads=9)
+    return nodes.drop("k1", "k2")
+
+
 def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_line_quality": op12_line_quality,
         "op13_whitening": op13_whitening,
     }
