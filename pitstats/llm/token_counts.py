@@ -344,6 +344,18 @@ def count_tokens(
 
         return step
 
+    def cut(batches):
+        """Chunks of the texts, each text read once; an Arrow batch holds FAN chunks."""
+        names = ["doc_id", "n_bytes", "text_hash", "chunk_no", "text"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                head, whole = [batch.column(c)[i].as_py() for c in names[:3]], batch.column("text")[i].as_py()
+                for first in range(0, len(whole), chunk * FAN):
+                    parts = [whole[at : at + chunk] for at in range(first, min(len(whole), first + chunk * FAN), chunk)]
+                    numbers = range(first // chunk, first // chunk + len(parts))
+                    columns = [pa.array([v] * len(parts), pa.int64()) for v in head]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names)
+
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         """Neighbouring chunks' maps as one map; rows that are equal in all of the input are counted in `copies`."""
         machine = transducer(tokenizer_path)
@@ -372,12 +384,8 @@ def count_tokens(
     short = in_batches(docs.where(~is_long), make_short, "doc_id long, n_bytes long, n_tokens long")
     pieces = (
         docs.where(is_long)
-        .withColumn("text_hash", F.xxhash64("text"))
-        .withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))))
-        .select(
-            "doc_id", "n_bytes", "text_hash", F.col("at").alias("chunk_no"),
-            F.expr(f"substring(text, at * {chunk} + 1, {chunk})").alias("text"),
-        )
+        .select("doc_id", "n_bytes", F.xxhash64("text").alias("text_hash"), "text")
+        .mapInArrow(cut, "doc_id long, n_bytes long, text_hash long, chunk_no int, text string")
         .repartition("doc_id", "text_hash", "chunk_no")
     )
     schema = "doc_id long, n_bytes long, text_hash long, chunk_no int, head string, inner long, tail string"
