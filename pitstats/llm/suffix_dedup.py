@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -324,7 +325,10 @@ def _equal_cells(rows: np.ndarray, doc: np.ndarray):
 
 
 def _deal_suffixes(joined: DataFrame, splitters: np.ndarray, hot: np.ndarray, span: int) -> DataFrame:
-    """Packed by range of the leading token: suffixes, and cells that are settled within one task."""
+    """Packed by range of the leading token: suffixes; and, to any partition in turn, cells that are settled here.
+
+    Settled cells need no comparison, so a hot cell's copies stay with the tasks that found them.
+    """
     spark = joined.sparkSession
     shared = spark.sparkContext.broadcast((splitters, hot))
 
@@ -332,9 +336,10 @@ def _deal_suffixes(joined: DataFrame, splitters: np.ndarray, hot: np.ndarray, sp
         splitters, hot = shared.value
         suffixes, press = Suffixes(span), zstandard.ZstdCompressor(level=3)
         held: list[tuple] = []
-        size = 0
+        size, turn = 0, TaskContext.get().partitionId() * 7
 
         def deal() -> pa.RecordBatch:
+            nonlocal turn
             doc, row_hash, start, rows = (np.concatenate(c) for c in zip(*held))
             order, group, least = _equal_cells(rows, doc)
             doc, row_hash, start, rows = doc[order], row_hash[order], start[order], rows[order]
@@ -354,14 +359,17 @@ def _deal_suffixes(joined: DataFrame, splitters: np.ndarray, hot: np.ndarray, sp
             by, text = np.lexsort((row_hash, doc)), np.empty(len(doc), np.int64)
             new = _starts(doc[by], row_hash[by])
             text[by], first = np.cumsum(new) - 1, by[new]
-            order = np.argsort(part, kind="stable")
-            number, blobs = [], []
-            for i, j in _slices(part[order]):
-                own = order[i:j]
-                out, go = own[~gone[own]], own[gone[own]]
+            live = np.flatnonzero(~gone)
+            live = live[np.argsort(part[live], kind="stable")]
+            none, number, blobs = live[:0], [], []
+            pieces = [(int(part[live[i]]), live[i:j], none) for i, j in _slices(part[live])]
+            if gone.any():
+                pieces.append((turn % (len(splitters) + 1), none, np.flatnonzero(gone)))
+                turn += 1
+            for to, out, go in pieces:
                 names, local = np.unique(np.concatenate((text[out], text[go])), return_inverse=True)
                 local = local.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
-                number.append(int(part[own[0]]))
+                number.append(to)
                 columns = pack([
                     local[: len(out)], start[out].astype(np.int32), local[len(out) :], start[go].astype(np.int32), wide[go].astype(np.uint8),
                     doc[first[names]], row_hash[first[names]],

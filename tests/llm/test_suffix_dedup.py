@@ -58,6 +58,27 @@ def test_against_brute_force(spark, hot):
     assert got == brute(rows, 50)
 
 
+def test_settled_copies_of_a_line_are_spread(spark, monkeypatch):
+    """One line in all documents: what each task settles goes to the partitions in turn, not to that of the line's bytes."""
+    line = "a common line of one licence, which all documents begin with, " * 3
+    docs = spark.createDataFrame([(i, f"{line}\nand {i} of its own") for i in range(4_000)], "doc_id long, text string").repartition(8)
+    seen = {}
+    inner = sd._deal_suffixes
+    monkeypatch.setattr(sd, "CELLS", 3_000)
+
+    def dealt(*args):
+        out = inner(*args)
+        spread = out.rdd.map(lambda r: (r["part"], len(sd.unpack(r["data"][8 : 8 + int.from_bytes(r["data"][:8], "little")])[2]))).collect()
+        for part, n in spread:
+            seen[part] = seen.get(part, 0) + n
+        return out
+
+    monkeypatch.setattr(sd, "_deal_suffixes", dealt)
+    ranges = sd.repeated_ranges(docs, hot=2_000)
+    assert ranges.count() == 3_999
+    assert sum(seen.values()) > 20_000 and max(seen.values()) <= 0.5 * sum(seen.values()) and len(seen) >= 4
+
+
 def test_empty(spark):
     assert sd.dedup_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
