@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitstats.operators.quantiles import exact_quantiles
+
 
 def levels(n: int) -> list[float]:
     return [(i + 1) / (n + 1) for i in range(n)]
@@ -67,10 +69,9 @@ def residual_bands(rows: DataFrame, by: list[str], residual: str, x: str, edges:
     grouped = banded.join(classes, by).withColumn("_group", F.element_at("_of", F.col("band")))
     first, times = F.array_position("_of", F.col("_group")), F.size(F.filter("_of", lambda g: g == F.col("_group")))
     grouped = grouped.withColumn("band_lo", first).withColumn("band_hi", first + times - 1)
-    grid = F.array(*map(F.lit, levels(n)))
-    return grouped.groupBy(*by, "band_lo", "band_hi", "floor").agg(
-        F.count("*").alias("n"), F.stddev_samp(residual).alias("sd"), F.percentile(residual, grid).alias("q")
-    )
+    keys = [*by, "band_lo", "band_hi", "floor"]
+    more = F.count("*").alias("n"), F.stddev_samp(residual).alias("sd")
+    return exact_quantiles(grouped.select(*keys, residual), keys, residual, levels(n), *more)
 
 
 def apply_bands(rows: DataFrame, table: DataFrame, by: list[str], x: str, edges: list[float]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitstats.functions.scalars import portable_uniform
+from pitstats.operators.quantiles import exact_quantiles
 from pitstats.sources.documents import scratch, write_once
 
 
@@ -21,12 +22,14 @@ def align(preds: DataFrame, keys: list[str], n_models: int) -> DataFrame:
 
 
 def point_metrics(df: DataFrame, by: list[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
-    """n, MAE, RMSE, bias, median absolute error and correlation per group, from one pass."""
+    """n, MAE, RMSE, bias, median absolute error and correlation per group."""
     e = F.col(pred) - F.col(actual)
-    return df.groupBy(*by).agg(
+    sums = (
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
-        F.percentile(F.abs(e), 0.5).alias("median_ae"), F.corr(actual, pred).alias("correlation"),
+        F.try_divide(F.covar_pop(actual, pred), F.stddev_pop(actual) * F.stddev_pop(pred)).alias("correlation"),  # null where one doesn't vary
     )
+    rows = df.select(*by, actual, pred, F.abs(e).alias("_e"))
+    return exact_quantiles(rows, by, "_e", [0.5], *sums).withColumn("median_ae", F.col("q")[0]).drop("q")
 
 
 def average_rank(x: str, by: list[str]) -> Column:

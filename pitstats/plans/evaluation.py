@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitstats.functions.scalars import portable_uniform
 from pitstats.operators import evaluate, fit
+from pitstats.operators.quantiles import exact_quantiles
 from pitstats.plans.registry import query
 from pitstats.sources.fixtures import rounded, view
 
@@ -254,10 +255,12 @@ def extended_metrics(spark, sf_dir):
     with {PREDS} select model, season, position, count(*) as n, round(avg(abs(pred - actual)), 4) as mae, round(quantile_cont(pred - actual, 0.9), 4) as q90 from aligned
     group by grouping sets ((model), (model, season), (model, position))""")
 def evaluate_report(spark, sf_dir):
-    e = F.col("pred") - F.col("actual")
-    return aligned(spark, sf_dir).groupingSets([["model"], ["model", "season"], ["model", "position"]], "model", "season", "position").agg(
-        F.count("*").alias("n"), r4(F.avg(F.abs(e))).alias("mae"), r4(F.percentile(e, 0.9)).alias("q90")
-    )
+    rows = aligned(spark, sf_dir).select("model", "season", "position", (F.col("pred") - F.col("actual")).alias("e"))
+    # a row counts for its model, its season and its position; what a group isn't about is null
+    sets = F.array(*(F.struct(*(F.col(c).alias(c) if c in own else F.lit(None).alias(c) for c in ("season", "position"))) for own in ((), ("season",), ("position",))))
+    rows = rows.select("model", "e", F.explode(sets).alias("s")).select("model", "s.season", "s.position", "e")
+    out = exact_quantiles(rows, ["model", "season", "position"], "e", [0.9], F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"))
+    return out.select("model", "season", "position", "n", r4("mae").alias("mae"), r4(F.col("q")[0]).alias("q90"))
 
 
 BOOT = """

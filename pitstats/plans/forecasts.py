@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitstats.functions.scalars import portable_uniform, quantile_interp
 from pitstats.operators import dist, fit, joins, leakage, value, windows
+from pitstats.operators.quantiles import exact_quantiles
 from pitstats.plans.registry import query
 from pitstats.sources.fixtures import rounded, view
 
@@ -496,9 +497,9 @@ def vor(spark, sf_dir):
 
 @query("scarcity", f"with {VOR} select season, position, count(*) as n, round(max(vor), 3) as elite, count(*) filter (where vor > 0) as n_above, round(quantile_cont(vor, 0.5), 3) as median from vr group by season, position")
 def scarcity(spark, sf_dir):
-    return _vor(spark, sf_dir).groupBy("season", "position").agg(
-        F.count("*").alias("n"), r4(F.max("vor"), 3).alias("elite"), F.count_if(F.col("vor") > 0).alias("n_above"), r4(F.percentile("vor", 0.5), 3).alias("median")
-    )
+    counts = F.count("*").alias("n"), F.max("vor").alias("elite"), F.count_if(F.col("vor") > 0).alias("n_above")
+    out = exact_quantiles(_vor(spark, sf_dir).select("season", "position", "vor"), ["season", "position"], "vor", [0.5], *counts)
+    return out.select("season", "position", "n", r4("elite", 3).alias("elite"), "n_above", r4(F.col("q")[0], 3).alias("median"))
 
 
 @query("proportional_pool", f"""

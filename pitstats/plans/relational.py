@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitstats.functions import scalars as fn
 from pitstats.operators import checks, dedup, features, joins, scoring
+from pitstats.operators.quantiles import exact_quantiles
 from pitstats.plans.registry import query
 from pitstats.sources import documents as docs
 from pitstats.sources.fixtures import rounded, view
@@ -437,10 +438,9 @@ def mode_per_group(spark, sf_dir):
     select position, round(quantile_cont(pts, 0.1), 4) as q10, round(quantile_cont(pts, 0.5), 4) as q50, round(quantile_cont(pts, 0.9), 4) as q90,
         round(stddev_samp(pts), 4) as sd from fx_games group by position""")
 def quantile_agg(spark, sf_dir):
-    q = lambda t: r4(F.percentile("pts", t))
-    return view(spark, sf_dir, "fx_games").groupBy("position").agg(
-        q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), r4(F.stddev_samp("pts")).alias("sd")
-    )
+    rows = view(spark, sf_dir, "fx_games").select("position", "pts")
+    out = exact_quantiles(rows, ["position"], "pts", [0.1, 0.5, 0.9], F.stddev_samp("pts").alias("sd"))
+    return out.select("position", *(r4(F.col("q")[i]).alias(c) for i, c in enumerate(("q10", "q50", "q90"))), r4("sd").alias("sd"))
 
 
 @query("regr_agg", """

@@ -7,6 +7,7 @@ step so that sums don't depend on their order.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.errors import AnalysisException
@@ -110,9 +111,32 @@ def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-#: Views that several others and most queries read, and where each application has written them.
+#: Views that several others and most queries read, and where each application has written them for a state of the tables.
 WRITTEN = ("fx_plays", "fx_totals", "fx_games", "fx_usage")
-_places: dict[tuple[str, str, str], str] = {}
+_places: dict[tuple[str, str, str, str], str] = {}
+
+
+def forget(application: str | None = None) -> None:
+    """Views written by an application, or by any, are derived anew when they are next read."""
+    for place in [p for p in _places if application in (None, p[0])]:
+        del _places[place]
+
+
+def _tables(name: str) -> set[str]:
+    """The given tables that a view comes from."""
+    return {name} if name in TABLES else {t for n in _needs(VIEWS[name]) for t in _tables(n)}
+
+
+def _state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Paths, sizes and times of the files behind a view."""
+    found = []
+    for table in sorted(_tables(name)):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            file = files.next()
+            found.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,21 +144,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     The views that all others come from join three tables; an application derives these once for a folder of tables,
     writes them to the shared folder and reads them from there, so that a query's branches don't derive them again.
+    Where a file of the tables behind a view has changed, has come or has gone, it is derived anew.
     """
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    place = (spark.sparkContext.applicationId, sf_dir, name)
+    needs = lambda: {n: view(spark, sf_dir, n) for n in _needs(text)}
+    if name not in WRITTEN:
+        return spark.sql(text, **needs())
+    place = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir, name))
     if place in _places:
         try:
             return spark.read.parquet(_places[place])
         except AnalysisException:  # the shared folder was cleared: derived anew
             del _places[place]
-    rows = spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
-    if name not in WRITTEN:
-        return rows
     path = scratch(spark, name)
-    rows.write.parquet(path)
+    spark.sql(text, **needs()).write.parquet(path)
     _places[place] = path
     return spark.read.parquet(path)
 
