@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitstats.operators.fit import grouped_logit
 from pitstats.operators.quantiles import exact_quantiles
 
 
@@ -182,6 +183,13 @@ def log_loss(p: Column, o: Column, eps: float = 1e-6) -> Column:
     return -(o * F.ln(c) + (1 - o) * F.ln(1 - c))
 
 
+def calibration(df: DataFrame, p: str, o: str, by: list[str], eps: float = 1e-6) -> DataFrame:
+    """Per group n, and `level` and `slope` of a logistic regression of outcomes on the log odds of the forecasts."""
+    c = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), F.col(p)))
+    fits = grouped_logit(df.select(*by, F.ln(c / (1 - c)).alias("_x"), o), by, ["_x"], o)
+    return fits.select(*by, "n", F.col("coef")[0].alias("level"), F.col("coef")[1].alias("slope"))
+
+
 def reliability(df: DataFrame, p: str, o: str, bins: int, by: list[str]) -> DataFrame:
     """Per right-closed bin (the first includes 0): count, mean probability, observed share and Wilson's 95% interval."""
     z = 1.959963984540054

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitstats.operators import windows
+from pitstats.sources.documents import scratch, write_once
 
 
 def sufficient(df: DataFrame, by: list[str], index: str, x: str, y: str) -> DataFrame:
@@ -150,3 +152,70 @@ def two_slopes(df: DataFrame, by: list[str], x: str, z: str, y: str, least: int)
     fits = sums.where((F.col("n") >= least) & (d > 1e-9))
     fits = fits.withColumn("b", (F.col("_xy") * F.col("_zz") - F.col("_zy") * F.col("_xz")) / d).withColumn("c", (F.col("_zy") * F.col("_xx") - F.col("_xy") * F.col("_xz")) / d)
     return fits.select(*by, "n", (F.col("_my") - F.col("b") * F.col("_mx") - F.col("c") * F.col("_mz")).alias("a"), "b", "c")
+
+
+def grouped_logit(df: DataFrame, by: list[str], features: list[str], y: str, most: int = 25, close: float = 1e-8) -> DataFrame:
+    """`by`, `n` and `coef` (intercept, then one for each feature) of a logistic regression per group, by Newton's method.
+
+    A pass over the rows gives all groups' gradients and Hessians as sums; the steps are solved for all groups at a time
+    and kept in the shared folder, so that passes don't repeat one another. Passes end when no coefficient moves by more
+    than `close`. Rows with a null are left out; `coef` is null where a coefficient still moves after `most` passes (outcomes
+    that are all alike, or that a feature separates, have no finite fit) or features don't tell rows apart.
+    """
+    spark = df.sparkSession
+    x = [F.lit(1.0), *(F.col(f"x{i}") for i in range(len(features)))]
+    rows = df.select(*by, *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), F.col(y).cast("double").alias("y")).na.drop(
+        subset=["y", *(f"x{i}" for i in range(len(features)))]
+    )
+    path = scratch(spark, "logit-rows")
+    write_once(rows, path)
+    rows = spark.read.parquet(path)
+    m = len(x)
+    coefs = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", F.array(*[F.lit(0.0)] * m).alias("coef"), F.lit(1.0).alias("step"))
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+
+    def solve(batches):
+        for own in batches:
+            steps = []
+            for coef, g, h in zip(own["coef"], own["_g"], own["_h"]):
+                full = np.zeros((m, m))
+                for (i, j), v in zip(pairs, h):
+                    full[i, j] = full[j, i] = v
+                try:
+                    step = np.linalg.solve(full, np.array(g)) if np.linalg.cond(full) < 1e14 else None
+                except np.linalg.LinAlgError:
+                    step = None
+                new = None if step is None else np.array(coef) + step * min(1.0, 20.0 / max(1e-300, np.abs(step).max()))
+                steps.append((None, 0.0) if new is None else (new.tolist(), float(np.abs(step).max())))
+            yield own[[*by, "n"]].assign(coef=[c for c, _ in steps], step=[v for _, v in steps])
+
+    for number in range(most + 1):
+        path = scratch(spark, "logit-coefs")
+        write_once(coefs, path)
+        coefs = spark.read.parquet(path)
+        moving = coefs.where((F.col("step") > close) & F.col("coef").isNotNull())
+        if number == most or moving.isEmpty():
+            break
+        eta = sum((F.col("coef")[i] * v for i, v in enumerate(x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), eta))))
+        scored = rows.join(moving.select(*by, "n", "coef"), by).withColumn("p", p)
+        g = F.array(*(F.sum((F.col("y") - F.col("p")) * v) for v in x))
+        h = F.array(*(F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i, j in pairs))
+        sums = scored.groupBy(*by, "n", "coef").agg(g.alias("_g"), h.alias("_h"))
+        moved = sums.mapInPandas(solve, f"{keys}, n long, coef array<double>, step double")
+        coefs = moved.unionByName(coefs.where((F.col("step") <= close) | F.col("coef").isNull()))
+    return coefs.select(*by, "n", F.when(F.col("step") <= close, F.col("coef")).alias("coef"))
+
+
+def logistic(coef, values: list):
+    """Probability of a fitted logistic regression from its coefficients and the features' columns."""
+    eta = sum((coef[i + 1] * v for i, v in enumerate(values)), coef[0])
+    return 1 / (1 + F.exp(-eta))
+
+
+def earlier_seasons(rows: DataFrame, season: str = "season") -> DataFrame:
+    """Each row once for every later season, which `season` then names: the rows that a fit for that season may see."""
+    # a row for each season
+    later = F.broadcast(rows.select(F.col(season).alias("_later")).distinct())
+    return rows.join(later, F.col(season) < F.col("_later")).drop(season).withColumnRenamed("_later", season)

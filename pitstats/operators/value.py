@@ -23,6 +23,36 @@ def starters(weekly: DataFrame, period: str, position: str, value: str, key: str
     return ranked.withColumn("slot", slot).withColumn("starter", F.col("_own") | F.col("_flex")).drop("_own", "_may", "_flex")
 
 
+def runs(rows: DataFrame, by: list[str], season: str, week: str) -> DataFrame:
+    """`rows` (one for each week in which an entity was active) with `run`, how many weeks on its activity has no gap, and
+    `ended`: whether it then stopped before the season's last week. Runs that reach it are censored."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(week))
+    last = rows.groupBy(season).agg(F.max(week).alias("_last"))
+    own = rows.withColumn("_island", F.col(week) - number)
+    stop = F.max(week).over(Window.partitionBy(*by, "_island"))
+    return own.withColumn("_stop", stop).join(last, season).withColumns(
+        {"run": F.col("_stop") - F.col(week), "ended": F.col("_stop") < F.col("_last")}
+    ).drop("_island", "_stop", "_last")
+
+
+def survival(rows: DataFrame, by: list[str], leads: int) -> DataFrame:
+    """Per group and lead (1 to `leads`): runs at risk, runs that ended there, and the product-limit share `alive` after it.
+
+    Rows are counted by the length of their run first; the product is over a few counts for each group.
+    """
+    counts = rows.groupBy(*by, "run").agg(F.count("*").alias("_c"), F.count_if(F.col("ended")).alias("_d"))
+    by_lead = counts.groupBy(*by).agg(
+        F.array(*(F.struct(
+            F.lit(h).cast("long").alias("lead"),
+            (F.sum(F.when(F.col("run") >= h, F.col("_c")).otherwise(0)) + F.sum(F.when(F.col("run") == h - 1, F.col("_d")).otherwise(0))).alias("at_risk"),
+            F.sum(F.when(F.col("run") == h - 1, F.col("_d")).otherwise(0)).alias("ended"),
+        ) for h in range(1, leads + 1))).alias("_l")
+    )
+    long = by_lead.select(*by, F.inline("_l")).where("at_risk > 0")
+    stay = F.ln(F.greatest(1 - F.col("ended") / F.col("at_risk"), F.lit(1e-12)))
+    return long.withColumn("alive", F.exp(F.sum(stay).over(Window.partitionBy(*by).orderBy("lead"))))
+
+
 def baselines(started: DataFrame, period: str, position: str, value: str, flex_classes: list[str]) -> DataFrame:
     """Per period and class: the best value that doesn't start (flex classes share one)."""
     group = F.when(F.col(position).isin(*flex_classes), "flex").otherwise(F.col(position))

@@ -177,19 +177,18 @@ def rate_table(spark, sf_dir):
 
 @query("logit_fit")
 def logit_fit(spark, sf_dir):
+    """Probability of four receptions and more from targets and expected points, each season from all earlier ones."""
     df = view(spark, sf_dir, "fx_games").select("k", "gi", "season", F.col("targets").cast("double").alias("t"), "xfp", (F.col("receptions") >= 4).cast("double").alias("y"))
-    model = fit.ml_logit(df.where("season < 2000"), ["t", "xfp"], "y")
-    from pyspark.ml.functions import vector_to_array
-
-    p = vector_to_array("probability")[1]
-    return model.transform(df.where("season >= 2000")).select("k", "gi", r4(p, 5).alias("p"), "y")
+    coefs = fit.grouped_logit(fit.earlier_seasons(df.select("season", "t", "xfp", "y")), ["season"], ["t", "xfp"], "y")
+    p = fit.logistic(F.col("coef"), [F.col("t"), F.col("xfp")])
+    return df.join(coefs.select("season", "coef"), "season").select("k", "gi", "season", r4(p, 5).alias("p"), "y")
 
 
 @query("group_ratio_params", """
-    with s as (select *, count(*) over (partition by position) as c from fx_proj where proj is not null and gi < 199507)
+    with s as (select *, count(*) over (partition by position) as c from fx_proj where proj is not null)
     select case when c >= 230 then position else 'pooled' end as "group", count(*) as n, round((sum(actual) / sum(proj) - 1) / 2, 2) as m from s group by 1""")
 def group_ratio_params(spark, sf_dir):
-    return fit.ratio_params(view(spark, sf_dir, "fx_proj").where("proj is not null and gi < 199507"), "position", "actual", "proj", 230)
+    return fit.ratio_params(view(spark, sf_dir, "fx_proj").where("proj is not null"), "position", "actual", "proj", 230)
 
 
 @query("tune_grid", """

@@ -147,11 +147,28 @@ def evor(spark, sf_dir):
     return quantiles(spark, sf_dir).select("vec_id", r4(0.9 * dist.excess(F.col("q"), F.lit(0.05), N), 6).alias("evor"))
 
 
-@query("brier_log_loss", """
-    select class, count(*) as n, round(avg((p - o) * (p - o)), 6) as brier, round(avg(-(o * ln(least(0.999999, greatest(0.000001, p))) + (1 - o) * ln(1 - least(0.999999, greatest(0.000001, p))))), 6) as log_loss from fx_prob group by class""")
+def newton_sql(rows: str, by: str, steps: int = 25) -> str:
+    """SQL of `steps` Newton steps of a logistic regression of y on x (columns of `rows`) per `by`; the last is `newton`."""
+    same = ", ".join(f"r.{c}" for c in by.split(", "))
+    ctes = [f"nb0 as (select {by}, 0.0::double as c0, 0.0::double as c1 from {rows} group by {by})"]
+    for i in range(1, steps + 1):
+        ctes.append(f"""nb{i} as (select {by}, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as d0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as d1, c0 + d0 as c0, c1 + d1 as c1 from (
+            select {by}, any_value(c0) as c0, any_value(c1) as c1, sum(y - p) as g0, sum((y - p) * x) as g1, sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) as h11
+            from (select {same}, r.x, r.y, b.c0, b.c1, 1 / (1 + exp(-greatest(-35, least(35, b.c0 + b.c1 * r.x)))) as p from {rows} r join nb{i - 1} b using ({by})) group by {by}))""")
+    done = "case when abs(d0) <= 1e-8 and abs(d1) <= 1e-8 then"
+    return ",\n".join([*ctes, f"newton as (select {by}, {done} c0 end as c0, {done} c1 end as c1 from nb{steps})"])
+
+
+@query("brier_log_loss", f"""
+    with lx as (select class, ln(p / (1 - p)) as x, o::double as y from fx_prob), {newton_sql("lx", "class")},
+    s as (select class, count(*) as n, round(avg((p - o) * (p - o)), 6) as brier, round(avg(-(o * ln(least(0.999999, greatest(0.000001, p))) + (1 - o) * ln(1 - least(0.999999, greatest(0.000001, p))))), 6) as log_loss from fx_prob group by class)
+    select s.*, round(newton.c1, 5) as slope, round(newton.c0, 5) as level from s join newton using (class)""")
 def brier_log_loss(spark, sf_dir):
-    p, o = F.col("p"), F.col("o")
-    return view(spark, sf_dir, "fx_prob").groupBy("class").agg(F.count("*").alias("n"), r4(F.avg(dist.brier(p, o)), 6).alias("brier"), r4(F.avg(dist.log_loss(p, o)), 6).alias("log_loss"))
+    """With the slope and level of a logistic regression of outcomes on the forecasts' log odds: 1 and 0 where calibrated."""
+    rows, p, o = view(spark, sf_dir, "fx_prob"), F.col("p"), F.col("o")
+    scores = rows.groupBy("class").agg(F.count("*").alias("n"), r4(F.avg(dist.brier(p, o)), 6).alias("brier"), r4(F.avg(dist.log_loss(p, o)), 6).alias("log_loss"))
+    line = dist.calibration(rows, "p", "o", ["class"])
+    return scores.join(line, "class").select("class", scores["n"], "brier", "log_loss", r4("slope", 5).alias("slope"), r4("level", 5).alias("level"))
 
 
 @query("reliability", """
@@ -415,32 +432,82 @@ def ros_fit_quadratic(spark, sf_dir):
     )
 
 
+#: Per position and bucket, from all earlier seasons: the probability of activity from the log of the level, and the line
+#: of the active rows.
+TWO_STAGE = f"""{HORIZON}, h as (select *, y >= level / 2 as active, ln(greatest(level, 0.1::double)) as x from hz),
+    es as (select s.season, h.position, h.bucket, h.x, h.level, h.y as points, case when h.active then 1.0::double else 0.0::double end as y from h join (select distinct season from h) s on h.season < s.season),
+    {newton_sql("es", "season, position, bucket")},
+    tf as (select season, position, bucket, avg(y) as share, regr_intercept(points, level) filter (where y = 1) as a, regr_slope(points, level) filter (where y = 1) as b from es group by season, position, bucket)"""
+
+
 @query("ros_fit_two_stage", f"""
-    with {HORIZON}, h as (select *, y >= level / 2 as active, least(floor(level / 100), 3)::bigint as band from hz),
-    p as (select position, bucket, band, avg(case when active then 1.0::double else 0.0::double end) as p from h where season < 2000 group by position, bucket, band),
-    f as (select position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from h where season < 2000 and active group by position, bucket)
-    select h.position, h.bucket, count(*) as n, round(avg(p.p), 4) as p_active, round(avg(p.p * (f.a + f.b * h.level)), 3) as forecast, round(avg(h.y), 3) as actual
-    from h join p using (position, bucket, band) join f using (position, bucket) where h.season >= 2000 group by h.position, h.bucket""")
+    with {TWO_STAGE}
+    select h.season, h.position, h.bucket, count(*) as n, round(avg(coalesce(1 / (1 + exp(-(n.c0 + n.c1 * h.x))), tf.share)), 4) as p_active, round(avg(coalesce(1 / (1 + exp(-(n.c0 + n.c1 * h.x))), tf.share) * greatest(tf.a + tf.b * h.level, 0)), 3) as forecast, round(avg(h.y), 3) as actual
+    from h join newton n using (season, position, bucket) join tf using (season, position, bucket) group by h.season, h.position, h.bucket""")
 def ros_fit_two_stage(spark, sf_dir):
-    """The probability of activity by band of the level, times the line of the active rows."""
-    rows = _horizon(spark, sf_dir).withColumns({"active": F.col("y") >= F.col("level") / 2, "band": F.least(F.floor(F.col("level") / 100), F.lit(3)).cast("long")})
-    past = rows.where("season < 2000")
-    p = past.groupBy("position", "bucket", "band").agg(F.avg(F.col("active").cast("double")).alias("p"))
-    line = past.where("active").groupBy("position", "bucket").agg(F.regr_intercept("y", "level").alias("a"), F.regr_slope("y", "level").alias("b"))
-    scored = rows.where("season >= 2000").join(p, ["position", "bucket", "band"]).join(line, ["position", "bucket"])
-    return scored.groupBy("position", "bucket").agg(
-        F.count("*").alias("n"), r4(F.avg("p")).alias("p_active"), r4(F.avg(F.col("p") * (F.col("a") + F.col("b") * F.col("level"))), 3).alias("forecast"), r4(F.avg("y"), 3).alias("actual")
-    )
+    """Each season from all earlier ones: the probability of activity given the level (the share of active rows where that
+    has no finite fit), times the line of the active rows."""
+    rows = _horizon(spark, sf_dir).withColumns({"active": (F.col("y") >= F.col("level") / 2).cast("double"), "x": F.ln(F.greatest("level", F.lit(0.1)))})
+    by = ["season", "position", "bucket"]
+    past = fit.earlier_seasons(rows.select(*by, "x", "level", "y", "active"))
+    odds = fit.grouped_logit(past, by, ["x"], "active").select(*by, "coef")
+    played = F.when(F.col("active") == 1, F.col("y"))
+    line = past.groupBy(*by).agg(F.avg("active").alias("share"), F.regr_intercept(played, "level").alias("a"), F.regr_slope(played, "level").alias("b"))
+    scored = rows.join(odds, by).join(line, by).withColumn("p", F.coalesce(fit.logistic(F.col("coef"), [F.col("x")]), "share"))
+    expected = F.col("p") * F.greatest(F.col("a") + F.col("b") * F.col("level"), F.lit(0.0))
+    return scored.groupBy(*by).agg(F.count("*").alias("n"), r4(F.avg("p")).alias("p_active"), r4(F.avg(expected), 3).alias("forecast"), r4(F.avg("y"), 3).alias("actual"))
+
+
+#: Runs of weeks without a gap: how many weeks a row's run goes on, whether it then ended within the season, and from
+#: these, for all earlier seasons, the product-limit share of runs that last through a lead.
+SURVIVAL = """
+    lw as (select season, max(week) as last from fx_proj group by season),
+    ri as (select k, season, position, week, least(floor(coalesce(proj, 0) / 100), 3)::bigint as band, week - row_number() over (partition by k, season order by week) as island from fx_proj),
+    rn as (select ri.season, position, band, max(week) over (partition by k, ri.season, island) - week as r, max(week) over (partition by k, ri.season, island) < lw.last as ended from ri join lw using (season)),
+    rc as (select s.season, position, band, r, count(*) as c, count(*) filter (where ended) as d from rn join (select distinct season from rn) s on rn.season < s.season group by s.season, position, band, r),
+    rl as (select g.season, g.position, g.band, l.lead, coalesce(sum(rc.c) filter (where rc.r >= l.lead), 0) + coalesce(sum(rc.d) filter (where rc.r = l.lead - 1), 0) as n, coalesce(sum(rc.d) filter (where rc.r = l.lead - 1), 0) as d
+        from (select distinct season, position, band from rc) g cross join (select unnest(range(1, 12)) as lead) l left join rc using (season, position, band) group by g.season, g.position, g.band, l.lead),
+    sv as (select *, exp(sum(ln(greatest(1 - d / nullif(n, 0), 1e-12::double))) over (partition by season, position, band order by lead)) as alive from rl where n > 0)"""
+
+
+def _runs(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_proj").select("k", "season", "position", "week", F.least(F.floor(F.coalesce("proj", F.lit(0.0)) / 100), F.lit(3)).cast("long").alias("band"))
+    return value.runs(rows, ["k", "season"], "season", "week")
+
+
+@query("activity_survival", f"with {SURVIVAL} select season, position, band, lead, n::bigint as at_risk, d::bigint as ended, round(alive, 5) as alive from sv")
+def activity_survival(spark, sf_dir):
+    """Share of runs of weeks that go on through a lead, by position and band of the level, from all earlier seasons."""
+    alive = value.survival(fit.earlier_seasons(_runs(spark, sf_dir)), ["season", "position", "band"], 11)
+    return alive.select("season", "position", "band", "lead", "at_risk", "ended", r4("alive", 5).alias("alive"))
 
 
 @query("ros_forecast", f"""
-    with {HORIZON}, f as (select position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from hz where season < 2000 group by position, bucket)
-    select k, season, week, count(*) as n, round(sum(f.a + f.b * level), 3) as forecast, round(sum(y), 3) as actual from hz join f using (position, bucket) where season >= 2000 group by k, season, week""")
+    with {HORIZON}, {SURVIVAL},
+    fe as (select s.season, position, bucket, y, level from hz join (select distinct season from hz) s on hz.season < s.season),
+    f as (select season, position, bucket, regr_intercept(y, level) as a, regr_slope(y, level) as b from fe group by season, position, bucket),
+    t as (select p.k, p.season, p.position, p.week, w.week as target, w.week - p.week as lead, p.proj as level, least(floor(p.proj / 100), 3)::bigint as band, case when w.week - p.week <= 2 then '1-2' when w.week - p.week <= 5 then '3-5' else '6+' end as bucket, coalesce(o.actual, 0) as y
+        from fx_proj p join (select distinct season, week from fx_proj) w on w.season = p.season and w.week > p.week left join fx_proj o on o.k = p.k and o.season = p.season and o.week = w.week where p.proj is not null)
+    select k, season, week, count(*) as n, round(sum(sv.alive), 4) as active, round(sum(sv.alive * greatest(f.a + f.b * level, 0)), 3) as forecast, round(sum(y), 3) as actual
+    from t join f using (season, position, bucket) join sv using (season, position, band, lead) group by k, season, week""")
 def ros_forecast(spark, sf_dir):
-    rows = _horizon(spark, sf_dir)
-    coef = rows.where("season < 2000").groupBy("position", "bucket").agg(F.regr_intercept("y", "level").alias("a"), F.regr_slope("y", "level").alias("b"))
-    scored = rows.where("season >= 2000").join(F.broadcast(coef), ["position", "bucket"])
-    return scored.groupBy("k", "season", "week").agg(F.count("*").alias("n"), r4(F.sum(F.col("a") + F.col("b") * F.col("level")), 3).alias("forecast"), r4(F.sum("y"), 3).alias("actual"))
+    """Each season from all earlier ones: over the weeks left, played or not, the share of runs that go on so long times
+    the line of played weeks. `active` is the expected number of played weeks."""
+    base = view(spark, sf_dir, "fx_proj")
+    by = ["season", "position", "bucket"]
+    past = fit.earlier_seasons(_horizon(spark, sf_dir).select(*by, "y", "level"))
+    line = past.groupBy(*by).agg(F.regr_intercept("y", "level").alias("a"), F.regr_slope("y", "level").alias("b"))
+    alive = value.survival(fit.earlier_seasons(_runs(spark, sf_dir)), ["season", "position", "band"], 11)
+    rows = base.where("proj is not null").select("k", "season", "position", "week", F.col("proj").alias("level"), F.least(F.floor(F.col("proj") / 100), F.lit(3)).cast("long").alias("band"))
+    weeks = F.broadcast(base.select("season", F.col("week").alias("target")).distinct())  # a row for each week of a season
+    ahead = rows.join(weeks, "season").where("target > week").withColumn("lead", F.col("target") - F.col("week"))
+    outcome = base.select("k", "season", F.col("week").alias("target"), F.col("actual").alias("y"))
+    ahead = ahead.join(outcome, ["k", "season", "target"], "left").withColumn("bucket", F.when(F.col("lead") <= 2, "1-2").when(F.col("lead") <= 5, "3-5").otherwise("6+"))
+    scored = ahead.join(line, by).join(alive.select("season", "position", "band", "lead", "alive"), ["season", "position", "band", "lead"])
+    points = F.col("alive") * F.greatest(F.col("a") + F.col("b") * F.col("level"), F.lit(0.0))
+    return scored.groupBy("k", "season", "week").agg(
+        F.count("*").alias("n"), r4(F.sum("alive")).alias("active"), r4(F.sum(points), 3).alias("forecast"), r4(F.sum(F.coalesce("y", F.lit(0.0))), 3).alias("actual")
+    )
 
 
 @query("waiver_calib", f"with {HORIZON}, w as (select position, k, season, week, level, avg(y) as y from hz where target - week <= 4 group by position, k, season, week, level) select position, count(*) as n, round(regr_slope(y, level), 5) as b from w group by position")

@@ -55,37 +55,43 @@ def stream_slates(spark, sf_dir):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_final_only", "select event_type, count(*) as n from events where cast(ts as date) < (select max(cast(ts as date)) from events) group by event_type")
+@query("stream_final_only", """
+    select e.event_type, count(*) as n from events e where e.event_type <> 'signup' and exists (
+        select 1 from events f where f.event_type = 'signup' and f.user_id = e.user_id and f.ts >= e.ts and f.ts <= e.ts + interval 1 day) group by e.event_type""")
 def stream_final_only(spark, sf_dir):
-    days = view(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
-    finals = days.crossJoin(days.agg(F.max("day").alias("last"))).where("day < last").select("day")
-    kept = captures.final_only(captures.read_events(spark, sf_dir), finals)
-    return _result(spark, kept.groupBy("event_type").agg(F.count("*").alias("n")))
+    """Events that a sign-up of the same user makes final within a day; the notices are a stream of their own."""
+    rows = captures.read_events(spark, sf_dir).where("event_type <> 'signup'").select("event_id", "user_id", "event_type", "ts")
+    finals = captures.read_events(spark, sf_dir).where("event_type = 'signup'").select("user_id", "ts")
+    kept = _result(spark, captures.final_only(rows, finals, ["user_id"]), "append")
+    return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_eprocess", """
-    with w as (select event_type, row_number() over (partition by event_type order by ts, event_id) as i, sum(ln(1 + 0.5::double * ((case when value > 50 then 1.0::double else 0.0::double end) - 0.3::double))) over (partition by event_type order by ts, event_id rows unbounded preceding) as lw from events)
+#: Events of intervals and days that the watermark has passed when the stream ends.
+RELEASED = "select * from events where date_trunc('{0}', ts) + interval 1 {0} < (select max(ts) from events) - interval 1 day"
+
+
+@query("stream_eprocess", f"""
+    with ev as ({RELEASED.format("hour")}),
+    w as (select event_type, row_number() over (partition by event_type order by ts, event_id) as i, sum(ln(1 + 0.5::double * ((case when value > 50 then 1.0::double else 0.0::double end) - 0.3::double))) over (partition by event_type order by ts, event_id rows unbounded preceding) as lw from ev)
     select event_type, max(i) as n, round(max_by(lw, i), 5) as log_wealth, coalesce(min(case when lw >= ln(20) then i end), 0) as alarm_at from w group by event_type""")
 def stream_eprocess(spark, sf_dir):
+    """Wealth of a test on hits, from summaries of hours that the watermark releases."""
     hits = captures.read_events(spark, sf_dir).select("event_type", "ts", "event_id", (F.col("value") > 50).cast("double").alias("hit"))
-    out = _result(spark, captures.wealth(hits, 0.3, 0.5, 20.0), "update")
-    last = out.groupBy("event_type").agg(F.max_by(F.struct("n", "log_wealth", "alarm_at"), "n").alias("s"))
-    return last.select("event_type", "s.n", rounded(F.col("s.log_wealth"), 5).alias("log_wealth"), "s.alarm_at")
+    hours = _result(spark, captures.interval_wealth(hits, 0.3, 0.5), "append")
+    out = captures.compose(hours, 20.0)
+    return out.select("event_type", "n", rounded(F.col("log_wealth"), 5).alias("log_wealth"), "alarm_at")
 
 
-@query("stream_adaptive_levels", """
-    with recursive d as (select event_type, cast(ts as date) as day, avg(case when value <= 50 then 1.0::double else 0.0::double end) as cov, row_number() over (partition by event_type order by cast(ts as date)) as i from events group by 1, 2),
+@query("stream_adaptive_levels", f"""
+    with recursive ev as ({RELEASED.format("day")}),
+    d as (select event_type, cast(ts as date) as day, avg(case when value <= 50 then 1.0::double else 0.0::double end) as cov, row_number() over (partition by event_type order by cast(ts as date)) as i from ev group by 1, 2),
     l as (select event_type, day, i, cov, 0.0::double as delta from d where i = 1 union all select d.event_type, d.day, d.i, d.cov, l.delta + 0.05::double * (0.9::double - l.cov) from l join d on d.event_type = l.event_type and d.i = l.i + 1)
     select event_type, day, round(delta, 6) as delta from l""")
 def stream_adaptive_levels(spark, sf_dir):
-    """Correction of a quantile level by the misses so far: daily coverage as a stream, then a running sum over that
-    short series."""
-    from pyspark.sql import Window
-
-    hits = captures.read_events(spark, sf_dir).withWatermark("ts", "40 days").groupBy("event_type", F.window("ts", "1 day").alias("w"))
-    daily = _result(spark, hits.agg(F.avg((F.col("value") <= 50).cast("double")).alias("cov"))).select("event_type", F.to_date("w.start").alias("day"), "cov")
-    w = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return daily.select("event_type", "day", rounded(F.coalesce(F.sum(0.05 * (0.9 - F.col("cov"))).over(w), F.lit(0.0)), 6).alias("delta"))
+    """Correction of a quantile level by the misses so far, carried as state from day to day."""
+    hits = captures.read_events(spark, sf_dir).select("event_type", "ts", (F.col("value") <= 50).cast("double").alias("hit"))
+    daily = _result(spark, captures.adaptive_levels(hits, 0.9, 0.05), "append")
+    return daily.select("event_type", "day", rounded(F.col("delta"), 6).alias("delta"))
 
 
 @query("stream_freshness", """

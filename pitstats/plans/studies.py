@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitstats.operators import dist, fit, joins, specs
+from pitstats.operators import dist, fit, isotonic, joins, specs
 from pitstats.plans.evaluation import LINE
 from pitstats.plans.forecasts import HORIZON, _horizon
 from pitstats.plans.registry import query
@@ -139,15 +139,14 @@ def representation(spark, sf_dir):
 
 @query("isotonic_fit")
 def isotonic_fit(spark, sf_dir):
-    """P(actual <= t) falling in the projection, for three thresholds."""
-    df = view(spark, sf_dir, "fx_proj").where("proj is not null and season < 1999").select("proj", "actual")
-    new = view(spark, sf_dir, "fx_proj").where("proj is not null and season = 1999").select("k", "gi", "proj")
-    out = None
-    for t in (50.0, 150.0, 300.0):
-        below = df.withColumn("o", (F.col("actual") <= t).cast("double"))
-        part = fit.isotonic(below, "proj", "o", increasing=False).transform(new).select("k", "gi", F.lit(t).alias("t"), r4("fitted", 6).alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Quantiles from isotonic distributional regression on the projection, each season from all earlier ones."""
+    rows = view(spark, sf_dir, "fx_proj").where("proj is not null").select("k", "gi", "season", "position", "proj", "actual")
+    by = ["season", "position"]
+    past = fit.earlier_seasons(rows.select(*by, "proj", "actual"))
+    cells = isotonic.fit(past, by, "proj", "actual", [i / 200 for i in range(1, 200)], [i / 400 for i in range(401)])
+    out = isotonic.distribution(rows, cells, by, "proj").where("f is not null")
+    q = {f"q{round(100 * t)}": r4(isotonic.quantile(F.col("f"), F.col("z"), t, F.col("floor")), 3) for t in (0.1, 0.5, 0.9)}
+    return out.select("season", "position", "k", "gi", "actual", *(c.alias(n) for n, c in q.items()))
 
 
 @query("display_map")
