@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitstats.operators.fit import grouped_logit
@@ -198,3 +198,49 @@ def reliability(df: DataFrame, p: str, o: str, bins: int, by: list[str]) -> Data
     n, s = F.col("n"), F.col("observed")
     middle, spread = (s + z * z / (2 * n)) / (1 + z * z / n), z / (1 + z * z / n) * F.sqrt(s * (1 - s) / n + z * z / (4 * n * n))
     return out.withColumn("low", middle - spread).withColumn("high", middle + spread)
+
+
+def revisions(rows: DataFrame, by: list[str], cluster: str, period: str, v: str, final: str, nothing: float, least: int) -> DataFrame:
+    """Per group: drift of `final` over `v` with a 95% interval, variance, transitions and what is adopted.
+
+    Rows of one cluster are not independent, so errors are those of cluster sums. `share_zero` is the share of rows above
+    `nothing` whose final value isn't. Drift and spread are adopted where they are told from 0 and the group has `least`
+    periods; else they are 0.
+    """
+    d = rows.withColumn("_d", F.col(final) - F.col(v))
+    ended = F.when(F.col(v) > nothing, (F.col(final) <= nothing).cast("double"))
+    means = d.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_distinct(period).alias("n_days"), F.avg("_d").alias("drift"), F.var_samp("_d").alias("variance"),
+        F.count_if(F.col(final) < F.col(v) / 2).alias("n_halved"), F.avg(ended).alias("share_zero"),
+    )
+    off = F.col("_d") - F.col("drift")
+    sums = d.join(means.select(*by, "drift", "variance"), by).groupBy(*by, cluster).agg(F.sum(off).alias("_u"), F.sum(off * off - F.col("variance")).alias("_w"))
+    errors = sums.groupBy(*by).agg(F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("_su"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_sw"))
+    reach, spread = 1.96 * F.col("_su") / F.col("n"), 1.96 * F.col("_sw") / F.col("n")
+    ready = F.col("n_days") >= least
+    return means.join(errors, by).withColumns({
+        "drift_low": F.col("drift") - reach, "drift_high": F.col("drift") + reach,
+        "adopted_drift": F.when(ready & (F.abs("drift") > reach), F.col("drift")).otherwise(0.0),
+        "adopted_spread": F.when(ready & (F.col("variance") > spread), F.col("variance")).otherwise(0.0),
+    }).drop("_su", "_sw")
+
+
+def martingale(rows: DataFrame, cluster: str, by: list[str], order: list[str], v: str, final: str) -> DataFrame:
+    """Correlation of each revision (a value to the next of its series) with what the series still moves after it.
+
+    In an efficient series it is 0. The interval is from the clusters' sums of the correlation's influence function.
+    """
+    following = F.lead(v).over(Window.partitionBy(*by).orderBy(*order))
+    pairs = rows.withColumn("_next", following).where("_next is not null").select(cluster, (F.col("_next") - F.col(v)).alias("_a"), (F.col(final) - F.col("_next")).alias("_b"))
+    m = pairs.agg(
+        F.count("*").alias("pairs"), F.avg("_a").alias("_ma"), F.avg("_b").alias("_mb"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"), F.covar_pop("_a", "_b").alias("_ab"),
+    ).withColumns({"cor": F.try_divide("_ab", F.col("_sa") * F.col("_sb")), "slope": F.try_divide("_ab", F.col("_sa") * F.col("_sa"))})
+    # one row of means
+    z = pairs.join(F.broadcast(m)).withColumns({"_za": F.try_divide(F.col("_a") - F.col("_ma"), F.col("_sa")), "_zb": F.try_divide(F.col("_b") - F.col("_mb"), F.col("_sb"))})
+    influence = F.col("_za") * F.col("_zb") - F.col("cor") / 2 * (F.col("_za") * F.col("_za") + F.col("_zb") * F.col("_zb"))
+    by_cluster = z.groupBy(cluster).agg(F.sum(influence).alias("_u"))
+    error = by_cluster.agg(F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("_se"))
+    reach = 1.96 * F.col("_se") / F.col("pairs")
+    return m.join(F.broadcast(error)).select(
+        "pairs", "cor", (F.col("cor") - reach).alias("cor_low"), (F.col("cor") + reach).alias("cor_high"), "slope", (F.abs("cor") > reach).alias("predictable")
+    )

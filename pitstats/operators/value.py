@@ -4,23 +4,66 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def starters(weekly: DataFrame, period: str, position: str, value: str, key: str, slots: dict[str, int], flex: int, flex_classes: list[str]) -> DataFrame:
     """`weekly` with `starter` and `slot`: the best of each class fill its own slots, the best of the rest the flex slots.
 
-    Values of 0 and less never start. For slots of this (laminar) kind the greedy choice is the best league-wide set.
+    Values of 0 and less never start. For slots of this (laminar) kind the greedy choice is the best league-wide set. No
+    more than a class's own and the flex slots can start of a class, so each map task first keeps its best so many of a
+    period and class (a limit that Spark applies before it shuffles), and the choice is among these. `key` is unique in a
+    period and class.
     """
-    own = F.row_number().over(Window.partitionBy(period, position).orderBy(F.desc(value), key))
+    best = Window.partitionBy(period, position).orderBy(F.desc(value), key)
+    among = weekly.select(period, position, value, key).where(F.col(value) > 0)
+    among = among.withColumn("_own", F.row_number().over(best)).where(F.col("_own") <= max(slots.values(), default=0) + flex)
     size = reduce(lambda a, i: a.when(F.col(position) == i[0], i[1]), slots.items(), F.when(F.lit(False), 0)).otherwise(0)
-    ranked = weekly.withColumn("_own", (own <= size) & (F.col(value) > 0))
-    ranked = ranked.withColumn("_may", ~F.col("_own") & (F.col(value) > 0) & F.col(position).isin(*flex_classes))
-    rest = F.row_number().over(Window.partitionBy(period, "_may").orderBy(F.desc(value), key))
-    ranked = ranked.withColumn("_flex", F.col("_may") & (rest <= flex))
-    slot = F.when(F.col("_own"), F.col(position)).when(F.col("_flex"), "flex")
-    return ranked.withColumn("slot", slot).withColumn("starter", F.col("_own") | F.col("_flex")).drop("_own", "_may", "_flex")
+    own = among.where(F.col("_own") <= size).select(period, position, key, F.col(position).cast("string").alias("slot"))
+    rest = among.where((F.col("_own") > size) & F.col(position).isin(*flex_classes))
+    rest = rest.withColumn("_flex", F.row_number().over(Window.partitionBy(period).orderBy(F.desc(value), key))).where(F.col("_flex") <= flex)
+    chosen = own.unionByName(rest.select(period, position, key, F.lit("flex").alias("slot")))
+    return weekly.join(chosen, [period, position, key], "left").withColumn("starter", F.col("slot").isNotNull())
+
+
+def with_byes(rows: DataFrame, by: list[str], season: str, week: str, value: str) -> DataFrame:
+    """A row for each entity (`by`) of a season and each of the season's weeks, with `has_game`; without one the value is 0."""
+    weeks = F.broadcast(rows.select(season, week).distinct())  # a season's weeks
+    grid = rows.select(*by, season).distinct().join(weeks, season)
+    played = rows.select(*by, season, week, value, F.lit(True).alias("has_game"))
+    return grid.join(played, [*by, season, week], "left").na.fill({value: 0.0, "has_game": False})
+
+
+def weekly_levels(
+    weekly: DataFrame, period: str, position: str, value: str, key: str, rostered: str, slots: dict[str, int], flex: int, flex_classes: list[str]
+) -> DataFrame:
+    """Per period and class three levels, 0 where nobody is left:
+
+    `marginal`, the best value that doesn't start, and `waiver`, the best on no roster, over the classes that share slots;
+    `streamer`, the best on no roster in the class itself.
+    """
+    group = F.when(F.col(position).isin(*flex_classes), "flex").otherwise(F.col(position))
+    started = starters(weekly, period, position, value, key, slots, flex, flex_classes).withColumn("_g", group)
+    free = F.when(~F.col(rostered), F.col(value))
+    shared = started.groupBy(period, "_g").agg(F.max(F.when(~F.col("starter"), F.col(value))).alias("marginal"), F.max(free).alias("waiver"))
+    own = started.groupBy(period, position, "_g").agg(F.max(free).alias("streamer"))
+    return own.join(shared, [period, "_g"]).drop("_g").na.fill(0.0, ["marginal", "waiver", "streamer"])
+
+
+def player_values(weekly: DataFrame, levels: DataFrame, period: str, position: str, value: str, key: list[str], week: str, segments: dict[str, Column]) -> DataFrame:
+    """Per entity over the horizon: points, games, what a replacement would score in them, value over it with (`vor`) and
+    without (`vor_raw`) replacing bad weeks, value over the marginal starter, weeks that start, weeks off as text, and
+    points and vor of each segment."""
+    v, plus = F.col(value), F.greatest(F.col(value) - F.col("waiver"), F.lit(0.0))
+    part = lambda x, when: F.coalesce(F.sum(F.when(when, x)), F.lit(0.0))
+    parts = [part(x, when).alias(f"{name}_{s}") for s, when in segments.items() for name, x in (("points", v), ("vor", plus))]
+    byes = F.array_sort(F.collect_list(F.when(~F.col("has_game"), F.col(week))))  # weeks of one season
+    return weekly.join(levels, [period, position]).groupBy(*key, position).agg(
+        F.sum(v).alias("points"), F.count_if("has_game").alias("games"), part(F.col("waiver"), F.col("has_game")).alias("replacement"), F.sum(plus).alias("vor"),
+        F.sum(v - F.col("waiver")).alias("vor_raw"), F.sum(v - F.col("marginal")).alias("vas"), F.count_if((v > 0) & (v >= F.col("marginal"))).alias("starter_weeks"),
+        F.array_join(byes.cast("array<string>"), ",").alias("byes"), *parts,
+    )
 
 
 def runs(rows: DataFrame, by: list[str], season: str, week: str) -> DataFrame:

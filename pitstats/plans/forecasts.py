@@ -286,21 +286,49 @@ def dev_scoring(spark, sf_dir):
     )
 
 
-@query("revision_study", """
-    with f as (select k, day, max_by(v, (ts, event_id)) as final from fx_captures group by k, day),
-    r as (select c.k, c.day, c.v, f.final, (18 - hour(c.ts)) as lead_h from fx_captures c join f on f.k = c.k and f.day = c.day)
-    select case when lead_h <= 0 then 'after' when lead_h <= 6 then '0-6' when lead_h <= 12 then '6-12' else '12+' end as bin, count(*) as n, round(avg(final - v), 4) as drift, round(var_samp(final - v), 3) as variance, count(*) filter (where final < v / 2) as n_halved from r group by 1""")
-def revision_study(spark, sf_dir):
+#: Captures with the day's last value `final` and hours left to the cutoff.
+REVISED = """
+    f as (select k, day, max_by(v, (ts, event_id)) as final from fx_captures group by k, day),
+    r as (select c.k, c.day, c.ts, c.event_id, c.v, f.final, f.final - c.v as d, case when 18 - hour(c.ts) <= 0 then 'after' when 18 - hour(c.ts) <= 6 then '0-6' when 18 - hour(c.ts) <= 12 then '6-12' else '12+' end as bin from fx_captures c join f on f.k = c.k and f.day = c.day)"""
+
+
+def _revised(spark, sf_dir):
     caps = view(spark, sf_dir, "fx_captures")
     final = caps.groupBy("k", "day").agg(F.max_by("v", F.struct("ts", "event_id")).alias("final"))
     lead = 18 - F.hour("ts")
     bin_ = F.when(lead <= 0, "after").when(lead <= 6, "0-6").when(lead <= 12, "6-12").otherwise("12+")
-    d = F.col("final") - F.col("v")
-    return caps.join(final, ["k", "day"]).groupBy(bin_.alias("bin")).agg(
-        F.count("*").alias("n"), r4(F.avg(d)).alias("drift"), r4(F.var_samp(d), 3).alias("variance"), F.count_if(F.col("final") < F.col("v") / 2).alias("n_halved")
+    return caps.join(final, ["k", "day"]).withColumn("bin", bin_)
+
+
+@query("revision_study", f"""
+    with {REVISED}, m as (select bin, count(*) as n, count(distinct day) as n_days, avg(d) as drift, var_samp(d) as variance, count(*) filter (where final < v / 2) as n_halved,
+        avg(case when final <= 5 then 1.0::double else 0.0::double end) filter (where v > 5) as share_zero from r group by bin),
+    c as (select r.bin, r.k, sum(r.d - m.drift) as u, sum((r.d - m.drift) * (r.d - m.drift) - m.variance) as w from r join m using (bin) group by r.bin, r.k),
+    e as (select bin, sqrt(sum(u * u)) as su, sqrt(sum(w * w)) as sw from c group by bin)
+    select m.bin, n, n_days, round(drift, 4) as drift, round(drift - 1.96 * su / n, 4) as drift_low, round(drift + 1.96 * su / n, 4) as drift_high, round(variance, 3) as variance, n_halved, round(share_zero, 5) as share_zero,
+        round(case when n_days >= 4 and abs(drift) > 1.96 * su / n then drift else 0 end, 4) as adopted_drift, round(case when n_days >= 4 and variance > 1.96 * sw / n then variance else 0 end, 3) as adopted_spread from m join e using (bin)""")
+def revision_study(spark, sf_dir):
+    """Per time left: drift of captures to the final value with its interval, transitions to (nearly) nothing, and what of
+    drift and spread is adopted."""
+    out = dist.revisions(_revised(spark, sf_dir), ["bin"], "k", "day", "v", "final", 5.0, 4)
+    return out.select(
+        "bin", "n", "n_days", *(r4(c).alias(c) for c in ("drift", "drift_low", "drift_high")), r4("variance", 3).alias("variance"), "n_halved", r4("share_zero", 5).alias("share_zero"),
+        r4("adopted_drift").alias("adopted_drift"), r4("adopted_spread", 3).alias("adopted_spread"),
     )
 
 
+@query("revision_martingale", f"""
+    with {REVISED}, p as (select k, v, final, lead(v) over (partition by k, day order by ts, event_id) as nx from r),
+    q as (select k, nx - v as a, final - nx as b from p where nx is not null),
+    m as (select count(*) as n, avg(a) as ma, avg(b) as mb, sqrt(var_pop(a)) as sa, sqrt(var_pop(b)) as sb, covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) as rho, covar_pop(a, b) / var_pop(a) as slope from q),
+    i as (select q.k, sum((a - ma) / sa * (b - mb) / sb - rho / 2 * ((a - ma) / sa * (a - ma) / sa + (b - mb) / sb * (b - mb) / sb)) as u from q, m group by q.k)
+    select m.n as pairs, round(rho, 5) as cor, round(rho - 1.96 * se / n, 5) as cor_low, round(rho + 1.96 * se / n, 5) as cor_high, round(slope, 5) as slope, abs(rho) > 1.96 * se / n as predictable from m, (select sqrt(sum(u * u)) as se from i)""")
+def revision_martingale(spark, sf_dir):
+    """Whether one revision tells the next: correlation of a capture's revision with what is still to come, by entity."""
+    out = dist.martingale(_revised(spark, sf_dir), "k", ["k", "day"], ["ts", "event_id"], "v", "final")
+    return out.select("pairs", *(r4(c, 5).alias(c) for c in ("cor", "cor_low", "cor_high", "slope")), "predictable")
+
+
 @query("persistence", """
     with e as (select k, season, week, actual - proj as e, lead(actual - proj) over (partition by k, season order by week) as e2 from fx_proj where proj is not null)
     select season, count(*) as n, round(corr(e, e2), 5) as r, round(regr_slope(e2, e), 5) as slope from e where e2 is not null group by season""")
@@ -350,7 +378,7 @@ def sd_match(spark, sf_dir):
 # --- leakage -------------------------------------------------------------------------------------------------------
 
 
-@query("corrupt_from", "select k, gi, case when gi >= 199801 then targets * 7 + 50 else targets end as targets, case when gi >= 199801 then 'x_' || position else position end as position from fx_games")
+@query("corrupt_from", "select k, gi, case when gi >= 199801 then -targets - 1009 else targets end as targets, case when gi >= 199801 then 'x_' || position else position end as position from fx_games")
 def corrupt_from(spark, sf_dir):
     return leakage.corrupt_from(view(spark, sf_dir, "fx_games").select("k", "gi", "targets", "position"), "gi", 199801, ["k"])
 
@@ -569,6 +597,70 @@ def scarcity(spark, sf_dir):
     return out.select("season", "position", "n", r4("elite", 3).alias("elite"), "n_above", r4(F.col("q")[0], 3).alias("median"))
 
 
+#: Weeks of a season that are its regular part, and how many flex slots there are.
+REGULAR, FLEX_SLOTS = 9, 12
+
+
+def _seated(source: str, out: str) -> str:
+    """SQL of the starting set of `source` (gi, k, position, v), as `starters` chooses it."""
+    own = " ".join(f"when '{p}' then {n}" for p, n in SLOTS.items())
+    flex = ", ".join(f"'{p}'" for p in FLEX)
+    return f"""
+    {out}1 as (select *, v > 0 and row_number() over (partition by gi, position order by v desc, k) <= case position {own} else 0 end as own from {source}),
+    {out}2 as (select *, not own and v > 0 and position in ({flex}) as may from {out}1),
+    {out} as (select *, own or (may and row_number() over (partition by gi, may order by v desc, k) <= {FLEX_SLOTS}) as seated, case when position in ({flex}) then 'flex' else position end as g from {out}2)"""
+
+
+#: Every player in every week of a season that they have a row in, with a value of 0 in weeks without one; players whose
+#: number leaves 1 when divided by 4 are on no roster.
+GRID = f"""
+    gr as (select p.k, p.season, p.position, w.week, w.season * 100 + w.week as gi, coalesce(f.proj, 0) as v, f.k is not null as has_game, p.k % 4 <> 1 as rostered
+        from (select distinct k, season, position from fx_proj) p join (select distinct season, week from fx_proj) w using (season) left join fx_proj f on f.k = p.k and f.season = p.season and f.week = w.week and f.position = p.position),
+    {_seated("gr", "sa")},
+    ro as (select gi, k, position, case when rostered then v else 0 end as v from gr),
+    {_seated("ro", "sr")},
+    bl as (select distinct gr.gi, gr.position, case when position in ({", ".join(f"'{p}'" for p in FLEX)}) then 'flex' else position end as g from gr),
+    bs as (select bl.gi, bl.position, coalesce(s.v, 0) as s, coalesce(r.v, 0) as r, coalesce(w.v, 0) as w from bl
+        left join (select gi, g, max(v) as v from sa where not seated group by gi, g) s on s.gi = bl.gi and s.g = bl.g
+        left join (select sr.gi, sr.g, max(gr.v) as v from sr join gr on gr.gi = sr.gi and gr.k = sr.k and gr.position = sr.position where not gr.rostered group by sr.gi, sr.g) r on r.gi = bl.gi and r.g = bl.g
+        left join (select gi, position, max(v) as v from gr where not rostered group by gi, position) w on w.gi = bl.gi and w.position = bl.position)"""
+
+
+def _grid(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_proj").select("k", "season", "position", "week", F.coalesce("proj", F.lit(0.0)).alias("v"))
+    weekly = value.with_byes(rows, ["k", "position"], "season", "week", "v").withColumn("gi", F.col("season") * 100 + F.col("week"))
+    return weekly.withColumn("rostered", F.col("k") % 4 != 1)
+
+
+def _levels(weekly):
+    return value.weekly_levels(weekly, "gi", "position", "v", "k", "rostered", SLOTS, FLEX_SLOTS, FLEX)
+
+
+@query("weekly_levels", f"with {GRID} select gi, position, round(s, 4) as marginal, round(r, 4) as waiver, round(w, 4) as streamer from bs")
+def weekly_levels(spark, sf_dir):
+    """Per week and position: the best value that doesn't start, the best on no roster in the position's exchange group,
+    and the best on no roster at the position itself (the streamer)."""
+    return _levels(_grid(spark, sf_dir)).select("gi", "position", *(r4(c).alias(c) for c in ("marginal", "waiver", "streamer")))
+
+
+@query("player_values", f"""
+    with {GRID}, pv as (select gr.*, bs.s, bs.r, v - bs.r as raw, greatest(v - bs.r, 0) as plus, v - bs.s as over_s, v > 0 and v >= bs.s as starts from gr join bs using (gi, position)),
+    ag as (select season, k, position, sum(v) as points, count(*) filter (where has_game) as games, coalesce(sum(r) filter (where has_game), 0) as replacement, sum(plus) as vor, sum(raw) as vor_raw, sum(over_s) as vas, count(*) filter (where starts) as starter_weeks,
+        coalesce(sum(v) filter (where week <= {REGULAR}), 0) as points_regular, coalesce(sum(plus) filter (where week <= {REGULAR}), 0) as vor_regular, coalesce(sum(v) filter (where week > {REGULAR}), 0) as points_final, coalesce(sum(plus) filter (where week > {REGULAR}), 0) as vor_final,
+        string_agg(case when not has_game then week::varchar end, ',' order by week) as byes from pv group by season, k, position)
+    select season, k, position, games, starter_weeks, coalesce(byes, '') as byes, {", ".join(f"round({c}, 3) as {c}" for c in ("points", "replacement", "vor", "vor_raw", "vas", "points_regular", "vor_regular", "points_final", "vor_final"))},
+        row_number() over (partition by season order by round(vor, 3) desc, round(points, 3) desc, k, position) as overall_rank, row_number() over (partition by season, position order by round(vor, 3) desc, round(points, 3) desc, k) as position_rank from ag""")
+def player_values(spark, sf_dir):
+    """Value over replacement of each player for the season and its two parts, with weeks off, started weeks and ranks."""
+    weekly = _grid(spark, sf_dir)
+    sums = value.player_values(weekly, _levels(weekly), "gi", "position", "v", ["season", "k"], "week", {"regular": F.col("week") <= REGULAR, "final": F.col("week") > REGULAR})
+    amounts = ("points", "replacement", "vor", "vor_raw", "vas", "points_regular", "vor_regular", "points_final", "vor_final")
+    shown = sums.select("season", "k", "position", "games", "starter_weeks", "byes", *(r4(c, 3).alias(c) for c in amounts))
+    order = [F.desc("vor"), F.desc("points"), "k"]
+    overall = F.row_number().over(Window.partitionBy("season").orderBy(*order, "position"))
+    return shown.withColumns({"overall_rank": overall.cast("long"), "position_rank": F.row_number().over(Window.partitionBy("season", "position").orderBy(*order)).cast("long")})
+
+
 @query("proportional_pool", f"""
     with {STARTED}, s as (select season, position, count(slot) / cast(sum(count(slot)) over (partition by season) as double) as share from st group by season, position),
     t as (select season, k, position, sum(v) as v, row_number() over (partition by season, position order by sum(v) desc, k) as r from st group by season, k, position)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pitstats.operators import dist, fit, isotonic, joins, specs
+from pitstats.operators import dist, fit, isotonic, joins, leakage, specs
 from pitstats.plans.evaluation import LINE
 from pitstats.plans.forecasts import HORIZON, _horizon
 from pitstats.plans.registry import query
@@ -70,19 +70,26 @@ def live_predict(spark, sf_dir):
     )
 
 
-@query("leak_check_reports", "select 'event_id' as \"column\", count(*) as n, 0 as n_changed from (select distinct k, day from fx_reports)")
+@query("leak_check_reports", """
+    with t as (select distinct k, day, cutoff from fx_reports)
+    select cutoff, c.col as "column", count(*) as n, count(*) filter (where c.col in ('day_last', 'outcome_seen')) as n_changed from t, (values ('known'), ('n_known'), ('day_last'), ('outcome_seen')) c(col) group by cutoff, c.col""")
 def leak_check_reports(spark, sf_dir):
-    """Reports at or after the cutoff are added and rewritten; the state known before it must not move."""
-    reports = view(spark, sf_dir, "fx_reports")
-    cuts = reports.select("k", "day", "cutoff").distinct()
-    late = reports.withColumn("ts", F.col("cutoff")).withColumn("event_id", -F.col("event_id"))
-    state = lambda r: joins.latest_before(r, cuts, ["k"], "ts", "cutoff", ["event_id"], ["event_id"])
-    # one day's late reports would be earlier reports of the next day, so only each entity's own last day is extended
-    last = cuts.groupBy("k").agg(F.max("cutoff").alias("cutoff"))
-    both = state(reports).select("k", "day", F.col("event_id").alias("a")).join(
-        state(reports.unionByName(late.join(last, ["k", "cutoff"], "left_semi").select(*reports.columns))).select("k", "day", F.col("event_id").alias("b")), ["k", "day"]
+    """Every day's cutoff at a time: reports from it on are rewritten, a late one is added for each target, and the realised
+    number of the day's reports is changed. The state known before the cutoff must not move; two planted columns do."""
+    reports = view(spark, sf_dir, "fx_reports").select("event_id", "k", "ts", "status", "day", "cutoff")
+    targets = reports.groupBy("k", "day", "cutoff").agg(F.count("*").alias("played"))
+    history = reports.select("k", "ts", "event_id", "status")
+
+    def features(rows, seen, by):
+        so_far = seen.withColumn("n_known", F.count("*").over(Window.partitionBy(*by).orderBy("ts")))
+        known = joins.latest_before(so_far, rows, by, "ts", "cutoff", ["event_id", "status", "n_known"], ["event_id"])
+        known = known.select(*rows.columns, F.struct("event_id", "status").alias("known"), "n_known", F.col("played").alias("outcome_seen"))
+        last = seen.groupBy(*by, F.to_date("ts").alias("day")).agg(F.max_by("event_id", F.struct("ts", F.abs("event_id"))).alias("day_last"))
+        return known.join(last, [*by, "day"], "left")
+
+    return leakage.leak_check_all(targets, history, features, ["k"], ["k", "day"], "ts", "cutoff", [], ["played"]).select(
+        "cutoff", "column", "n", "n_changed"
     )
-    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_changed")).select(F.lit("event_id").alias("column"), "n", "n_changed")
 
 
 @query("avail_eval", """
