@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,51 @@ def manifest_of(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+#: Bytes of a leaf of a hash tree, and digests that one node joins.
+LEAF, JOINED = 8 << 20, 256
+
+
+def hash_tree(spark: SparkSession, path: str, leaf: int = LEAF, joined: int = JOINED, pattern: str = "*") -> DataFrame:
+    """`file`, `bytes`, `leaves` and `root` of every file of a folder, whatever its size.
+
+    A file is cut into ranges of `leaf` bytes, which tasks read and hash by themselves; the SHA-256 of up to `joined`
+    neighbouring digests, one after another, is the digest above them, up to one root. Spark's readers don't list empty files.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    number = F.ceil(F.col("length") / leaf).cast("long")
+    ranges = files.select("path", "length", number.alias("leaves"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("i"))
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out, open_ = [], {}
+            for file, i in zip(batch.column("path").to_pylist(), batch.column("i").to_pylist()):
+                if file not in open_:
+                    open_ = {file: file_of(fs, file)}
+                open_[file].seek(i * leaf)
+                out.append(hashlib.sha256(open_[file].read(leaf)).digest())
+            columns = [batch.column(c) for c in ("path", "length", "leaves", "i")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["path", "length", "leaves", "i", "digest"])
+
+    def file_of(fs, uri):
+        system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+        return system.open_input_file(place)
+
+    spread = ranges.repartition("path", F.floor(F.col("i") / joined))
+    digests = spread.mapInArrow(read, "path string, length long, leaves long, i long, digest binary")
+    most = files.agg(F.max(number)).first()[0] or 0
+    while most > 1:
+        # up to `joined` digests of 32 bytes
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "digest"))), lambda v: F.hex(v["digest"]))
+        above = digests.groupBy("path", "length", "leaves", F.floor(F.col("i") / joined).alias("i")).agg(F.array_join(parts, "").alias("d"), F.count("*").alias("c"))
+        # a file of one leaf has its digest as root
+        single = (F.col("leaves") == 1) & (F.col("c") == 1)
+        digests = above.select("path", "length", "leaves", "i", F.when(single, F.unhex("d")).otherwise(F.unhex(F.sha2(F.unhex("d"), 256))).alias("digest"))
+        most = -(-most // joined)
+    return digests.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "leaves", F.lower(F.hex("digest")).alias("root"))
+
+
 def verify(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Per file: identical, CHANGED, missing or unregistered."""
     now = manifest_of(spark, path).select("file", F.col("sha256").alias("now"))

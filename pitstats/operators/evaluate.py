@@ -186,6 +186,25 @@ def coverage_p(df: DataFrame, hit: str, by: list[str], cluster: str, nominal: fl
     return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("cov"), F.sum("_n").alias("n")).join(p, by)
 
 
+def bootstrap_skill(df: DataFrame, loss: str, base: str, by: list[str], cluster: str, reps: int, seed: int) -> DataFrame:
+    """Per group n, the mean losses and the skill 1 - loss / base with its 95% interval, whole clusters redrawn.
+
+    Clusters are reduced to their sums first; uniform numbers are those of `cluster_bootstrap`. A group's interval is over
+    its `reps` draws.
+    """
+    sums = df.groupBy(*by, cluster).agg(F.sum(loss).alias("_s"), F.sum(base).alias("_b"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    numbered = sums.withColumn("_i", F.row_number().over(w.orderBy(cluster))).withColumn("_size", F.count("*").over(w))
+    draws = numbered.select(*by, F.col("_i").alias("_slot"), "_size", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
+    u = portable_uniform(F.lit(seed), F.col("_rep"), *(F.col(c) for c in by), F.col("_slot"))
+    draws = draws.select(*by, "_rep", (F.floor(u * F.col("_size")) + 1).cast("int").alias("_i"))
+    skill = 1 - F.try_divide(F.sum("_s"), F.sum("_b"))
+    drawn = draws.join(numbered.select(*by, "_i", "_s", "_b"), [*by, "_i"]).groupBy(*by, "_rep").agg(skill.alias("_m"))
+    spread = drawn.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    means = sums.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_n")).alias("loss"), (F.sum("_b") / F.sum("_n")).alias("base"), skill.alias("skill"))
+    return means.join(spread, by)
+
+
 def week_t(df: DataFrame, value: str, week: list[str], by: list[str]) -> DataFrame:
     """Per group the t statistic of the weekly means against 0 and its degrees of freedom; null below two weeks."""
     weeks = df.groupBy(*dict.fromkeys([*by, *week])).agg(F.avg(value).alias("_m"))

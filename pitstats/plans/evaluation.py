@@ -308,18 +308,18 @@ def selection_rules(spark, sf_dir):
 @query("holm_gate", f"""
     with {PREDS}, hc as (select season, position, gi, sum(case when abs(pred - actual) <= 60 then 1.0::double else 0.0::double end) as s, count(*) as n from aligned where model = 'cal' group by season, position, gi),
     nm as (select *, row_number() over (partition by season, position order by gi) as i, count(*) over (partition by season, position) as size from hc),
-    dr as (select season, position, rep, cast(floor(('0x' || substr(md5('9|' || rep || '|' || season || '|' || position || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from nm, range(1, 201) r(rep)),
+    dr as (select season, position, rep, cast(floor(('0x' || substr(md5('9|' || rep || '|' || season || '|' || position || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from nm, range(1, 2001) r(rep)),
     ms as (select season, position, rep, sum(s) / sum(n) as m from dr join nm using (season, position, i) group by season, position, rep),
-    ps as (select season, position, least(1.0::double, 2 * least((1 + count(*) filter (where m <= 0.8)) / 201.0::double, (1 + count(*) filter (where m >= 0.8)) / 201.0::double)) as p from ms group by season, position),
+    ps as (select season, position, least(1.0::double, 2 * least((1 + count(*) filter (where m <= 0.8)) / 2001.0::double, (1 + count(*) filter (where m >= 0.8)) / 2001.0::double)) as p from ms group by season, position),
     cv as (select season, position, sum(s) / sum(n) as cov from hc group by season, position),
     r as (select *, p * (count(*) over (partition by season) - row_number() over (partition by season order by p, position) + 1) as raw from ps join cv using (season, position))
     select season, position, round(cov, 5) as cov, round(p, 5) as p, round(least(1.0, max(raw) over (partition by season order by p, position rows unbounded preceding)), 5) as adjusted from r""")
 def holm_gate(spark, sf_dir):
-    """Coverage per cell against 0.8: bootstrap p over months, adjusted within the season."""
+    """Coverage per cell against 0.8: bootstrap p of 2,000 draws of months, adjusted within the season."""
     from pitstats.operators import windows
 
     rows = aligned(spark, sf_dir).where("model = 'cal'").withColumn("hit", (F.abs(F.col("pred") - F.col("actual")) <= 60).cast("double"))
-    cells = evaluate.coverage_p(rows, "hit", ["season", "position"], "gi", 0.8, 200, 9)
+    cells = evaluate.coverage_p(rows, "hit", ["season", "position"], "gi", 0.8, 2_000, 9)
     out = windows.with_holm(cells, "p", ["season"], ["position"], "adjusted")
     return out.select("season", "position", r4("cov", 5).alias("cov"), r4("p", 5).alias("p"), r4("adjusted", 5).alias("adjusted"))
 

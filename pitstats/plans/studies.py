@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitstats.operators import dist, fit, isotonic, joins, leakage, specs
+from pitstats.operators import dist, evaluate, fit, isotonic, joins, leakage, specs
 from pitstats.plans.evaluation import LINE
 from pitstats.plans.forecasts import HORIZON, _horizon
 from pitstats.plans.registry import query
@@ -93,16 +95,28 @@ def leak_check_reports(spark, sf_dir):
 
 
 @query("avail_eval", """
-    with d as (select season, team % 5 as b, case when receptions >= 4 then 1.0::double else 0.0::double end as y from fx_games),
-    r as (select s.season, d.b, avg(d.y) as r, count(*) as n from (select distinct season from d) s join d on d.season < s.season group by s.season, d.b)
-    select d.season, count(*) as n, round(avg((r.r - d.y) * (r.r - d.y)), 6) as brier from d join r on r.season = d.season and r.b = d.b group by d.season""")
+    with d as (select season, week, team % 5 as b, case when receptions >= 4 then 1.0::double else 0.0::double end as y from fx_games),
+    r as (select s.season, d.b, avg(d.y) as r from (select distinct season from d) s join d on d.season < s.season group by s.season, d.b),
+    z as (select s.season, avg(d.y) as r0 from (select distinct season from d) s join d on d.season < s.season group by s.season),
+    l as (select d.season, d.week, (r.r - d.y) * (r.r - d.y) as s, (z.r0 - d.y) * (z.r0 - d.y) as b from d join r on r.season = d.season and r.b = d.b join z on z.season = d.season),
+    c as (select season, week, sum(s) as s, sum(b) as b, count(*) as n from l group by season, week),
+    nm as (select *, row_number() over (partition by season order by week) as i, count(*) over (partition by season) as size from c),
+    dr as (select season, rep, cast(floor(('0x' || substr(md5('17|' || rep || '|' || season || '|' || i), 1, 12))::bigint / 281474976710656.0::double * size) as bigint) + 1 as i from nm, range(1, 2001) g(rep)),
+    ms as (select season, rep, 1 - sum(s) / sum(b) as m from dr join nm using (season, i) group by season, rep),
+    sp as (select season, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from ms group by season)
+    select season, sum(n)::bigint as n, round(sum(s) / sum(n), 6) as brier, round(sum(b) / sum(n), 6) as base, round(1 - sum(s) / sum(b), 5) as skill, round(any_value(low), 5) as low, round(any_value(high), 5) as high from c join sp using (season) group by season""")
 def avail_eval(spark, sf_dir):
-    """Rates by group from all earlier seasons, scored on each season."""
-    d = view(spark, sf_dir, "fx_games").select("season", (F.col("team") % 5).alias("b"), (F.col("receptions") >= 4).cast("double").alias("y"))
+    """Rates by group from all earlier seasons, scored on each season: Brier score, skill against the common rate, and its
+    interval when the season's weeks are redrawn."""
+    d = view(spark, sf_dir, "fx_games").select("season", "week", (F.col("team") % 5).alias("b"), (F.col("receptions") >= 4).cast("double").alias("y"))
     sums = d.groupBy("season", "b").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy("b").orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
-    rates = sums.select("season", "b", (F.sum("s").over(w) / F.sum("n").over(w)).alias("r")).where("r is not null")
-    return d.join(F.broadcast(rates), ["season", "b"]).groupBy("season").agg(F.count("*").alias("n"), r4(F.avg(dist.brier(F.col("r"), F.col("y"))), 6).alias("brier"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
+    rates = sums.select("season", "b", (F.sum("s").over(before("b")) / F.sum("n").over(before("b"))).alias("r")).where("r is not null")
+    whole = sums.groupBy("season").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    whole = whole.select("season", (F.sum("s").over(before()) / F.sum("n").over(before())).alias("r0")).where("r0 is not null")  # a row for each season
+    rows = d.join(rates, ["season", "b"]).join(whole, "season").select("season", "week", dist.brier(F.col("r"), F.col("y")).alias("s"), dist.brier(F.col("r0"), F.col("y")).alias("base"))
+    out = evaluate.bootstrap_skill(rows, "s", "base", ["season"], "week", 2_000, 17)
+    return out.select("season", "n", r4("loss", 6).alias("brier"), r4("base", 6).alias("base"), *(r4(c, 5).alias(c) for c in ("skill", "low", "high")))
 
 
 @query("ros_groups", f"""
@@ -158,7 +172,9 @@ def isotonic_fit(spark, sf_dir):
 
 @query("display_map")
 def display_map(spark, sf_dir):
-    """Monotone map of projected onto actual totals, zero at zero."""
-    df = view(spark, sf_dir, "fx_proj").where("season = 1998").groupBy("k").agg(F.sum(F.coalesce("proj", F.lit(0.0))).alias("v"), F.sum("actual").alias("y"))
-    fitted = fit.isotonic(df, "v", "y").transform(df)
-    return fitted.select("k", r4(F.when(F.col("v") <= 0, 0.0).otherwise(F.greatest("fitted", F.lit(0.0))), 3).alias("shown"))
+    """Monotone map of projected onto actual totals within each season, zero at zero."""
+    totals = view(spark, sf_dir, "fx_proj").groupBy("season", "k").agg(F.sum(F.coalesce("proj", F.lit(0.0))).alias("v"), F.sum("actual").alias("y"))
+    shown = F.when(F.col("v") <= 0, 0.0).otherwise(F.greatest("fitted", F.lit(0.0)))
+    seasons = [r["season"] for r in totals.select("season").distinct().orderBy("season").collect()]  # a fit for each
+    parts = [fit.isotonic(own, "v", "y").transform(own) for own in (totals.where(F.col("season") == s) for s in seasons)]
+    return reduce(DataFrame.unionByName, parts).select("season", "k", r4(shown, 3).alias("shown"))
