@@ -63,15 +63,16 @@ def hash_tree(spark: SparkSession, path: str, leaf: int = LEAF, joined: int = JO
         return system.open_input_file(place)
 
     spread = ranges.repartition("path", F.floor(F.col("i") / joined))
-    digests = spread.mapInArrow(read, "path string, length long, leaves long, i long, digest binary")
+    digests = spread.mapInArrow(read, "path string, length long, leaves long, i long, digest binary").withColumn("left", F.col("leaves"))
     most = files.agg(F.max(number)).first()[0] or 0
     while most > 1:
         # up to `joined` digests of 32 bytes
         parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "digest"))), lambda v: F.hex(v["digest"]))
-        above = digests.groupBy("path", "length", "leaves", F.floor(F.col("i") / joined).alias("i")).agg(F.array_join(parts, "").alias("d"), F.count("*").alias("c"))
-        # a file of one leaf has its digest as root
-        single = (F.col("leaves") == 1) & (F.col("c") == 1)
-        digests = above.select("path", "length", "leaves", "i", F.when(single, F.unhex("d")).otherwise(F.unhex(F.sha2(F.unhex("d"), 256))).alias("digest"))
+        keys = ["path", "length", "leaves", "left"]
+        above = digests.groupBy(*keys, F.floor(F.col("i") / joined).alias("i")).agg(F.array_join(parts, "").alias("d"))
+        # a file's one digest that is left is its root
+        digest = F.when(F.col("left") == 1, F.unhex("d")).otherwise(F.unhex(F.sha2(F.unhex("d"), 256)))
+        digests = above.select(*keys[:3], F.ceil(F.col("left") / joined).alias("left"), "i", digest.alias("digest"))
         most = -(-most // joined)
     return digests.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "leaves", F.lower(F.hex("digest")).alias("root"))
 
