@@ -7,8 +7,7 @@ sequence is the prefix sum of the id counts before it, so no task waits for anot
 memory. Files are written under a temporary name and renamed, so a repeated task leaves the same file.
 
 Defined results: a null or empty text has only the end id; texts may be of any length (one text's words and ids are held
-at a time); documents without an id come first and have a null id
-again when read; documents of one id are in the order of their texts; an empty table gives no files; other columns are
+at a time); documents without an id come first and have a null id again when read; documents of one id are in the order of their texts; an empty table gives no files; other columns are
 ignored.
 """
 
@@ -34,6 +33,8 @@ from pitstats.llm.common import doc_columns, in_batches, local_path, shared_dir,
 
 #: Words, stems, and characters of stems kept by a worker before its stores start anew.
 CACHE, STEMS, STEM_CHARS = 900_000, 800_000, 16_000_000
+#: Bytes of text for which one file is made, and the least for which another task is worth while.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 #: Marks that are split off a word's end.
 MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 #: Pre-tokenisation patterns that leave white space out, so that what stands between blanks is independent, and that
@@ -47,7 +48,8 @@ class WordEncoder:
 
     Each distinct word goes through the library once; a text's ids are its words' ids in order. New words are given to
     the library some thousands at a time, in one text with a special token between them. Where the file lower-cases,
-    a word is put together from its lower-case stem and the marks at its end. Whether all this holds     from the tokenizer file; texts of other tokenizers go through the library whole.
+    a word is put together from its lower-case stem and the marks at its end. Whether all this holds is read from the
+    tokenizer file; texts of other tokenizers go through the library whole.
     """
 
     #: Words in one call.
@@ -154,6 +156,13 @@ def _put(path: str, data) -> None:
     os.replace(f.name, path)
 
 
+def _files_for(documents: DataFrame, text_col: str) -> int:
+    """One file for FILE_BYTES of text and more; below that as many as there are shuffle partitions, of LEAST_BYTES at least."""
+    total = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-total // FILE_BYTES), min(width, -(-total // LEAST_BYTES)))
+
+
 def write_token_files(
     documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, partitions: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
@@ -161,8 +170,7 @@ def write_token_files(
     """Writes the files and returns one entry per partition: part, n_docs, n_ids, item bytes and base."""
     root = local_path(folder)
     os.makedirs(root, exist_ok=True)
-    spark = documents.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or _files_for(documents, text_col)
     ordered = (
         doc_columns(documents, id_col, text_col)
         .repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -175,7 +183,7 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         encoder = word_encoder(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        lengths, docs = [], []
+        lengths, docs = array("q"), []
         name = os.path.join(root, f"part-{part:05d}")
         tmp = f"{name}.bin.{uuid.uuid4().hex}"
         with open(tmp, "wb") as out:  # batch by batch: a partition's ids are never all in memory

@@ -88,11 +88,22 @@ def test_token_files(spark, df, rows):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = sorted(map(tuple, token_files.token_files(df, WORDS).collect()), key=lambda r: r[1])
-    assert got == want
+    for files in (None, 5):
+        got = sorted(map(tuple, token_files.token_files(df, WORDS, partitions=files).collect()), key=lambda r: r[1])
+        assert got == want
     assert token_files.token_files(df.limit(0), WORDS).collect() == []
 
 
+def test_number_of_files_follows_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1_000) for i in range(64)], "doc_id long, text string")
+    found = []
+    for most, least in ((1 << 30, 1 << 20), (1 << 30, 4_000), (1 << 30, 1_000), (2_000, 1_000)):
+        monkeypatch.setattr(token_files, "FILE_BYTES", most)
+        monkeypatch.setattr(token_files, "LEAST_BYTES", least)
+        found.append(token_files._files_for(docs, "text"))
+    assert found == [1, 8, 8, 32]  # 8 shuffle partitions in tests
+
+
 def test_words_put_together_from_stems_and_marks():
     from tokenizers import Tokenizer
 
