@@ -25,6 +25,7 @@ class; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from fractions import Fraction
 
@@ -39,8 +40,8 @@ from pitstats.llm.components import components
 N, THRESHOLD = 5, Fraction(80, 100)
 #: Cells of the count sketch (a fixed 4 MB) and the blocks in which it is summed.
 CELLS, BLOCKS = 1 << 20, 64
-#: Leaders under each n-gram.
-LEADERS = 5
+#: Leaders under each n-gram; groups under one n-gram, of about one size, that one task pairs with all their partners.
+LEADERS, PARTNERS = 5, 1_000
 #: Bits of the filter on documents that are to be verified, per document and at most (64 MB).
 FILTER_RATE, FILTER_BITS = 16, 1 << 29
 #: N-grams for which one bucket of prefixes is made, and prefix n-grams that a task holds before it deals them out.
@@ -508,13 +509,21 @@ def _rest_pairs(postings: DataFrame, threshold: Fraction, members: DataFrame) ->
     spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     classed = postings.join(spread, "gid")
     mixed = classed.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("token")
-    left = classed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "size", "pos", "lo", "hi")))
-    return (
-        left.join(right, "token").where("gid < gid2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-        .where(_first_meeting(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), threshold))
-        .select(F.col("gid").alias("ga"), F.col("gid2").alias("gb")).distinct()
+    # similar sets' sizes lie in the same band or in neighbouring ones; a little wider than the threshold for rounding
+    wide = -math.log(threshold) * (1 + 1e-9)
+    left = classed.join(mixed, "token", "left_semi").withColumn("band", F.floor(F.log("size") / wide))
+    # groups that many share an n-gram and a band with are dealt to several tasks, their possible partners to all of these
+    many = left.groupBy("token", "band").count().where(F.col("count") > PARTNERS)
+    parts = many.select("token", "band", F.ceil(F.col("count") / PARTNERS).cast("int").alias("parts"))
+    one = F.lit(1)
+    smaller = left.join(parts, ["token", "band"], "left").withColumn("part", F.pmod(F.xxhash64("gid"), F.coalesce("parts", one)).cast("int"))
+    near = left.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(parts, ["token", "band"], "left")
+    larger = near.select(
+        "token", "band", F.explode(F.sequence(F.lit(0), F.coalesce("parts", one) - 1)).alias("part"), *(F.col(c).alias(f"{c}2") for c in ("gid", "size", "pos", "lo", "hi"))
     )
+    met = smaller.join(larger, ["token", "band", "part"]).where("(size < size2 or (size = size2 and gid < gid2)) and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    met = met.where(_first_meeting(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), threshold))
+    return met.select(F.least("gid", "gid2").alias("ga"), F.greatest("gid", "gid2").alias("gb")).distinct()
 
 
 def _rest_members(pairs: DataFrame, members: DataFrame, tested: DataFrame) -> DataFrame:

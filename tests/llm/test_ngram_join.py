@@ -52,9 +52,10 @@ def corpus(seed):
     return [*((i * 7 % 1009, t) for i, t in enumerate(rows)), (14, rows[5]), (None, rows[6]), (None, "alone " * 9)]
 
 
-@pytest.mark.parametrize(("seed", "crowded"), [(1, 20), (2, 20), (3, -1000)])
-def test_against_all_pairs(spark, monkeypatch, seed, crowded):
+@pytest.mark.parametrize(("seed", "crowded", "partners"), [(1, 20, 1_000), (2, 20, 3), (3, -1000, 1_000)])
+def test_against_all_pairs(spark, monkeypatch, seed, crowded, partners):
     monkeypatch.setattr(nj, "CROWDED", crowded)
+    monkeypatch.setattr(nj, "PARTNERS", partners)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, size long, token string")
     got = sorted((tuple(r) for r in nj.join_classes(df.repartition(5)).collect()), key=str)
