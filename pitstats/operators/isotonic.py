@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pitstats.operators.quantiles import exact_quantiles
 from pitstats.sources.documents import scratch, write_once
 
-#: Partitions' blocks that are merged at a time.
-FAN = 32
+#: Partitions' blocks that are merged at a time, and thresholds that one task merges together.
+FAN, TOGETHER = 32, 64
 
 
 def pooled(low: np.ndarray, high: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -107,14 +107,16 @@ def fit(df: DataFrame, by: list[str], x: str, y: str, levels: list[float], grid:
     schema = f"{keys}, j int, part int, " + ", ".join(f"{c} array<double>" for c in lists)
 
     def merge(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("part")
-        found = pooled(*(np.concatenate(own[c].tolist()) for c in lists))
-        head = {c: [own[c].iloc[0]] for c in [*by, "j"]}
-        return pd.DataFrame(head | {"part": [int(own["part"].iloc[0]) // FAN]} | {c: [v] for c, v in zip(lists, found)})
+        out = []
+        for j, one in own.sort_values(["j", "part"]).groupby("j"):
+            found = pooled(*(np.concatenate(one[c].tolist()) for c in lists))
+            out.append((*(one[c].iloc[0] for c in by), j, int(one["part"].iloc[0]) // FAN, *found))
+        return pd.DataFrame(out, columns=[*by, "j", "part", *lists])
 
     parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
-        blocks = blocks.groupBy(*by, "j", F.floor(F.col("part") / FAN).alias("_of")).applyInPandas(merge, schema)
+        groups = F.floor(F.col("part") / FAN).alias("_of"), F.floor(F.col("j") / TOGETHER).alias("_some")
+        blocks = blocks.groupBy(*by, *groups).applyInPandas(merge, schema)
         parts = -(-parts // FAN)
 
     def on_grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,7 +164,7 @@ def isotonic_fit(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null").select("k", "gi", "season", "position", "proj", "actual")
     by = ["season", "position"]
     past = fit.earlier_seasons(rows.select(*by, "proj", "actual"))
-    cells = isotonic.fit(past, by, "proj", "actual", [i / 200 for i in range(1, 200)], [i / 400 for i in range(401)])
+    cells = isotonic.fit(past, by, "proj", "actual", [i / 100 for i in range(1, 100)], [i / 200 for i in range(201)])
     out = isotonic.distribution(rows, cells, by, "proj").where("f is not null")
     q = {f"q{round(100 * t)}": r4(isotonic.quantile(F.col("f"), F.col("z"), t, F.col("floor")), 3) for t in (0.1, 0.5, 0.9)}
     return out.select("season", "position", "k", "gi", "actual", *(c.alias(n) for n, c in q.items()))
