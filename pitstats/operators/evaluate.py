@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
+from itertools import groupby
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,22 +133,108 @@ def paired_differences(preds: DataFrame, model: str, baseline: str, keys: list[s
     return wide.where("_m is not null and _b is not null").select(*keys, (F.col("_m") - F.col("_b")).alias("d"))
 
 
-def cluster_bootstrap(df: DataFrame, value: str, strata: list[str], cluster: str, reps: int, seed: int) -> DataFrame:
+def _numbered(sums: DataFrame, strata: list[str], cluster: str) -> DataFrame:
+    """`sums` with `_i`, the place of a cluster in its stratum from 1 on, and `_size`, the stratum's number of clusters.
+
+    Clusters are range-partitioned, and places go on from the counts of the partitions before, so that no stratum has to
+    fit one task.
+    """
+    spark = sums.sparkSession
+    known = sums.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in strata], F.lit(True)))
+    path = scratch(spark, "clusters")
+    write_once(known.repartitionByRange(*strata, cluster).withColumn("_part", F.spark_partition_id()), path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy(*strata, "_part").agg(F.count("*").alias("_here"))
+    own = Window.partitionBy(*strata)
+    counts = counts.withColumn("_size", F.sum("_here").over(own)).withColumn("_before", F.sum("_here").over(own.orderBy("_part")) - F.col("_here"))
+    # a row for each partition and stratum
+    placed = rows.join(F.broadcast(counts.drop("_here")), [*strata, "_part"])
+    here = F.row_number().over(Window.partitionBy(*strata, "_part").orderBy(cluster))
+    return placed.withColumn("_i", here + F.col("_before")).drop("_part", "_before")
+
+
+#: Clusters of a block; draws of a task, about; repetitions that are drawn together.
+BLOCK, DRAWS, REPS = 1 << 16, 2_000_000, 25
+
+
+def places_of(head: bytes, slots: list[bytes], size: int) -> np.ndarray:
+    """Places below `size` that slots draw: `portable_uniform` of the text times the size, whose md5 Spark would convert digit by digit."""
+    digests = np.frombuffer(b"".join([md5(head + x, usedforsecurity=False).digest() for x in slots]), np.uint8).reshape(-1, 16)
+    high = np.ascontiguousarray(digests[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(16)
+    return np.floor(high.astype(float) / float(1 << 48) * size).astype(np.int64)
+
+
+def _drawn_sums(numbered: DataFrame, strata: list[str], reps: int, seed: int, block: int) -> DataFrame:
+    """`_rep` and the sums `_s`, `_n` over the clusters that it draws.
+
+    Draws meet the sums of clusters in blocks of places. A unit of work are the slots of a block in REPS repetitions; its
+    draws are sorted by block and repetition, and each block gets one packed piece, of two bytes a draw.
+    """
+    keyed = numbered.withColumn("_b", F.floor((F.col("_i") - 1) / block).cast("int"))
+    lists = F.array_sort(F.collect_list(F.struct("_i", F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("s"), F.col("_n").alias("n"))))
+    path = scratch(numbered.sparkSession, "cluster-blocks")
+    packed = keyed.groupBy(*strata, "_b", "_size").agg(lists.alias("_own"))
+    write_once(packed.select(*strata, "_b", "_size", F.col("_own.s").alias("_s"), F.col("_own.n").alias("_n")), path)
+    blocks = numbered.sparkSession.read.parquet(path)
+    work = blocks.select(*strata, "_b", "_size", F.explode(F.sequence(F.lit(1), F.lit(reps), F.lit(REPS))).alias("_first"))
+    # units of work are small rows that become many: tasks by their draws, not by their bytes
+    pieces_of_work, clusters = blocks.agg(F.count("*"), F.sum(F.size("_n"))).first()
+    tasks = min((pieces_of_work or 0) * -(-reps // REPS), -(-(clusters or 0) * reps // (DRAWS)))
+    work = work.repartition(max(1, tasks))
+    text = F.concat_ws("|", *(F.col(c).cast("string") for c in strata))
+    work = work.select(*strata, text.alias("_text"), (F.col("_b").cast("long") * block).alias("_before"), "_size", "_first")
+    names = [f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in strata]
+
+    def run(batches):
+        for batch in batches:
+            for row, (text, before, size, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "_before", "_size", "_first")))):
+                slots = [f"|{text}|{i}".encode() if strata else f"|{i}".encode() for i in range(before + 1, min(before + block, size) + 1)]
+                found = []
+                for rep in range(first, min(first + REPS, reps + 1)):
+                    at = np.sort(places_of(f"{seed}|{rep}".encode(), slots, size))
+                    cuts = np.searchsorted(at, np.arange(0, size + block, block))
+                    found += [(b, rep, j - i, (at[i:j] % block).astype(np.uint16)) for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if j > i]
+                found.sort(key=lambda f: f[:2])
+                rows = []
+                for b, own in groupby(found, lambda f: f[0]):
+                    _, which, times, local = zip(*own)
+                    rows.append((b, np.array(which, np.int32).tobytes(), np.array(times, np.int32).tobytes(), np.concatenate(local).tobytes()))
+                head = [batch.column(c).take(pa.array([row] * len(rows))) for c in strata]
+                tail = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*head, *tail], [*strata, "_b", "which", "times", "places"])
+
+    pieces = work.mapInArrow(run, ", ".join([*names, "_b int, which binary, times binary, places binary"]))
+
+    def add(own: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        """The block's sums by repetition; a block has its own draws only, about `reps` for each of its clusters."""
+        s, n = np.array(of["_s"].iloc[0], float), np.array(of["_n"].iloc[0], np.int64)
+        total, count = np.zeros(reps + 1), np.zeros(reps + 1, np.int64)
+        for which, times, places in zip(own["which"], own["times"], own["places"]):
+            which, times, places = np.frombuffer(which, np.int32), np.frombuffer(times, np.int32), np.frombuffer(places, np.uint16)
+            begin = np.cumsum(times) - times
+            total[which] += np.add.reduceat(s[places], begin)
+            count[which] += np.add.reduceat(n[places], begin)
+        return pd.DataFrame({"_rep": np.arange(1, reps + 1), "_s": total[1:], "_n": count[1:]})
+
+    keys = [*strata, "_b"]
+    parts = pieces.groupBy(*keys).cogroup(blocks.select(*keys, "_s", "_n").groupBy(*keys)).applyInPandas(add, "_rep int, _s double, _n long")
+    return parts.groupBy("_rep").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+
+
+def cluster_bootstrap(df: DataFrame, value: str, strata: list[str], cluster: str, reps: int, seed: int, block: int = BLOCK) -> DataFrame:
     """Mean of `value` and its percentile interval when whole clusters are redrawn within each stratum.
 
     Rows are first reduced to (stratum, cluster, sum, count). Each repetition draws as many clusters as its stratum
     has, by uniform numbers from the md5 of (seed, repetition, stratum, slot), so results are the same in any engine.
+    A block has at most 65,536 clusters.
     """
-    sums = df.groupBy(*strata, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    w = Window.partitionBy(*strata)
-    numbered = sums.withColumn("_i", F.row_number().over(w.orderBy(cluster))).withColumn("_size", F.count("*").over(w))
-    slots = numbered.select(*strata, F.col("_i").alias("_slot"), "_size")
-    draws = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
-    u = portable_uniform(F.lit(seed), F.col("_rep"), *(F.col(s) for s in strata), F.col("_slot"))
-    draws = draws.select(*strata, "_rep", (F.floor(u * F.col("_size")) + 1).cast("int").alias("_i"))
-    drawn = draws.join(numbered.select(*strata, "_i", "_s", "_n"), [*strata, "_i"])
-    means = drawn.groupBy("_rep").agg((F.sum("_s") / F.sum("_n")).alias("m"))
-    point = sums.agg((F.sum("_s") / F.sum("_n")).alias("mean"))
+    path = scratch(df.sparkSession, "cluster-sums")
+    write_once(df.groupBy(*strata, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n")), path)  # read several times
+    sums = df.sparkSession.read.parquet(path)
+    mean = F.try_divide(F.sum("_s"), F.sum("_n"))
+    drawn = _drawn_sums(_numbered(sums, strata, cluster), strata, reps, seed, min(block, BLOCK))
+    means = drawn.select("_rep", F.try_divide("_s", "_n").alias("m"))
+    point = sums.agg(mean.alias("mean"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") < 0).cast("double")).alias("share_below"))
     return point.crossJoin(spread)  # one row each
 

@@ -135,3 +135,31 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(s, c, float((s * 7 + c * 3) % 5)) for s in range(2) for c in range(12)], "s int, c int, d double")
     a, b = (evaluate.cluster_bootstrap(df.repartition(n), "d", ["s"], "c", 50, 1).first() for n in (1, 7))
     assert a == b and a.low <= a.mean <= a.high
+
+
+def test_bootstrap_of_many_clusters_in_blocks(spark):
+    """Clusters fill many blocks; equals draws made one by one, and only packed pieces of draws are moved."""
+    import hashlib
+
+    import numpy as np
+
+    from pitstats.operators import evaluate
+
+    rows = [(s, f"c{i:03d}", float((i * 37 + len(s)) % 11) - 5) for s in ("a", "bb") for i in range(90 if s == "a" else 7) for _ in range(i % 3 + 1)]
+    df = spark.createDataFrame([*rows, (None, "c1", 9.0)], "s string, c string, d double").repartition(5)
+    got = evaluate.cluster_bootstrap(df, "d", ["s"], "c", 60, 4, block=8).first()
+    total, count = np.zeros(60), np.zeros(60)
+    for s in ("a", "bb"):
+        names = sorted({c for t, c, _ in rows if t == s})
+        sums = [(sum(d for t, k, d in rows if (t, k) == (s, c)), sum((t, k) == (s, c) for t, k, _ in rows)) for c in names]
+        for rep in range(60):
+            for slot in range(1, len(names) + 1):
+                u = int(hashlib.md5(f"4|{rep + 1}|{s}|{slot}".encode()).hexdigest()[:12], 16) / (1 << 48)
+                v, n = sums[int(u * len(names))]
+                total[rep] += v
+                count[rep] += n
+    m = total / count
+    want = ((sum(d for *_, d in rows) + 9) / (len(rows) + 1), np.quantile(m, 0.025), np.quantile(m, 0.975), (m < 0).mean())
+    assert np.allclose(list(got), want)
+    drawn = evaluate._drawn_sums(evaluate._numbered(df.groupBy("s", "c").agg(F.sum("d").alias("_s"), F.count("d").alias("_n")), ["s"], "c"), ["s"], 60, 4, 8)
+    assert "places" in drawn._jdf.queryExecution().toString() and drawn.count() == 60
