@@ -16,7 +16,8 @@ def r4(column, places=4):
 
 
 def _player_documents(spark, sf_dir):
-    """Vendor documents in their nested form, one per month, as JSON text made from the projections."""
+    """Vendor documents in their nested form, per month one for each thousand player numbers, as JSON text made from the
+    projections; no document grows with the number of players."""
     rows = view(spark, sf_dir, "fx_proj").where("proj is not null")
 
     def entry(source, total):
@@ -27,7 +28,7 @@ def _player_documents(spark, sf_dir):
         )
 
     player = F.struct(F.col("k").alias("id"), F.lit("n").alias("fullName"), F.lit(3).alias("position"), F.array(entry(0, "actual"), entry(1, "proj")).alias("stats"))
-    return rows.groupBy("gi").agg(F.to_json(F.struct(F.collect_list(player).alias("players"))).alias("text"))
+    return rows.groupBy("gi", F.floor(F.col("k") / 1000)).agg(F.to_json(F.struct(F.collect_list(player).alias("players"))).alias("text"))
 
 
 @query("scan_json", "select k as id, season, week as period, round(proj, 4) as total from fx_proj where proj is not null")

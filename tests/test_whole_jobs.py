@@ -99,3 +99,13 @@ def test_bands_are_merged_until_large_enough(spark):
     table = dist.residual_bands(rows, ["c"], "e", "x", [4.0, 8.0], 3, 5)
     got = {(t["c"], t["band_lo"], t["band_hi"]): (t["n"], t["floor"]) for t in table.collect()}
     assert got == {("a", 1, 3): (12, 0.5), ("b", 1, 3): (1, 3.0)}
+
+
+def test_player_documents_are_bounded(spark):
+    """A document holds the players of one month and one thousand numbers, whatever the number of players."""
+    from pitstats.plans.records import _player_documents
+    from pitstats.sources.documents import PLAYER
+
+    parsed = _player_documents(spark, "/root/testdata/sf0.01").select(F.from_json("text", PLAYER).alias("d"))
+    spans = parsed.select(F.array_distinct(F.transform("d.players", lambda p: F.floor(p["id"] / 1000))).alias("of"))
+    assert spans.where(F.size("of") != 1).isEmpty() and spans.select(F.explode("of")).distinct().count() > 1
