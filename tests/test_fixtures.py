@@ -53,3 +53,17 @@ def test_views_of_months_move_no_rows(spark):
     for name in ("fx_games", "fx_proj"):
         plan = view(spark, "/root/testdata/sf0.001", name)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_partitions_of_months_follow_the_tables(spark, monkeypatch):
+    """Sums are over as many rows a task whatever the tables' size, so that they don't spill."""
+    from pitstats.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    sizes = {}
+    for part in (1 << 30, 4_000):
+        fixtures.forget()
+        monkeypatch.setattr(fixtures, "PART_BYTES", part)
+        sizes[part] = len(view(spark, sf, "fx_months").inputFiles())
+    fixtures.forget()
+    assert sizes[1 << 30] <= 8 and sizes[4_000] > 20
