@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Repeated rows of the history for which one partition is made.
+ROWS = 250_000
+
+
 class LeakError(ValueError):
     """A feature depends on rows that it may not see."""
 
@@ -43,10 +47,13 @@ def leak_check_all(
     Each cutoff of the targets has a version of the history in which all rows at and after it are rewritten and a late
     row, stamped at the cutoff, is added for each of its targets; the realised `outcomes` of the targets are rewritten
     too. All versions are checked in one pass: `features(targets, history, by)` is called once with the entity's columns
-    and once with the version beside them. The history is read once for each cutoff, and cutoffs are those of a
-    calendar, so their list is short.
+    and once with the version beside them. The history is repeated for each cutoff, and cutoffs are those of a
+    calendar, so their list is short. It is moved to its entity's partition before that, and windows and groups by
+    entity and version then find all their rows there; partitions grow in number with the repeated rows.
     """
     cuts = [r[0] for r in targets.select(cutoff).distinct().where(F.col(cutoff).isNotNull()).collect()]
+    tasks = max(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), history.count() * len(cuts) // ROWS)
+    history, targets = history.repartition(tasks, *by), targets.repartition(tasks, *by)
     fixed = {*by, at, *structural}
     bad = corrupted(history, [c for c in history.columns if c not in fixed])
     versions = history.withColumn("_version", F.explode(F.array(*map(F.lit, cuts)).cast(f"array<{dict(targets.dtypes)[cutoff]}>")))

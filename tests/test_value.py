@@ -85,3 +85,24 @@ def test_a_leak_at_a_middle_cutoff_is_found(spark):
 
     got = {(r.cutoff.day, r.column): (r.n, r.n_changed) for r in leakage.leak_check_all(targets, history, features, ["k"], ["k", "d"], "ts", "cutoff", [], ["y"]).collect()}
     assert got == {(d, c): (2, 2 if (d, c) == (2, "peek") else 0) for d in (1, 2, 3) for c in ("x", "peek")}
+
+
+def test_history_moves_before_it_is_repeated(spark):
+    """The versions' windows find their rows where the entity's history lies: no exchange sees repeated rows."""
+    from pyspark.sql import Window
+
+    at = lambda d, h: datetime(2024, 1, d, h)
+    history = spark.createDataFrame([(k, at(d, 5), d) for k in range(4) for d in (1, 2, 3)], "k long, ts timestamp, x long")
+    targets = spark.createDataFrame([(k, d, at(d, 12), 7) for k in range(4) for d in (1, 2, 3)], "k long, d int, cutoff timestamp, y long")
+    plans = []
+
+    def features(rows, seen, by):
+        counted = seen.withColumn("n_known", F.count("*").over(Window.partitionBy(*by).orderBy("ts")))
+        known = joins.latest_before(counted, rows, by, "ts", "cutoff", ["x", "n_known"], ["x"])
+        plans.append(known._jdf.queryExecution().executedPlan().toString())
+        return known
+
+    report = leakage.leak_check_all(targets, history, features, ["k"], ["k", "d"], "ts", "cutoff", [], ["y"])
+    assert {r.n_changed for r in report.collect()} == {0}
+    exchanges = [line for line in plans[1].splitlines() if "Exchange" in line]
+    assert exchanges and not any("_version" in line for line in exchanges)
