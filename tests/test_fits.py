@@ -60,3 +60,11 @@ def test_earlier_seasons(spark, seasons):
     df = spark.createDataFrame([(s, i) for s in seasons for i in range(2)], "season long, v int")
     got = sorted((r.season, r.v) for r in fit.earlier_seasons(df).collect())
     assert got == sorted((t, v) for s in seasons for t in seasons if s < t for v in range(2))
+
+
+def test_survival_of_earlier_seasons_repeats_counts(spark):
+    rows = [(s, k, w, "g") for s in (2000, 2001, 2003) for k in range(6) for w in range(1, 3 + (k * s) % 4)]
+    runs = value.runs(spark.createDataFrame(rows, "season int, k long, week long, g string"), ["k", "season"], "season", "week")
+    want = {tuple(r) for r in value.survival(fit.earlier_seasons(runs), ["season", "g"], 4).select("season", "lead", "at_risk", "ended", "alive").collect()}
+    got = {tuple(r) for r in value.survival(runs, ["season", "g"], 4, "season").select("season", "lead", "at_risk", "ended", "alive").collect()}
+    assert got == want and {r[0] for r in got} == {2001, 2003}
