@@ -61,11 +61,11 @@ def exact_quantiles(
     return _joined(groups, few.unionByName(many), keys, how="left").select(*names, "q")
 
 
-def _inside(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that lie in one of their group's brackets (disjoint, a few for each wanted rank), with `_lo`, `_hi`."""
-    brackets = wanted.groupBy(*keys).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_b"))
-    hit = _joined(rows, brackets, keys).withColumn("_b", F.filter("_b", lambda b: (F.col("_x") >= b["_lo"]) & (F.col("_x") <= b["_hi"])))
-    return hit.where(F.size("_b") > 0).select(*keys, "_x", F.get("_b", F.lit(0))["_lo"].alias("_lo"), F.get("_b", F.lit(0))["_hi"].alias("_hi"))
+def _inside(hit: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in cells that hold wanted ranks, with these cells' `_lo`, `_hi`: a row is looked up by its bracket and cell."""
+    brackets = wanted.select(*keys, "_from", "_cell", "_lo", "_hi").distinct()
+    own = hit.select(*keys, "_x", F.col("_lo").alias("_from"), "_cell")
+    return _joined(own, brackets, keys, ["_from", "_cell"]).select(*keys, "_x", "_lo", "_hi")
 
 
 def _narrowed(counts: DataFrame, wanted: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _narrowed(counts: DataFrame, wanted: DataFrame, keys: list[str], at: str) ->
     found = _joined(wanted.select(*keys, "_lo", "_pos", "_rank"), parts, keys, ["_lo"])
     found = found.where((F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_c")))
     return found.select(
-        *keys, "_pos", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_rank"), "_c"
+        *keys, "_pos", F.col("_lo").alias("_from"), F.col(at).alias("_cell"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_rank"), "_c"
     )
 
 
@@ -85,20 +85,22 @@ def _by_counts(rows: DataFrame, large: DataFrame, keys: list[str], probs: list[f
     ranks = F.posexplode(F.array(*sides)).alias("_pos", "_rank")
     wanted, found, done = _kept(large.select(*keys, "_n", "_lo", "_hi", ranks), "quantile-ranks"), None, False
     wanted = wanted.select(*keys, "_pos", "_lo", "_hi", "_rank", F.col("_n").alias("_c"))
+    hit = _joined(rows, large.select(*keys, "_lo", "_hi"), keys)
     while not done:
-        hit = _inside(rows, wanted, keys)
         # halves, so that no width is infinite; a monotone function of the value
         share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
         cell = F.when(F.col("_hi") / 2 > F.col("_lo") / 2, F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(0)
-        counts = hit.groupBy(*keys, "_lo", cell.alias("_cell")).agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+        hit = hit.withColumn("_cell", cell.cast("long"))
+        counts = hit.groupBy(*keys, "_lo", "_cell").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
         now = _kept(_narrowed(counts, wanted, keys, "_cell"), "quantile-ranks")
         settled = now.where("_lo = _hi").select(*keys, "_pos", F.col("_lo").alias("_v"))
         found = settled if found is None else found.unionByName(settled)
         wide = F.col("_hi") / 2 > F.col("_lo") / 2
         wanted = now.where("_lo < _hi")
+        hit = _inside(hit, wanted, keys)
         done = wanted.where((F.col("_c") > finish) & wide).isEmpty()
     # brackets of few rows, or of neighbouring tiny numbers: their distinct values in order
-    values = _inside(rows, wanted, keys).groupBy(*keys, "_lo", "_x").agg(F.count("*").alias("_c"))
+    values = hit.groupBy(*keys, "_lo", "_x").agg(F.count("*").alias("_c"))
     last = _narrowed(values.withColumn("_least", F.col("_x")).withColumn("_most", F.col("_x")), wanted, keys, "_x")
     found = found.unionByName(last.select(*keys, "_pos", F.col("_lo").alias("_v")))
     by_place = F.map_from_entries(F.collect_list(F.struct("_pos", "_v")))  # two values for each probability

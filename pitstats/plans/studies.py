@@ -165,9 +165,10 @@ def isotonic_fit(spark, sf_dir):
     by = ["season", "position"]
     past = fit.earlier_seasons(rows.select(*by, "proj", "actual"))
     cells = isotonic.fit(past, by, "proj", "actual", [i / 100 for i in range(1, 100)], [i / 200 for i in range(201)])
-    out = isotonic.distribution(rows, cells, by, "proj").where("f is not null")
-    q = {f"q{round(100 * t)}": r4(isotonic.quantile(F.col("f"), F.col("z"), t, F.col("floor")), 3) for t in (0.1, 0.5, 0.9)}
-    return out.select("season", "position", "k", "gi", "actual", *(c.alias(n) for n, c in q.items()))
+    out = isotonic.distribution(rows, cells, by, "proj").where("z is not null")
+    levels = {f"q{round(100 * t)}": t for t in (0.1, 0.5, 0.9)}
+    out = out.withColumn("q", isotonic.quantiles(F.col("f"), F.col("z"), levels, F.col("floor")))
+    return out.select("season", "position", "k", "gi", "actual", *(r4(F.col("q")[n], 3).alias(n) for n in levels))
 
 
 @query("display_map")

@@ -71,3 +71,26 @@ def test_fit_and_quantiles(spark, parts):
                 assert np.isclose(r.q, max(y.min(), np.interp(0.6, f, z) if f[0] < 0.6 <= f[-1] else (z[0] if f[0] >= 0.6 else z[-1])))
     one = cells[cells.c == "one"]
     assert len(one) == 1 and one.f0.iloc[0].tolist() == [1.0] and got[("none", 1.0)].f is None
+
+
+@pytest.mark.parametrize("piece", [1, 7])
+def test_pieces_keep_equal_points_together(spark, piece):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.gamma(2, 3, 90), 0)
+    y = np.round(x * rng.random(90), 1)
+    df = spark.createDataFrame([("a", float(u), float(v)) for u, v in zip(x, y)], "c string, x double, y double")
+    got, want = (iso.fit(df, ["c"], "x", "y", [0.2, 0.5], [i / 10 for i in range(11)], piece=p).orderBy("k").collect() for p in (piece, 10_000))
+    assert [r.f0 for r in got] == [r.f0 for r in want] and [r.f1 for r in got] == [r.f1 for r in want]
+
+
+def test_many_points_are_pooled_in_passes():
+    """A million points take less than a second; they took several before."""
+    import time
+
+    rng = np.random.default_rng(6)
+    x, n = np.arange(1e6), np.ones(10**6)
+    s = (rng.random(10**6) < np.linspace(0.7, 0.3, 10**6)).astype(float)
+    began = time.process_time()
+    low, high, m, total = iso.pooled(x, x, n, s)
+    assert time.process_time() - began < 0.6
+    assert m.sum() == 1e6 and total.sum() == s.sum() and (np.diff(total / m) < 0).all()
