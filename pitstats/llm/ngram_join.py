@@ -480,11 +480,16 @@ def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
     ranked = postings.join(weight, "gid")
     entry = F.struct("gid", "size", "pos")
     ranks = [F.struct("w", "gid"), *(F.xxhash64("gid", F.lit(i)) for i in range(1, LEADERS))]
-    leaders = (
-        ranked.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), entry.alias("e"))).alias(f"l{i}") for i, r in enumerate(ranks)))
-        .select("token", F.array_distinct(F.array(*(F.col(f"l{i}.e") for i in range(LEADERS)))).alias("leaders"))
-    )
-    both = postings.join(leaders, "token")
+
+    def against(rows: DataFrame, own: DataFrame) -> DataFrame:
+        """`own` with its n-gram's leaders among `rows`."""
+        leaders = rows.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), entry.alias("e"))).alias(f"l{i}") for i, r in enumerate(ranks)))
+        return own.join(leaders.select("token", F.array_distinct(F.array(*(F.col(f"l{i}.e") for i in range(LEADERS)))).alias("leaders")), "token")
+
+    # few groups meet under most n-grams: entries are moved, not each task's leaders, which would be larger than they;
+    # of crowded n-grams each task's leaders are moved, so that no task gets all entries of one
+    plain, crowded = (lambda rows: rows.where("not crowded")), (lambda rows: rows.where("crowded"))
+    both = against(plain(ranked).repartition("token"), plain(postings)).unionByName(against(crowded(ranked), crowded(postings)))
     fits = F.filter(
         "leaders", lambda e: (e["gid"] != F.col("gid")) & _first_meeting(e["size"], e["pos"], F.col("size"), F.col("pos"), threshold)
     )
@@ -508,12 +513,13 @@ def _rest_pairs(postings: DataFrame, threshold: Fraction, members: DataFrame) ->
     spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     classed = postings.join(spread, "gid")
     mixed = classed.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("token")
-    left = classed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "size", "pos", "lo", "hi")))
+    rows = classed.join(mixed, "token", "left_semi")
+    # both sides name their columns anew: the plans are alike then, and one exchange serves both
+    left, right = (rows.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "size", "pos", "lo", "hi"))) for i in (1, 2))
     return (
-        left.join(right, "token").where("gid < gid2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-        .where(_first_meeting(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), threshold))
-        .select(F.col("gid").alias("ga"), F.col("gid2").alias("gb")).distinct()
+        left.join(right, "token").where("gid1 < gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+        .where(_first_meeting(F.col("size1"), F.col("pos1"), F.col("size2"), F.col("pos2"), threshold))
+        .select(F.col("gid1").alias("ga"), F.col("gid2").alias("gb")).distinct()
     )
 
 
@@ -544,7 +550,7 @@ def linked_sets(docs: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame
     dealt = written(_deal_postings(docs, shared, n, threshold, buckets), "prefixes")
     met = written(_meetings(dealt, buckets), "postings")
     # crowded n-grams' groups come from several buckets
-    postings = met.where("not crowded").drop("crowded").union(met.where("crowded").drop("crowded").distinct())
+    postings = met.where("not crowded").union(met.where("crowded").distinct())
     members = dealt.where("gid is not null").groupBy("gid", "set").agg(F.min("doc_id").alias("doc"))
     members = written(members.select("gid", _vertex(F.col("doc"), F.col("set")).alias("v")), "members")
     pairs = written(_promising(_leader_pairs(postings, threshold), postings, threshold), "pairs")

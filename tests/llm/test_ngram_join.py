@@ -87,3 +87,18 @@ def test_long_texts_are_cut_at_white_space(monkeypatch):
     whole = nj.Shingler(5).shingles([text, b"", b"a b", text])
     assert [s.tolist() for s in small] == [s.tolist() for s in whole]
     assert [len(s) for s in whole[1:3]] == [0, 1]
+
+
+def test_leaders_move_entries_and_not_each_tasks_leaders(spark):
+    """Under n-grams that few groups share a task's leaders are larger than the entries; crowded ones are summed first."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [(t, bytes([g] * 16), 20, r.randrange(4)) for t in range(40) for g in r.sample(range(30), r.choice([2, 3, 20]))]
+    postings = spark.createDataFrame(rows, "token long, gid binary, size long, pos long")
+    found = {c: nj._leader_pairs(postings.withColumn("crowded", F.lit(c) | F.col("token").isNull()), nj.THRESHOLD) for c in (False, True)}
+    got = {c: sorted((bytes(x.ga), bytes(x.gb)) for x in df.collect()) for c, df in found.items()}
+    assert got[False] and got[False] == got[True]
+    plan = found[False]._jdf.queryExecution().toString()
+    entries = [line for line in plan.splitlines() if "Exchange hashpartitioning(token" in line and "REPARTITION_BY_COL" in line]
+    assert entries
