@@ -28,7 +28,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +106,14 @@ def cells_of(hasher: Hasher, data: bytes, span: int) -> tuple[np.ndarray, ...] |
     return tuple(np.concatenate(c) for c in zip(*out)) if len(out) > 1 else out[0]
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
+def _starts(first: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     """True where a sorted table's key changes."""
-    new = np.zeros(len(columns[0]), bool)
+    return _changes(len(first), (first, *columns))
+
+
+def _changes(n: int, columns: Iterable[np.ndarray]) -> np.ndarray:
+    """True where one of the columns, which are taken one after another, differs from the row before."""
+    new = np.zeros(n, bool)
     new[:1] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
@@ -195,15 +200,24 @@ def _open_cells(dealt: DataFrame, buckets: int, span: int) -> DataFrame:
         parts = [unpack(d) for batch in batches for d in batch.column("data").to_pylist()]
         if not parts:
             return
-        cells = np.concatenate([p[1] for p in parts])
-        doc, row_hash = (np.concatenate([p[i][p[2]] for p in parts]) for i in (6, 7))
-        first, wide, lead = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-        marked = np.unique(np.concatenate([p[8] for p in parts]))
-        anchor = np.concatenate([p[0] for p in parts])
+
+        def column(i: int) -> np.ndarray:
+            """A column of all parts, which are let go of it."""
+            found = np.concatenate([p[i] for p in parts])
+            for p in parts:
+                p[i] = None
+            return found
+
+        for p in parts:
+            p[7] = p[7][p[2]]
+            p[6], p[2] = p[6][p[2]], None
+        anchor, cells, first, wide, lead, doc, row_hash, marked = (column(i) for i in (0, 1, 3, 4, 5, 6, 7, 8))
         del parts
-        some = np.flatnonzero(cells)
+        marked = np.unique(marked)
+        some = np.flatnonzero(cells).astype(np.int32)
         order = np.argsort(anchor, kind="stable")
         anchor, some = anchor[order], some[order]
+        del order
         open_ = _several(anchor, doc[some])
         if len(marked):
             at = np.minimum(np.searchsorted(marked, anchor), len(marked) - 1)
@@ -252,9 +266,8 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         less, equal, _ = np.bincount(side, minlength=3 * len(lo)).reshape(-1, 3).T
         a, b = lo + less, lo + less + equal
         lo, hi, depth = np.concatenate((lo, a, b)), np.concatenate((a, b, hi)), np.concatenate((depth, depth + 1, depth))
-    new = np.ones(n, bool)
-    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
-    return order, np.cumsum(new) - 1
+    # word by word: all words in order at once would be two more copies of the table
+    return order, np.cumsum(_changes(n, (words[order, i] for i in range(width)))) - 1
 
 
 class Suffixes:
@@ -341,6 +354,7 @@ def _deal_suffixes(joined: DataFrame, splitters: np.ndarray, hot: np.ndarray, sp
         def deal() -> pa.RecordBatch:
             nonlocal turn
             doc, row_hash, start, rows = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             order, group, least = _equal_cells(rows, doc)
             doc, row_hash, start, rows = doc[order], row_hash[order], start[order], rows[order]
             token = _token(rows)
@@ -424,17 +438,18 @@ def _compare_suffixes(dealt: DataFrame, partitions: int, hot: np.ndarray, span:
                 at = 8 + int.from_bytes(data[:8], "little")
                 local, start, gone, start_gone, wide, ids, hashes = unpack(data[8:at])
                 columns.append((ids[local], hashes[local], start, ids[gone], hashes[gone], start_gone, wide.astype(np.int32)))
-                rows.append(np.frombuffer(plain.decompress(data[at:]), np.uint8).reshape(-1, suffixes.used))
+                rows.append(data[at:])
         if not columns:
             return
         doc, row_hash, start, *done = (np.concatenate(c) for c in zip(*columns))
         yield from ranges(done[0], done[1], done[2], done[2] + done[3])
         whole = np.zeros((len(doc), suffixes.width), np.uint8)
         at = 0
-        for flat in rows:
+        for flat in rows:  # still compressed, so that only the whole table stands in memory
+            flat = np.frombuffer(plain.decompress(flat), np.uint8).reshape(-1, suffixes.used)
             whole[at : at + len(flat), : suffixes.used] = flat
             at += len(flat)
-        del columns, rows, done
+        del columns, rows, done, flat
         order, group, least = _equal_cells(whole, doc)
         doc, row_hash, start, rows = doc[order], row_hash[order], start[order].astype(np.int64), whole[order]
         del whole
@@ -449,6 +464,7 @@ def _compare_suffixes(dealt: DataFrame, partitions: int, hot: np.ndarray, span:
         head[:, K:] = 0
         new = np.ones(len(classes), bool)
         new[1:] = (head[1:] != head[:-1]).any(axis=1)
+        del head
         anchors = np.flatnonzero(new)
         owner = least  # class numbers have no gaps: each class keeps its smallest document's rows
         if len(anchors):

@@ -94,3 +94,19 @@ def test_multikey_order():
 
 def test_kept_parts():
     assert sd.kept_parts(b"abcdefgh", [(1, 3), (2, 4), (4, 5), (6, 8)]) == (b"af", 6, 2)
+
+
+def test_ordering_holds_few_copies():
+    """Beside the order and the classes no two more copies of the table stand in memory."""
+    import tracemalloc
+
+    words = np.random.default_rng(3).integers(0, 2, (60_000, 11)).astype(np.uint64)
+    words[:, 0] = np.arange(len(words)) // 2
+    tracemalloc.start()
+    order, group = sd.multikey_order(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = list(map(tuple, words[order].tolist()))
+    assert keys == sorted(map(tuple, words.tolist()))
+    assert group.tolist() == np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:]))]).tolist()
+    assert peak < 2 * words.nbytes, peak / words.nbytes
