@@ -106,3 +106,39 @@ def test_history_moves_before_it_is_repeated(spark):
     assert {r.n_changed for r in report.collect()} == {0}
     exchanges = [line for line in plans[1].splitlines() if "Exchange" in line]
     assert exchanges and not any("_version" in line for line in exchanges)
+
+
+def test_ranks_of_many_partitions(spark):
+    """Ranks go on over range partitions, and no window holds a whole season."""
+    r = random.Random(5)
+    rows = [(s, k, r.choice(["a", "b", None]), float(r.randrange(30))) for s in (1, 2, None) for k in range(300)]
+    got = value.ranked(spark.createDataFrame(rows, "s int, k long, p string, v double"), "s", "p", [F.desc("v"), F.col("k")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    numbered = [line for line in plan.splitlines() if "row_number()" in line and "windowspecdefinition(" in line]
+    assert numbered and all("windowspecdefinition(_part" in line for line in numbered)
+    seen, want = {}, {}
+    for s, k, p, v in sorted(rows, key=lambda x: (-x[3], x[1])):
+        for group in ((s,), (s, p)):
+            seen[group] = seen.get(group, 0) + 1
+        want[s, k] = seen[(s,)], seen[s, p]
+    assert {(x.s, x.k): (x.overall_rank, x.position_rank) for x in got.collect()} == want
+
+
+def test_levels_move_a_few_rows_of_each_task(spark):
+    rows = [(k, p, 2000, w, float((k * w) % 7)) for k in range(60) for p in ("ab"[k % 2],) for w in (1, 2, 3) if (k + w) % 5]
+    rows += [(None, "a", 2000, 1, 9.0), (7, None, 2000, 2, 9.0), (8, "a", None, 1, 9.0), (9, "b", 2000, None, 9.0), (61, "a", 2000, 3, None)]
+    df = spark.createDataFrame(rows, "k long, p string, season int, week int, v double")
+    weekly = value.with_byes(df, ["k", "p"], "season", "week", "v").withColumn("rostered", F.col("k") % 3 != 0)
+    # by joins of all entities with all weeks, as the rows are defined
+    grid = df.select("k", "p", "season").distinct().join(df.select("season", "week").distinct(), "season")
+    plain = grid.join(df.withColumn("has_game", F.lit(True)), ["k", "p", "season", "week"], "left").na.fill({"v": 0.0, "has_game": False})
+    columns = ["k", "p", "season", "week", "v", "has_game"]
+    assert sorted(map(str, weekly.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    levels = value.weekly_levels(weekly, "week", "p", "v", "k", "rostered", {"a": 1, "b": 2}, 3, ["a"])
+    started = value.starters(weekly, "week", "p", "v", "k", {"a": 1, "b": 2}, 3, ["a"]).where("p is not null and week is not null").collect()
+    for r in levels.where("week is not null").collect():
+        own = [x for x in started if (x.week, x.p) == (r.week, r.p)]
+        most = lambda found: max(found, default=0.0)
+        free = most([x.v for x in own if x.rostered is False])
+        assert (r.marginal, r.waiver, r.streamer) == (most([x.v for x in own if not x.starter]), free, free)
+    assert levels._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 1
