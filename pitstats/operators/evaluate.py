@@ -85,8 +85,10 @@ def pairwise_accuracy(
 
     def block(c: str) -> Column:
         """Values that are a cut have odd blocks of their own, in which no two values differ."""
-        below = F.size(F.filter(f"{c}_cuts", lambda v: v < F.col(c))) * 2 + F.array_contains(f"{c}_cuts", F.col(c)).cast("int")
-        return F.when(F.col("_n").isNull(), 0).otherwise(below)
+        # cuts are sorted: how many are smaller is found by halving
+        less = lambda at, step: F.when(F.get(f"{c}_cuts", at + step - 1) < F.col(c), at + step).otherwise(at)
+        below = F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(max(1, (blocks - 1).bit_length()))))), F.lit(0), less)
+        return F.when(F.col("_n").isNull(), 0).otherwise(below * 2 + F.coalesce(F.get(f"{c}_cuts", below) == F.col(c), F.lit(False)).cast("int"))
 
     cut = cut.select(*group, "_a", "_p", "_c", block("_a").alias("_i"), block("_p").alias("_j"), F.col("_n").isNotNull().alias("_large"))
     point = lambda kind, b, x, y: F.struct(F.lit(kind).alias("kind"), b.alias("b"), x.cast("double").alias("x"), y.cast("double").alias("y"))
