@@ -30,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitstats.llm.common import bytes_of, doc_columns, in_batches, merged_pieces, pack, slices, trim, unpack, written
@@ -352,14 +352,11 @@ def _vertex_set(vertex: Column) -> Column:
     return F.substring(vertex, 9, 16)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """`v` and its set's sorted n-grams, of the wanted vertices.
-
-    A filter of bounded size on ids keeps most other documents' texts from being shuffled; the join is exact.
-    """
-    wanted = wanted.select("v", _vertex_doc(F.col("v")).alias("doc_id"), _vertex_set(F.col("v")).alias("set"))
+def _filter(hashed: DataFrame):
+    """A filter of bounded size on the hashes `h`: `make(kept, columns)` for `in_batches` keeps the rows whose `k` may
+    be (or surely isn't) one of them. It saves texts from being shuffled; exact joins follow."""
     bits = 1 << 20
-    while bits < min(FILTER_BITS, FILTER_RATE * wanted.count()):
+    while bits < min(FILTER_BITS, FILTER_RATE * hashed.count()):
         bits *= 2
 
     def marks(batches):
@@ -376,35 +373,47 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             [pa.array([part] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int64()), pa.array(pieces, pa.binary())], ["part", "piece", "data"]
         )
 
-    hashed = wanted.select(F.xxhash64("doc_id").alias("h")).coalesce(256)
-    found = merged_pieces(hashed.mapInArrow(marks, "part long, piece long, data binary"), 256, np.bitwise_or)
-    shared = docs.sparkSession.sparkContext.broadcast(np.concatenate(found) if found else np.zeros(bits // 8, np.uint8))
+    found = merged_pieces(hashed.coalesce(256).mapInArrow(marks, "part long, piece long, data binary"), 256, np.bitwise_or)
+    shared = hashed.sparkSession.sparkContext.broadcast(np.concatenate(found) if found else np.zeros(bits // 8, np.uint8))
 
-    def make_filter():
+    def make(kept: bool, columns: list[str]):
         mask = shared.value
 
         def step(batch):
             h = batch.column("k").to_numpy().astype(np.uint64) & _U(bits - 1)
             keep = mask[(h >> _U(3)).astype(np.int64)] >> (h & _U(7)).astype(np.uint8) & 1
-            return batch.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
+            return batch.filter(pa.array(keep.astype(bool) == kept)).select(columns)
 
         return step
 
+    return make
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """`v` and its set's sorted n-grams, of the wanted vertices."""
+    wanted = wanted.select("v", _vertex_doc(F.col("v")).alias("doc_id"), _vertex_set(F.col("v")).alias("set"))
+    make_filter = _filter(wanted.select(F.xxhash64("doc_id").alias("h")))
+
     def make_sets():
         shingler = Shingler(n)
+        seen: set[bytes] = set()  # rows of one id and one set give one and the same entry; the join has put them together
 
         def step(batch):
             found = shingler.shingles(bytes_of(batch))
-            keep = [i for i, (f, w) in enumerate(zip(found, batch.column("set").to_pylist())) if _hash128(f.tobytes()) == w]
+            keep = []
+            for i, (f, w, v) in enumerate(zip(found, batch.column("set").to_pylist(), batch.column("v").to_pylist())):
+                if v not in seen and _hash128(f.tobytes()) == w:
+                    seen.add(v)
+                    keep.append(i)
             return pa.RecordBatch.from_arrays(
                 [batch.column("v").take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["v", "grams"]
             )
 
         return step
 
-    near = in_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")), make_filter, "doc_id long, text string")
-    # rows of one id and one set give one and the same entry
-    return in_batches(near.join(wanted, "doc_id"), make_sets, "v binary, grams binary").dropDuplicates(["v"])
+    near = in_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")), lambda: make_filter(True, ["doc_id", "text"]), "doc_id long, text string")
+    # where a task of a crowded id is split an entry may come twice; its links then come twice too, which adds nothing
+    return in_batches(near.join(wanted, "doc_id"), make_sets, "v binary, grams binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -476,20 +485,20 @@ def _compared(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction) ->
 
 def _leader_pairs(postings: DataFrame, threshold: Fraction) -> DataFrame:
     """Groups against a few leaders of their n-gram: the one whose prefix is most shared, and some by hash."""
-    weight = postings.groupBy("gid").agg((-F.count("*") / F.first("size")).alias("w"))
-    ranked = postings.join(weight, "gid")
+    ranked = postings.withColumn("w", -F.count("*").over(Window.partitionBy("gid")) / F.col("size"))
     entry = F.struct("gid", "size", "pos")
     ranks = [F.struct("w", "gid"), *(F.xxhash64("gid", F.lit(i)) for i in range(1, LEADERS))]
-
-    def against(rows: DataFrame, own: DataFrame) -> DataFrame:
-        """`own` with its n-gram's leaders among `rows`."""
-        leaders = rows.groupBy("token").agg(*(F.min(F.struct(r.alias("r"), entry.alias("e"))).alias(f"l{i}") for i, r in enumerate(ranks)))
-        return own.join(leaders.select("token", F.array_distinct(F.array(*(F.col(f"l{i}.e") for i in range(LEADERS)))).alias("leaders")), "token")
-
-    # few groups meet under most n-grams: entries are moved, not each task's leaders, which would be larger than they;
-    # of crowded n-grams each task's leaders are moved, so that no task gets all entries of one
-    plain, crowded = (lambda rows: rows.where("not crowded")), (lambda rows: rows.where("crowded"))
-    both = against(plain(ranked).repartition("token"), plain(postings)).unionByName(against(crowded(ranked), crowded(postings)))
+    least = [F.min(F.struct(r.alias("r"), entry.alias("e"))) for r in ranks]
+    leaders = F.array_distinct(F.array(*(F.col(f"l{i}.e") for i in range(LEADERS)))).alias("leaders")
+
+    # few groups meet under most n-grams: entries are moved once and get their leaders where they meet; of crowded
+    # n-grams each task's leaders are moved, so that no task gets all entries of one
+    token = Window.partitionBy("token")
+    plain = ranked.where("not crowded").repartition("token").select("gid", "size", "pos", *(m.over(token).alias(f"l{i}") for i, m in enumerate(least)))
+    many = ranked.where("crowded").groupBy("token").agg(*(m.alias(f"l{i}") for i, m in enumerate(least))).select("token", leaders)
+    both = plain.select("gid", "size", "pos", leaders).unionByName(
+        postings.where("crowded").join(many, "token").select("gid", "size", "pos", "leaders")
+    )
     fits = F.filter(
         "leaders", lambda e: (e["gid"] != F.col("gid")) & _first_meeting(e["size"], e["pos"], F.col("size"), F.col("pos"), threshold)
     )
@@ -510,17 +519,24 @@ def _leader_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _rest_pairs(postings: DataFrame, threshold: Fraction, members: DataFrame) -> DataFrame:
     """Pairs of groups that meet under an n-gram and are not all in one class; `members` have roots."""
-    spread = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    classed = postings.join(spread, "gid")
-    mixed = classed.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most").select("token")
-    rows = classed.join(mixed, "token", "left_semi")
-    # both sides name their columns anew: the plans are alike then, and one exchange serves both
-    left, right = (rows.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "size", "pos", "lo", "hi"))) for i in (1, 2))
-    return (
-        left.join(right, "token").where("gid1 < gid2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-        .where(_first_meeting(F.col("size1"), F.col("pos1"), F.col("size2"), F.col("pos2"), threshold))
-        .select(F.col("gid1").alias("ga"), F.col("gid2").alias("gb")).distinct()
-    )
+    # a group's class by 64 bits, null where its members are of several
+    spread = members.groupBy("gid").agg(F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).alias("c"))
+    several = lambda over: (over(F.count("c")) < over(F.count("*"))) | (over(F.min("c")) != over(F.max("c")))
+
+    def among(rows: DataFrame) -> DataFrame:
+        # both sides name their columns anew: the plans are alike then, and one exchange serves both
+        left, right = (rows.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("gid", "size", "pos", "c"))) for i in (1, 2))
+        return (
+            left.join(right, "token").where("gid1 < gid2 and not (c1 <=> c2 and c1 is not null)")
+            .where(_first_meeting(F.col("size1"), F.col("pos1"), F.col("size2"), F.col("pos2"), threshold))
+            .select(F.col("gid1").alias("ga"), F.col("gid2").alias("gb"))
+        )
+
+    # entries of crowded n-grams don't move before it is known that their groups are of several classes
+    plain, crowded = (postings.where(x).join(spread, "gid") for x in ("not crowded", "crowded"))
+    plain = plain.withColumn("several", several(lambda x: x.over(Window.partitionBy("token")))).where("several")
+    mixed = crowded.groupBy("token").agg(several(lambda x: x).alias("several")).where("several").select("token")
+    return among(plain).union(among(crowded.join(mixed, "token", "left_semi"))).distinct()
 
 
 def _rest_members(pairs: DataFrame, members: DataFrame, tested: DataFrame) -> DataFrame:
@@ -601,12 +617,19 @@ def keep_one(
     rooted = written(_with_roots(_docs(documents, id_col, text_col), n, threshold).where("root is not null"), "classes")
     first = rooted.where((F.col("doc_id") == _vertex_doc(F.col("root"))) & (F.col("set") == _vertex_set(F.col("root"))))
     kept = first.groupBy("doc_id", "set").agg(F.min("h").alias("h")).select("doc_id", "h")
-    gone = rooted.select("doc_id", "h").distinct().join(kept, ["doc_id", "h"], "left_anti")
+    gone = written(rooted.select("doc_id", "h").distinct().join(kept, ["doc_id", "h"], "left_anti"), "gone")
+    again = rooted.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h").join(kept, ["doc_id", "h"], "left_semi")
+    again = written(again, "again")
     key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
     named = documents.select(F.struct(*documents.columns).alias("row"), key[0].alias("doc_id"), key[1].alias("h"))
-    left = named.join(gone, ["doc_id", "h"], "left_anti")
-    again = rooted.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h").join(kept, ["doc_id", "h"], "left_semi")
+    # only rows that may go or come again are moved
+    make = _filter(gone.union(again).select(F.xxhash64("doc_id", "h").alias("h")))
+    near, sure = (
+        in_batches(named.withColumn("k", F.xxhash64("doc_id", "h")), lambda kept=kept: make(kept, ["row", "doc_id", "h"]), named.schema)
+        for kept in (True, False)
+    )
+    left = near.join(gone, ["doc_id", "h"], "left_anti")
     if again.limit(1).count():
         one = left.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
         left = left.join(again, ["doc_id", "h"], "left_anti").unionByName(one)
-    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+    return sure.unionByName(left).select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns))

@@ -102,3 +102,62 @@ def test_leaders_move_entries_and_not_each_tasks_leaders(spark):
     plan = found[False]._jdf.queryExecution().toString()
     entries = [line for line in plan.splitlines() if "Exchange hashpartitioning(token" in line and "REPARTITION_BY_COL" in line]
     assert entries
+
+
+def test_entries_move_once_for_each_key(spark):
+    """Leaders and what is left each move an entry once by its group and once by its n-gram; crowded ones give the same."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    rows = [(t, bytes([g] * 16), 20, r.randrange(4)) for t in range(40) for g in r.sample(range(30), r.choice([1, 2, 3, 12]))]
+    postings = spark.createDataFrame(rows, "token long, gid binary, size long, pos long")
+    members = [(bytes([g] * 16), bytes([g, m] * 12), bytes([g % 7 if g % 5 else 90 + m] * 24)) for g in range(30) for m in range(2)]
+    classes = {g: {root for gid, _, root in members if gid == g} for g, _, _ in members}
+    members = spark.createDataFrame(members, "gid binary, v binary, root binary")
+    want = {
+        (a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]
+        and len(classes[a[1]] | classes[b[1]]) > 1 and max(a[3], b[3]) <= 20 - 18
+    }  # sets of 20 must share 18
+    for crowded in (False, True):
+        own = postings.withColumn("crowded", F.lit(crowded) | F.col("token").isNull())
+        rest = nj._rest_pairs(own, nj.THRESHOLD, members)
+        found = [(bytes(x.ga), bytes(x.gb)) for x in rest.collect()]
+        assert want and len(found) == len(set(found)) and set(found) == want
+        if not crowded:
+            by_token = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(token")
+            leaders = nj._leader_pairs(own, nj.THRESHOLD)
+            leaders.collect()
+            assert by_token(leaders) == 1
+
+
+def test_sets_of_repeated_rows_come_once_and_are_not_moved_again(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text.upper()), (1, text + " x"), (2, text)], "doc_id long, text string")
+    keys = {t: nj._hash128(nj.Shingler(5).shingles([t.encode()])[0].tobytes()) for t in (text, text + " x")}
+    wanted = spark.createDataFrame([(1, bytearray(keys[text])), (1, bytearray(keys[text + " x"]))], "doc long, set binary").select(
+        nj._vertex(F.col("doc"), F.col("set")).alias("v")
+    )
+    sets = nj._sets_of(docs, wanted, 5)
+    assert sorted(len(r.grams) // 8 for r in sets.collect()) == [26, 27]
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0]
+
+
+def test_keep_one_moves_only_rows_that_may_go(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, " ".join(f"{i}x{j}" for j in range(30)), [i]) for i in range(300)] + [(500 + i, text, [i]) for i in range(5)]
+    rows += [(7, rows[7][1], [7]), (None, text, [0]), (None, text, [0]), (900, None, [1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more array<int>")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = nj.keep_one(df)
+        want = [(i, rows[i][1], [i]) for i in range(300)] + [(500, text, [0]), (None, text, [0]), (None, text, [0]), (900, None, [1])]
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        moved = plan.splitlines()
+        assert plan.count("MapInArrow") >= 2 and moved[0].startswith("Union")  # rows that surely stay meet no join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
