@@ -35,7 +35,7 @@ Q, RATE = 8, 0.1
 #: Bytes of items in one block of the query set.
 BLOCK_BYTES = 4 << 20
 #: Bytes of texts searched at a time, meetings of q-grams counted at a time, and cells of the alignments made together.
-CHUNK, MEETINGS, CELLS = 2 << 20, 2_000_000, 4_000_000
+CHUNK, MEETINGS, CELLS = 256 << 10, 250_000, 4_000_000
 _U = np.uint64
 
 

@@ -114,3 +114,25 @@ def test_hot_grams_in_bounded_pieces(monkeypatch):
     items = [b"a" * 100, b"b" * 25, "".join(r.choice("ab") for _ in range(60)).encode(), b"aab", texts[1][100:180]]
     got = [[(h.item, h.edits) for h in sorted(own, key=lambda h: h.item)] for own in dc.Searcher(items).search(texts)]
     assert got == [[(i, e) for i, x in enumerate(items) if (e := least_edits(x, t)) <= dc.budget(len(x))] for t in texts]
+
+
+def test_memory_of_a_search_is_small():
+    """Texts are searched a quarter of a megabyte at a time: what is held beside them stays in proportion to that."""
+    import random
+    import tracemalloc
+
+    from pitstats.llm import decontaminate as dc
+
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(2_000)]
+    texts = [" ".join(r.choice(words) for _ in range(300)).encode() for _ in range(1_500)]
+    items = [texts[i][100:300] for i in range(0, 1_500, 50)]
+    searcher = dc.Searcher(items)
+    tracemalloc.start()
+    try:
+        hits = searcher.search_all(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(any(h.item == i for h in hits[50 * i]) for i in range(len(items)))
+    assert peak < 40_000_000
