@@ -14,7 +14,8 @@ expanded, and verified between classes. No link between different texts is lost,
 costs a few comparisons each.
 
 Hash sizes: an n-gram is known by 64 bits, so two different n-grams of one pair of sets are taken for one with a chance
-of size * size / 2^64; groups and sets are known by 128 bits each.
+of size * size / 2^64; groups and sets are known by 128 bits each. Two groups that meet are taken to be of one class where
+64 bits of their classes' roots agree.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own class; a text of fewer
 than n words is one n-gram; texts may be of any length (one text's n-grams are held at a time); equal sets are linked;
