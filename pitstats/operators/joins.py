@@ -1,7 +1,8 @@
 """Joins with point-in-time semantics.
 
 As-of joins are a union of states and targets under one window instead of a range join: the window's frame ends one
-step before the target's index, so only strictly earlier states are seen, and each key is sorted once.
+step before the target's index, so only strictly earlier states are seen, and each key is sorted once. Where keys have
+few states and several joins follow on the same key, `asof_few` joins on it without moving rows again.
 """
 
 from __future__ import annotations
@@ -30,6 +31,22 @@ def asof_strict(
     return joined.select("_row.*", *(F.col(f"_seen.{p}").alias(p) for p in payload), *kept)
 
 
+def asof_few(targets: DataFrame, states: DataFrame, by: list[str], index: str, payload: list[str]) -> DataFrame:
+    """As `asof_strict`, for keys that have few states each: a join on the key in which each state holds for the indexes
+    after its own and up to the next state's.
+
+    A side that lies by its key already isn't moved, and targets aren't moved with the states of another join.
+    """
+    states = states.where(F.col(index).isNotNull())
+    # of one index the greatest payload comes last; the others hold for no index
+    following = F.lead(index).over(Window.partitionBy(*by).orderBy(index, *payload))
+    state = states.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(index).alias("_from"), following.alias("_to"), *(F.col(c).alias(f"_new_{c}") for c in payload))
+    holds = (F.col("_from") < F.col(index)) & (F.col("_to").isNull() | (F.col(index) <= F.col("_to")))
+    for c in by:
+        holds = (F.col(c) == F.col(f"_by_{c}")) & holds
+    return targets.join(state, holds, "left").select(*targets.columns, *(F.col(f"_new_{c}").alias(c) for c in payload))
+
+
 def latest_before(
     records: DataFrame, cutoffs: DataFrame, by: list[str], at: str, cutoff: str, payload: list[str], tie: list[str]
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitstats.operators import features, joins, windows
 from pitstats.plans.registry import query
+from pitstats.sources.documents import scratch, write_once
 from pitstats.sources.fixtures import rounded, view
 
 
@@ -283,12 +284,15 @@ def pit_defense_state(spark, sf_dir):
     select t.team, t.gi, t.leader, round((select max_by(qs.eff, qs.gi) from qs where qs.leader = t.leader and qs.gi < t.gi), 5) as eff from t where t.leader is not null""")
 def pit_leader_state(spark, sf_dir):
     """Two hops: the team's last leader, then that leader's state, both strictly before the target month."""
-    plays = view(spark, sf_dir, "fx_plays")
+    targets = view(spark, sf_dir, "fx_schedule").select("team", "gi")
+    last = joins.asof_strict(targets, leaders(spark, sf_dir), ["team"], "gi", ["leader"]).where("leader is not null")
+    path = scratch(spark, "leaders")
+    write_once(last, path)  # a row for each team and month, read for the plays of those who lead a team too
+    last = spark.read.parquet(path)
+    plays = view(spark, sf_dir, "fx_plays").join(F.broadcast(last.select("leader").distinct()), "leader", "left_semi")
     own = plays.groupBy("leader", "gi").agg(F.sum(F.col("disc") - F.col("tax")).alias("e"), F.count("*").alias("n"))
     w = windows.last_rows(["leader"], ["gi"], None)
     eff = own.select("leader", "gi", ((F.sum("e").over(w) + 200 * 1.0) / (F.sum("n").over(w) + 200)).alias("eff"))
-    targets = view(spark, sf_dir, "fx_schedule").select("team", "gi")
-    last = joins.asof_strict(targets, leaders(spark, sf_dir), ["team"], "gi", ["leader"]).where("leader is not null")
     return joins.asof_strict(last, eff, ["leader"], "gi", ["eff"]).select("team", "gi", "leader", rounded(F.col("eff"), 5).alias("eff"))
 
 
@@ -302,7 +306,7 @@ def pit_leader_state(spark, sf_dir):
         round(ps.prev, 4) as prev_mean, round((select max_by(tv.team3, tv.gi) from tv where tv.team = t.team and tv.gi < t.gi), 4) as team3
     from t left join st on st.k = t.k and st.gi = t.sg left join ps on ps.k = t.k and ps.season = t.season""")
 def pit_features_m1(spark, sf_dir):
-    rows = features.feature_rows(view(spark, sf_dir, "fx_targets").select("k", "team", "gi", "season"), view(spark, sf_dir, "fx_games"))
+    rows = features.feature_rows(view(spark, sf_dir, "fx_targets", True).select("k", "team", "gi", "season"), view(spark, sf_dir, "fx_games", True), unmoved=view(spark, sf_dir, "fx_games"))
     return rows.select("k", "gi", r4("roll3").alias("roll3"), r4("season_mean").alias("season_mean"), "career", r4("prev_mean").alias("prev_mean"), r4("team3").alias("team3"))
 
 
@@ -345,9 +349,9 @@ PLAIN_M2 = ["career", "opponent", "home", "leader", "rest", "age", "experience",
     select k, gi, {", ".join(PLAIN_M2)}, {", ".join(f"round({c}, 4) as {c}" for c in FEATURES_M2)} from j""")
 def pit_features_m2(spark, sf_dir):
     """The first feature row, the second player state, the context of the team's game, and what is fixed about the player."""
-    targets = view(spark, sf_dir, "fx_targets").select("k", "team", "gi", "season", "week")
-    rows = features.feature_rows(targets, view(spark, sf_dir, "fx_games"))
-    state = features.player_state_m2(view(spark, sf_dir, "fx_usage"), "k", "gi", RECENT, TRENDS)
+    targets = view(spark, sf_dir, "fx_targets", True).select("k", "team", "gi", "season", "week")
+    rows = features.feature_rows(targets, view(spark, sf_dir, "fx_games", True), unmoved=view(spark, sf_dir, "fx_games"))
+    state = features.player_state_m2(view(spark, sf_dir, "fx_usage", True), "k", "gi", RECENT, TRENDS)
     out = features.feature_rows_m2(rows, state, _context(spark, sf_dir), view(spark, sf_dir, "fx_bio"))
     return out.select("k", "gi", *PLAIN_M2, *(r4(c).alias(c) for c in FEATURES_M2))
 
